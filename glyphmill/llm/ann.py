@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import written
-from glyphmill.llm.embed_dedup import usable
+from glyphmill.llm.embed_dedup import usable, vector_key
 
 
 class VantageTree:
@@ -106,38 +106,38 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     at most from each) are merged. Vectors that are null, empty, zero or hold null or non-finite
     components take no part; vectors of different lengths don't meet. Ties go to the smaller id.
     """
-    as_double = F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0))
-    rows = df.where(usable(vector_col)).select(F.col(id_col).alias("id"), as_double.alias("vector"))
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy("vector").orderBy(F.col("id").asc_nulls_last()))).where(F.col("n") <= k + 1)
-    entries = written(first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vector")), "entries")
-    asked = written(queries.where(usable(vector_col)).select(F.col(id_col).alias("query_id"), as_double.alias("vector")).withColumn("dim", F.size("vector")), "queries")
-    distinct = asked.select("vector", "dim").distinct()
+    as_double = F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vector")
+    rows = df.where(usable(vector_col)).select(vector_key(vector_col).alias("key"), F.col(id_col).alias("id"), as_double)
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.col("id").asc_nulls_last()))).where(F.col("n") <= k + 1)
+    entries = written(first.groupBy("key").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vector")), "entries")
+    asked = written(queries.where(usable(vector_col)).select(F.col(id_col).alias("query_id"), vector_key(vector_col).alias("query"), as_double).withColumn("dim", F.size("vector")), "queries")
+    distinct = asked.groupBy("query").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim"))
     n, most = entries.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n:
         return asked.select("query_id", F.lit(1).alias("rank"), F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.lit(0.0).alias("score")).where("false")
     square = float(most) * (1 + 1e-12)
     shards = -(-n // shard_rows)
     blocks = max(1, -(-distinct.count() // query_rows))
-    table = entries.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    table = table.select("shard", "dim", "vector", F.element_at("ids", 1).cast("long").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    block = F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    asks = distinct.select("dim", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    table = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    table = table.select("key", "shard", "dim", "vector", F.element_at("ids", 1).cast("long").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    block = F.pmod(F.xxhash64(F.lit(1), "query"), F.lit(blocks)).cast("int").alias("block")
+    asks = distinct.select("query", "dim", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "vector": [], "score": []})
+            return pd.DataFrame({"query": [], "key": [], "score": []})
         x, q = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
         ids = left["least"].fillna(np.iinfo(np.int64).max).astype(np.int64).to_numpy()
         scores, who = nearest_in_shard(x, ids, q, min(k + 1, len(x)), square=square, factor=factor, leaf=leaf, seed=seed)
         got = who >= 0
         query = np.nonzero(got)[0]
-        return pd.DataFrame({"query": list(q[query]), "vector": list(x[who[got]]), "score": (q[query] * x[who[got]]).sum(axis=1)})
+        return pd.DataFrame({"query": right["query"].to_numpy()[query], "key": left["key"].to_numpy()[who[got]], "score": (q[query] * x[who[got]]).sum(axis=1)})
 
     keys = ["dim", "shard", "block"]
-    found = table.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(answer, "query array<double>, vector array<double>, score double")
-    with_ids = found.join(entries.select("vector", "ids"), "vector").select("query", "score", F.explode("ids").alias("id"))
+    found = table.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(answer, "query string, key string, score double")
+    with_ids = found.join(entries.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("id"))
     by_query = W.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     top = with_ids.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("n", "id", "score")).alias("found"))
-    answers = asked.join(top, asked.vector == top.query).select("query_id", F.filter("found", lambda f: ~f["id"].eqNullSafe(F.col("query_id"))).alias("found"))
+    answers = asked.select("query_id", "query").join(top, "query").select("query_id", F.filter("found", lambda f: ~f["id"].eqNullSafe(F.col("query_id"))).alias("found"))
     ranked = answers.select("query_id", F.posexplode(F.slice(F.array_sort("found"), 1, k)).alias("at", "f"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.id").alias(id_col), F.col("f.score").alias("score"))

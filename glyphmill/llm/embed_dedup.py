@@ -22,10 +22,14 @@ def usable(col: str) -> F.Column:
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def vector_key(col: str) -> F.Column:
+    """128-bit key of a usable vector's value (minus zero counts as zero), null for others."""
+    return F.when(usable(col), F.md5(F.array_join(F.transform(col, lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ",")))
+
+
 def distinct_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(key, vector, copies, least) of the usable vectors, equal ones as one row."""
-    rows = df.where(usable(vector_col)).select(F.col(id_col).alias("_id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
-    keyed = rows.withColumn("key", F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")))
+    keyed = df.where(usable(vector_col)).select(vector_key(vector_col).alias("key"), F.col(id_col).alias("_id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     return keyed.groupBy("key", "vector").agg(F.count("*").alias("copies"), F.min("_id").alias("least"))
 
 
@@ -214,7 +218,6 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(lowest, "root").join(degree.withColumnRenamed("a", "key"), "key", "left")
     classes = classes.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    key = F.when(usable(vector_col), F.md5(F.array_join(F.transform(vector_col, lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ",")))
-    rows = df.select(F.col(id_col), key.alias("key")).join(classes, "key", "left")
+    rows = df.select(F.col(id_col), vector_key(vector_col).alias("key")).join(classes, "key", "left")
     component = F.coalesce("component_id", id_col)
     return rows.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))

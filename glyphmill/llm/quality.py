@@ -85,12 +85,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the least weighted error, where losing a good text costs as much as keeping ten bad ones."""
+    """The cut with the least weighted error, where losing a good text costs as much as keeping thirty bad ones."""
     order = np.argsort(values, kind="stable")
     v, good = values[order], labels[order] == 1
     lost = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
     kept_bad = 1 - np.concatenate([[0], np.cumsum(~good)]) / max(1, (~good).sum())
-    at = int(np.argmin(10 * lost + kept_bad))
+    at = int(np.argmin(30 * lost + kept_bad))
     if at == 0:
         return -math.inf
     return float(v[at - 1] + (v[at] - v[at - 1]) / 2) if at < len(v) else float(np.nextafter(v[-1], math.inf))

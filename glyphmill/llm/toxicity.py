@@ -114,11 +114,11 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 20_000, most_patterns: int = 4000, least_count: int = 4, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 20_000, most_patterns: int = 4000, least_count: int = 4, least_share: float = 0.015, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns weights from labelled rows outside the held-out fold, ``most_labelled`` of them at most.
 
     Three quarters give the weights (log odds of a pattern among toxic and other texts), the rest the
-    slope and bias. Words that the lexicon has but that occur in clean texts only beside a certain
+    slope and bias. A pattern counts if ``least_share`` of the toxic texts have it. Words that the lexicon has but that occur in clean texts only beside a certain
     word give exception phrases, besides those given. Without labels of both kinds the lexicon is
     empty and every score is low.
     """
@@ -155,8 +155,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         other = clean.get(p, 0)
         weight = math.log((n + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_clean + 1))
         error = math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
-        if weight - error > 1.0 and weight > 1.5:
+        # among many thousand patterns a few look toxic by chance; such are rare, or near to even odds
+        if n >= least_share * n_toxic and weight - 2 * error > 1.0:
             scored[p] = weight
+    # where one word makes up a beginning, the word is meant
+    for word in [p for p in scored if p.endswith(" ")]:
+        for n in range(5, len(word) - 1):
+            if toxic[word] >= 0.9 * toxic.get(word[:n], math.inf):
+                scored.pop(word[:n], None)
     chosen: dict[str, float] = {}
     for p in sorted(scored, key=len):
         # a longer pattern must say more than the beginning that it contains
