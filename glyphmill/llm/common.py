@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.plans.session import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +60,7 @@ def per_text(
     further columns of ``df``, whatever their names, can't clash.
     """
     spark = df.sparkSession
+    ship_package(spark)
     kept = df.select(F.col(id_col), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = kept.drop("_text").schema
     added = spark.createDataFrame([], fields).schema

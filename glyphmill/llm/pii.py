@@ -6,10 +6,12 @@ import hashlib
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import per_text
+from glyphmill.llm.common import batches, per_text
+from glyphmill.plans.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -276,14 +278,11 @@ def find_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def redact_documents(df: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with personal data replaced in the text, and its length brought up to date.
     A null text stays null."""
-    import pyarrow as pa
-
+    ship_package(df.sparkSession)
     place = df.columns.index(text_col)
     schema = df.schema
 
     def run(stream):
-        from glyphmill.llm.common import batches
-
         for batch in batches(stream):
             texts = [t and redact(t) for t in batch.column(place).to_pylist()]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
