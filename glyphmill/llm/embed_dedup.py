@@ -53,13 +53,14 @@ def block_edges(dim: int, block: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def cells(vectors: DataFrame, threshold: float, block: int, seed: int) -> DataFrame:
+def cells(vectors: DataFrame, threshold: float, block: int, seed: int, split: int = 5) -> DataFrame:
     """(cell, kind, key, q) of every vector: its own cell in each subspace (kind 0), and those neighbours that its
     ball reaches (kind 1). q is the rotated unit vector in steps of 1/127.
 
     The squared distance of unit vectors at the threshold is shared out in proportion to the subspaces'
     dimensions: two vectors within it are within some subspace's part. Cells are three radii wide, so
     a ball reaches at most one neighbour along an axis, and corners out of its reach are left out.
+    Only ``split`` axes of a subspace are cut: each more makes cells smaller but guests more numerous.
     """
     budget = 2 - 2 * threshold
 
@@ -74,9 +75,9 @@ def cells(vectors: DataFrame, threshold: float, block: int, seed: int) -> DataFr
                 packed = np.array([r.tobytes() for r in q], dtype=object)
                 for j, (s, e) in enumerate(block_edges(dim, block)):
                     radius = math.sqrt(budget * (e - s) / dim) * (1 + 1e-6) + 1e-9
-                    width, d = 3 * radius, e - s
-                    home = np.floor(x[:, s:e] / width).astype(np.int64)
-                    inside = x[:, s:e] / width - home
+                    width, d = 3 * radius, min(split, e - s)
+                    home = np.floor(x[:, s : s + d] / width).astype(np.int64)
+                    inside = x[:, s : s + d] / width - home
                     side = np.where(inside < 0.5, -1, 1)
                     gap = np.where(inside < 0.5, inside, 1 - inside) * 3  # in radii, to the nearer neighbour
                     gap = np.where(gap <= 1, gap**2, 9.0)
