@@ -22,36 +22,65 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class PairTree:
-    """Segment tree over adjacent pairs. A leaf holds rank * size + place, so that the root is the
-    leftmost of the lowest-ranked pairs; a point update climbs one path."""
-
-    def __init__(self, ranks: list[int | None]):
-        self.size = 1 << max(0, len(ranks) - 1).bit_length()
-        self.none = 1 << 62
-        self.node = [self.none] * (2 * self.size)
-        for i, rank in enumerate(ranks):
-            if rank is not None:
-                self.node[self.size + i] = rank * self.size + i
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
-
-    def root(self) -> int:
-        """Place of the pair to merge next, or -1."""
-        best = self.node[1]
-        return -1 if best >= self.none else best % self.size
-
-    def put(self, place: int, rank: int | None) -> None:
-        node, i = self.node, self.size + place
-        node[i] = self.none if rank is None else rank * self.size + place
-        i >>= 1
-        while i:
-            left, right = node[2 * i], node[2 * i + 1]
-            least = left if left < right else right
-            if node[i] == least:
-                break
-            node[i] = least
-            i >>= 1
+_NONE = 1 << 62
+_PLACE_BITS = 32
+_PLACE = (1 << _PLACE_BITS) - 1
+_ID_BITS = 17
+
+
+def merge_pairs(ids: list[int | None], rank_of: dict[int, int], result: list[int]) -> list[int]:
+    """Merges neighbours, always the leftmost of the lowest-ranked pairs, until no pair has a rank.
+
+    A segment tree lies over the adjacent pairs: leaf i is (rank, i) of the pair that starts at symbol i,
+    and the root, the least, is the pair to merge next. A merge changes three leaves at most, and
+    each update climbs one path, up to where nothing changes. ``rank_of`` has pairs as left id << 17 |
+    right id, ``result`` the id that each rank's merge gives.
+    """
+    n = len(ids)
+    pairs = n - 1
+    node = [_NONE] * (2 * pairs)
+    get = rank_of.get
+    for i in range(pairs):
+        rank = get(ids[i] << _ID_BITS | ids[i + 1])
+        if rank is not None:
+            node[pairs + i] = rank << _PLACE_BITS | i
+    for i in range(pairs - 1, 0, -1):
+        left, right = node[2 * i], node[2 * i + 1]
+        node[i] = left if left < right else right
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (best := node[1]) != _NONE:
+        i = best & _PLACE
+        j = after[i]
+        new = ids[i] = result[best >> _PLACE_BITS]
+        ids[j] = None
+        k = after[i] = after[j]
+        changed = []
+        if j < pairs:
+            changed.append((j, _NONE))
+        if k < n:
+            before[k] = i
+            rank = get(new << _ID_BITS | ids[k])
+            changed.append((i, _NONE if rank is None else rank << _PLACE_BITS | i))
+        else:
+            changed.append((i, _NONE))
+        h = before[i]
+        if h >= 0:
+            rank = get(ids[h] << _ID_BITS | new)
+            changed.append((h, _NONE if rank is None else rank << _PLACE_BITS | h))
+        for place, value in changed:
+            at = pairs + place
+            if node[at] == value:
+                continue
+            node[at] = value
+            at >>= 1
+            while at:
+                left, right = node[2 * at], node[2 * at + 1]
+                least = left if left < right else right
+                if node[at] == least:
+                    break
+                node[at] = least
+                at >>= 1
+    return [x for x in ids if x is not None]
 
 
 class ByteBpe:
@@ -64,43 +93,15 @@ class ByteBpe:
         to_byte = {c: b for b, c in alphabet.items()}
         vocab: dict[str, int] = model["vocab"]
         self.first = [vocab[alphabet[b]] for b in range(256)]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self.rank_of = {vocab[a] << _ID_BITS | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.result = [vocab[a + b] for a, b in merges]
         self.bytes: dict[int, bytes] = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items() if all(c in to_byte for c in token)}
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes |= {i: content.encode() for content, i in self.added.items()}
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids of one pre-token: merges the root of the pair tree until no mergeable pair remains."""
-        ids: list[int | None] = [self.first[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids  # type: ignore[return-value]
-        merge = self.merge
-        ranks = [merge.get((ids[i], ids[i + 1])) for i in range(n - 1)]
-        tree = PairTree([r and r[0] for r in ranks])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (i := tree.root()) >= 0:
-            j = after[i]
-            ids[i] = merge[ids[i], ids[j]][1]
-            ids[j] = None
-            k = after[i] = after[j]
-            tree.put(j, None) if j < n - 1 else None
-            if k < n:
-                before[k] = i
-                found = merge.get((ids[i], ids[k]))
-                tree.put(i, found and found[0])
-            else:
-                tree.put(i, None)
-            if (h := before[i]) >= 0:
-                found = merge.get((ids[h], ids[i]))
-                tree.put(h, found and found[0])
-        return [x for x in ids if x is not None]
-
     def pre_tokens(self, text: str) -> list[str]:
         """Added tokens whole, and the pattern's matches between them."""
         if self.special is None or not (found := list(self.special.finditer(text))):
@@ -115,31 +116,40 @@ class ByteBpe:
     def ids_of(self, pre_token: str) -> tuple[int, ...]:
         if pre_token in self.added:
             return (self.added[pre_token],)
-        return tuple(self.merged(pre_token.encode()))
+        ids = [self.first[b] for b in pre_token.encode()]
+        return tuple(merge_pairs(ids, self.rank_of, self.result) if len(ids) > 1 else ids)
 
 
 class Coder:
-    """Encodes and decodes whole texts; keeps the ids of up to ``cached`` short pre-tokens."""
+    """Encodes and decodes whole texts. Keeps what short pre-tokens come to in two generations: when the young
+    one is full it becomes the old one, so that what is in use stays and memory is bounded."""
 
     def __init__(self, spec: str, cached: int):
         self.bpe, self.most = ByteBpe(spec), cached
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
+    def runs(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of each pre-token."""
         parts = self.bpe.pre_tokens(text)
-        found = list(map(known.get, parts))
+        found = list(map(self.young.get, parts))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    part = parts[i]
-                    ids = found[i] = known.get(part) or self.bpe.ids_of(part)
-                    if len(part) <= 48:
-                        if len(known) >= self.most:
-                            known.clear()
-                        known[part] = ids
-        out = list(chain.from_iterable(found))
-        return out
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._ids(parts[at])
+        return found
+
+    def _ids(self, part: str) -> tuple[int, ...]:
+        ids = self.young.get(part) or self.old.get(part) or self.bpe.ids_of(part)
+        if len(part) <= 48:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[part] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.runs(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of the ids, joined; bytes that are no UTF-8 become replacement characters; ids out of the vocabulary are skipped."""
@@ -160,7 +170,7 @@ def _coder(spec: str, cached: int) -> Coder:
     return _coders[key]
 
 
-def encode(df: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text", cached: int = 100_000) -> DataFrame:
+def encode(df: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text", cached: int = 300_000) -> DataFrame:
     """id and ids (array<int>) of every whole text. ``spec`` is the vocabulary file's content, which is broadcast.
 
     Null texts are empty and have no ids; one row out for each row in, whatever its id.
@@ -174,7 +184,7 @@ def encode(df: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str =
     return per_text(df, id_col, text_col, start, "ids array<int>")
 
 
-def decode(df: DataFrame, spec: str, *, id_col: str = "doc_id", ids_col: str = "ids", cached: int = 100_000) -> DataFrame:
+def decode(df: DataFrame, spec: str, *, id_col: str = "doc_id", ids_col: str = "ids", cached: int = 300_000) -> DataFrame:
     """id and text of every row's ids; null ids give an empty text."""
     import pyarrow as pa
 
@@ -190,7 +200,7 @@ def decode(df: DataFrame, spec: str, *, id_col: str = "doc_id", ids_col: str = "
     return kept.mapInArrow(run, kept.select(id_col).schema.add("text", "string"))
 
 
-def round_trip(df: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text", cached: int = 100_000) -> DataFrame:
+def round_trip(df: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text", cached: int = 300_000) -> DataFrame:
     """Encodes every whole text and decodes its ids again, in one pass: id, n_tokens and the SHA-256 of the
     decimal ids joined by commas and of the decoded text. The ids themselves come from ``encode``."""
     shared = df.sparkSession.sparkContext.broadcast(spec)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,11 +72,15 @@ def per_text(
 
     def run(stream):
         work = start()
-        for batch in batches(stream):
-            made = [work(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = zip(*made, strict=True) if made else [[] for _ in arrow_types]
-            arrays = [pa.array(list(c), type=t) for c, t in zip(columns, arrow_types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+        gc.disable()  # caches hold hundreds of thousands of entries and no cycles: collecting would only walk them
+        try:
+            for batch in batches(stream):
+                made = [work(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+                columns = zip(*made, strict=True) if made else [[] for _ in arrow_types]
+                arrays = [pa.array(list(c), type=t) for c, t in zip(columns, arrow_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+        finally:
+            gc.enable()
 
     return kept.mapInArrow(run, schema)
 
