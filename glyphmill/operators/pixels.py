@@ -93,8 +93,11 @@ def label_components(points: DataFrame, keys: list[str], most_rounds: int = 200)
     for _ in range(most_rounds):
         sent = labels.withColumn("o", spread).select(*keys, (c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"), "label")
         least = labels.withColumnRenamed("label", "old").join(sent.groupBy(*keys, "x", "y").agg(F.min("label").alias("label")), [*keys, "x", "y"])
-        jump = least.select(*keys, c("x").alias("jx"), c("y").alias("jy"), c("label").alias("further"))
-        new = least.join(jump, [*[least[k].eqNullSafe(jump[k]) for k in keys], (least["label"]["x"] == jump["jx"]) & (least["label"]["y"] == jump["jy"])]).select(*[least[k] for k in keys], least["x"], least["y"], "old", F.least("label", "further").alias("label"))
+        jump = least.select(*[c(k).alias(f"_j{k}") for k in keys], c("x").alias("_jx"), c("y").alias("_jy"), c("label").alias("further"))
+        same = (c("label.x") == c("_jx")) & (c("label.y") == c("_jy"))
+        for k in keys:
+            same = same & c(k).eqNullSafe(c(f"_j{k}"))
+        new = least.join(jump, same).select(*keys, "x", "y", "old", F.least("label", "further").alias("label"))
         new = new.checkpoint()
         if new.where("old <> label").limit(1).count() == 0:
             return new.drop("old")

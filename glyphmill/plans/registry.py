@@ -1,6 +1,394 @@
-"""Queries over the driver's tables, by name, and the SQL that says the same."""
+"""Queries over the driver's tables, by name, and the SQL that says the same.
+
+The tables hold no images, so they stand in: an order is a sheet and a line item a box or a pixel
+on it, an embedding a colour vector, an event a point.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.operators import catalog, geometry, naming, pixels, settings
+
+c = F.col
+CANVAS = 512
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet's boxes; n, p, s tell boxes of a sheet apart."""
+    whole = lambda e: F.expr(f"cast({e} as int)")
+    return table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("sheet"), c("l_linenumber").alias("n"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_extendedprice").alias("e"),
+        whole("l_partkey % 1000").alias("x"), whole("l_suppkey * 7 % 900").alias("y"), whole("l_quantity").alias("w"), (whole("l_quantity") + c("l_linenumber")).alias("h"),
+    )
+
+
+TIES = ["n", "p", "s", "e"]
+BOXES = """box as (select l_orderkey sheet, l_linenumber n, l_partkey p, l_suppkey s, l_extendedprice e, cast(l_partkey % 1000 as int) x, cast(l_suppkey * 7 % 900 as int) y,
+  cast(trunc(l_quantity) as int) w, cast(trunc(l_quantity) as int) + l_linenumber h from lineitem)"""
+
+
+def pixel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("grp"), c("l_orderkey").alias("sheet"), F.expr("cast(l_partkey % 256 as int)").alias("r"), F.expr("cast(l_suppkey % 256 as int)").alias("g"), (c("l_linenumber") * 30).alias("b"), F.when(c("l_linestatus") == "O", 0).otherwise(255).alias("alpha"))
+
+
+PIXELS = """pix as (select l_returnflag grp, l_orderkey sheet, cast(l_partkey % 256 as int) r, cast(l_suppkey % 256 as int) g, l_linenumber * 30 b, case when l_linestatus = 'O' then 0 else 255 end alpha from lineitem)"""
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- geometry ----------------------------------------------------------------------------------
+
+
+SCALED = f"""{BOXES}, sc as (select *, least({CANVAS}.0::double / greatest(1, max(w) over (partition by sheet)), {CANVAS}.0::double / greatest(1, max(h) over (partition by sheet))) scale from box)"""
+PLACED = f"""{SCALED}, sz as (select *, case when abs(scale - 1) > 1e-6 then greatest(1, cast(round_even(w * scale, 0) as bigint)) else w end new_w,
+  case when abs(scale - 1) > 1e-6 then greatest(1, cast(round_even(h * scale, 0) as bigint)) else h end new_h from sc),
+  pl as (select *, cast(floor(({CANVAS} - new_w) / 2.0) as bigint) off_x, cast(floor(({CANVAS} - new_h) / 2.0) as bigint) off_y from sz)"""
+
+
+@query(f"with {PLACED} select sheet, cast(icon_index as int) icon_index, printf('icon_%03d', icon_index) stem, x, y, w, h, round(scale, 9) scale, new_w, new_h, off_x, off_y, (off_x < 0 or off_y < 0) clipped from (select *, row_number() over (partition by sheet order by y + h / 2.0, x, n, p, s, e) icon_index from pl)")
+def icon_manifest(spark, sf_dir):
+    """Index, stem, scale and placement of every box: one shuffle, by sheet."""
+    df = geometry.uniform_scale(geometry.vector_order(boxes(spark, sf_dir), "sheet", TIES), "sheet", CANVAS, CANVAS)
+    df = geometry.place_on_canvas(df, CANVAS, CANVAS)
+    return df.select("sheet", "icon_index", geometry.stem(c("icon_index")).alias("stem"), "x", "y", "w", "h", F.round("scale", 9).alias("scale"), "new_w", "new_h", "off_x", "off_y", "clipped")
+
+
+@query(f"with {BOXES} select sheet, n, p, greatest(0, x - 12) x, greatest(0, y - 12) y, least(1000, x + w + 12) - greatest(0, x - 12) w, least(900, y + h + 12) - greatest(0, y - 12) h from box")
+def pad_clamp(spark, sf_dir):
+    return geometry.pad_clamp(boxes(spark, sf_dir), 12, F.lit(1000), F.lit(900)).select("sheet", "n", "p", "x", "y", "w", "h")
+
+
+@query(f"with {BOXES} select sheet, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h from box group by sheet")
+def box_union(spark, sf_dir):
+    return geometry.box_union(boxes(spark, sf_dir), ["sheet"])
+
+
+@query(f"with {BOXES} select sheet, n, p, w * h area from box where w * h >= 1200")
+def area_filter(spark, sf_dir):
+    return geometry.area_filter(boxes(spark, sf_dir).withColumn("area", c("w") * c("h")), 1200).select("sheet", "n", "p", "area")
+
+
+@query(f"with {SCALED} select distinct sheet, round(scale, 9) scale from sc")
+def uniform_scale(spark, sf_dir):
+    return geometry.uniform_scale(boxes(spark, sf_dir), "sheet", CANVAS, CANVAS).select("sheet", F.round("scale", 9).alias("scale")).distinct()
+
+
+@query(f"with {SCALED} select sheet, n, p, s, round(case n % 3 when 0 then 1.0 when 1 then scale else least(512.0::double / greatest(1, w), 512.0::double / greatest(1, h)) end, 9) scale from sc")
+def scale_choice(spark, sf_dir):
+    mode = F.when(c("n") % 3 == 0, "original").when(c("n") % 3 == 1, "uniform_to_largest").otherwise("individual_fit")
+    df = geometry.uniform_scale(boxes(spark, sf_dir), "sheet", CANVAS, CANVAS)
+    return df.select("sheet", "n", "p", "s", F.round(geometry.scale_for(mode, CANVAS, CANVAS, c("scale")), 9).alias("scale"))
+
+
+@query(f"with {BOXES} select sheet, n, p, s, cast(row_number() over (partition by sheet order by y + h / 2.0, x, n, p, s, e) as int) icon_index from box")
+def vector_order(spark, sf_dir):
+    return geometry.vector_order(boxes(spark, sf_dir), "sheet", TIES).select("sheet", "n", "p", "s", "icon_index")
+
+
+@query()
+def reading_order(spark, sf_dir):
+    return geometry.reading_order(boxes(spark, sf_dir), "sheet", TIES).select("sheet", "n", "p", "s", "row_no", "icon_index")
+
+
+@query(f"with {SCALED} select sheet, n, p, s, printf('translate(%.4f %.4f) scale(%.6f)', round_even((512 - w * scale) / 2.0, 4), round_even((512 - h * scale) / 2.0, 4), round_even(scale, 6)) transform from sc")
+def svg_transform(spark, sf_dir):
+    df = geometry.uniform_scale(boxes(spark, sf_dir), "sheet", CANVAS, CANVAS)
+    return df.select("sheet", "n", "p", "s", geometry.svg_transform(CANVAS, CANVAS).alias("transform"))
+
+
+@query(f"with {BOXES} select sheet, n, p, s, cast(floor(10.0 + x * (300.0 / 1000)) as int) x, cast(floor(20.0 + y * (200.0 / 900)) as int) y, cast(greatest(1, ceil(w * (300.0 / 1000))) as int) w, cast(greatest(1, ceil(h * (200.0 / 900))) as int) h from box".replace("300.0", "300.0::double").replace("200.0", "200.0::double").replace("10.0", "10.0::double").replace("20.0 ", "20.0::double "))
+def svg_boxes(spark, sf_dir):
+    view = F.struct(F.lit(10.0).alias("x"), F.lit(20.0).alias("y"), F.lit(300.0).alias("w"), F.lit(200.0).alias("h"))
+    return boxes(spark, sf_dir).withColumns(geometry.svg_box(view, F.lit(1000), F.lit(900))).select("sheet", "n", "p", "s", "x", "y", "w", "h")
+
+
+@query("""with v as (select p_partkey, case p_partkey % 4 when 0 then '0 0 ' || p_size || ' ' || (p_size * 2) when 1 then '0,0,' || p_size || ',7.5' when 2 then 'none' end vb, p_size || 'px' width, case when p_partkey % 3 = 0 then 'auto' else '24' end height from part),
+  t as (select *, regexp_split_to_array(trim(translate(vb, ',', ' ')), '\\s+') a from v),
+  k as (select *, len(a) = 4 and try_cast(a[1] as double) is not null and try_cast(a[2] as double) is not null and try_cast(a[3] as double) is not null and try_cast(a[4] as double) is not null ok from t)
+  select p_partkey, greatest(1.0, case when coalesce(ok, false) then try_cast(a[3] as double) else coalesce(try_cast(replace(width, 'px', '') as double), 0) end)::double canvas_w, greatest(1.0, case when coalesce(ok, false) then try_cast(a[4] as double) else coalesce(try_cast(replace(height, 'px', '') as double), 0) end)::double canvas_h from k""")
+def canvas_size(spark, sf_dir):
+    k, size = c("p_partkey") % 4, c("p_size").cast("string")
+    vb = F.when(k == 0, F.concat(F.lit("0 0 "), size, F.lit(" "), (c("p_size") * 2).cast("string"))).when(k == 1, F.concat(F.lit("0,0,"), size, F.lit(",7.5"))).when(k == 2, "none")
+    height = F.when(c("p_partkey") % 3 == 0, "auto").otherwise("24")
+    return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(n) for n, v in geometry.canvas_size(vb, F.concat(size, F.lit("px")), height).items()])
+
+
+GROUPS = f"""{BOXES}, grp as (select row_number() over (order by sheet, n, p, s) group_no, x, y, w, h from box where sheet < 200), pt as (select event_id, user_id * 17 % 1000 cx, value * 7 cy from events),
+  hit as (select event_id, min(group_no) group_no from pt join grp on cx between x - 3 and x + w + 3 and cy between y - 3 and y + h + 3 group by event_id)"""
+
+
+@query(f"with {GROUPS} select event_id, group_no, case when group_no is null then 's:' || event_id else 'g:' || group_no end group_key from pt left join hit using (event_id)")
+def group_assign(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    # a few hundred boxes, of the orders below 200
+    groups = boxes(spark, sf_dir).where("sheet < 200").withColumn("group_no", F.row_number().over(W.orderBy("sheet", "n", "p", "s")).cast("long"))
+    points = table(spark, sf_dir, "events").select("event_id", (c("user_id") * 17 % 1000).alias("cx"), (c("value") * 7).alias("cy"))
+    found = geometry.assign_groups(points, groups, 3, point="event_id", group="group_no")
+    return geometry.with_singletons(found, point="event_id", group="group_no").select("event_id", "group_no", "group_key")
+
+
+@query("select p_partkey, case when p_size % 4 = 0 then printf('shape_%04d', cast(row_number() over (partition by p_brand, p_size % 4 = 0 order by p_partkey) as int)) else p_name end elem_id from part")
+def auto_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(c("p_size") % 4 == 0, "").otherwise(c("p_name")).alias("elem_id"))
+    return geometry.auto_ids(rows, "p_brand", "p_partkey").select("p_partkey", "elem_id")
+
+
+@query("select p_partkey, case when not (p_size % 3 > 0) then null when p_size % 2 = 1 then 'vector-native-grouped' when p_size % 5 = 0 or p_size > 25 then 'traced-monochrome' else 'embedded-raster-color' end vector_mode, case when p_size > 25 then 'opaque' else 'transparent' end crop, case when p_size > 25 then 'background' else 'clear' end canvas from part")
+def vector_modes(spark, sf_dir):
+    size = c("p_size")
+    mode = geometry.vector_mode(size % 3 > 0, size % 2 == 0, F.when(size % 5 == 0, F.lit(None)).otherwise(size > 25).cast("boolean"))
+    source = geometry.bitmap_source(F.when(size > 25, "keep_background").otherwise("transparent_preserve_interior"))
+    return table(spark, sf_dir, "part").select("p_partkey", mode.alias("vector_mode"), source["crop"].alias("crop"), source["canvas"].alias("canvas"))
+
+
+# ---- pixels ------------------------------------------------------------------------------------
+
+
+@query(f"with {PIXELS}, q as (select grp, r // 16 * 16 r, g // 16 * 16 g, b // 16 * 16 b from pix where alpha > 0), k as (select grp, r, g, b, count(*) n from q group by all) select grp, cast(rank as int) rank, printf('#%02x%02x%02x', r, g, b) colour, n from (select *, row_number() over (partition by grp order by n desc, r desc, g desc, b desc) rank from k) where rank <= 4")
+def palette_topk(spark, sf_dir):
+    return pixels.palette_counts(pixel_view(spark, sf_dir), ["grp"])
+
+
+@query(f"with {PIXELS} select sheet, coalesce(max(case when alpha > 0 then greatest(abs(r - g), abs(g - b)) end) <= 60, true) monochrome from pix group by sheet")
+def monochrome(spark, sf_dir):
+    return pixels.monochrome(pixel_view(spark, sf_dir), ["sheet"], 60)
+
+
+@query(f"with {PIXELS} select grp, cast(trunc(median(r)) as int) bg_r, cast(trunc(median(g)) as int) bg_g, cast(trunc(median(b)) as int) bg_b from pix group by grp")
+def background_median(spark, sf_dir):
+    return pixels.background_colour(pixel_view(spark, sf_dir), ["grp"])
+
+
+@query(f"""with {PIXELS}, k as (select grp, (r + g + b) // 3 level, count(*) n from pix group by all), w as (select *, sum(n) over u below, sum(n * level) over u mass, sum(n) over (partition by grp) al, sum(n * level) over (partition by grp) total from k window u as (partition by grp order by level rows unbounded preceding)),
+  z as (select grp, level, round(below::double * (al - below) * (mass / below::double - (total - mass) / (al - below)::double) * (mass / below::double - (total - mass) / (al - below)::double), 3) b from w where below < al)
+  select grp, cast(level as int) threshold from (select *, row_number() over (partition by grp order by b desc, level) i from z) where i = 1""")
+def otsu_threshold(spark, sf_dir):
+    rows = pixel_view(spark, sf_dir).withColumn("gray", F.floor((c("r") + c("g") + c("b")) / 3))
+    return pixels.otsu_threshold(rows, ["grp"])
+
+
+@query("""with b as (select embedding from embeddings where label = 0), m as (select list(a order by i) mean from (select i, avg(v) a from (select unnest(range(1, 65)) i, unnest(embedding)::double v from b) group by i)),
+  d as (select vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - mean[i]) * (embedding[i] - mean[i])))) d, abs(embedding[1] - mean[1]) dl, label from embeddings, m),
+  t as (select greatest(0.1, quantile_cont(d, 0.95) * 1.02) lim from d where label = 0) select vec_id, round(d, 6) d from d, t where d > lim""")
+def mask_threshold(spark, sf_dir):
+    """Vectors farther from the mean of a border than nearly all of the border is."""
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    border = every.where("label = 0")
+    limit = pixels.distance_threshold(border, "v").select("mean")
+    far = border.crossJoin(F.broadcast(limit)).agg(F.greatest(F.lit(0.1), F.percentile(pixels.distance(c("v"), c("mean")), 0.95) * 1.02).alias("limit"))
+    rows = every.crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(far)).withColumn("d", pixels.distance(c("v"), c("mean")))
+    return rows.where(c("d") > c("limit")).select("vec_id", F.round("d", 6).alias("d"))
+
+
+GRID = "pt as (select distinct l_returnflag grp, cast(l_partkey % 40 as int) x, cast(l_suppkey % 30 as int) y from lineitem where l_linenumber = 7)"
+OFFSETS = "off as (select * from (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))"
+
+
+def grid(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
+    return rows.select(c("l_returnflag").alias("grp"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y")).distinct()
+
+
+@query(f"with {GRID}, {OFFSETS} select distinct grp, x + dx x, y + dy y from pt, off where x + dx between 0 and 39 and y + dy between 0 and 29")
+def dilate(spark, sf_dir):
+    return pixels.dilate(grid(spark, sf_dir), ["grp"], pixels.SQUARE, F.lit(40), F.lit(30))
+
+
+@query(f"with {GRID}, off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select grp, x - dx x, y - dy y, count(*) n from pt, off group by all) select grp, x, y from v where x between 0 and 39 and y between 0 and 29 and n = (select count(*) from off where x + dx between 0 and 39 and y + dy between 0 and 29)")
+def erode(spark, sf_dir):
+    return pixels.erode(grid(spark, sf_dir), ["grp"], pixels.PLUS, 40, 30)
+
+
+@query()
+def components(spark, sf_dir):
+    """Boxes of connected pixels of a sparse grid, by sheet."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.expr("cast(l_partkey % 97 as int)").alias("x"), F.expr("cast(l_suppkey * 7 % 89 as int)").alias("y"), c("l_returnflag").alias("grp"))
+    labelled = pixels.label_components(rows, ["grp"])
+    return pixels.component_boxes(labelled, ["grp"], 2).select("grp", "x", "y", "w", "h", "area")
+
+
+@query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x px, y py from box),
+  t as (select sheet, n, p, s, min(px) tx, min(py) ty, max(px) tx2, max(py) ty2 from q join m using (sheet) where px >= x and px < x + w and py >= y and py < y + h and sheet % 2 = 0 group by all)
+  select sheet, n, p, s, coalesce(tx, x) x, coalesce(ty, y) y, coalesce(tx2 - tx + 1, w) w, coalesce(ty2 - ty + 1, h) h from q left join t using (sheet, n, p, s)""")
+def tighten(spark, sf_dir):
+    own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
+    points = boxes(spark, sf_dir).where("sheet % 2 = 0").select("sheet", "x", "y")
+    return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
+
+
+@query("select p_partkey, greatest(3, p_size + case when p_size % 2 = 0 then 1 else 0 end) kernel, greatest(1, least(12, case when p_size // 4 = 0 then 1 else p_size // 4 end, case when (p_size + 9) // 4 = 0 then 1 else (p_size + 9) // 4 end)) band from part")
+def kernel_sizes(spark, sf_dir):
+    band = pixels.border_band(c("p_size") + 9, c("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", pixels.kernel_size(c("p_size")).alias("kernel"), band.cast("int").alias("band"))
+
+
+# ---- names -------------------------------------------------------------------------------------
+
+SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"select doc_id, {SLUG.format('text')} slug from documents")
+def slug_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", naming.slugify(c("text")).alias("slug"))
+
+
+@query(f"with k as (select p_partkey, coalesce(nullif({SLUG.format('p_name')}, ''), printf('icon-%03d', p_partkey)) k from part) select p_partkey, case when i = 1 then k else printf('%s-%02d', k, i) end stem from (select *, row_number() over (partition by k order by p_partkey) i from k)")
+def dedupe_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.lit(1).alias("run"), "p_partkey", "p_name")
+    return naming.name_icons(rows, run=["run"], index="p_partkey", label=c("p_name")).select("p_partkey", "stem")
+
+
+def _fallback_sql(text: str, source: str) -> str:
+    lead = " ".join(f"when starts_with(l, '{x}') then trim(substr(l, {len(x) + 1}), w)" for x in naming.LEAD_INS)
+    stop = " ".join(f"when instr(l, '{x}') > 1 then left(l, instr(l, '{x}') - 1)" for x in naming.STOPS)
+    return f"""ws as (select chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) w), l0 as (select s.*, w, trim(trim(trim(lower(trim(regexp_split_to_array(trim(coalesce({text}, ''), w), '[\\n\\r\\v\\f]')[1], w)), '"'), ''''), w) l from {source} s, ws),
+      l1 as (select * replace (case {lead} else l end as l) from l0), l2 as (select * replace (case {stop} else l end as l) from l1),
+      l3 as (select *, trim(left(array_to_string(list_filter(regexp_split_to_array(replace(l, '-', ' '), '\\s+'), lambda x: x <> '')[1:4], '-'), 60), '-') label from l2)"""
+
+
+SPOKEN = ("This is an image of a red heart, drawn", "the icon shows a magnifier glass that is big", "an image of", "It appears to be a light-bulb; yellow", '"folder"\nsecond line', "a - b", ". . .", "")
+
+
+@query(f"with src as (select doc_id id, text from documents union all select * from (values {', '.join(f'''({-1 - i}, '{t}')''' for i, t in enumerate(SPOKEN))}) v(id, text)), {_fallback_sql('text', 'src')} select id, label from l3")
+def fallback_label(spark, sf_dir):
+    spoken = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(SPOKEN)], "id long, text string")
+    rows = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text").union(spoken)
+    return naming.fallback_label(rows, c("text")).select("id", "label")
+
+
+@query("""select event_id, replace(trim(lower(event_type)), ' ', '-') label, [lower(event_type)] tags, case when event_id % 3 = 0 then null else greatest(0.0, least(1.0, value / 50.0))::double end confidence from events""")
+def semantic_parse(spark, sf_dir):
+    """Answers made of the events: prose, an object, prose; every third without a confidence."""
+    confidence = F.when(c("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(', "confidence": '), (c("value") / 50.0).cast("string")))
+    answer = F.concat(F.lit('Sure: {"Label": "'), F.upper("event_type"), F.lit('", "tags": ["'), c("event_type"), F.lit(' ", ""]'), confidence, F.lit("} done"))
+    rows = table(spark, sf_dir, "events").select("event_id", answer.alias("answer"))
+    return naming.parse_answer(rows, "answer").select("event_id", "label", "tags", "confidence")
+
+
+LOCAL = ("http://127.0.0.1:8080", "http://LOCALHOST:11434/x", "http://[::1]:8080", "http://8.8.8.8:8080", "127.0.0.1:8080", "")
+
+
+@query(f"with u as (select page_id id, url from pages union all select * from (values {', '.join(f'''({-1 - i}, '{u}')''' for i, u in enumerate(LOCAL))}) v(id, url)) select id, lower(regexp_extract(url, '^[a-zA-Z]+://\\[?([^/\\]]*?)\\]?(:[0-9]+)?(/.*)?$', 1)) in ('localhost', '127.0.0.1', '::1') local from u")
+def local_url(spark, sf_dir):
+    extra = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(LOCAL)], "id long, url string")
+    rows = table(spark, sf_dir, "pages").select(c("page_id").alias("id"), "url").union(extra)
+    return rows.select("id", naming.is_local_url(c("url")).alias("local"))
+
+
+ENDINGS = (".PNG", ".jpg", ".jpeg", ".tif", ".webp", ".gif", ".unknown", "")
+
+
+@query(f"with p as (select p_partkey, 'icons/' || p_name || ([{', '.join(repr(e) for e in ENDINGS)}])[p_partkey % 8 + 1] path from part) select p_partkey, case lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) when '.jpg' then 'image/jpeg' when '.jpeg' then 'image/jpeg' when '.tif' then 'image/tiff' when '.tiff' then 'image/tiff' when '.webp' then 'image/webp' when '.gif' then 'image/gif' else 'image/png' end mime from p")
+def mime_by_suffix(spark, sf_dir):
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), (c("p_partkey") % 8).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", naming.mime_by_suffix(F.concat(F.lit("icons/"), c("p_name"), ending)).alias("mime"))
+
+
+@query(f"select p_partkey, 'out/png/' || {SLUG.format('p_name')} || '.png' path, 'out/png/' || {SLUG.format('p_name')} || '.png' preview from part")
+def rename_outputs(spark, sf_dir):
+    outputs = F.create_map(F.lit("png"), F.concat(F.lit("out/png/icon_"), c("p_partkey").cast("string"), F.lit(".PNG")))
+    renamed = naming.rename_outputs(outputs, naming.slugify(c("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", renamed["png"].alias("path"), naming.preview_of(renamed, F.lit(None)).alias("preview"))
+
+
+# ---- catalogue and settings --------------------------------------------------------------------
+
+RAW = ("Qwen3-VL-8B-Q4.gguf", "qwen2.5vl:3b", "MiniCPM-V:latest", "moondream2.gguf", "llava-v1.6.gguf", "random-model", "")
+NAMED = f"nm as (select p_partkey, ([{', '.join(repr(r) for r in RAW)}])[p_partkey % 7 + 1] || '' nm from part)"
+KNOWN = "known as (select * from (values " + ", ".join(f"({o}, '{k}', {p}, '{t}')" for o, k, _, p, t, *_ in catalog.MODELS) + ") v(ord, key, priority, tag)), al as (select distinct ord, key, priority, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') alias from (select ord, key, priority, unnest([key, replace(key, '-', ''), split_part(tag, ':', 1)]) a from known) where a <> '')"
+
+
+@query(f"with {NAMED}, {KNOWN} select p_partkey, (select min_by(key, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) key, coalesce((select min_by(priority, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)), 500) priority, exists (select 1 from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) vision from nm")
+def catalog_match(spark, sf_dir):
+    raw = F.get(F.array(*map(F.lit, RAW)), (c("p_partkey") % 7).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("name"))
+    return catalog.match_catalogue(rows, catalog.aliases(catalog.catalogue(spark)), "name").select("p_partkey", "key", "priority", "vision")
+
+
+@query("select p_brand, p_name || '#' || p_partkey best from (select *, row_number() over (partition by p_brand order by p_size >= 40, p_size, lower(p_name || '#' || p_partkey)) i from part) where i = 1")
+def best_model(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.lit("#"), c("p_partkey").cast("string")).alias("name"), (c("p_size") < 40).alias("vision"), c("p_size").alias("priority"))
+    return catalog.best_model(rows, ["p_brand"], "name", "name")
+
+
+@query("select s_nationkey nation, s_suppkey id, 'downloaded' origin from supplier where s_suppkey % 3 = 0 union all select c_nationkey, c_custkey, 'cache' from (select *, row_number() over (partition by c_nationkey order by c_custkey) i from customer) where i = 1 and c_nationkey not in (select s_nationkey from supplier where s_suppkey % 3 = 0)")
+def startable_union(spark, sf_dir):
+    down = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(c("s_nationkey").alias("nation"), c("s_suppkey").alias("id"))
+    cached = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("nation"), c("c_custkey").alias("id"))
+    return catalog.startable(down, catalog.first_of_key(cached, ["nation"], ["id"]), "nation").select("nation", "id", "origin")
+
+
+@query("select p_partkey from part where p_brand || ':' || p_size <> '' and p_brand in (select p_brand from part where p_size = 7 and p_partkey % 4 = 0)")
+def tag_presence(spark, sf_dir):
+    tags = table(spark, sf_dir, "part").withColumn("tag", F.concat("p_brand", F.lit(":"), c("p_size").cast("string")))
+    return catalog.present_tags(tags, tags.where("p_size = 7 and p_partkey % 4 = 0").select("tag"), "tag").select("p_partkey")
+
+
+CATALOGUE = "m as (select * from (values " + ", ".join(f"('{k}', '{d}', '{t}', {og}::double, {lg}::double, {str(inst).lower()})" for _, k, d, _, t, og, _, _, lg, inst in catalog.MODELS) + ") v(key, display_name, tag, og, lg, inst))"
+
+
+@query(f"""with {CATALOGUE}, st as (select n_nationkey, n_nationkey % 2 = 0 o, n_nationkey % 3 > 0 l from nation), cd as (select n_nationkey, key, display_name, 'ollama' backend, og gb, inst and o sel from m, st where o and tag <> '' union all select n_nationkey, key, display_name, 'llamacpp', lg, inst and not o from m, st where l)
+  select n_nationkey, key, backend, sel default_selected, display_name || ' · ' || case backend when 'ollama' then 'Ollama' else 'llama.cpp' end || ' · ~' || case when gb > 0 then printf('%.1f GB', gb) else 'small' end || ' download' label from cd""")
+def candidates(spark, sf_dir):
+    states = table(spark, sf_dir, "nation").select("n_nationkey", (c("n_nationkey") % 2 == 0).alias("o"), (c("n_nationkey") % 3 > 0).alias("l"))
+    rows = catalog.candidates(states.crossJoin(F.broadcast(catalog.catalogue(spark))), c("o"), c("l"))
+    return rows.select("n_nationkey", "key", "backend", "default_selected", catalog.candidate_label(c("display_name"), c("backend"), c("approx_gb"), F.lit(False)).alias("label"))
+
+
+PRESET = "pr as (select * from (values " + ", ".join(f"('{n}', {a}, {b}, {g})" for n, (a, b, g) in settings.PRESETS.items()) + ") v(preset, p, a, g))"
+
+
+@query(f"with {PRESET}, r as (select o_orderkey run, case o_orderkey % 5 when 0 then 'Balanced' when 1 then 'Tiny Details' when 2 then 'Loose Sketches' when 3 then 'Bold Shapes' end preset, case when o_custkey % 7 = 0 then 99 end f, case when o_custkey % 2 = 0 then 33 end k from orders) select run, coalesce(f, p, k, 12) padding, coalesce(a, 200) min_area, coalesce(g, k, 13) merge_gap from r left join pr using (preset)")
+def settings_overlay(spark, sf_dir):
+    k = c("o_orderkey") % 5
+    preset = F.when(k == 0, "Balanced").when(k == 1, "Tiny Details").when(k == 2, "Loose Sketches").when(k == 3, "Bold Shapes")
+    none = F.lit(None).cast("int")
+    runs = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("run"), preset.alias("preset"), F.when(c("o_custkey") % 7 == 0, 99).alias("flag_padding"), none.alias("flag_min_area"), none.alias("flag_merge_gap"), F.when(c("o_custkey") % 2 == 0, 33).alias("config_padding"), none.alias("config_min_area"), F.when(c("o_custkey") % 2 == 0, 33).alias("config_merge_gap"))
+    return settings.overlay(runs, settings.presets(spark)).select("run", "padding", "min_area", "merge_gap")
+
+
+@query(f"with {PRESET}, r as (select p_partkey, case when p_size % 2 = 0 then 12 else 8 end p, case when p_size % 3 = 0 then 70 else 200 end a, case when p_size % 2 = 0 then 13 else 9 end g from part) select p_partkey, coalesce(preset, 'Balanced') preset_name from r left join pr using (p, a, g)")
+def preset_name(spark, sf_dir):
+    even = c("p_size") % 2 == 0
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(even, 12).otherwise(8).alias("padding"), F.when(c("p_size") % 3 == 0, 70).otherwise(200).alias("min_area"), F.when(even, 13).otherwise(9).alias("merge_gap"))
+    return settings.preset_name(rows, settings.presets(spark)).select("p_partkey", "preset_name")
+
+
+@query("select event_id, case when user_id % 10 <= 0 then 0.0 else greatest(0.0, least(1.0, (value / 10.0) / (user_id % 10))) end::double fraction from events")
+def progress_fraction(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", settings.progress_fraction(c("value") / 10.0, c("user_id") % 10).alias("fraction"))
+
+
+@query("select n_nationkey, case when n_nationkey % 3 = 0 then true when n_nationkey % 2 = 0 then false else n_nationkey % 5 > 0 end ok, case when n_nationkey % 3 = 0 then 'no model needed' when n_nationkey % 2 = 0 then 'url not local' when n_nationkey % 5 = 0 then 'not reachable' else 'ready' end reason from nation")
+def preflight(spark, sf_dir):
+    k = c("n_nationkey")
+    provider = F.when(k % 3 == 0, "geometry").otherwise("ollama")
+    row = catalog.preflight(provider, k % 2 != 0, k % 5 > 0, F.lit("llava:7b"), F.lit(True), F.lit(True), F.lit(True), F.array(F.lit("vision")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", row["ok"].alias("ok"), row["reason"].alias("reason"))
+
+
+@query(f"with {PLACED}, nm as (select *, row_number() over (partition by sheet order by y + h / 2.0, x, n, p, s, e) i from pl) select sheet, cast(i as int) icon_index, printf('icon_%03d', i) label, printf('group-%03d', i) group_id, [x, y, w, h] source_bounds, [512, 512] canvas_size, 'classical_cv' pipeline, map {{'png': 'png/' || printf('icon_%03d', i) || '.png'}}['png'] png from nm")
+def metadata_rows(spark, sf_dir):
+    from glyphmill.sources import sinks
+
+    icons = icon_manifest(spark, sf_dir).withColumns({"source_bounds": F.array("x", "y", "w", "h"), "source_size": F.array("w", "h"), "canvas_size": F.array(F.lit(CANVAS), F.lit(CANVAS)), "outputs": F.create_map(F.lit("png"), F.concat(F.lit("png/"), c("stem"), F.lit(".png")))})
+    rows = sinks.metadata(icons, provider="geometry", naming=False)
+    return rows.select("sheet", "icon_index", c("meta.label").alias("label"), c("meta.group_id").alias("group_id"), c("meta.source_bounds").alias("source_bounds"), c("meta.canvas_size").alias("canvas_size"), c("meta.pipeline").alias("pipeline"), c("meta.formats")["png"].alias("png"))
