@@ -220,7 +220,7 @@ def erode(spark, sf_dir):
 @query()
 def components(spark, sf_dir):
     """Boxes of connected pixels of a sparse grid, by sheet."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.expr("cast(l_partkey % 97 as int)").alias("x"), F.expr("cast(l_suppkey * 7 % 89 as int)").alias("y"), c("l_returnflag").alias("grp"))
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 and l_quantity > 45").select(F.expr("cast(l_partkey % 97 as int)").alias("x"), F.expr("cast(l_suppkey * 7 % 89 as int)").alias("y"), c("l_returnflag").alias("grp"))
     labelled = pixels.label_components(rows, ["grp"])
     return pixels.component_boxes(labelled, ["grp"], 2).select("grp", "x", "y", "w", "h", "area")
 
