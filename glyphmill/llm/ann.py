@@ -125,7 +125,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "key": [], "score": []})
+            return pd.DataFrame({"query": pd.Series([], dtype=object), "key": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         x, q = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
         ids = left["least"].fillna(np.iinfo(np.int64).max).astype(np.int64).to_numpy()
         scores, who = nearest_in_shard(x, ids, q, min(k + 1, len(x)), square=square, factor=factor, leaf=leaf, seed=seed)

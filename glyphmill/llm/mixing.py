@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import written
+
 LEVELS = ("domain", "lang", "source")
+#: Leaves, of some tens of bytes each, up to which the tree is broadcast; beyond, it is joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def _weight(level: str, weights: dict[str, float], default: float) -> Column:
@@ -94,14 +98,16 @@ def mix(
     plan = leaf_budgets(leaves, budget=budget, weights=weights, default=default, max_epochs=max_epochs)
     whole = F.when(F.col("n_tokens") > 0, F.floor(F.col("leaf_budget") / F.col("n_tokens"))).otherwise(F.lit(0))
     plan = plan.withColumn("epochs", whole.cast("int")).select(*LEVELS, "epochs", (F.col("leaf_budget") - F.col("epochs") * F.col("n_tokens")).alias("rest"))
-    # the tree is planned once, not once for each of its uses below
-    placed = rows.join(plan, list(LEVELS)).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce("_id", F.lit("")))))
+    # the tree is planned once, not once for each of its uses below; it is broadcast if it is small
+    plan = written(plan, "plan")
+    small = plan.count() <= MOST_BROADCAST
+    placed = rows.join(F.broadcast(plan) if small else plan, list(LEVELS)).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce("_id", F.lit("")))))
     placed = placed.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
     ranges = placed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("range"))
     crossed = ranges.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
     ends = crossed.select(*LEVELS, F.col("end.range").alias("end_range"), F.col("end.before").alias("before"))
-    placed = placed.join(ends, list(LEVELS), "left")
+    placed = placed.join(F.broadcast(ends) if small else ends, list(LEVELS), "left")
     out = [F.col(f"_row.{c}").alias(c) for c in kept]
     out += [F.col(c).alias(f"_{c}" if c in kept else c) for c in LEVELS] + [F.col("n_tokens").alias("_n_tokens" if "n_tokens" in kept else "n_tokens")]
     clear = placed.where(F.col("end_range").isNull() | (F.col("range") != F.col("end_range")))

@@ -152,6 +152,8 @@ _DOT_BRACKETED = re.compile(rf"(?i){_OPEN}(?:{_DOT_NAMES}|\.){_CLOSE}")
 _MARKED = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:[_-]+(at|arroba)[_-]+|[_-]+(?:{_DOT_NAMES})[_-]+)(?=[A-Za-z0-9])")
 _BARE_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ ]+(?:{_DOT_NAMES})[ ]+[A-Za-z0-9_%+-]+)*(?:[ ]+(?:at|arroba)[ ]+|[ ]*@[ ]*)[A-Za-z0-9-]+(?:(?:[ ]+(?:{_DOT_NAMES})[ ]+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9])")
 _BARE_PART = re.compile(rf"(?i)[ ]+(?:(at|arroba)|(?:{_DOT_NAMES}))[ ]+|[ ]*(@)[ ]*")
+#: Endings that a domain spelled in bare words must have; prose has "at" and "dot" too.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv eu us uk ca au nz de at ch fr be nl lu es pt it mx ar br cl pl cz se no dk fi ie in jp cn kr ru tr za example test invalid local".split())
 _BARE_DOT = re.compile(rf"(?i)[ ](?:{_DOT_NAMES})[ ]")
 _SPACED_AT = re.compile(r"[A-Za-z0-9][ ]+@[ ]*[A-Za-z0-9]|[A-Za-z0-9]@[ ]+[A-Za-z0-9]")
 _DOTTED_NUMBER = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:[ ]+(?:{_DOT_NAMES})[ ]+[0-9]{{1,3}}|[ ]*\.[ ]*[0-9]{{1,3}}){{3}}(?![0-9])")
@@ -203,7 +205,10 @@ def normalised(text: str) -> Normal | None:
 
 
 def _plain_mail(m: re.Match) -> str | None:
-    """A bare "at" counts only where a bare "dot" follows it: "meet at example.com" is prose."""
+    """A bare "at" counts only where a bare "dot" follows it ("meet at example.com" is prose), and bare words only if
+    they end as a domain does."""
+    if re.split(r"[ .]", m[0])[-1].lower() not in _ENDINGS:
+        return None
     at = re.search(r"(?i)[ ](?:at|arroba)[ ]", m[0])
     if at and not _BARE_DOT.search(m[0], at.end() - 1):
         return None

@@ -16,6 +16,7 @@ from glyphmill.llm.common import batches, per_text, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
+BUCKETS, SMOOTHING = 1 << 15, 4.0
 
 
 def features(text: str, buckets: int) -> np.ndarray:
@@ -43,20 +44,23 @@ class Model:
 
 
 def labelled_sample(labels: DataFrame, most: int, id_col: str, label_col: str) -> DataFrame:
-    """At most ``most`` labelled rows, chosen by a hash of the id: (_id, _label)."""
+    """At most ``most`` labelled rows, chosen by a hash of the id: (_id, _label, _fit). Three quarters fit the target model."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    return rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return chosen.withColumn("_fit", F.pmod(F.xxhash64(F.lit(4), F.col("_id")), F.lit(4)) > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 16, most_labelled: int = 20_000) -> Model:
-    """The raw model counts every text of ``docs``; the target model counts texts labelled 1.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_labelled: int = 20_000) -> Model:
+    """The raw model counts every text of ``docs``; the target model counts texts labelled 1. The cut is set on
+    labelled texts that the target model hasn't seen.
 
     ``most_labelled`` bounds the labelled rows in use, and so the broadcast of their ids. Each task
     sends on the buckets' counts, never texts or n-grams. Without labelled rows every weight is zero
     and every document is kept.
     """
     sample = written(labelled_sample(labels, most_labelled, id_col, label_col), "labelled")
-    marked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id", "left")
+    fitted = F.broadcast(sample.where("_fit").select("_id", "_label"))
+    marked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(fitted, "_id", "left")
 
     def count(stream):
         raw, good = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -74,9 +78,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["good"]
     p_raw = (raw + 0.1) / (raw + 0.1).sum()
-    strength = 0.1 * buckets  # the target model leans on the raw one where its few texts say nothing
+    strength = SMOOTHING * buckets  # the target model leans on the raw one where its few texts say nothing
     p_good = (good + strength * p_raw) / (good.sum() + strength)
     model = Model(buckets, np.log(p_good) - np.log(p_raw), -math.inf)
+    sample = sample.where("not _fit").select("_id", "_label")
     scored = score(docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.col(id_col), F.col(text_col), "_label"), model, id_col=id_col, text_col=text_col, keep=("_label",)).select("_label", "log_ratio", "n_features").toPandas()
     scored = scored[scored["n_features"] > 0]
     if scored["_label"].nunique() == 2:
@@ -112,7 +117,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return per_text(docs, id_col, text_col, start, "n_features long, log_ratio double", keep)
 
 
-def gumbel_keys(scored: DataFrame, *, id_col: str = "doc_id", sharpness: float = 100.0, seed: int = 7) -> DataFrame:
+def gumbel_keys(scored: DataFrame, *, id_col: str = "doc_id", sharpness: float = 300.0, seed: int = 7) -> DataFrame:
     """Adds gumbel_key: sharpness * log_ratio plus Gumbel noise drawn by a hash of the id, so that the k greatest
     keys are a sample without replacement in proportion to the importance weights."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -148,7 +153,7 @@ def kth_greatest(df: DataFrame, col: str, k: int) -> float:
     return lo
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 16, most_labelled: int = 20_000, sharpness: float = 100.0, seed: int = 7) -> tuple[DataFrame, Model, float]:
+def importance_resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_labelled: int = 20_000, sharpness: float = 300.0, seed: int = 7) -> tuple[DataFrame, Model, float]:
     """Scores of all documents with their decision, the model and the key at the cut.
 
     Columns: id, n_features, log_ratio, gumbel_key, selected. ``k`` documents are selected, the
@@ -165,7 +170,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, k: int | None = N
     return keyed.withColumn("selected", (F.col("n_features") > 0) & (F.col("gumbel_key") >= F.lit(least))), model, least
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 100.0, seed: int = 7, **options) -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 300.0, seed: int = 7, **options) -> DataFrame:
     """The rows of ``docs`` that resampling selects, all columns as they were. Texts are scored again where they
     lie, so that none is shuffled."""
     _, model, least = importance_resample(docs, labels, id_col=id_col, text_col=text_col, sharpness=sharpness, seed=seed, **options)
