@@ -82,7 +82,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: How far the triangle inequality is relaxed; measured recall is in the README.
-ANN_FACTOR = 2.0
+ANN_FACTOR = 1.2
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
