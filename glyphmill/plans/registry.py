@@ -392,3 +392,80 @@ def metadata_rows(spark, sf_dir):
     icons = icon_manifest(spark, sf_dir).withColumns({"source_bounds": F.array("x", "y", "w", "h"), "source_size": F.array("w", "h"), "canvas_size": F.array(F.lit(CANVAS), F.lit(CANVAS)), "outputs": F.create_map(F.lit("png"), F.concat(F.lit("png/"), c("stem"), F.lit(".png")))})
     rows = sinks.metadata(icons, provider="geometry", naming=False)
     return rows.select("sheet", "icon_index", c("meta.label").alias("label"), c("meta.group_id").alias("group_id"), c("meta.source_bounds").alias("source_bounds"), c("meta.canvas_size").alias("canvas_size"), c("meta.pipeline").alias("pipeline"), c("meta.formats")["png"].alias("png"))
+
+
+# ---- listings and feeds ------------------------------------------------------------------------
+
+
+@query(r"with l as (select p_partkey, case p_partkey % 5 when 0 then 'NAME  ID' when 1 then '' when 2 then p_brand || ':cloud  x' else '  ' || p_brand || ':' || p_size || '  abc' end line from part), n as (select p_partkey, split_part(trim(line), ' ', 1) name from l) select * from n where name <> '' and lower(name) <> 'name' and not ends_with(name, ':cloud')")
+def model_listing(spark, sf_dir):
+    k = c("p_partkey") % 5
+    line = F.when(k == 0, "NAME  ID").when(k == 1, "").when(k == 2, F.concat("p_brand", F.lit(":cloud  x"))).otherwise(F.concat(F.lit("  "), "p_brand", F.lit(":"), c("p_size").cast("string"), F.lit("  abc")))
+    return catalog.listing_names(table(spark, sf_dir, "part").withColumn("line", line), "line").select("p_partkey", "name")
+
+
+@query(r"with l as (select p_partkey, case when p_partkey % 3 = 0 then 'cached models: ' || p_size else '  ' || p_size || '. ' || p_brand || ':Q4 ' end line from part), r as (select p_partkey, regexp_extract(line, '^\s*\d+\.\s+(\S+)\s*$', 1) ref from l) select * from r where ref <> ''")
+def cache_listing(spark, sf_dir):
+    size = c("p_size").cast("string")
+    line = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit("cached models: "), size)).otherwise(F.concat(F.lit("  "), size, F.lit(". "), "p_brand", F.lit(":Q4 ")))
+    return catalog.cache_refs(table(spark, sf_dir, "part").withColumn("line", line), "line").select("p_partkey", "ref")
+
+
+@query("""with j as (select c_custkey, '{"data":[{"id":"' || c_name || '"},{"id":""},3,{"model":"m' || c_nationkey || '"}]}' j from customer), e as (select c_custkey, unnest(json_extract(j, '$.data[*]')) e from j) select c_custkey, coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) name from e where coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) is not null""")
+def served_models(spark, sf_dir):
+    payload = F.concat(F.lit('{"data":[{"id":"'), "c_name", F.lit('"},{"id":""},3,{"model":"m'), c("c_nationkey").cast("string"), F.lit('"}]}'))
+    return catalog.served_models(table(spark, sf_dir, "customer").withColumn("j", payload), "j").select("c_custkey", "name")
+
+
+@query("select c_custkey, case c_custkey % 3 when 0 then '' when 1 then c_name else c_mktsegment || ' ' || c_name end answer from customer")
+def chat_text(spark, sf_dir):
+    text = F.concat(F.lit('{"choices":[{"message":{"content":"'), "c_name", F.lit('"}}]}'))
+    parts = F.concat(F.lit('{"choices":[{"message":{"content":[{"text":"'), "c_mktsegment", F.lit('"},{"type":"image"},{"text":"'), "c_name", F.lit('"}]}}]}'))
+    k = c("c_custkey") % 3
+    return table(spark, sf_dir, "customer").select("c_custkey", naming.chat_text(F.when(k == 0, '{"choices":[]}').when(k == 1, text).otherwise(parts)).alias("answer"))
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model repositories: an order is one, its line items are files."""
+    part, k = c("l_partkey").cast("string"), c("l_linenumber") % 4
+    named = lambda end: F.concat(F.lit("m-"), part, F.lit(end))
+    file = F.when(k == 0, F.concat(F.lit("mmproj-m"), part, F.lit(".gguf"))).when(k == 1, "README.md").when(k == 2, named("-Q4_K_M.gguf")).otherwise(named("-Q8_0.gguf"))
+    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("repo"), (c("l_partkey") * 10 + c("l_linenumber")).alias("ord"), file.alias("file"))
+
+
+FILES = """f as (select l_orderkey repo, l_partkey * 10 + l_linenumber ord, case l_linenumber % 4 when 0 then 'mmproj-m' || l_partkey || '.gguf' when 1 then 'README.md' when 2 then 'm-' || l_partkey || '-Q4_K_M.gguf' else 'm-' || l_partkey || '-Q8_0.gguf' end file from lineitem),
+  g as (select *, contains(file, 'mmproj') p from f where ends_with(file, '.gguf'))"""
+
+
+@query(f"with {FILES} select repo, coalesce(min_by(file, ord) filter (not p and contains(lower(file), 'q4_k_m')), min_by(file, printf('%05d', length(file)) || lower(file)) filter (not p)) weights, min_by(file, ord) filter (p) projector from g group by repo")
+def repository_files(spark, sf_dir):
+    return catalog.weights_and_projector(repo_files(spark, sf_dir), ["repo"], "file", "ord", F.lit("Q4_K_M"))
+
+
+@query(f"with {FILES} select repo from g group by repo having bool_or(p) and bool_or(not p)")
+def model_pairs(spark, sf_dir):
+    return catalog.complete_pairs(repo_files(spark, sf_dir), ["repo"], "file")
+
+
+@query("select event_type status, case when event_id % 4 = 3 then user_id else 0 end completed, case when event_id % 4 = 3 then user_id * 2 else 0 end total from events where event_id % 4 >= 2")
+def pull_feed(spark, sf_dir):
+    from glyphmill.sources import readers
+
+    k, user = c("event_id") % 4, c("user_id").cast("string")
+    head = F.concat(F.lit('{"status":"'), "event_type", F.lit('"'))
+    line = F.when(k == 0, " ").when(k == 1, "{broken").when(k == 2, F.concat(head, F.lit("}"))).otherwise(F.concat(head, F.lit(',"completed":'), user, F.lit(',"total":'), (c("user_id") * 2).cast("string"), F.lit("}")))
+    return readers.pull_events(table(spark, sf_dir, "events").select(line.alias("line")), "line")
+
+
+@query("select doc_id, md5('data:' || case doc_id % 3 when 0 then 'image/png' when 1 then 'image/jpeg' else 'image/webp' end || ';base64,' || base64(encode(coalesce(text, '')))) uri_md5 from documents")
+def data_uri(spark, sf_dir):
+    k = c("doc_id") % 3
+    path = F.when(k == 0, "a/x.unknown").when(k == 1, "a/x.JPG").otherwise("a.b/x.webp")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(naming.data_uri(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), path)).alias("uri_md5"))
+
+
+@query("select marked, not bool_or(n_nationkey % 5 = 9) and not marked needed from nation, (values (true), (false)) m(marked) group by marked")
+def first_run(spark, sf_dir):
+    models = table(spark, sf_dir, "nation").select((c("n_nationkey") % 5 == 9).alias("vision"))
+    gate = lambda marked: catalog.first_run_needed(models, marked).withColumn("marked", F.lit(marked))
+    return gate(True).unionByName(gate(False))

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from glyphmill.operators import catalog, geometry, naming, pixels, raster, settings
+from glyphmill.operators import catalog, geometry, labelling, naming, pixels, raster, settings
 from glyphmill.plans import registry
 from glyphmill.sources import readers, sinks
+from glyphmill.streaming import progress
 
 
 def test_entry_runs(spark):
@@ -147,3 +148,45 @@ def test_svg_text(spark):
     assert got[0] == '<svg a="1"><metadata>{"a":"&lt;"}</metadata><g/></svg>'
     assert got[1] == '<path transform="translate(3 4) scale(2)" d=""/>' and got[2] == '<rect transform="translate(3 4)"/>'
     assert "\r" not in got[3] and got[3].startswith("<svg")
+
+
+def test_progress_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    for i, text in enumerate(['{"status":"x","completed":50,"total":100}\n\nbroken\n', '{"status":"y"}\n']):
+        (tmp_path / "in" / f"{i}.json").write_text(text)
+        progress.write_progress(progress.progress(spark, str(tmp_path / "in")), out, marks).awaitTermination(60)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("status", "completed", "total", "fraction").collect())
+    assert got == [("x", 50, 100, 0.5), ("y", 0, 0, 0.0)]
+
+
+def test_answers_are_asked_again(spark):
+    tries = []
+
+    def fails(error, times):
+        def ask():
+            tries.append(error)
+            if len(tries) <= times:
+                raise error
+            return "ok"
+
+        tries.clear()
+        return ask
+
+    assert labelling.asked(fails(ConnectionError(), 2), (0, 0)) == "ok" and len(tries) == 3
+    for error, pauses, calls in ((TimeoutError(), (0,), 2), (ValueError(), (0, 0), 1)):
+        with pytest.raises(type(error)):
+            labelling.asked(fails(error, 9), pauses)
+        assert len(tries) == calls
+
+    def client():
+        def ask(picture, prompt):
+            if picture == b"bad":
+                raise ValueError("no picture")
+            return f"{prompt} {picture.decode()}"
+
+        return ask
+
+    rows = spark.createDataFrame([(1, b"key", "name"), (2, b"bad", "name"), (3, None, "name")], "i int, png binary, prompt string")
+    assert [r.answer for r in labelling.with_answers(rows, client, pauses=()).orderBy("i").collect()] == ["name key", None, None]
+    assert labelling.with_answers(rows.limit(0), client).count() == 0
