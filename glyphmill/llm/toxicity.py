@@ -224,7 +224,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1), predicted (score >= 0.5) and n_hits of every whole text; a null text is empty and scores
+    """id, score (0 to 1) and predicted (score >= 0.5) of every whole text; a null text is empty and scores
     as one without hits."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
