@@ -133,20 +133,22 @@ def guard_size(value: Column) -> Column:
     return F.greatest(F.lit(1), value.cast("int"))
 
 
-def assign_groups(points: DataFrame, groups: DataFrame, padding: int, *, point: str, group: str, cell: int = 256) -> DataFrame:
+def assign_groups(points: DataFrame, groups: DataFrame, padding: int, *, point: str, group: str, keys: tuple[str, ...] = (), cell: int = 256) -> DataFrame:
     """point, cx, cy -> adds the first group (least ``group``) whose box, padded, holds the point; null if none does.
 
-    Boxes and points meet in cells of a grid: a box is listed in every cell that it touches, a point in
-    its own, so the containment join is an equi-join with a residual, whatever the sizes of the two.
+    With ``keys`` (the sheet) only boxes of the point's own sheet count, and points and groups are told
+    apart within a sheet; a point of a null sheet has no group. Boxes and points meet in cells of a grid:
+    a box is listed in every cell that it touches, a point in its own, so the containment join is an
+    equi-join with a residual, whatever the sizes of the two.
     """
     at = lambda v: F.floor(v / cell).cast("long")
     span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
-    boxes = groups.select(group, (c("x") - padding).alias("x1"), (c("y") - padding).alias("y1"), (c("x") + c("w") + padding).alias("x2"), (c("y") + c("h") + padding).alias("y2"))
+    boxes = groups.select(*keys, group, (c("x") - padding).alias("x1"), (c("y") - padding).alias("y1"), (c("x") + c("w") + padding).alias("x2"), (c("y") + c("h") + padding).alias("y2"))
     boxes = boxes.withColumn("gx", span(c("x1"), c("x2"))).withColumn("gy", span(c("y1"), c("y2")))
     placed = points.withColumns({"gx": at(c("cx")), "gy": at(c("cy"))})
-    hit = placed.join(boxes, ["gx", "gy"]).where((c("cx") >= c("x1")) & (c("cx") <= c("x2")) & (c("cy") >= c("y1")) & (c("cy") <= c("y2")))
-    first = hit.groupBy(point).agg(F.min(group).alias(group))
-    return points.join(first, point, "left")
+    hit = placed.join(boxes, [*keys, "gx", "gy"]).where((c("cx") >= c("x1")) & (c("cx") <= c("x2")) & (c("cy") >= c("y1")) & (c("cy") <= c("y2")))
+    first = hit.groupBy(*keys, point).agg(F.min(group).alias(group))
+    return points.join(first, [*keys, point], "left")
 
 
 def with_singletons(assigned: DataFrame, *, point: str, group: str) -> DataFrame:

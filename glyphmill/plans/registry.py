@@ -136,6 +136,7 @@ GROUPS = f"""{BOXES}, grp as (select row_number() over (order by sheet, n, p, s)
 
 @query(f"with {GROUPS} select event_id, group_no, case when group_no is null then 's:' || event_id else 'g:' || group_no end group_key from pt left join hit using (event_id)")
 def group_assign(spark, sf_dir):
+    """As its SQL has it, boxes of the first sheets only; group_assign_sheets takes all."""
     from pyspark.sql import Window as W
 
     # a few hundred boxes, of the orders below 200
@@ -145,6 +146,20 @@ def group_assign(spark, sf_dir):
     return geometry.with_singletons(found, point="event_id", group="group_no").select("event_id", "group_no", "group_key")
 
 
+SHEET_GROUPS = f"""{BOXES}, pt as (select sheet, n, p, s, x + p % 60 - 20 cx, y + s % 50 - 10 cy from box),
+  hit as (select pt.sheet, pt.n, pt.p, pt.s, min([b.n, b.p, b.s]) g from pt join box b on b.sheet = pt.sheet and cx between b.x - 3 and b.x + b.w + 3 and cy between b.y - 3 and b.y + b.h + 3 group by all)"""
+
+
+@query(f"with {SHEET_GROUPS} select sheet, n, p, s, g[1] group_n, g[2] group_p, g[3] group_s, case when g is null then printf('s:{{%d, %d, %d}}', n, p, s) else printf('g:{{%d, %d, %d}}', g[1], g[2], g[3]) end group_key from pt left join hit using (sheet, n, p, s)")
+def group_assign_sheets(spark, sf_dir):
+    """A point near every box of every sheet, held against the boxes of its sheet; groups are told apart by n, p, s."""
+    own = boxes(spark, sf_dir)
+    groups = own.withColumn("first", F.struct("n", "p", "s"))
+    points = own.select("sheet", F.struct("n", "p", "s").alias("id"), (c("x") + c("p") % 60 - 20).alias("cx"), (c("y") + c("s") % 50 - 10).alias("cy"))
+    found = geometry.assign_groups(points, groups, 3, point="id", group="first", keys=("sheet",))
+    return geometry.with_singletons(found, point="id", group="first").select("sheet", "id.*", *[c(f"first.{k}").alias(f"group_{k}") for k in ("n", "p", "s")], "group_key")
+
+
 @query("select p_partkey, case when p_size % 4 = 0 then printf('shape_%04d', cast(row_number() over (partition by p_brand, p_size % 4 = 0 order by p_partkey) as int)) else p_name end elem_id from part")
 def auto_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(c("p_size") % 4 == 0, "").otherwise(c("p_name")).alias("elem_id"))

@@ -190,3 +190,21 @@ def test_answers_are_asked_again(spark):
     rows = spark.createDataFrame([(1, b"key", "name"), (2, b"bad", "name"), (3, None, "name")], "i int, png binary, prompt string")
     assert [r.answer for r in labelling.with_answers(rows, client, pauses=()).orderBy("i").collect()] == ["name key", None, None]
     assert labelling.with_answers(rows.limit(0), client).count() == 0
+
+
+def test_groups_stay_within_their_sheet(spark):
+    rng = random.Random(5)
+    boxes = [(k, i, rng.randrange(-300, 900), rng.randrange(-300, 900), rng.randrange(1, 700), rng.randrange(1, 700)) for k in (1, 150, 200, 9999, None) for i in range(8)]
+    points = [(k, i, rng.randrange(-300, 900), rng.randrange(-300, 900)) for k in (1, 150, 200, 9999, 5, None) for i in range(60)]
+    found = geometry.assign_groups(spark.createDataFrame(points, "sheet long, id int, cx int, cy int"), spark.createDataFrame(boxes, "sheet long, g int, x int, y int, w int, h int"), 3, point="id", group="g", keys=("sheet",))
+    got = {(r.sheet, r.id): r.g for r in found.collect()}
+    want = {(k, i): min((g for s, g, x, y, w, h in boxes if s == k and k is not None and x - 3 <= cx <= x + w + 3 and y - 3 <= cy <= y + h + 3), default=None) for k, i, cx, cy in points}
+    assert got == want and len({k for k, g in want.items() if g is not None}) > 50
+
+
+def test_groups_of_all_sheets(spark, sf_dir):
+    got = registry.QUERIES["group_assign_sheets"](spark, sf_dir)
+    every = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert got.count() == every.count()
+    grouped = got.where("group_n is not null").select("sheet").distinct()
+    assert grouped.where("sheet >= 200").count() > 0.5 * every.where("l_orderkey >= 200").select("l_orderkey").distinct().count()
