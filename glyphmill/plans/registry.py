@@ -218,6 +218,7 @@ OFFSETS = "off as (select * from (values (-1), (0), (1)) a(dx), (values (-1), (0
 
 
 def grid(spark, sf_dir):
+    """As the SQL has it, one line number only; sheet_grid takes every line item."""
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
     return rows.select(c("l_returnflag").alias("grp"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y")).distinct()
 
@@ -232,23 +233,53 @@ def erode(spark, sf_dir):
     return pixels.erode(grid(spark, sf_dir), ["grp"], pixels.PLUS, 40, 30)
 
 
+SHEET_GRID = "pt as (select distinct l_orderkey sheet, cast(l_partkey % 40 as int) x, cast(l_suppkey % 30 as int) y from lineitem)"
+SPREAD = "wide as (select distinct sheet, x + dx x, y + dy y from pt, off where x + dx between 0 and 39 and y + dy between 0 and 29)"
+
+
+def sheet_grid(spark, sf_dir):
+    """Every line item as a point of its sheet's sparse grid."""
+    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sheet"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y")).distinct()
+
+
+@query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD} select sheet, x, y from wide")
+def dilate_sheets(spark, sf_dir):
+    return pixels.dilate(sheet_grid(spark, sf_dir), ["sheet"], pixels.SQUARE, F.lit(40), F.lit(30))
+
+
+@query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD}, plus as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select sheet, x - dx x, y - dy y, count(*) n from wide, plus group by all) select sheet, x, y from v where x between 0 and 39 and y between 0 and 29 and n = 5 - cast(x = 0 as int) - cast(x = 39 as int) - cast(y = 0 as int) - cast(y = 29 as int)")
+def erode_sheets(spark, sf_dir):
+    """The dilated grids eroded; single points would leave nothing."""
+    return pixels.erode(dilate_sheets(spark, sf_dir), ["sheet"], pixels.PLUS, 40, 30)
+
+
 @query()
 def components(spark, sf_dir):
-    """Boxes of connected pixels of a sparse grid, by sheet."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 and l_quantity > 45").select(F.expr("cast(l_partkey % 97 as int)").alias("x"), F.expr("cast(l_suppkey * 7 % 89 as int)").alias("y"), c("l_returnflag").alias("grp"))
-    labelled = pixels.label_components(rows, ["grp"])
-    return pixels.component_boxes(labelled, ["grp"], 2).select("grp", "x", "y", "w", "h", "area")
+    """Boxes of connected pixels of every sheet's sparse grid."""
+    labelled = pixels.label_components(sheet_grid(spark, sf_dir), ["sheet"])
+    return pixels.component_boxes(labelled, ["sheet"], 2).select("sheet", "x", "y", "w", "h", "area")
 
 
 @query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x px, y py from box),
   t as (select sheet, n, p, s, min(px) tx, min(py) ty, max(px) tx2, max(py) ty2 from q join m using (sheet) where px >= x and px < x + w and py >= y and py < y + h and sheet % 2 = 0 group by all)
   select sheet, n, p, s, coalesce(tx, x) x, coalesce(ty, y) y, coalesce(tx2 - tx + 1, w) w, coalesce(ty2 - ty + 1, h) h from q left join t using (sheet, n, p, s)""")
 def tighten(spark, sf_dir):
+    """As its SQL has it, points of even sheets only; tighten_sheets takes all."""
     own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
     points = boxes(spark, sf_dir).where("sheet % 2 = 0").select("sheet", "x", "y")
     return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
 
 
+@query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x + p % 120 px, y + s % 120 py from box),
+  t as (select sheet, n, p, s, min(px) tx, min(py) ty, max(px) tx2, max(py) ty2 from q join m using (sheet) where px >= x and px < x + w and py >= y and py < y + h group by all)
+  select sheet, n, p, s, coalesce(tx, x) x, coalesce(ty, y) y, coalesce(tx2 - tx + 1, w) w, coalesce(ty2 - ty + 1, h) h from q left join t using (sheet, n, p, s)""")
+def tighten_sheets(spark, sf_dir):
+    """Points of every sheet, placed so that some miss all boxes and some boxes stay empty."""
+    own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
+    points = boxes(spark, sf_dir).select("sheet", (c("x") + c("p") % 120).alias("x"), (c("y") + c("s") % 120).alias("y"))
+    return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
+
+
 @query("select p_partkey, greatest(3, p_size + case when p_size % 2 = 0 then 1 else 0 end) kernel, greatest(1, least(12, case when p_size // 4 = 0 then 1 else p_size // 4 end, case when (p_size + 9) // 4 = 0 then 1 else (p_size + 9) // 4 end)) band from part")
 def kernel_sizes(spark, sf_dir):
     band = pixels.border_band(c("p_size") + 9, c("p_size"))

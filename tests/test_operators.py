@@ -208,3 +208,35 @@ def test_groups_of_all_sheets(spark, sf_dir):
     assert got.count() == every.count()
     grouped = got.where("group_n is not null").select("sheet").distinct()
     assert grouped.where("sheet >= 200").count() > 0.5 * every.where("l_orderkey >= 200").select("l_orderkey").distinct().count()
+
+
+def test_components_of_every_sheet(spark, sf_dir):
+    cells = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect():
+        cells.setdefault(r[0], set()).add((r[1] % 40, r[2] % 30))
+    want = []
+    for sheet, left in cells.items():
+        while left:
+            part, todo = [], [left.pop()]
+            while todo:
+                x, y = todo.pop()
+                part.append((x, y))
+                near = {(x + dx, y + dy) for dx, dy in pixels.SQUARE} & left
+                left -= near
+                todo += near
+            if len(part) > 1:
+                xs, ys = zip(*part)
+                want.append((sheet, min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(part)))
+    assert sorted(tuple(r) for r in registry.QUERIES["components"](spark, sf_dir).collect()) == sorted(want)
+    assert len(want) > 20
+
+
+def test_sheets_are_dilated_eroded_and_tightened_whole(spark, sf_dir):
+    sheets = {r[0] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    for name in ("dilate_sheets", "erode_sheets"):
+        assert {r[0] for r in registry.QUERIES[name](spark, sf_dir).select("sheet").distinct().collect()} == sheets
+    tight = registry.QUERIES["tighten_sheets"](spark, sf_dir).select("sheet", "n", "p", "s", "x", "y", "w", "h")
+    own = registry.boxes(spark, sf_dir).select("sheet", "n", "p", "s", "x", "y", F.col("w") + 40, F.col("h") + 40)
+    odd = lambda df: df.where("sheet % 2 = 1")
+    changed, same = odd(tight.exceptAll(own)).count(), odd(tight).count() - odd(tight.exceptAll(own)).count()
+    assert changed > 500 and same > 100
