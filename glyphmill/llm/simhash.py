@@ -88,18 +88,34 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     all null has a null component_id.
     """
     marked = written(fingerprints(df, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    groups = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    roots = components(links(groups.select("fp")))
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
+    rooted = _rooted(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
     lowest = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(groups: DataFrame) -> DataFrame:
+    """fp, root (the least linked fingerprint) and _least of rows with distinct fp."""
+    roots = components(links(groups.select("fp")))
+    return groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
+
+
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the least of its near-duplicate component; of rows that repeat such an id, one."""
-    found = written(near_duplicates(df, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), "kept")
-    ids = found.distinct().withColumnRenamed(id_col, "_kept")
-    out = df.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    return out.dropDuplicates([id_col]) if repeated else out
+    """One row of ``df`` for each near-duplicate component: of its least id (a null one comes last), and of several
+    texts with that id the one of the least hash.
+
+    A row is known by its id and the hash of its text, so neither null ids nor ids that stand on different
+    texts drag a row of another component along. Equal texts are in one component, hence a kept pair
+    names rows of that component only; of rows that repeat the pair, one stays.
+    """
+    text_hash = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("hash"))
+    marked = written(fingerprints(df.select(row.alias("_row"), text_col), id_col="_row", text_col=text_col), "fingerprints")
+    counted = marked.groupBy("fp", "_row").agg(F.count("*").alias("n"))
+    rooted = _rooted(counted.groupBy("fp").agg(F.min(F.struct("_row", "n")).alias("_least")))
+    found = written(rooted.groupBy("root").agg(F.min("_least").alias("_least")).select("_least.*"), "kept")
+    kept = found.select(F.col("_row.id").alias("_kept"), F.col("_row.hash").alias("_kept_hash"))
+    hashed = df.withColumn("_hash", text_hash)
+    out = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    repeated = found.where("n > 1").limit(1).count() > 0
+    return (out.dropDuplicates([id_col, "_hash"]) if repeated else out).drop("_hash")

@@ -155,6 +155,21 @@ def test_simhash_equals_brute_force(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == docs_frame(spark, many).columns
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(8)
+    one, two, three, four, five, six = (" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(80)) for _ in range(6))
+    rows = [
+        (None, one), (None, two), (None, two),  # null ids: a row of each text
+        (1, three), (1, four),  # one id on unrelated texts: both
+        (2, five), (9, five), (9, six),  # a copy (9) whose id also stands on a kept row: only the row of id 2, and the kept row
+        (None, three),  # copies go, null ids too
+        (12, None), (11, ""), (11, ""),  # null and empty texts are linked, a repeated row stays once
+    ]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, one), (None, two), (1, three), (1, four), (2, five), (9, six), (11, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_multi_index_finds_every_link(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
