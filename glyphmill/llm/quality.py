@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches, per_text, written
+from glyphmill.llm.common import batches, per_text, release, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
@@ -36,11 +36,13 @@ def features(text: str, buckets: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weights``: log p_target - log p_raw by bucket; ``cut``: the mean from which a labelled text rather belongs to the target."""
+    """``weights``: log p_target - log p_raw by bucket. ``bias`` and ``slope``: how likely a text belongs to the target,
+    as logistic(bias + slope * asinh(log_weight)); only the size of the target in the raw text is estimated by it."""
 
     buckets: int
     weights: np.ndarray
-    cut: float
+    bias: float = math.inf
+    slope: float = 0.0
 
 
 def labelled_sample(labels: DataFrame, most: int, id_col: str, label_col: str) -> DataFrame:
@@ -51,16 +53,16 @@ def labelled_sample(labels: DataFrame, most: int, id_col: str, label_col: str) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_labelled: int = 20_000) -> Model:
-    """The raw model counts every text of ``docs``; the target model counts texts labelled 1. The cut is set on
-    labelled texts that the target model hasn't seen.
+    """The raw model counts every text of ``docs``; the target model counts texts labelled 1. Bias and slope are
+    fitted on labelled texts that the target model hasn't seen.
 
     ``most_labelled`` bounds the labelled rows in use, and so the broadcast of their ids. Each task
-    sends on the buckets' counts, never texts or n-grams. Without labelled rows every weight is zero
-    and every document is kept.
+    sends on the buckets' counts, never texts or n-grams. Without labelled rows of both kinds every text
+    counts as belonging to the target.
     """
     sample = written(labelled_sample(labels, most_labelled, id_col, label_col), "labelled")
-    fitted = F.broadcast(sample.where("_fit").select("_id", "_label"))
-    marked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(fitted, "_id", "left")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    marked = texts.join(F.broadcast(sample.where("_fit").select("_id", "_label")), "_id", "left")
 
     def count(stream):
         raw, good = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -77,32 +79,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = sums.toPandas()  # one row a bucket at most
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["good"]
-    p_raw = (raw + 0.1) / (raw + 0.1).sum()
-    strength = SMOOTHING * buckets  # the target model leans on the raw one where its few texts say nothing
-    p_good = (good + strength * p_raw) / (good.sum() + strength)
-    model = Model(buckets, np.log(p_good) - np.log(p_raw), -math.inf)
-    sample = sample.where("not _fit").select("_id", "_label")
-    scored = score(docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.col(id_col), F.col(text_col), "_label"), model, id_col=id_col, text_col=text_col, keep=("_label",)).select("_label", "log_ratio", "n_features").toPandas()
-    scored = scored[scored["n_features"] > 0]
-    if scored["_label"].nunique() == 2:
-        model.cut = best_cut(scored["log_ratio"].to_numpy(), scored["_label"].to_numpy())
+    model = Model(buckets, log_ratios(raw, good))
+    unseen = score(texts.join(F.broadcast(sample.where("not _fit").select("_id", "_label")), "_id"), model, id_col="_id", text_col="_text", keep=("_label",))
+    seen = unseen.where("n_features > 0").select("_label", "log_weight").toPandas()
+    if seen["_label"].nunique() == 2:
+        model.bias, model.slope = logistic_fit(np.arcsinh(seen["log_weight"].to_numpy()), seen["_label"].to_numpy())
+    release(sample)
     return model
 
 
-def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the least weighted error, where losing a good text costs as much as keeping thirty bad ones."""
-    order = np.argsort(values, kind="stable")
-    v, good = values[order], labels[order] == 1
-    lost = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
-    kept_bad = 1 - np.concatenate([[0], np.cumsum(~good)]) / max(1, (~good).sum())
-    at = int(np.argmin(30 * lost + kept_bad))
-    if at == 0:
-        return -math.inf
-    return float(v[at - 1] + (v[at] - v[at - 1]) / 2) if at < len(v) else float(np.nextafter(v[-1], math.inf))
+def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw by bucket. The target model leans on the raw one where its few texts say nothing."""
+    p_raw = (raw + 0.1) / (raw + 0.1).sum()
+    strength = SMOOTHING * len(raw)
+    return np.log((good + strength * p_raw) / (good.sum() + strength)) - np.log(p_raw)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Bias and slope by Newton's method, with a light prior on the slope."""
+    a, b = np.column_stack([np.ones_like(x), x]), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        gradient = a.T @ (y - p) - np.array([0.0, 0.01]) * b
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-9, 0.01]), gradient)
+        b = b + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(b[0]), float(b[1])
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_features and log_ratio: the mean log importance weight of the whole text's n-grams (0 without any)."""
+    """id, n_features and log_weight: the log importance weight of the whole text, the sum over its n-grams of
+    log p_target - log p_raw (0 without any)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights))
 
     def start():
@@ -110,18 +118,26 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
         def work(text: str) -> tuple:
             f = features(text, buckets)
-            return len(f), float(weights[f].mean()) if len(f) else 0.0
+            return len(f), float(weights[f].sum()) if len(f) else 0.0
 
         return work
 
-    return per_text(docs, id_col, text_col, start, "n_features long, log_ratio double", keep)
+    return per_text(docs, id_col, text_col, start, "n_features long, log_weight double", keep)
 
 
-def gumbel_keys(scored: DataFrame, *, id_col: str = "doc_id", sharpness: float = 300.0, seed: int = 7) -> DataFrame:
-    """Adds gumbel_key: sharpness * log_ratio plus Gumbel noise drawn by a hash of the id, so that the k greatest
-    keys are a sample without replacement in proportion to the importance weights."""
+def gumbel_keys(scored: DataFrame, *, id_col: str = "doc_id", temperature: float = 1.0, seed: int = 7) -> DataFrame:
+    """Adds gumbel_key: log_weight over temperature plus Gumbel noise drawn by a hash of seed and id. The k greatest
+    keys are a sample without replacement in proportion to the importance weights (at temperature 1)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return scored.withColumn("gumbel_key", F.col("log_ratio") * F.lit(sharpness) - F.log(-F.log(u)))
+    return scored.withColumn("gumbel_key", F.col("log_weight") / F.lit(float(temperature)) - F.log(-F.log(u)))
+
+
+def target_size(scored: DataFrame, model: Model) -> int:
+    """The expected number of texts that belong to the target: the sum of their probabilities."""
+    if math.isinf(model.bias):
+        return scored.count()
+    p = 1 / (1 + F.exp(-(F.lit(model.bias) + F.lit(model.slope) * F.asinh("log_weight"))))
+    return round(scored.agg(F.sum(p)).first()[0] or 0.0)
 
 
 def kth_greatest(df: DataFrame, col: str, k: int) -> float:
@@ -153,27 +169,27 @@ def kth_greatest(df: DataFrame, col: str, k: int) -> float:
     return lo
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_labelled: int = 20_000, sharpness: float = 300.0, seed: int = 7) -> tuple[DataFrame, Model, float]:
-    """Scores of all documents with their decision, the model and the key at the cut.
+def importance_resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_labelled: int = 20_000, temperature: float = 1.0, seed: int = 7) -> tuple[DataFrame, Model, float]:
+    """Scores of all documents with their decision, the model and the k-th greatest key.
 
-    Columns: id, n_features, log_ratio, gumbel_key, selected. ``k`` documents are selected, the
-    greatest keys; by default as many as have a log_ratio of the model's cut or more. Keys that tie
-    with the k-th are all selected. A null or empty text has no n-grams, a log_ratio of 0 and is
-    rejected; an empty table gives an empty result; repeated rows share one fate.
+    Columns: id, n_features, log_weight, gumbel_key, selected. ``k`` documents are selected, the
+    greatest keys, so that a text of greater weight is the likelier to be drawn but no cut on the weight
+    decides; by default k is the expected size of the target within ``docs`` (``target_size``). Keys that tie
+    with the k-th are all selected. A null or empty text has no n-grams, a log_weight of 0 and is
+    rejected; an empty table gives an empty result; repeated rows share one fate; rows with a null id
+    share their noise. Texts of any length are read whole, in linear time.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, buckets=buckets, most_labelled=most_labelled)
-    keyed = written(gumbel_keys(score(docs, model, id_col=id_col, text_col=text_col), id_col=id_col, sharpness=sharpness, seed=seed), "keys")
+    keyed = written(gumbel_keys(score(docs, model, id_col=id_col, text_col=text_col), id_col=id_col, temperature=temperature, seed=seed), "keys")
     real = keyed.where("n_features > 0")
-    if k is None:
-        k = real.where(F.col("log_ratio") >= F.lit(model.cut)).count()
-    least = kth_greatest(real, "gumbel_key", k)
+    least = kth_greatest(real, "gumbel_key", target_size(real, model) if k is None else k)
     return keyed.withColumn("selected", (F.col("n_features") > 0) & (F.col("gumbel_key") >= F.lit(least))), model, least
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 300.0, seed: int = 7, **options) -> DataFrame:
-    """The rows of ``docs`` that resampling selects, all columns as they were. Texts are scored again where they
-    lie, so that none is shuffled."""
-    _, model, least = importance_resample(docs, labels, id_col=id_col, text_col=text_col, sharpness=sharpness, seed=seed, **options)
-    others = tuple(c for c in docs.columns if c != id_col)
-    keyed = gumbel_keys(score(docs, model, id_col=id_col, text_col=text_col, keep=others), id_col=id_col, sharpness=sharpness, seed=seed)
-    return keyed.where((F.col("n_features") > 0) & (F.col("gumbel_key") >= F.lit(least))).select(docs.columns)
+def keep_selected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 7, **options) -> DataFrame:
+    """The rows of ``docs`` that resampling selects, all columns as they were, whatever their names; null and empty
+    texts go. Texts are scored again where they lie, so that none is shuffled."""
+    keyed, model, least = importance_resample(docs, labels, id_col=id_col, text_col=text_col, temperature=temperature, seed=seed, **options)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_all"), F.struct(*docs.columns).alias("_row"))
+    again = gumbel_keys(score(rows, model, id_col="_id", text_col="_all", keep=("_row",)), id_col="_id", temperature=temperature, seed=seed)
+    return again.where((F.col("n_features") > 0) & (F.col("gumbel_key") >= F.lit(least))).select("_row.*")
