@@ -2,10 +2,12 @@
 
 A window is a string of ``length`` bytes. It is removed wherever it starts, if it also starts
 anywhere else. Windows that are equal agree on an anchor, the least-hashed k-gram within them, and on
-where it lies; so windows are gathered by their anchor, and whatever repeats meets in one group. A run
-of windows with one anchor is a segment; equal segments are counted, not compared. Where an anchor
-has different segments, their texts are put into shards, each with its own Burrows-Wheeler transform;
-the transforms are merged, and the common prefixes that the merge finds give the repeated windows.
+where it lies; so windows are gathered by their anchor, and whatever repeats meets in one group. Hashes do no
+more than leave out anchors that occur once. A run of windows with one anchor is a segment: the bytes
+before the anchor, the anchor as one symbol, and the bytes after it. The segments of a group come from
+shards of the corpus; each shard has its own Burrows-Wheeler transform, the transforms are merged,
+and the common prefixes that the merge finds are the repeated windows. A segment that occurs
+several times is in the merge twice, as it takes two to repeat.
 """
 
 from __future__ import annotations
@@ -16,45 +18,61 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches, written
-from glyphmill.llm.rolling import MAX_BLOCK, gram_hashes, prefix_hashes, span_hashes, window_minima
+from glyphmill.llm.common import batches, bits_for, filter_bits, heavy, in_filter, lookup, written
+from glyphmill.llm.rolling import MAX_BLOCK, gram_hashes, mix, prefix_hashes, window_minima
+from glyphmill.plans.session import ship_package
 
-GRAM_SHARE = 0.75  # of a window that its anchor covers, when windows are gathered
-FINE_SHARE = 0.95  # and when they are compared
+GRAM_SHARE = 0.5  # of a window that its anchor covers, about
+
+
+def shape(length: int) -> tuple[int, int]:
+    """(bytes of an anchor, stride) for windows of ``length`` bytes. A window is then ``length - gram + 1`` symbols, a
+    multiple of the stride: transforms are over runs of so many symbols, which spares most rounds of the merge."""
+    depth = length - max(1, int(length * GRAM_SHARE)) + 1
+    stride = 32 if depth >= 96 else 4 if depth >= 8 else 1
+    return length - depth // stride * stride + 1, stride
 
 
 # ---- segments of a text ------------------------------------------------------------------------
 
 
 def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, number of windows, place of the anchor) of each run of windows
-    that share an anchor; first window and anchor are byte places."""
+    """(anchor hash, first window, number of windows, place of the anchor) of each run of windows that share an
+    anchor; first window and anchor are byte places."""
     parts = []
     block = MAX_BLOCK - 1
     for base in range(0, max(1, len(data) - length + 1), block - length):
         piece = data[base : base + block]
         if len(piece) < length:
             break
-        prefix = prefix_hashes(piece)
-        grams = gram_hashes(prefix, gram)
+        grams = gram_hashes(prefix_hashes(piece), gram)
         anchor = window_minima(grams, length - gram + 1)
         if base + block < len(data):
             anchor = anchor[: block - length]  # the next piece starts with the next window
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.concatenate([first, [len(anchor)]]))
         at = anchor[first]
-        content = span_hashes(prefix, first, first + count - 1 + length) ^ (at - first).astype(np.uint64)
-        parts.append((grams[at], content, first + base, count, at + base))
+        parts.append((grams[at], first + base, count, at + base))
         if base + block >= len(data):
             break
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 # ---- transforms and their merge ----------------------------------------------------------------
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from zero, by their 16-bit digits."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    rest = values >> 16
+    while rest.any():
+        order = order[np.argsort((rest[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        rest = rest >> 16
+    return order
+
+
 def transform(text: np.ndarray, separators: np.ndarray) -> np.ndarray:
     """Burrows-Wheeler transform of a shard: the symbol before each suffix, in suffix order.
 
@@ -66,17 +84,19 @@ def transform(text: np.ndarray, separators: np.ndarray) -> np.ndarray:
     rank = text.astype(np.int64) + len(separators)
     rank[separators] = np.arange(len(separators))
     width = 1
-    order = np.argsort(rank, kind="stable")
+    order = stable_order(rank)
+    after = np.zeros(n, dtype=np.int64)
     while True:
-        ordered = rank[order]
+        ordered, ordered_after = rank[order], after[order]
         new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        new[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]) | (ordered_after[1:] != ordered_after[:-1])]))
         if new[order[-1]] == n - 1:
             break
         after = np.zeros(n, dtype=np.int64)
         after[: n - width] = new[width:] + 1
-        rank = new * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        rank = new
+        order = stable_order(after)
+        order = order[stable_order(rank[order])]
         width *= 2
     return np.where(order == 0, text[-1], text[order - 1])
 
@@ -91,15 +111,15 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     """
     total = sum(map(len, transforms))
     joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     common = np.full(total, depth, dtype=np.int16)
     common[0] = 0
     block = np.zeros(total, dtype=np.int32)
     parted = 1
     for h in range(1, depth + 1):
-        symbols = np.empty(total, dtype=np.uint16)
+        symbols = np.empty(total, dtype=joined.dtype)
         symbols[np.argsort(shard, kind="stable")] = joined
-        deal = np.argsort(symbols, kind="stable")
+        deal = stable_order(symbols)
         shard, symbols, block = shard[deal], symbols[deal], block[deal]
         edge = np.empty(total, dtype=bool)
         edge[0] = True
@@ -115,39 +135,11 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return shard, common
 
 
-def repeated_windows(strings: list[np.ndarray], depth: int, shards: int = 2) -> list[np.ndarray]:
-    """For each string of symbols over 0: whether the ``depth`` symbols from each place also start at another
-    place of any string. The strings go to shards, whose transforms are merged."""
-    if not strings:
-        return []
-    shards = max(1, min(shards, len(strings)))
-    bounds = np.linspace(0, len(strings), shards + 1).round().astype(int)
-    texts, transforms = [], []
-    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        sizes = np.array([len(x) + 1 for x in strings[s:e]])
-        text = np.zeros(sizes.sum(), dtype=np.uint16)
-        ends = np.cumsum(sizes) - 1
-        keep = np.ones(len(text), dtype=bool)
-        keep[ends] = False
-        text[keep] = np.concatenate(strings[s:e])
-        texts.append((text, ends, sizes))
-        transforms.append(transform(text, ends))
-    shard, common = merge(transforms, depth)
-    again = common >= depth
-    again[:-1] |= common[1:] >= depth
-    out = []
-    for i, (text, ends, sizes) in enumerate(texts):
-        flag = np.empty(len(text), dtype=bool)
-        flag[_suffix_order(transforms[i], text, ends)] = again[shard == i]
-        out += [f[:-1] for f in np.split(flag, np.cumsum(sizes)[:-1])]
-    return out
-
-
-def _suffix_order(bwt: np.ndarray, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _suffix_order(bwt: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of a shard's suffixes in order, read off its transform: all strings walk backwards at once, from
     their separators, which are first in order and stand in the order of the strings."""
     step = np.empty(len(bwt), dtype=np.int64)
-    step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    step[stable_order(bwt)] = np.arange(len(bwt))
     order = np.empty(len(bwt), dtype=np.int64)
     row, at = np.arange(len(ends)), ends.copy()
     first = np.concatenate([[0], ends[:-1] + 1])
@@ -158,71 +150,95 @@ def _suffix_order(bwt: np.ndarray, text: np.ndarray, ends: np.ndarray) -> np.nda
     return order
 
 
-def settle(anchors: np.ndarray, texts: list[bytes], counts: np.ndarray, length: int, shards: int = 2) -> list[np.ndarray]:
-    """Which windows of each segment text start elsewhere too, among segments of one anchor.
+def _strided(sizes: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each place of strings of these sizes goes if each string is cut up into ``stride`` strings, of every
+    ``stride``-th place, with a separator after each; and the separators' places."""
+    grown = sizes + stride
+    base = np.cumsum(grown) - grown
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(sizes.sum()) - start[owner]
+    turn, q, r = place % stride, sizes // stride, sizes % stride
+    to = base[owner] + turn * (q[owner] + 1) + np.minimum(turn, r[owner]) + place // stride
+    turns = np.arange(stride)
+    ends = base[:, None] + (turns + 1) * (q[:, None] + 1) + np.minimum(turns + 1, r[:, None]) - 1
+    return to, ends.ravel()
+
+
+_SPREAD = np.random.default_rng(20240301).integers(1, 2**63, 1, dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
+
 
-    ``texts`` differ within an anchor; ``counts`` tell how often each occurs. Windows are gathered once more by
-    a finer anchor that covers most of them; where that has one content only, its count decides.
-    Otherwise the contents, with the anchor as one symbol, are merged by ``repeated_windows``.
+def repeated_windows(shards: list[list[np.ndarray]], depth: int, stride: int = 1) -> list[list[np.ndarray]]:
+    """For each string of symbols over 0 of each shard: whether the ``depth`` symbols from each place also start at
+    another place of any string of any shard. Places too near to the end for that are left out.
+
+    A transform is over runs of ``stride`` symbols (which divides ``depth``): a string is taken as ``stride``
+    strings of such runs, one from each of its first places, so that every place has its suffix and a
+    round of the merge settles ``stride`` symbols.
     """
-    gram = max(1, int(length * FINE_SHARE))
-    out = [np.full(len(t) - length + 1, c > 1) for t, c in zip(texts, counts, strict=True)]
-    owner, fine, content, first, number, place = [], [], [], [], [], []
-    data = [np.frombuffer(t, dtype=np.uint8) for t in texts]
-    for i, d in enumerate(data):
-        a, c, f, n, p = segments(d, length, gram)
-        owner.append(np.full(len(a), i))
-        fine.append(a)
-        content.append(c)
-        first.append(f)
-        number.append(n)
-        place.append(p)
-    owner, fine, content, first, number, place = map(np.concatenate, (owner, fine, content, first, number, place))
-    if not len(owner):
-        return out
-    order = np.lexsort((content, fine, anchors[owner]))
-    a, f, c = anchors[owner][order], fine[order], content[order]
-    new_group = np.concatenate([[True], (a[1:] != a[:-1]) | (f[1:] != f[:-1])])
-    new_content = new_group | np.concatenate([[True], c[1:] != c[:-1]])
-    group, kind = np.cumsum(new_group) - 1, np.cumsum(new_content) - 1
-    times = np.bincount(kind, weights=counts[owner][order])  # occurrences of each content
-    kinds_of = np.bincount(group[new_content])
-    several = kinds_of[group] > 1
-    for at in np.flatnonzero(~several & (times[kind] > 1)).tolist():
-        i = order[at]
-        out[owner[i]][first[i] : first[i] + number[i]] = True
-    # one string for each content of a group with several: what precedes the anchor, the anchor, what follows
-    heads = np.flatnonzero(several & new_content)
-    if not len(heads):
-        return out
-    flags: dict[int, np.ndarray] = {}
-    edges = np.flatnonzero(np.concatenate([[True], group[heads][1:] != group[heads][:-1]])).tolist() + [len(heads)]
-    start = 0
-    for at, end in enumerate(edges[1:], 1):
-        if end - edges[start] < _STRINGS and end < len(heads):
+    shards = [[s for s in strings] for strings in shards]
+    sized = [np.array([len(s) - stride + 1 for s in strings], dtype=np.int64) for strings in shards]
+    runs = []
+    for strings, sizes in zip(shards, sized, strict=True):
+        if not strings:
+            runs.append(np.empty(0, dtype=np.uint64))
+            continue
+        text = mix(np.concatenate(strings).astype(np.uint64) + np.uint64(1)) if stride > 1 else np.concatenate(strings).astype(np.uint64)
+        if stride > 1:
+            h = np.zeros(len(text) - stride + 1, dtype=np.uint64)
+            for j in range(stride):
+                h = h * _SPREAD + text[j : j + len(h)]
+            starts = np.cumsum(sizes + stride - 1) - (sizes + stride - 1)
+            at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+            text = h[at]
+        runs.append(text)
+    _, named = np.unique(np.concatenate(runs), return_inverse=True)
+    bounds = np.cumsum([0, *[len(r) for r in runs]])
+    transforms, places = [], []
+    for i, sizes in enumerate(sized):
+        if not len(sizes):
             continue
-        strings = []
-        for symbol, (lo, hi) in enumerate(zip(edges[start:at], edges[start + 1 : at + 1], strict=True)):
-            for x in heads[lo:hi].tolist():
-                i = order[x]
-                d, s, p = data[owner[i]], first[i], place[i]
-                e = s + number[i] - 1 + length
-                strings.append(np.concatenate([d[s:p].astype(np.uint16) + 1, [np.uint16(257 + symbol)], d[p + gram : e].astype(np.uint16) + 1]))
-        found = repeated_windows(strings, length - gram + 1, shards)
-        flags.update(zip(kind[heads[edges[start] : end]].tolist(), found, strict=True))
-        start = at
-    for at in np.flatnonzero(several).tolist():
-        i, n = order[at], number[order[at]]
-        out[owner[i]][first[i] : first[i] + n] |= flags[int(kind[at])][:n] | (times[kind[at]] > 1)
+        to, ends = _strided(sizes, stride)
+        text = np.zeros(len(to) + len(ends), dtype=np.int64)
+        text[to] = named[bounds[i] : bounds[i + 1]] + 1
+        transforms.append(transform(text, ends))
+        places.append((i, to, ends, sizes))
+    shard, common = merge(transforms, depth // stride)
+    again = common >= depth // stride
+    again[:-1] |= common[1:] >= depth // stride
+    out: list[list[np.ndarray]] = [[] for _ in shards]
+    for n, (i, to, ends, sizes) in enumerate(places):
+        flag = np.empty(len(transforms[n]), dtype=bool)
+        flag[_suffix_order(transforms[n], ends)] = again[shard == n]
+        out[i] = [f[: len(f) + stride - depth] for f in np.split(flag[to], np.cumsum(sizes)[:-1])]
     return out
 
 
-#: Strings merged at once, more only if one anchor has more.
-_STRINGS = 20_000
+def settle(groups: list, before: list[bytes], after: list[bytes], copies: list[int], homes: list[tuple[int, int]], depth: int, stride: int, shards: int) -> list[np.ndarray]:
+    """Which windows of each segment start elsewhere too. Segments of one group share an anchor, which is one symbol
+    between ``before`` and ``after``. A segment that occurs once is a string of its first home, the shard that it comes
+    from; one that occurs more often is a string of its second home also."""
+    symbol: dict = {}
+    strings: list[list[np.ndarray]] = [[] for _ in range(shards)]
+    at = []
+    for g, b, a, n, (lo, hi) in zip(groups, before, after, copies, homes, strict=True):
+        text = np.empty(len(b) + 1 + len(a), dtype=np.uint32)
+        text[: len(b)] = np.frombuffer(b, dtype=np.uint8)
+        text[len(b)] = 256 + symbol.setdefault(g, len(symbol))
+        text[len(b) + 1 :] = np.frombuffer(a, dtype=np.uint8)
+        text += 1
+        at.append((lo, len(strings[lo])))
+        strings[lo].append(text)
+        if n > 1:
+            strings[hi].append(text)
+    found = repeated_windows(strings, depth, stride)
+    return [found[shard][i] for shard, i in at]
 
 
 # ---- the job -----------------------------------------------------------------------------------
 
+_KEYS = ["anchor", "check", "content"]
+
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """Texts with the 128-bit key of their content."""
@@ -230,35 +246,34 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
 
 
-_BITS = 1 << 25
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _marks(anchors: DataFrame) -> np.ndarray:
-    """A bitmap of 2**25 bits over the anchors' hashes, to pass over what surely isn't among them. Its size is
-    fixed: over more anchors it lets more through, and an exact join follows wherever it is used."""
-    bit = F.col("anchor").bitwiseAND(F.lit(_BITS - 1))
-    words = anchors.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
-    out = np.zeros(_BITS >> 6, dtype=np.int64)
-    out[words["w"]] = words["b"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _content(before: bytes, after: bytes) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(before + after, seed=len(before)))
 
 
-def _pass(marks, anchor: np.ndarray) -> np.ndarray:
-    return marks[(anchor & np.uint64(_BITS - 1)).astype(np.int64)]
+def _cut_out(data: np.ndarray, first: int, number: int, at: int, length: int, gram: int) -> tuple[int, bytes, bytes]:
+    """(check of the anchor's bytes, bytes before it, bytes after it) of a segment."""
+    text = data[first : first + number - 1 + length].tobytes()
+    s = at - first
+    return _signed(xxhash.xxh3_64_intdigest(text[s : s + gram])), text[:s], text[s + gram :]
 
 
-def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400, shards: int = 2, most_kinds: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400, shards: int = 4, split_over: int = 1024) -> DataFrame:
     """(k1, k2, spans): for each content that has any, the runs of windows (first, last) that start elsewhere too.
 
     Content is known by its key, so that exact copies are worked out once. What is shuffled is hashes
-    of anchors, then the places of those that repeat, then the texts of segments that differ. An anchor
-    with more than ``most_kinds`` different segments would be too much for one task: there, the windows
-    themselves are counted by a 128-bit hash.
+    of anchors, then the places of those that repeat and, once for each task, their segments. An
+    anchor with more than ``split_over`` different segments would be too much for one task: there each
+    window is a string of its own, and the windows are dealt by their bytes over many merges.
     """
     spark = docs.sparkSession
-    gram = max(1, int(length * GRAM_SHARE))
-    keyed = _keyed(docs, text_col)
-    long_enough = keyed.where(F.octet_length("text") >= length)
+    ship_package(spark)
+    gram, stride = shape(length)
+    depth = length - gram + 1
+    long_enough = _keyed(docs, text_col).where(F.octet_length("text") >= length)
 
     def anchors_only(stream):
         for batch in batches(stream):
@@ -267,88 +282,102 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
     hashes = long_enough.select("text").mapInArrow(anchors_only, "anchor long")
     repeated = written(hashes.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    marks = spark.sparkContext.broadcast(np.packbits(_marks(repeated)))
+    marks = spark.sparkContext.broadcast(filter_bits(repeated, "anchor", bits_for(repeated.count(), most=1 << 27)))
+
+    def passing(text):
+        d = _bytes(text)
+        a, f, n, p = segments(d, length, gram)
+        ok = in_filter(marks.value, a)
+        for x, first, number, place in zip(a[ok].view(np.int64).tolist(), f[ok].tolist(), n[ok].tolist(), p[ok].tolist(), strict=True):
+            yield x, first, number, *_cut_out(d, first, number, place, length, gram)
 
     def places(stream):
-        known = np.unpackbits(marks.value).view(bool)
         for batch in batches(stream):
-            rows = []
-            for k1, k2, t in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                a, c, f, n, _ = segments(_bytes(t), length, gram)
-                ok = _pass(known, a)
-                m = int(ok.sum())
-                rows.append((np.full(m, k1), np.full(m, k2), a[ok].view(np.int64), c[ok].view(np.int64), f[ok], n[ok]))
-            columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["k1", "k2", "anchor", "content", "first", "number"])
-
-    placed = long_enough.mapInArrow(places, "k1 long, k2 long, anchor long, content long, first long, number long")
-    placed = placed.groupBy("k1", "k2", "anchor", "content", "first", "number").agg(F.count("*").alias("copies"))
-    placed = written(placed.join(repeated, "anchor", "left_semi"), "places")
-    counts = placed.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"))
-    varied = written(counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1").select("anchor", (F.col("kinds") > most_kinds).alias("hot")), "varied")
-    differing = spark.sparkContext.broadcast(np.packbits(_marks(varied)))
+            rows = [(k1, k2, x, check, _content(b, a), first, number) for k1, k2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for x, first, number, check, b, a in passing(t)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["k1", "k2", *_KEYS, "first", "number"])
+
+    placed = long_enough.mapInArrow(places, "k1 long, k2 long, anchor long, check long, content long, first long, number long")
+    placed = written(placed.distinct().join(repeated, "anchor", "left_semi"), "places")
 
     def texts(stream):
-        known = np.unpackbits(differing.value).view(bool)
         for batch in batches(stream):
-            rows = []
-            for t in batch.column(0):
-                d = _bytes(t)
-                a, c, f, n, _ = segments(d, length, gram)
-                for i in np.flatnonzero(_pass(known, a)).tolist():
-                    rows.append((int(a[i].view(np.int64)), int(c[i].view(np.int64)), d[f[i] : f[i] + n[i] - 1 + length].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "content", "segment"])
-
-    kinds = long_enough.select("text").mapInArrow(texts, "anchor long, content long, segment binary")
-    kinds = kinds.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.first("segment").alias("segment"))
-    kinds = kinds.join(varied, "anchor")
-    hot = kinds.where("hot")
-    kinds = kinds.where("not hot").repartition("anchor").sortWithinPartitions("anchor")
+            rows = [(x, check, b, a, home) for home, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x, _, _, check, b, a in passing(t)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)], names=["anchor", "check", "before", "after", "home"])
+
+    found = long_enough.select(F.pmod("k1", F.lit(shards)).cast("int").alias("home"), "text").mapInArrow(texts, "anchor long, check long, before binary, after binary, home int")
+    together = [F.min("home").alias("lo"), F.max("home").alias("hi")]
+    segment = ["anchor", "check", "before", "after"]
+    kinds = written(found.groupBy(*segment).agg(F.count("*").alias("copies"), *together), "segments")
+    numbers = kinds.groupBy("anchor", "check").agg(F.count("*").alias("kinds"), F.sum("copies").alias("copies")).where("copies > 1")
+    # so many that 65,536 anchors at most, whose keys are broadcast, are split
+    over = max(split_over, -(-kinds.count() // 65_536))
+    split = F.broadcast(written(numbers.where(F.col("kinds") > over).select("anchor", "check", F.lit(True).alias("split")), "split"))
+    marked = kinds.join(split, ["anchor", "check"], "left")
+    whole = marked.where("split is null").select(*segment, "copies", "lo", "hi", F.lit(0).alias("part")).join(numbers.select("anchor", "check"), ["anchor", "check"])
+    hot = marked.where("split")
 
     def windows(stream):
-        for batch in batches(stream):
+        for batch in stream:
             rows = []
-            for a, c, n, t in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                for i in range(len(t) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(t[i : i + length])
-                    rows.append((a, c, n, i, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32() if j == 3 else pa.int64()) for j in range(6)], names=["anchor", "content", "copies", "at", "h1", "h2"])
-
-    single = hot.select("anchor", "content", "copies", "segment").mapInArrow(windows, "anchor long, content long, copies long, at int, h1 long, h2 long")
-    again = single.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    hot_runs = single.join(again, ["h1", "h2"]).where("copies = 1").groupBy("anchor", "content").agg(F.flatten(F.transform(F.collect_list("at"), lambda i: F.array(i, i + 1))).alias("runs"))
+            for x, check, b, a, n, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                content = _content(b, a)
+                for i in range(len(b) + len(a) + 2 - depth):
+                    rows.append((x, check, content, i, b[i:], a[: depth - 1 - len(b) + i], n, lo, hi))
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=["anchor", "check", "content", "at", "before", "after", "copies", "lo", "hi"])
+
+    single = hot.select(*segment, "copies", "lo", "hi").mapInArrow(windows, "anchor long, check long, content long, at int, before binary, after binary, copies long, lo int, hi int")
+    dealt = single.groupBy(*segment).agg(F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("part", F.pmod(F.xxhash64("before", "after"), F.lit(1 << 16)).cast("int"))
+    strings = whole.unionByName(dealt.select(whole.columns)).repartition("anchor", "check", "part").sortWithinPartitions("anchor", "check", "part")
 
     def settled(stream):
         held: list[tuple] = []
         size = 0
 
         def out():
-            flags = settle(np.array([h[0] for h in held], dtype=np.int64), [h[3] for h in held], np.array([h[2] for h in held]), length, shards)
+            groups = [(h[0], h[1], h[7]) for h in held]
+            flags = settle(groups, [h[2] for h in held], [h[3] for h in held], [h[4] for h in held], [(h[5], h[6]) for h in held], depth, stride, shards)
             rows = []
-            for (anchor, content, copies, _), flag in zip(held, flags, strict=True):
-                if copies == 1 and flag.any():
+            for (x, check, b, a, _, _, _, _), flag in zip(held, flags, strict=True):
+                if flag.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8)))
-                    rows.append((anchor, content, edges.tolist()))
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["anchor", "content", "runs"])
+                    rows.append((x, check, _content(b, a), edges.tolist()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=[*_KEYS, "runs"])
 
         for batch in stream:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size > 4 << 20 and row[0] != held[-1][0]:
+                if size > 1 << 20 and (row[0], row[1], row[7]) != (held[-1][0], held[-1][1], held[-1][7]):
                     yield out()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[2]) + len(row[3])
         if held:
             yield out()
 
-    runs = kinds.select("anchor", "content", "copies", "segment").mapInArrow(settled, "anchor long, content long, runs array<int>")
-    whole = counts.where("copies > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("runs"))
-    decided = placed.join(whole.union(runs).union(hot_runs), ["anchor", "content"])
-    every = F.when(F.col("runs").isNull(), F.array(F.lit(0), F.col("number").cast("int"))).otherwise(F.col("runs"))
-    spans = F.transform(F.sequence(F.lit(0), (F.size(every) / 2 - 1).cast("int")), lambda i: F.struct((F.col("first") + F.element_at(every, 2 * i + 1)).cast("int").alias("first"), (F.col("first") + F.element_at(every, 2 * i + 2) - 1).cast("int").alias("last")))
+    merged = written(strings.mapInArrow(settled, "anchor long, check long, content long, runs array<int>"), "merged")
+    # a window of a split anchor is named by its own content: back to the segments that hold it
+    named = single.select("anchor", "check", F.col("content").alias("owner"), "at", "before", "after").mapInArrow(_named, "anchor long, check long, owner long, at int, content long")
+    hot_runs = named.join(merged, _KEYS).groupBy("anchor", "check", F.col("owner").alias("content")).agg(F.flatten(F.transform(F.collect_list("at"), lambda i: F.array(i, i + 1))).alias("runs"))
+    runs = merged.join(split, ["anchor", "check"], "left").where("split is null").select(*_KEYS, "runs").unionByName(hot_runs)
+    occurrences = placed.groupBy(*_KEYS).agg(F.count("*").alias("n"))
+    decided = lookup(placed, runs, _KEYS, heavy(occurrences, _KEYS))
+    edge = lambda i: F.element_at("runs", i)
+    spans = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct((F.col("first") + edge(2 * i + 1)).cast("int").alias("first"), (F.col("first") + edge(2 * i + 2) - 1).cast("int").alias("last")))
     return decided.select("k1", "k2", F.explode(spans).alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
+def _named(stream):
+    for batch in stream:
+        content = [_content(b, a) for b, a in zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)]
+        yield batch.select(["anchor", "check", "owner", "at"]).append_column("content", pa.array(content, pa.int64()))
+
+
 def _bytes(value: pa.Scalar) -> np.ndarray:
     buffer = value.as_buffer()
     return np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.empty(0, dtype=np.uint8)
@@ -368,16 +397,32 @@ def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
     return left, len(data) - len(left), runs
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shards: int = 2, most_kinds: int = 4096) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shards: int = 4, split_over: int = 1024) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the bytes left), with every byte removed that a repeated string of
     ``length`` bytes covers, wherever in the table it repeats.
 
     Null and short texts lose nothing; exact copies of a text of ``length`` bytes or more lose all of
-    it, every one; rows with a null or repeated id are worked on like any other, one row out for each.
+    it, every one; rows with a null or repeated id are worked on like any other, one row out for each; an
+    empty table gives an empty result; further columns aren't read. Texts of any length are read whole, in
+    stretches of 16 MB. Texts that lose nothing stay where they lie; copies of one text are dealt over many tasks.
     """
-    texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.select(id_col, F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), "text")
-    joined = texts.join(repeated_spans(df, text_col=text_col, length=length, shards=shards, most_kinds=most_kinds), ["k1", "k2"], "left").select(id_col, "text", "spans")
+    spans = written(repeated_spans(df, text_col=text_col, length=length, shards=shards, split_over=split_over), "spans")
+    shared = df.sparkSession.sparkContext.broadcast(filter_bits(spans, "k1", bits_for(spans.count())))
+    texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.select("_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), "text")
+
+    def touched(stream):
+        for batch in stream:
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column("k1").to_numpy())))
+
+    def untouched(stream):
+        for batch in stream:
+            yield batch.filter(pa.array(~in_filter(shared.value, batch.column("k1").to_numpy())))
+
+    keys = ["k1", "k2"]
+    copies = _keyed(df, text_col).groupBy(*keys).agg(F.count("*").alias("n"))
+    some = lookup(texts.mapInArrow(touched, texts.schema), spans, keys, heavy(copies, keys), "left").select("_id", "text", "spans")
+    rest = texts.mapInArrow(untouched, texts.schema).select("_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def run(stream):
         for batch in batches(stream):
@@ -389,13 +434,12 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = texts.select(id_col).schema
+    schema = df.select(id_col).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(run, schema)
+    return some.unionByName(rest).mapInArrow(run, schema)
 
 
 def digest(kept: DataFrame, col: str = "kept") -> DataFrame:
     """The bytes' SHA-256 (lowercase hex) in place of the bytes."""
     return kept.withColumn("kept_sha256", F.sha2(F.col(col), 256)).drop(col)
-
