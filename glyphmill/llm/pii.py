@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 import unicodedata
 
 import pyarrow as pa
@@ -111,14 +112,26 @@ class Normal:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, put) -> None:
-        """Replaces each match by ``put(match)``; every character put stands for the whole match. None leaves it."""
-        out, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = put(m)
-            if new is None or m.start() == m.end():
-                continue
+    def rewrite(self, pattern: re.Pattern, put, spaces: bool = False) -> None:
+        """Replaces each match by ``put`` of its text; None leaves it. With ``spaces``, those around a match go too."""
+        found, done, text = [], 0, self.text
+        for m in pattern.finditer(text):
             a, b = m.span()
+            if a == b or (new := put(m[0])) is None:
+                continue
+            if spaces:
+                while a > done and text[a - 1] == " ":
+                    a -= 1
+                while b < len(text) and text[b] == " ":
+                    b += 1
+            found.append((a, b, new))
+            done = b
+        self.replace(found)
+
+    def replace(self, found: list[tuple[int, int, str]]) -> None:
+        """Puts new text for spans, which are in order; every character of it stands for the whole span."""
+        out, start, end, at = [], [], [], 0
+        for a, b, new in found:
             out += (self.text[at:a], new)
             start += self.start[at:a] + [self.start[a]] * len(new)
             end += self.end[at:a] + [self.end[b - 1]] * len(new)
@@ -129,7 +142,7 @@ class Normal:
             self.end = end + self.end[at:]
 
     def fold(self) -> None:
-        self.rewrite(_NON_ASCII, lambda m: None if (c := FOLDS[ord(m[0])]) == m[0] else c)
+        self.rewrite(_NON_ASCII, lambda x: None if (c := FOLDS[ord(x)]) == x else c)
 
 
 #: Digits spelled in the languages of the texts.
@@ -146,11 +159,15 @@ _DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ ,-]+)?(?:{_WORD}|[0-9])(?:(?:[ ,-
 _ONE_WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?!\w)")
 _SPELLED_PAIR = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?:[ ,-]+|[ ]+(?:dot|punkt|point|punto)[ ]+)(?:{_WORD}|[0-9])(?!\w)")
 _DOT_NAMES = "dot|punkt|point|punto"
-_OPEN, _CLOSE = r"[ ]*[\(\[\{<][ ]*", r"[ ]*[\)\]\}>][ ]*"
+_DOTS = frozenset(_DOT_NAMES.split("|"))
+#: Brackets are looked for first and the spaces around them taken afterwards, so that runs of spaces are read once.
+_OPEN, _CLOSE = r"[\(\[\{<][ ]*+", r"[ ]*+[\)\]\}>]"
 _AT_BRACKETED = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|ät){_CLOSE}")
 _DOT_BRACKETED = re.compile(rf"(?i){_OPEN}(?:{_DOT_NAMES}|\.){_CLOSE}")
 _MARKED = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:[_-]+(at|arroba)[_-]+|[_-]+(?:{_DOT_NAMES})[_-]+)(?=[A-Za-z0-9])")
-_BARE_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ ]+(?:{_DOT_NAMES})[ ]+[A-Za-z0-9_%+-]+)*(?:[ ]+(?:at|arroba)[ ]+|[ ]*@[ ]*)[A-Za-z0-9-]+(?:(?:[ ]+(?:{_DOT_NAMES})[ ]+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9])")
+#: A bare address is found from its "at" outwards: the domain after it, then the local part before it, which may be spelled with dots too.
+_AT_SIGN = re.compile(r"(?i) (?:at|arroba)(?= )|@")
+_BARE_DOMAIN = re.compile(rf"(?i)[ ]*+[A-Za-z0-9-]++(?:(?:[ ]++(?:{_DOT_NAMES})[ ]++|\.)[A-Za-z0-9-]++)++")
 _BARE_PART = re.compile(rf"(?i)[ ]+(?:(at|arroba)|(?:{_DOT_NAMES}))[ ]+|[ ]*(@)[ ]*")
 #: Endings that a domain spelled in bare words must have; prose has "at" and "dot" too.
 _ENDINGS = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv eu us uk ca au nz de at ch fr be nl lu es pt it mx ar br cl pl cz se no dk fi ie in jp cn kr ru tr za example test invalid local".split())
@@ -160,9 +177,8 @@ _DOTTED_NUMBER = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:[ ]+(?:{_DOT_NAMES})
 _CARD_SIGNS = re.compile(r"(?<![0-9.])[0-9]{3,6}(?:[._/][0-9]{3,6}){2,5}(?![0-9.])")
 
 
-def _digits(m: re.Match) -> str | None:
+def _digits(run: str) -> str | None:
     """A run of spelled or plain digits, if it has two spelled ones at least: spelled words become digits, names of signs the signs."""
-    run = m[0]
     if len(_ONE_WORD.findall(run)) < 2:
         return None
     run = re.sub(rf"(?i)[ ]+(?:{_DOT_NAMES})[ ]+", ".", run)
@@ -189,30 +205,69 @@ def normalised(text: str) -> Normal | None:
     if t == text and not any(has):
         return None
     if has[0]:
-        folded.rewrite(_AT_BRACKETED, lambda m: "@")
+        folded.rewrite(_AT_BRACKETED, lambda _: "@", spaces=True)
     if has[1]:
-        folded.rewrite(_DOT_BRACKETED, lambda m: ".")
+        folded.rewrite(_DOT_BRACKETED, lambda _: ".", spaces=True)
     if has[2]:
-        folded.rewrite(_MARKED, lambda m: "@" if m[1] else ".")
+        folded.rewrite(_MARKED, lambda x: "@" if x.strip("_-").lower() in ("at", "arroba") else ".")
     if has[4]:
         folded.rewrite(_DIGIT_RUN, _digits)
     if has[0] or has[2] or has[3]:
-        folded.rewrite(_BARE_MAIL, _plain_mail)
-        folded.rewrite(_DOTTED_NUMBER, lambda m: re.sub(r"[^0-9]+", ".", m[0]))
+        folded.replace(bare_mails(folded.text))
+        folded.rewrite(_DOTTED_NUMBER, lambda x: re.sub(r"[^0-9]+", ".", x))
     if has[5]:
-        folded.rewrite(_CARD_SIGNS, lambda m: d if 13 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d) else None)
+        folded.rewrite(_CARD_SIGNS, lambda x: d if 13 <= len(d := _NOT_DIGIT.sub("", x)) <= 19 and luhn(d) else None)
     return folded
 
 
-def _plain_mail(m: re.Match) -> str | None:
+def bare_mails(text: str) -> list[tuple[int, int, str]]:
+    """Spans of addresses with spaces around their signs or the signs' names, and the plain form of each."""
+    out, done = [], 0
+    for m in _AT_SIGN.finditer(text):
+        if m.start() < done or not (domain := _BARE_DOMAIN.match(text, m.end())):
+            continue
+        start, at = None, m.start()
+        while True:
+            end = at
+            while end > done and text[end - 1] == " ":
+                end -= 1
+            first = end
+            while first > done and text[first - 1] in _LOCAL:
+                first -= 1
+            if first == end or (first and text[first - 1] in _LOCAL):
+                break
+            if start is not None:
+                # what is before must be a part and the name of a dot, with spaces between
+                if end == at or text[first:end].lower() not in _DOTS:
+                    break
+                at, last = first, first
+                while last > done and text[last - 1] == " ":
+                    last -= 1
+                first = last
+                while first > done and text[first - 1] in _LOCAL:
+                    first -= 1
+                if last == at or first == last or (first and text[first - 1] in _LOCAL):
+                    break
+            start = at = first
+            if "." in text[first:end]:
+                break
+        if start is None:
+            continue
+        done = domain.end()
+        if (plain := _plain_mail(text[start:done])) is not None:
+            out.append((start, done, plain))
+    return out
+
+
+def _plain_mail(found: str) -> str | None:
     """A bare "at" counts only where a bare "dot" follows it ("meet at example.com" is prose), and bare words only if
     they end as a domain does."""
-    if re.split(r"[ .]", m[0])[-1].lower() not in _ENDINGS:
+    if re.split(r"[ .]", found)[-1].lower() not in _ENDINGS:
         return None
-    at = re.search(r"(?i)[ ](?:at|arroba)[ ]", m[0])
-    if at and not _BARE_DOT.search(m[0], at.end() - 1):
+    at = re.search(r"(?i)[ ](?:at|arroba)[ ]", found)
+    if at and not _BARE_DOT.search(found, at.end() - 1):
         return None
-    return _BARE_PART.sub(lambda p: "@" if p[1] or p[2] else ".", m[0])
+    return _BARE_PART.sub(lambda p: "@" if p[1] or p[2] else ".", found)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -225,11 +280,13 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     if normal is None:
         return []
     out = []
+    plain = {kind: [(x, y) for k, x, y in base if k == kind] for kind in KINDS}
     for kind, s, e in base_spans(normal.text):
         a, b = normal.start[s], normal.end[e - 1]
         if text[a:b] == normal.text[s:e]:
             continue
-        if not any(k == kind and x <= a and b <= y for k, x, y in base):
+        before = bisect_right(plain[kind], (a, len(text))) - 1  # spans of a kind don't overlap
+        if before < 0 or plain[kind][before][1] < b:
             out.append((kind, a, b))
     return out
 
@@ -265,8 +322,9 @@ def find_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Personal data of every whole text: id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans,
     spans (all, as kind:start:end in code points, end exclusive, by kind and start) and n_added.
 
-    Null and empty texts have no spans; one row out for each row in, whatever its id; texts of any
-    length are read in time linear in their length.
+    Null and empty texts have no spans; one row out for each row in, whatever its id, repeated or not; an
+    empty table gives an empty result; further columns aren't read. Texts of any length are read whole; no
+    pattern starts with a run that the one before it has read already, so time grows with the length.
     """
 
     def start():
@@ -282,7 +340,8 @@ def find_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def redact_documents(df: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with personal data replaced in the text, and its length brought up to date.
-    A null text stays null."""
+    A null text stays null, an empty one empty; repeated rows stay repeated; further columns go along whatever
+    their names; an empty table gives an empty result."""
     ship_package(df.sparkSession)
     place = df.columns.index(text_col)
     schema = df.schema
