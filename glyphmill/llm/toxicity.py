@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +56,7 @@ def patterns_of(words: list[str], longest: int = 9) -> set[str]:
     """What the lexicon may hold of a text: whole words (" word ") and beginnings of words (" wor", 4 letters or more)."""
     out = set()
     for w in set(words):
-        if len(w) <= 24:
-            out.add(f" {w} ")
+        out.add(f" {w} ")
         for n in range(4, min(len(w), longest + 1)):
             out.add(" " + w[:n])
     return out
@@ -95,9 +97,14 @@ class Matcher:
                 found[start] = max(weight, found.get(start, 0.0))
             else:
                 excused.append((start, end))
-        for s, e in excused:
-            for at in [x for x in found if s <= x < e]:
-                del found[at]
+        if excused:
+            starts, at, until = sorted(found), 0, -1
+            for s, e in sorted(excused):
+                until = max(until, e)
+                at = max(at, bisect_left(starts, s, at))
+                while at < len(starts) and starts[at] < until:
+                    del found[starts[at]]
+                    at += 1
         return found
 
     def density(self, words: list[str]) -> float:
@@ -110,21 +117,25 @@ class Matcher:
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> Column:
-    """Rows to learn from: those whose crc32 of the id as text isn't divisible by 5."""
-    return F.crc32(F.col(id_col).cast("string")) % 5 != 0
+    """Rows to learn from: those whose crc32 of the id as text isn't divisible by 5, and, as they have no label, null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 20_000, most_patterns: int = 4000, least_count: int = 4, least_share: float = 0.015, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 20_000, least_count: int = 4, doubt: float = 0.05, least_weight: float = 1.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns weights from labelled rows outside the held-out fold, ``most_labelled`` of them at most.
 
     Three quarters give the weights (log odds of a pattern among toxic and other texts), the rest the
-    slope and bias. A pattern counts if ``least_share`` of the toxic texts have it. Words that the lexicon has but that occur in clean texts only beside a certain
-    word give exception phrases, besides those given. Without labels of both kinds the lexicon is
-    empty and every score is low.
+    slope and bias. A text counts once, however many copies and near copies it has (``kin``). Every pattern of ``least_count`` toxic texts is tried,
+    and gets in with a weight over ``least_weight``, if chance doesn't explain it among so many tries
+    (``doubt`` is the chance that any gets in wrongly). Phrases that hold a word of
+    the lexicon and occur in clean texts only are exceptions, besides those given. Without labels of both
+    kinds the lexicon is empty and every score is low. Null texts are empty; a repeated id has the greatest
+    of its labels; what is learned, and so every table that the driver gets, is bounded by the labelled rows.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & training_rows(labels, id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     sample = written(rows.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(4)).cast("int")), "labelled")
     texts = written(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label", "_part"), "training")
+    texts = written(_one_of_each(texts), "distinct")
     spark = docs.sparkSession
 
     def counted(where: str, wanted: dict | None) -> dict[str, int]:
@@ -142,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         sums = texts.where(where).select("_text").mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
         if among_all := wanted is None:
-            sums = sums.where(F.col("n") >= least_count).orderBy(F.desc("n"), "p").limit(50_000)
+            sums = sums.where(F.col("n") >= least_count)
         return {r.p: r.n for r in sums.collect()} if among_all or wanted else {}
 
     n_clean, n_toxic = ({r._label: r.n for r in texts.where("_part > 0").groupBy("_label").agg(F.count("*").alias("n")).collect()}.get(x, 0) for x in (0, 1))
@@ -151,12 +162,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     toxic = counted("_label = 1 and _part > 0", None)
     clean = counted("_label = 0 and _part > 0", dict.fromkeys(toxic))
     scored = {}
+    sure = NormalDist().inv_cdf(1 - doubt / max(1, len(toxic)))
     for p, n in toxic.items():
         other = clean.get(p, 0)
         weight = math.log((n + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_clean + 1))
-        error = math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
-        # among many thousand patterns a few look toxic by chance; such are rare, or near to even odds
-        if n >= least_share * n_toxic and weight - 2 * error > 1.0:
+        if weight > least_weight and evidence(n, n_toxic, other, n_clean) > sure:
             scored[p] = weight
     # where one word makes up a beginning, the word is meant
     for word in [p for p in scored if p.endswith(" ")]:
@@ -169,7 +179,6 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         shorter = max((chosen[p[:i]] for i in range(5, len(p)) if p[:i] in chosen), default=-math.inf)
         if scored[p] > shorter + 0.25:
             chosen[p] = scored[p]
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1] * math.log1p(toxic[x[0]]), x[0]))[:most_patterns])
     lexicon = Lexicon(chosen, list(exceptions) + _excused(texts, chosen, least_count))
     matcher_of = spark.sparkContext.broadcast(lexicon)
 
@@ -184,6 +193,26 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return lexicon
 
 
+def kin(words: list[str]) -> int:
+    """The least hash of the text's runs of three words: near copies share it as often as they share runs."""
+    if len(words) < 3:
+        return xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
+    return min(map(xxhash.xxh3_64_intdigest, map(" ".join, zip(words, words[1:], words[2:], strict=False)))) >> 1
+
+
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """One of the texts that are kin, for each label."""
+    marked = per_text(texts, "_label", "_text", lambda: lambda text: (kin(fold(text)), text), "kin long, _all string", keep=("_part",))
+    return marked.groupBy("kin", "_label").agg(F.min(F.struct("_all", "_part")).alias("one")).select(F.col("one._all").alias("_text"), "_label", F.col("one._part").alias("_part"))
+
+
+def evidence(n: int, of: int, other: int, of_others: int) -> float:
+    """How many standard deviations n of ``of`` lies above ``other`` of ``of_others``: the root of the likelihood ratio's statistic."""
+    share = (n + other) / (of + of_others)
+    seen = [(n, of * share), (of - n, of * (1 - share)), (other, of_others * share), (of_others - other, of_others * (1 - share))]
+    return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in seen if x))) * (1 if n * of_others > other * of else -1)
+
+
 def phrases_of(words: list[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
@@ -206,7 +235,7 @@ def _excused(texts: DataFrame, chosen: dict[str, float], least_count: int) -> li
         yield pa.RecordBatch.from_arrays([pa.array([p for (p, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["p", "label", "n"])
 
     sums = texts.where("_part > 0").select("_text", "_label").mapInArrow(run, "p string, label int, n long").groupBy("p").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-    return [r.p for r in sums.where((F.col("clean") >= least_count) & (F.col("toxic") == 0)).orderBy("p").limit(1000).collect()]
+    return [r.p for r in sums.where((F.col("clean") >= least_count) & (F.col("toxic") == 0)).orderBy("p").collect()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -225,7 +254,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) and predicted (score >= 0.5) of every whole text; a null text is empty and scores
-    as one without hits."""
+    as one without hits. One row out for each row in, whatever its id; an empty table gives an empty result;
+    further columns aren't read. Texts of any length are read whole, in time that grows with their length."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def start():
