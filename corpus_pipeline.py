@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality, near-dedup, personal data, mixing, encoding.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that go on; the last gives digests of
-their tokens.
+Each stage takes (spark, docs, sf_dir) and gives the documents that go on, all columns as they were whatever
+their names; the last gives digests of their tokens. Texts of any length are read whole; repeated rows
+and null ids are rows like others; an empty table passes through every stage. Null and empty texts go at
+the first stage, and where they meet a later one they are empty texts.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import byte_bpe, mixing, pii, quality, queries, simhash
-from glyphmill.llm.common import table, written
+from glyphmill.llm.common import release, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each SimHash component."""
+    """Keeps the least doc_id of each SimHash component: three words and two bits, the measure of the operator's query."""
     return simhash.keep_one(docs)
 
 
@@ -45,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: The quality model, the fingerprints and the encoder are beyond SQL; tests hold the run against brute force.
+#: The quality model, the fingerprints and the encoder are beyond SQL; tests/llm/test_pipeline.py holds the run against brute force.
 ORACLE_SQL = None
 
 
@@ -53,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; what each keeps is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.split()[0])
+        release(before)
     return docs
