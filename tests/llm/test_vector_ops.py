@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, embed_dedup
+from glyphmill.llm import ann, embed_dedup, queries
 
 
 @pytest.fixture(scope="module")
@@ -44,10 +45,49 @@ def test_near_duplicates_equal_brute_force(spark, rows):
 
 
 def test_crowded_cells_are_dealt_over_salts(spark, rows):
-    vectors = embed_dedup.distinct_vectors(frame(spark, rows), "vec_id", "embedding").cache()
-    placed = embed_dedup.cells(vectors, 0.95, 8, 5).cache()
-    whole = {tuple(r) for r in embed_dedup.candidates(placed, 0.95).collect()}
-    assert whole and whole == {tuple(r) for r in embed_dedup.candidates(placed, 0.95, per_task=3).collect()}
+    vectors = embed_dedup.distinct_vectors(frame(spark, rows), "vec_id", "embedding").withColumn("key", F.unhex("key")).cache()
+    counted = lambda per_task: {bytes(r.key): r.n for r in embed_dedup.links(vectors, 0.95, per_task=per_task).where("links is not null").groupBy("key").agg(F.sum("links").alias("n")).collect()}
+    whole = counted(8192)
+    assert whole and whole == counted(3)
+
+
+def test_a_dense_cluster_makes_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    dense = rng.standard_normal(16) + 0.02 * rng.standard_normal((400, 16))
+    vectors = embed_dedup.distinct_vectors(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(dense)]), "vec_id", "embedding").withColumn("key", F.unhex("key"))
+    found = embed_dedup.links(vectors, 0.95)
+    assert found.count() < 400 * 40 and found.agg(F.sum("links")).first()[0] == 400 * 399
+
+
+@pytest.mark.parametrize("case", ["one long", "uneven", "huge", "tiny"])
+def test_recall_with_uneven_norms(spark, case):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "one long":
+        x[7] *= 10
+    elif case == "uneven":
+        x *= rng.uniform(1, 100, (600, 1))
+    elif case == "huge":
+        x[7, 3] = 1e160
+    else:
+        x[5:100] *= 1e-170
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), factor=queries.ANN_FACTOR, shard_rows=100, leaf=16).collect()
+    right = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        right += len({r.vec_id for r in got if r.query_id == q} & set([i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]))
+    assert right / (30 * 20) >= 0.9
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (20, [1.0, 0.1]), (20, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS key", "2 AS vector", "3 AS rank", "4 AS query")
+    got = embed_dedup.near_duplicates(df).collect()
+    assert sorted(r.n_links for r in got) == [0, 4, 4, 4, 4, 4] and {r.component_id for r in got} == {1}
+    found = ann.nearest(df, df.where("vec_id = 20")).collect()
+    assert len(found) == 8 and [r.vec_id for r in sorted(found, key=lambda r: r["rank"])][:2] == [1, 1]
 
 
 @pytest.mark.parametrize("factor", [1.0, 1.2])
