@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import components, per_text, written
+from glyphmill.llm.common import components, heavy, keep_rows, lookup, per_text, text_hash, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -85,37 +85,39 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Texts with one fingerprint are collapsed before anything is joined, so copies cost nothing further;
     joins and components then run on distinct fingerprints. Null and empty texts share fingerprint
     zero and are linked. Rows with a repeated id each keep their own row; a component whose ids are
-    all null has a null component_id.
+    all null has a null component_id; an empty table gives an empty result. Texts of any length are read
+    whole, in linear time; further columns of ``df`` aren't read.
     """
     marked = written(fingerprints(df, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    rooted = _rooted(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
-    lowest = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = marked.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("n"))
+    classes = _classes(groups).withColumnRenamed("_of_all", "component_id")
+    rows = lookup(marked, classes, ["fp"], heavy(groups, ["fp"]))
+    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(groups: DataFrame) -> DataFrame:
-    """fp, root (the least linked fingerprint) and _least of rows with distinct fp."""
+def _classes(groups: DataFrame) -> DataFrame:
+    """fp and _of_all, the least _least of all linked fingerprints. ``groups`` has one row for each fp."""
     roots = components(links(groups.select("fp")))
-    return groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
+    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
+    rooted = written(rooted, "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("_least").alias("_of_all"), F.count("*").alias("n"))
+    return lookup(rooted.select("fp", "root"), lowest.select("root", "_of_all"), ["root"], heavy(lowest, ["root"])).select("fp", "_of_all")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row of ``df`` for each near-duplicate component: of its least id (a null one comes last), and of several
     texts with that id the one of the least hash.
 
     A row is known by its id and the hash of its text, so neither null ids nor ids that stand on different
     texts drag a row of another component along. Equal texts are in one component, hence a kept pair
-    names rows of that component only; of rows that repeat the pair, one stays.
+    names rows of that component only; of rows that repeat the pair, one stays. Ids and hashes are
+    joined and shuffled; texts stay where they lie (``keep_rows``). Null and empty texts are one component; an empty
+    table gives an empty result; further columns go along whatever their names.
     """
-    text_hash = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("hash"))
-    marked = written(fingerprints(df.select(row.alias("_row"), text_col), id_col="_row", text_col=text_col), "fingerprints")
-    counted = marked.groupBy("fp", "_row").agg(F.count("*").alias("n"))
-    rooted = _rooted(counted.groupBy("fp").agg(F.min(F.struct("_row", "n")).alias("_least")))
-    found = written(rooted.groupBy("root").agg(F.min("_least").alias("_least")).select("_least.*"), "kept")
-    kept = found.select(F.col("_row.id").alias("_kept"), F.col("_row.hash").alias("_kept_hash"))
-    hashed = df.withColumn("_hash", text_hash)
-    out = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    repeated = found.where("n > 1").limit(1).count() > 0
-    return (out.dropDuplicates([id_col, "_hash"]) if repeated else out).drop("_hash")
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash(text_col).alias("hash"))
+    marked = fingerprints(df.select(row.alias("_row"), F.col(text_col).alias("_text")), id_col="_row", text_col="_text", words=words)
+    counted = written(marked.groupBy("fp", "_row").agg(F.count("*").alias("n")), "fingerprints")
+    groups = counted.groupBy("fp").agg(F.min("_row").alias("_least"), F.count("*").alias("n"))
+    told = lookup(counted, _classes(groups), ["fp"], heavy(groups, ["fp"]))
+    decided = written(told.select("_row.id", "_row.hash", "n", (F.col("_row") == F.col("_of_all")).alias("kept")), "decided")
+    return keep_rows(df, decided, id_col, text_col)
