@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import heavy, lookup, written
 
 LEVELS = ("domain", "lang", "source")
+#: Leaves, of some tens of bytes each, up to which the plan is broadcast; beyond, rows meet it in a salted join.
+MOST_BROADCAST = 100_000
 #: Digits of a document's place, and values of each: a leaf's running total is found digit by digit.
 DIGITS, BASE = 4, 64
 
@@ -132,7 +134,8 @@ def _times(docs, kept, domain, weights, budget, max_epochs, default, seed, id_co
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n"))
     leaves = written(leaves, "leaves")
-    hot = heavy(leaves, list(LEVELS))
+    small = leaves.count() <= MOST_BROADCAST
+    hot = None if small else heavy(leaves, list(LEVELS))
     plan = leaf_budgets(leaves.drop("n"), budget=budget, weights=weights, default=default, max_epochs=max_epochs)
     whole = F.when(F.col("n_tokens") > 0, F.floor(F.col("leaf_budget") / F.col("n_tokens"))).otherwise(F.lit(0))
     plan = plan.withColumn("epochs", whole.cast("int")).select(*LEVELS, "epochs", (F.col("leaf_budget") - F.col("epochs") * F.col("n_tokens")).alias("rest"))
@@ -141,7 +144,7 @@ def _times(docs, kept, domain, weights, budget, max_epochs, default, seed, id_co
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce("_id", F.lit(""))))
     # four digits of base 64 are six hexadecimal ones
     place = F.conv(F.substring("order", 1, 6), 16, 10).cast("long")
-    on_plan = lambda df: lookup(df, plan, list(LEVELS), hot).withColumn("order", hashed).withColumn("place", place)
+    on_plan = lambda df: lookup(df, F.broadcast(plan) if small else plan, list(LEVELS), hot).withColumn("order", hashed).withColumn("place", place)
     ends = _prefix_ends(on_plan(rows.select("_id", *LEVELS, "n_tokens")))
     plan = written(plan.join(ends, list(LEVELS), "left"), "plan")
     placed = on_plan(rows)
