@@ -92,18 +92,33 @@ def candidate_label(display: Column, backend: Column, gb: Column, installed: Col
     return F.concat_ws(" · ", display, where, F.when(installed, F.lit("installed")).otherwise(F.concat(F.lit("~"), size, F.lit(" download"))))
 
 
-def listing_names(lines: DataFrame, line: str) -> DataFrame:
-    """Names of a text listing: header and blank lines skipped, first word, no cloud models."""
+def listing_names(lines: DataFrame, line: str, number: str) -> DataFrame:
+    """Names of a text listing: its first line (the least ``number``, from 0) and blank lines skipped, first word, no cloud models."""
     name = F.get(F.split(F.trim(c(line)), r"\s+"), F.lit(0))
-    return lines.withColumn("name", name).where((c("name") != "") & (F.lower("name") != "name") & ~c("name").endswith(":cloud"))
+    return lines.withColumn("name", name).where((c(number) > 0) & (c("name") != "") & ~c("name").endswith(":cloud"))
 
 
 def served_models(payload: DataFrame, col: str) -> DataFrame:
-    """Names of a server's JSON listing; entries that are no objects or have no name are dropped."""
-    rows = F.explode(F.coalesce(F.try_variant_get(F.try_parse_json(col), "$.data", "array<variant>"), F.array().cast("array<variant>")))
+    """Names of a server's JSON listing, under models or else data; entries that are no objects or have no name are dropped."""
+    entries = lambda path: F.try_variant_get(F.try_parse_json(col), path, "array<variant>")
+    some = F.when(F.size(entries("$.models")) > 0, entries("$.models"))
+    rows = F.explode(F.coalesce(some, entries("$.data"), F.array().cast("array<variant>")))
     node = payload.select("*", rows.alias("_v"))
-    text = lambda path: F.nullif(F.try_variant_get("_v", path, "string"), F.lit(""))
-    return node.withColumn("name", F.coalesce(text("$.id"), text("$.model"))).where("name is not null").drop("_v")
+    text = lambda path: F.nullif(F.trim(F.try_variant_get("_v", path, "string")), F.lit(""))
+    return node.withColumn("name", F.coalesce(text("$.id"), text("$.model"), text("$.name"))).where("name is not null").drop("_v")
+
+
+def listed(names: DataFrame, known: DataFrame, *, served: bool = False) -> DataFrame:
+    """Names with their catalogue entry, best first: by priority, then lower-case name. What a server has loaded counts as able to see."""
+    out = match_catalogue(names, known, "name")
+    return (out.withColumn("vision", F.lit(True)) if served else out).orderBy("priority", F.lower("name"), "name")
+
+
+def installed_tags(payload: DataFrame, col: str) -> DataFrame:
+    """Distinct tags of a server's JSON listing of what it has; a broken answer has none."""
+    rows = F.explode(F.coalesce(F.try_variant_get(F.try_parse_json(col), "$.models", "array<variant>"), F.array().cast("array<variant>")))
+    node = payload.select(rows.alias("_v"))
+    return node.select(F.nullif(F.try_variant_get("_v", "$.name", "string"), F.lit("")).alias("tag")).where("tag is not null").distinct()
 
 
 def cache_refs(lines: DataFrame, line: str) -> DataFrame:
@@ -136,6 +151,19 @@ def preflight(provider: Column, url_local: Column, reachable: Column, model: Col
     return F.when(~provider.isin("ollama", "llamacpp"), row(True, None, "no model needed")).when(~url_local, row(False, None, "url not local")).when(provider == "ollama", ollama).otherwise(llama)
 
 
+def recommendation_text(selected: Column, note: Column, best: Column, best_note: Column) -> Column:
+    """What to say of the selected and of the best model (nulls where there is none)."""
+    praise = F.when(best.isNotNull(), F.concat(F.lit("Best fit: "), best, F.lit(". "), best_note))
+    other = F.when(selected.isNotNull() & ~selected.eqNullSafe(best), F.concat(F.lit("In use: "), selected, F.lit(". "), note))
+    same = F.when(selected.isNotNull() & selected.eqNullSafe(best), F.concat(F.lit("In use now: "), note))
+    return F.concat_ws(" ", praise, other, same)
+
+
+def choices(running: Column, startable: Column) -> Column:
+    """Names that run, then those that could be started; each once, in that order."""
+    return F.array_distinct(F.concat(running, startable))
+
+
 def first_run_needed(models: DataFrame, marked: bool) -> DataFrame:
     """One row: whether setup should be offered, that is if it wasn't yet and no vision model is there."""
     return models.agg((~F.coalesce(F.bool_or("vision"), F.lit(False)) & ~F.lit(marked)).alias("needed"))

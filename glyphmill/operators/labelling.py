@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import time
 from collections.abc import Callable
 
@@ -25,14 +26,14 @@ def asked(ask: Callable[[], str], pauses: tuple[float, ...] = PAUSES) -> str:
     return ask()
 
 
-def with_answers(icons: DataFrame, client: Callable[[], Callable[[bytes, str], str]], *, picture: str = "png", prompt: str = "prompt", name: str = "answer", pauses: tuple[float, ...] = PAUSES) -> DataFrame:
+def with_answers(icons: DataFrame, client: Callable[[], Callable[[bytes, str], str]] | None = None, *, picture: str = "png", prompt: str = "prompt", name: str = "answer", pauses: tuple[float, ...] = PAUSES) -> DataFrame:
     """Adds the labeller's answer to every row; null where there is no picture or the labeller fails, so that one
     picture never fails the job. ``client`` is called once a task and gives the function that answers."""
     ship_package(icons.sparkSession)
     schema = StructType([*icons.schema, StructField(name, StringType())])
 
     def run(stream):
-        ask = client()
+        ask = (client or no_client)()
 
         def answer(content, words):
             try:
@@ -46,3 +47,20 @@ def with_answers(icons: DataFrame, client: Callable[[], Callable[[bytes, str], s
             yield rows.assign(**{name: pd.Series(found, index=rows.index, dtype=object)})
 
     return icons.mapInPandas(run, schema)
+
+
+def generate_request(model: str, prompt: str, png: bytes) -> dict:
+    """Body of a generate call: fixed format of that server's interface."""
+    return {"model": model, "prompt": prompt, "images": [base64.b64encode(png).decode()], "stream": False}
+
+
+def chat_request(model: str, prompt: str, png: bytes, media: str = "image/png") -> dict:
+    """Body of a chat call with a picture: fixed format of that server's interface. A server that has one model needs no name."""
+    picture = {"type": "image_url", "image_url": {"url": f"data:{media};base64,{base64.b64encode(png).decode()}"}}
+    body = {"messages": [{"role": "user", "content": [{"type": "text", "text": prompt}, picture]}], "stream": False, "temperature": 0}
+    return body | ({"model": model} if model else {})
+
+
+def no_client() -> Callable[[bytes, str], str]:
+    """The labeller that is used where none is given: it answers nothing, so that icons keep their stems."""
+    return lambda picture, prompt: ""

@@ -54,11 +54,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def otsu_or_distance(d: Column, dl: Column, dark: Column) -> Column:
-    """Foreground: either distance beyond its limit, or dark by Otsu."""
-    return (d > c("limit")) | (dl > c("light_limit")) | dark
-
-
 def kernel_size(gap: Column) -> Column:
     """3 at least, odd, rounded up."""
     return F.greatest(F.lit(3), gap + F.when(gap % 2 == 0, 1).otherwise(0))

@@ -145,27 +145,42 @@ def transparent_crop(bgr: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.dstack([bgr[..., 2::-1], np.where(exterior(mask), 0, 255).astype(np.uint8)])
 
 
-def detect(bgr: np.ndarray, min_area: int, merge_gap: int) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, area) of each icon: the mask is spread so that strokes near each other join; the area is the
-    spread one's, the box is tightened to the mask."""
+def colours(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """BGR pixels of an image row; gray becomes three channels and opacity is left out."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., :3]
+
+
+def detect(bgr: np.ndarray, min_area: int, merge_gap: int) -> list[tuple[tuple, tuple, int]]:
+    """(tightened box, spread box, area) of each icon: the mask is spread so that strokes near each other join; the
+    area is the spread one's."""
     mask = foreground(bgr)
     spread = dilate(mask, ellipse(max(3, merge_gap + (merge_gap % 2 == 0))))
     labels = label(spread)
+    ys, xs = np.nonzero(labels)
+    number = labels[ys, xs]
+    order = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[order], np.arange(1, number.max(initial=0) + 2))
     out = []
-    for n in range(1, labels.max(initial=0) + 1):
-        ys, xs = np.nonzero(labels == n)
-        if len(ys) < min_area:
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        if e - s < min_area:
             continue
-        x, y, x2, y2 = xs.min(), ys.min(), xs.max() + 1, ys.max() + 1
-        py, px = np.nonzero(mask[y:y2, x:x2])
-        if len(py):
-            x, y, x2, y2 = x + px.min(), y + py.min(), x + px.max() + 1, y + py.max() + 1
-        out.append((int(x), int(y), int(x2 - x), int(y2 - y), len(ys)))
+        own = order[s:e]
+        wide = box_of(ys[own], xs[own])
+        x, y, w, h = wide
+        py, px = np.nonzero(mask[y : y + h, x : x + w])
+        out.append((box_of(py + y, px + x) if len(py) else wide, wide, int(e - s)))
     return out
 
 
+def box_of(ys: np.ndarray, xs: np.ndarray) -> tuple[int, int, int, int]:
+    x, y = int(xs.min()), int(ys.min())
+    return x, y, int(xs.max()) + 1 - x, int(ys.max()) + 1 - y
+
+
 def detect_boxes(sheets: DataFrame, *, min_area: int = 200, merge_gap: int = 13) -> DataFrame:
-    """sheet_id, x, y, w, h, area, bg (r, g, b) of every sheet of the image source; one sheet in memory at a time."""
+    """sheet_id, x, y, w, h (tightened), spread (x, y, w, h), area, bg (r, g, b), sheet_w, sheet_h of every icon of the
+    image source's sheets; one sheet in memory at a time."""
     ship_package(sheets.sparkSession)
     rows = sheets.select(F.col("image.origin").alias("sheet_id"), "image.height", "image.width", "image.nChannels", "image.data")
 
@@ -174,10 +189,30 @@ def detect_boxes(sheets: DataFrame, *, min_area: int = 200, merge_gap: int = 13)
 
         for batch in stream:
             for sheet, h, w, n, data in batch.itertuples(index=False):
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                bgr = np.repeat(pixels, 3, axis=2) if n == 1 else pixels[..., :3]
+                bgr = colours(data, h, w, n)
                 bg = list(background(bgr))
-                found = detect(bgr, min_area, merge_gap)
-                yield pd.DataFrame({"sheet_id": [sheet] * len(found), **{k: [f[i] for f in found] for i, k in enumerate(("x", "y", "w", "h", "area"))}, "bg": [bg] * len(found)})
+                found = [(sheet, *tight, dict(zip("xywh", wide, strict=True)), area, bg, w, h) for tight, wide, area in detect(bgr, min_area, merge_gap)]
+                yield pd.DataFrame(found, columns=["sheet_id", "x", "y", "w", "h", "spread", "area", "bg", "sheet_w", "sheet_h"])
+
+    return rows.mapInPandas(run, "sheet_id string, x int, y int, w int, h int, spread struct<x:int,y:int,w:int,h:int>, area int, bg array<int>, sheet_w int, sheet_h int")
+
 
-    return rows.mapInPandas(run, "sheet_id string, x int, y int, w int, h int, area int, bg array<int>")
+def drawn_sheets(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """Sheets as the image source gives them, drawn from rows of sheet and boxes (x, y, w, h, shade): dark rectangles on a light
+    ground. For trying detection on tables that hold no pictures."""
+    ship_package(rows.sparkSession)
+
+    def run(stream):
+        import pandas as pd
+
+        for batch in stream:
+            out = []
+            for sheet, boxes in zip(batch["sheet"], batch["boxes"], strict=True):
+                page = np.full((height, width, 3), 245, np.uint8)
+                for b in boxes:
+                    page[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = (b["shade"], 40, 30)
+                out.append({"origin": sheet, "height": height, "width": width, "nChannels": 3, "data": page.tobytes()})
+            yield pd.DataFrame(out)
+
+    flat = rows.select("sheet", "boxes").mapInPandas(run, "origin string, height int, width int, nChannels int, data binary")
+    return flat.select(F.struct("origin", "height", "width", "nChannels", "data").alias("image"))

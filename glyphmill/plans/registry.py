@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import catalog, geometry, naming, pixels, settings
+from glyphmill.operators import catalog, geometry, naming, pixels, raster, settings, sheets
 
 c = F.col
 CANVAS = 512
@@ -447,7 +447,7 @@ def metadata_rows(spark, sf_dir):
 def model_listing(spark, sf_dir):
     k = c("p_partkey") % 5
     line = F.when(k == 0, "NAME  ID").when(k == 1, "").when(k == 2, F.concat("p_brand", F.lit(":cloud  x"))).otherwise(F.concat(F.lit("  "), "p_brand", F.lit(":"), c("p_size").cast("string"), F.lit("  abc")))
-    return catalog.listing_names(table(spark, sf_dir, "part").withColumn("line", line), "line").select("p_partkey", "name")
+    return catalog.listing_names(table(spark, sf_dir, "part").withColumns({"line": line, "number": k}), "line", "number").select("p_partkey", "name")
 
 
 @query(r"with l as (select p_partkey, case when p_partkey % 3 = 0 then 'cached models: ' || p_size else '  ' || p_size || '. ' || p_brand || ':Q4 ' end line from part), r as (select p_partkey, regexp_extract(line, '^\s*\d+\.\s+(\S+)\s*$', 1) ref from l) select * from r where ref <> ''")
@@ -515,3 +515,69 @@ def first_run(spark, sf_dir):
     models = table(spark, sf_dir, "nation").select((c("n_nationkey") % 5 == 9).alias("vision"))
     gate = lambda marked: catalog.first_run_needed(models, marked).withColumn("marked", F.lit(marked))
     return gate(True).unionByName(gate(False))
+
+
+# ---- icons, choices and texts ------------------------------------------------------------------
+
+
+@query()
+def sheet_icons(spark, sf_dir):
+    """Every customer's orders drawn as rectangles of one sheet, and the icons that the sheet's pixels give."""
+    order = F.col("o_orderkey")
+    place = [(order * 37 % 80).alias("x"), (order * 53 % 50).alias("y"), (5 + order % 9).alias("w"), (5 + order % 7).alias("h"), (order % 200).alias("shade")]
+    drawn = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sheet"), F.struct("o_orderkey", *place).alias("box")).groupBy("sheet").agg(F.sort_array(F.collect_list("box")).alias("boxes"))
+    found = sheets.icons(raster.drawn_sheets(drawn, 64, 96), min_area=20, merge_gap=3, padding=2, canvas=(24, 24))
+    return found.select(F.col("sheet_id").alias("sheet"), "icon_index", "source_bounds", "source_size", F.round("scale", 9).alias("scale"), "dominant_color", "palette")
+
+
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda v: v::double * 100 * case when label = 0 then 1 else 1 + vec_id % 5 end) v from embeddings),
+  m as (select list(a order by i) mean from (select i, avg(x) a from (select unnest(range(1, 65)) i, unnest(v) x from e where label = 0) group by i)),
+  d as (select vec_id, label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - mean[i]) * (v[i] - mean[i])))) d, abs(v[1] - mean[1]) dl from e, m),
+  t as (select greatest(12.0, quantile_cont(d, 0.95) * 2.5 + 6) lim, greatest(10.0, quantile_cont(dl, 0.95) * 2.5 + 4) light from d where label = 0)
+  select vec_id, round(d, 4) d, d > lim or dl > light far, round(lim, 4) lim, round(light, 4) light from d, t""")
+def colour_limits(spark, sf_dir):
+    """Distances from a border's mean, held against the limits that the border's own distances give."""
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double") * 100 * F.when(c("label") == 0, 1).otherwise(1 + c("vec_id") % 5)).alias("v"))
+    limits = pixels.distance_threshold(every.where("label = 0"), "v")
+    rows = every.crossJoin(F.broadcast(limits)).withColumns({"d": pixels.distance(c("v"), c("mean")), "dl": F.abs(F.get("v", F.lit(0)) - F.get("mean", F.lit(0)))})
+    far = (c("d") > c("limit")) | (c("dl") > c("light_limit"))
+    return rows.select("vec_id", F.round("d", 4).alias("d"), far.alias("far"), F.round("limit", 4).alias("lim"), F.round("light_limit", 4).alias("light"))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'Ollama naming: ' || coalesce(nullif(m, ''), 'no model') when 1 then 'llama.cpp naming: ' || coalesce(nullif(m, ''), 'the loaded model') when 2 then 'Directory catalogue: ' || coalesce(nullif(m, ''), 'no adapter') else 'Geometry only' end summary from (select c_custkey, case when c_nationkey % 3 = 0 then '' else c_name end m from customer)""")
+def provider_summaries(spark, sf_dir):
+    provider = F.when(c("c_custkey") % 4 == 0, "ollama").when(c("c_custkey") % 4 == 1, "llamacpp").when(c("c_custkey") % 4 == 2, "directory").otherwise("geometry")
+    model = F.when(c("c_nationkey") % 3 == 0, "").otherwise(c("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", settings.provider_summary(provider, model).alias("summary"))
+
+
+@query("""with j as (select c_custkey, case c_custkey % 3 when 0 then '{broken' when 1 then '{"models":[{"name":"' || c_name || '"},{"name":""},7]}' else '{"models":[{"name":"n' || c_nationkey || '"},{"name":"n' || c_nationkey || '"}]}' end j from customer),
+  e as (select unnest(json_extract(j, '$.models[*]')) e from j where json_valid(j)) select distinct json_extract_string(e, '$.name') tag from e where json_type(e) = 'OBJECT' and json_extract_string(e, '$.name') <> ''""")
+def tag_listing(spark, sf_dir):
+    named = lambda name: F.concat(F.lit('{"name":"'), name, F.lit('"}'))
+    nation = F.concat(F.lit("n"), c("c_nationkey").cast("string"))
+    some = F.concat(F.lit('{"models":['), named(c("c_name")), F.lit(',{"name":""},7]}'))
+    twice = F.concat(F.lit('{"models":['), named(nation), F.lit(","), named(nation), F.lit("]}"))
+    payload = F.when(c("c_custkey") % 3 == 0, "{broken").when(c("c_custkey") % 3 == 1, some).otherwise(twice)
+    return catalog.installed_tags(table(spark, sf_dir, "customer").withColumn("j", payload), "j")
+
+
+@query("""select c_custkey, concat_ws(' ', case when b is not null then 'Best fit: ' || b || '. ' || c_mktsegment end, case when s is not null and s is distinct from b then 'In use: ' || s || '. ' || c_name end, case when s is not null and s is not distinct from b then 'In use now: ' || c_name end) said,
+  case when c_custkey % 2 = 0 then 'a|b|' || c_mktsegment else c_mktsegment || '|b|a' end choices from (select *, case when c_custkey % 3 = 0 then null else 'm' || c_nationkey % 2 end b, case when c_custkey % 5 = 0 then null else 'm' || c_custkey % 2 end s from customer)""")
+def model_choices(spark, sf_dir):
+    best = F.when(c("c_custkey") % 3 != 0, F.concat(F.lit("m"), (c("c_nationkey") % 2).cast("string")))
+    selected = F.when(c("c_custkey") % 5 != 0, F.concat(F.lit("m"), (c("c_custkey") % 2).cast("string")))
+    running = F.when(c("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array("c_mktsegment"))
+    startable = F.when(c("c_custkey") % 2 == 0, F.array(F.lit("b"), c("c_mktsegment"))).otherwise(F.array(F.lit("b"), c("c_mktsegment"), F.lit("a")))
+    said = catalog.recommendation_text(selected, c("c_name"), best, c("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", said.alias("said"), F.array_join(catalog.choices(running, startable), "|").alias("choices"))
+
+
+@query("select p_partkey, p_size || ' x ' || (p_size + 3) source, '512 x 512' canvas, case when p_size % 2 = 0 then 'png, tiff' else 'svg' end formats, cast(greatest(1, round(p_size * 20 * least(1.0, 420.0 / (p_size * 20), 420.0 / (p_size * 10)))) as int) w, cast(greatest(1, round(p_size * 10 * least(1.0, 420.0 / (p_size * 20), 420.0 / (p_size * 10)))) as int) h from part")
+def results(spark, sf_dir):
+    pair = lambda w, h: F.struct(w.alias("w"), h.alias("h"))
+    outputs = F.when(c("p_size") % 2 == 0, F.create_map(F.lit("tiff"), F.lit("b"), F.lit("png"), F.lit("a"))).otherwise(F.create_map(F.lit("svg"), F.lit("c")))
+    icons = table(spark, sf_dir, "part").select(c("p_partkey").alias("sheet_id"), F.lit(1).alias("icon_index"), F.lit("icon_001").alias("stem"), outputs.alias("outputs"), pair(c("p_size"), c("p_size") + 3).alias("source_size"), pair(F.lit(512), F.lit(512)).alias("canvas_size"))
+    sized = table(spark, sf_dir, "part").select(c("p_partkey").alias("sheet_id"), (c("p_size") * 20).alias("w"), (c("p_size") * 10).alias("h"))
+    small = sized.withColumns(sheets.thumbnail_size())
+    return sheets.results_listing(icons).join(small, "sheet_id").select(c("sheet_id").alias("p_partkey"), "source", "canvas", "formats", "w", "h")

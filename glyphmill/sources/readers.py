@@ -35,9 +35,10 @@ def element_boxes(lines: DataFrame, line: str) -> DataFrame:
 
 
 def directory_listing(files: DataFrame, path: str) -> DataFrame:
-    """Names of the visible files, without their endings, in lower-case order."""
-    name = F.regexp_extract(path, r"([^/]+)/?$", 1)
-    return files.select(name.alias("file")).where(~c("file").startswith(".")).select(F.regexp_replace("file", r"(?<=.)\.[^.]*$", "").alias("name")).orderBy(F.lower("name"), "name")
+    """Names of the visible entries in lower-case order: a file's without its ending, a directory's (its path ends with a slash) whole."""
+    entry = files.select(F.regexp_extract(path, r"([^/]+)/?$", 1).alias("file"), c(path).endswith("/").alias("folder")).where(~c("file").startswith("."))
+    name = F.when(c("folder"), c("file")).otherwise(F.regexp_replace("file", r"(?<=.)\.[^.]*$", ""))
+    return entry.select(name.alias("name")).orderBy(F.lower("name"), "name")
 
 
 def pull_events(lines: DataFrame, line: str) -> DataFrame:

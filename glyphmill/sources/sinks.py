@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import struct
+import uuid
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glyphmill.operators import naming
+from glyphmill.plans.session import ship_package
 
 c = F.col
 VERSION = "1.0.0"
@@ -76,16 +80,85 @@ def shifted(xml: Column, dx: Column, dy: Column) -> Column:
     return F.when(had, F.regexp_replace(xml, F.lit(r'^(<[^>]*\stransform=")'), F.concat(F.lit("$1"), move, F.lit(" ")))).otherwise(F.regexp_replace(xml, F.lit(r"^(<[A-Za-z:]+)"), F.concat(F.lit('$1 transform="'), move, F.lit('"'))))
 
 
-_METADATA = re.compile(r"<(?:\w+:)?metadata\b[^>]*?(?:/>|>.*?</(?:\w+:)?metadata>)", re.S)
-
-
 def with_metadata(svg: Column, payload: Column) -> Column:
-    """The drawing with one metadata element, the first child of its root; text that is no drawing stays."""
-    safe = F.replace(F.replace(F.replace(payload, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    bare = F.regexp_replace(svg, r"(?s)<(?:\w+:)?metadata\b[^>]*?(?:/>|>.*?</(?:\w+:)?metadata>)", "")
-    place = F.regexp_instr(bare, F.lit(r"<svg\b[^>]*>"))
-    head = F.regexp_extract(bare, r"(?s)^(.*?<svg\b[^>]*>)", 1)
-    return F.when(place > 0, F.concat(head, F.lit("<metadata>"), safe, F.lit("</metadata>"), F.substring(bare, F.length(head) + 1, F.length(bare)))).otherwise(svg)
+    """The drawing with one metadata element, the first child of its root, in place of metadata that the root had; metadata
+    deeper in the drawing stays, and text that is no drawing stays as it is."""
+    if session := SparkSession.getActiveSession():
+        ship_package(session)
+    return _with_metadata(svg, payload)
+
+
+@F.pandas_udf(StringType())
+def _with_metadata(svg: pd.Series, payload: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else put_metadata(x, y or "") for x, y in zip(svg, payload, strict=True)], dtype=object)
+
+
+def put_metadata(svg: str, payload: str) -> str:
+    try:
+        root = ElementTree.fromstring(svg)
+    except ElementTree.ParseError:
+        return svg
+    for child in [x for x in root if isinstance(x.tag, str) and x.tag.endswith("metadata")]:
+        root.remove(child)
+    space = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
+    new = ElementTree.Element(f"{space}metadata")
+    new.text = payload
+    root.insert(0, new)
+    ElementTree.register_namespace("", space[1:-1] or "http://www.w3.org/2000/svg")
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def svg_canvas(children: Column, defs: Column, transform: Column, width: int, height: int) -> Column:
+    """A drawing of the canvas's size: the definitions, then the icon's elements in one group with its transform."""
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">'
+    hoisted = F.when(F.size(defs) > 0, F.concat(F.lit("<defs>"), F.array_join(defs, ""), F.lit("</defs>"))).otherwise("")
+    return F.concat(F.lit(head), hoisted, F.lit('<g transform="'), transform, F.lit('">'), F.array_join(children, ""), F.lit("</g></svg>"))
+
+
+def folder(sheet: Column) -> Column:
+    """A sheet's folder: its file name, with a digest of its whole path, as sheets of one name may lie in different folders."""
+    return F.concat(F.regexp_extract(sheet, r"([^/]*?)(?:\.[^./]*)?/?$", 1), F.lit("-"), F.substring(F.md5(sheet), 1, 8))
+
+
+def write_pictures(icons: DataFrame, path: str, kinds: list[str]) -> DataFrame:
+    """Writes each icon's picture as path/<sheet>/<kind>/<stem>.<kind> (png, tiff) and gives a row for each file; the files are written
+    when the rows are asked for. ``path`` is any file system that pyarrow knows and all executors see. A file
+    appears whole under its name, and a task that runs again writes the same file again."""
+    ship_package(icons.sparkSession)
+    rows = icons.select(folder(c("sheet_id")).alias("folder"), "stem", "png")
+
+    def run(stream):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for batch in stream:
+            files = []
+            for under, stem, png in zip(batch["folder"], batch["stem"], batch["png"], strict=True):
+                for kind in kinds:
+                    place = f"{top}/{under}/{kind}"
+                    store.create_dir(place, recursive=True)
+                    data = png if kind == "png" else tiff_bytes(png_pixels(png))
+                    draft = f"{place}/.{stem}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(draft) as out:
+                        out.write(data)
+                    store.move(draft, f"{place}/{stem}.{kind}")
+                    files.append((f"{place}/{stem}.{kind}", len(data)))
+            yield pd.DataFrame(files, columns=["file", "n_bytes"])
+
+    return rows.mapInPandas(run, "file string, n_bytes long")
+
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """Pixels of a file of ``png_bytes``: eight bits, no filters, not interlaced."""
+    width, height, _, kind = struct.unpack(">IIBB", data[16:26])
+    at, packed = 8, b""
+    while at < len(data):
+        (size,) = struct.unpack(">I", data[at : at + 4])
+        if data[at + 4 : at + 8] == b"IDAT":
+            packed += data[at + 8 : at + 8 + size]
+        at += size + 12
+    depth = {0: 1, 2: 3, 6: 4}[kind]
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, width * depth + 1)[:, 1:].reshape(height, width, depth)
 
 
 def png_bytes(pixels: np.ndarray) -> bytes:

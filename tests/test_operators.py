@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from glyphmill.operators import catalog, geometry, labelling, naming, pixels, raster, settings
+from glyphmill.functions import pictures
+from glyphmill.operators import catalog, geometry, labelling, naming, pixels, raster, settings, sheets
 from glyphmill.plans import registry
 from glyphmill.sources import readers, sinks
 from glyphmill.streaming import progress
@@ -145,7 +146,12 @@ def test_kernels_equal_sparse_forms(spark):
 def test_svg_text(spark):
     row = spark.createDataFrame([('<svg a="1"><metadata>old</metadata><g/></svg>', '<path transform="scale(2)" d=""/>', "<rect/>")], "s string, p string, r string")
     got = row.select(sinks.with_metadata(F.col("s"), F.lit('{"a":"<"}')), sinks.shifted(F.col("p"), F.lit(3), F.lit(4)), sinks.shifted(F.col("r"), F.lit(3), F.lit(4)), sinks.svg_of_png(F.lit(bytes(100)).cast("binary"), 5, 6)).first()
-    assert got[0] == '<svg a="1"><metadata>{"a":"&lt;"}</metadata><g/></svg>'
+    assert got[0] == '<svg a="1"><metadata>{"a":"&lt;"}</metadata><g /></svg>'
+    assert sinks.put_metadata("no drawing", "x") == "no drawing"
+    deep = sinks.put_metadata('<svg xmlns="http://www.w3.org/2000/svg"><g><metadata>kept</metadata></g><metadata>old</metadata></svg>', "new")
+    assert deep == '<svg xmlns="http://www.w3.org/2000/svg"><metadata>new</metadata><g><metadata>kept</metadata></g></svg>'
+    canvas = spark.range(1).select(sinks.svg_canvas(F.array(F.lit("<rect/>")), F.array(F.lit("<a/>")), F.lit("scale(2)"), 8, 9)).first()[0]
+    assert canvas.endswith('viewBox="0 0 8 9"><defs><a/></defs><g transform="scale(2)"><rect/></g></svg>')
     assert got[1] == '<path transform="translate(3 4) scale(2)" d=""/>' and got[2] == '<rect transform="translate(3 4)"/>'
     assert "\r" not in got[3] and got[3].startswith("<svg")
 
@@ -240,3 +246,63 @@ def test_sheets_are_dilated_eroded_and_tightened_whole(spark, sf_dir):
     odd = lambda df: df.where("sheet % 2 = 1")
     changed, same = odd(tight.exceptAll(own)).count(), odd(tight).count() - odd(tight.exceptAll(own)).count()
     assert changed > 500 and same > 100
+
+
+def test_sheets_become_files_of_icons(spark, tmp_path):
+    page = np.full((220, 320, 3), 250, np.uint8)
+    page[20:60, 200:250] = (200, 30, 30)
+    page[26:66, 30:80] = (30, 200, 30)
+    page[130:190, 150:210] = (20, 20, 120)
+    page[145:175, 165:195] = 250
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.png").write_bytes(sinks.png_bytes(page))
+    read = readers.png_sheets(spark, str(tmp_path / "*.png"))
+    for mode, bitmaps in (("uniform_to_largest", "transparent_preserve_interior"), ("original", "keep_background"), ("individual_fit", "transparent_preserve_interior")):
+        rows = sheets.icons(read, min_area=100, merge_gap=5, padding=4, canvas=(48, 48), mode=mode, bitmaps=bitmaps).orderBy("sheet_id", "icon_index").collect()
+        assert [(r.stem, tuple(r.source_bounds)) for r in rows] == [("icon_001", (26, 22, 58, 48)), ("icon_002", (196, 16, 58, 48)), ("icon_003", (146, 126, 68, 68))] * 2
+        pictures = [sinks.png_pixels(bytes(r.png)) for r in rows]
+        assert all(p.shape == (48, 48, 4) for p in pictures)
+        if mode == "uniform_to_largest":
+            assert rows[0].scale == 48 / 68 and pictures[2][24, 24, 3] == 255 and pictures[2][0, 0, 3] == 0  # the ring's hole is kept, its outside clear
+            assert rows[0].dominant_color == "#10c010" and rows[2].palette[0] in ("#101070", "#f0f0f0")
+        if mode == "original":
+            assert rows[0].scale == 1.0 and tuple(pictures[0][24, 24]) == (30, 200, 30, 255) and tuple(pictures[0][0, 0]) == (250, 250, 250, 255)
+    kinds = ["png", "tiff"]
+    whole = sheets.with_outputs(sheets.icons(read, min_area=100, merge_gap=5, padding=4, canvas=(48, 48)), str(tmp_path / "out"), kinds)
+    files = {r.file for r in sinks.write_pictures(whole, str(tmp_path / "out"), kinds).collect()}
+    assert files == {f for r in whole.select("outputs").collect() for f in r.outputs.values()} and len(files) == 12
+    back = spark.read.format("image").load(str(tmp_path / "out/*/png/*.png"))
+    assert back.count() == 6 and back.where("image.height = 48 and image.nChannels = 4").count() == 6
+    meta = sinks.metadata(whole, provider="geometry", naming=False).select("meta.*").orderBy("sheet_index").first()
+    assert meta.group_id == "group-001" and meta.formats["png"].endswith("icon_001.png") and meta.dominant_color == "#10c010"
+
+
+def test_pictures_are_resampled_and_laid_over():
+    flat = np.full((10, 20, 4), (100, 150, 200, 255), np.uint8)
+    assert (pictures.resample(flat, 7, 5) == flat[0, 0]).all() and pictures.resample(flat, 20, 10) is flat
+    clear = np.zeros((4, 4, 4), np.uint8)
+    assert (pictures.flattened(clear) == 255).all() and pictures.palette(clear) == []
+    assert pictures.compose(flat, 8, 6, 20, 10, -6, -2)[..., 3].all()
+
+
+def test_requests_and_default_labeller(spark):
+    body = labelling.chat_request("", "p", b"x")
+    assert "model" not in body and body["messages"][0]["content"][1]["image_url"]["url"] == "data:image/png;base64,eA=="
+    assert labelling.generate_request("m", "p", b"x") == {"model": "m", "prompt": "p", "images": ["eA=="], "stream": False}
+    icons = spark.createDataFrame([(b"x", "p"), (None, "p")], "png binary, prompt string")
+    assert [r.answer for r in labelling.with_answers(icons).collect()] == ["", None]
+
+
+def test_listings(spark):
+    lines = spark.createDataFrame([(0, "NAME ID"), (1, "name:1 x"), (2, ""), (3, "llava:7b y"), (4, "z:cloud")], "n int, l string")
+    names = catalog.listing_names(lines, "l", "n")
+    known = catalog.aliases(catalog.catalogue(spark))
+    assert [(r.name, r.vision) for r in catalog.listed(names, known).collect()] == [("llava:7b", True), ("name:1", False)]
+    served = spark.createDataFrame([('{"models":[{"name":"q"}],"data":[{"id":"z"}]}',), ('{"models":[],"data":[{"id":" z "}]}',)], "j string")
+    assert sorted(r.name for r in catalog.served_models(served, "j").collect()) == ["q", "z"]
+    paths = spark.createDataFrame([("file:/m/a.b.gguf",), ("file:/m/dir.x/",), ("file:/m/.hidden",)], "p string")
+    assert [r.name for r in readers.directory_listing(paths, "p").collect()] == ["a.b", "dir.x"]
+    chosen = settings.with_installed(settings.Settings(), "llamacpp", "t", "LLaVA")
+    assert chosen.provider == "llamacpp" and settings.naming_enabled(chosen)
+    prompts = spark.createDataFrame([("moondream:latest",), ("llava",), ("MiniCPM-V",), (None,)], "m string").select(naming.prompt_for(F.col("m"))).collect()
+    assert len({r[0] for r in prompts}) == 4 and all("JSON" in r[0] for r in prompts)
