@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches, bits_for, filter_bits, heavy, in_filter, lookup, written
+from glyphmill.llm.common import batches, bits_for, filter_bits, heavy, in_filter, lookup, release, written
 from glyphmill.llm.rolling import MAX_BLOCK, gram_hashes, mix, prefix_hashes, window_minima
 from glyphmill.plans.session import ship_package
 
@@ -238,6 +238,8 @@ def settle(groups: list, before: list[bytes], after: list[bytes], copies: list[i
 # ---- the job -----------------------------------------------------------------------------------
 
 _KEYS = ["anchor", "check", "content"]
+#: Bytes of segments that are merged at once, or those of one anchor if it has more: small tables stay in a CPU's cache.
+_AT_ONCE = 24 << 10
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -265,7 +267,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
     """(k1, k2, spans): for each content that has any, the runs of windows (first, last) that start elsewhere too.
 
     Content is known by its key, so that exact copies are worked out once. What is shuffled is hashes
-    of anchors, then the places of those that repeat and, once for each task, their segments. An
+    of anchors, then the places of those that repeat and, as often as tasks have them, their segments. An
     anchor with more than ``split_over`` different segments would be too much for one task: there each
     window is a string of its own, and the windows are dealt by their bytes over many merges.
     """
@@ -293,24 +295,19 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
     def places(stream):
         for batch in batches(stream):
-            rows = [(k1, k2, x, check, _content(b, a), first, number) for k1, k2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for x, first, number, check, b, a in passing(t)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["k1", "k2", *_KEYS, "first", "number"])
-
-    placed = long_enough.mapInArrow(places, "k1 long, k2 long, anchor long, check long, content long, first long, number long")
-    placed = written(placed.distinct().join(repeated, "anchor", "left_semi"), "places")
-
-    def texts(stream):
-        for batch in batches(stream):
-            rows = [(x, check, b, a, home) for home, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x, _, _, check, b, a in passing(t)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)], names=["anchor", "check", "before", "after", "home"])
-
-    found = long_enough.select(F.pmod("k1", F.lit(shards)).cast("int").alias("home"), "text").mapInArrow(texts, "anchor long, check long, before binary, after binary, home int")
+            keys = zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True)
+            rows = [(k1, k2, home, x, check, _content(b, a), first, number, b, a) for k1, k2, home, t in keys for x, first, number, check, b, a in passing(t)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 10
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)], names=["k1", "k2", "home", *_KEYS, "first", "number", "before", "after"])
+
+    homed = long_enough.select("k1", "k2", F.pmod("k1", F.lit(shards)).cast("int").alias("home"), "text")
+    found = written(homed.mapInArrow(places, "k1 long, k2 long, home int, anchor long, check long, content long, first long, number long, before binary, after binary"), "found")
+    placed = written(found.select("k1", "k2", *_KEYS, "first", "number").distinct().join(repeated, "anchor", "left_semi"), "places")
     together = [F.min("home").alias("lo"), F.max("home").alias("hi")]
     segment = ["anchor", "check", "before", "after"]
     kinds = written(found.groupBy(*segment).agg(F.count("*").alias("copies"), *together), "segments")
+    release(found)
     numbers = kinds.groupBy("anchor", "check").agg(F.count("*").alias("kinds"), F.sum("copies").alias("copies")).where("copies > 1")
     # so many that 65,536 anchors at most, whose keys are broadcast, are split
     over = max(split_over, -(-kinds.count() // 65_536))
@@ -352,7 +349,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
         for batch in stream:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size > 1 << 20 and (row[0], row[1], row[7]) != (held[-1][0], held[-1][1], held[-1][7]):
+                if size > _AT_ONCE and (row[0], row[1], row[7]) != (held[-1][0], held[-1][1], held[-1][7]):
                     yield out()
                     held, size = [], 0
                 held.append(row)
