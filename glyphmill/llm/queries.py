@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, byte_bpe, embed_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from glyphmill.llm import ann, byte_bpe, embed_dedup, mixing, oracle, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from glyphmill.llm.common import table
 
 
@@ -105,4 +105,8 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": oracle.REPEATS,
+    "op4_embedding_near_dedup": oracle.LINKED_VECTORS,
+    "op8_mixing": oracle.mix_sql(WEIGHTS, BUDGET, EPOCHS, SEED),
+}
