@@ -102,7 +102,17 @@ def vector_order(spark, sf_dir):
     return geometry.vector_order(boxes(spark, sf_dir), "sheet", TIES).select("sheet", "n", "p", "s", "icon_index")
 
 
-@query()
+@query(f"""with recursive {BOXES}, sorted as materialized (select sheet, n, p, s, x, cast(y + h / 2.0 as double) cy, row_number() over (partition by sheet order by y + h / 2.0, y, x, n, p, s, e) k from box),
+  med as materialized (select sheet, greatest(20, floor(list_sort(list(h))[len(list(h)) // 2 + 1] * 0.75::double)) tol from box group by sheet),
+  fold as (select sheet, k, [{{'total': cy, 'n': 1}}] lines, 1::bigint line from sorted where k = 1
+    union all select sheet, k, case when fit > 0 then list_transform(lines, lambda l, i: case when i = fit then {{'total': l.total + cy, 'n': l.n + 1}} else l end) else list_append(lines, {{'total': cy, 'n': 1}}) end,
+      case when fit > 0 then fit else len(lines) + 1 end
+    from (select b.sheet, b.k, b.cy, f.lines, coalesce(list_position(list_transform(f.lines, lambda l: abs(b.cy - l.total / l.n) <= m.tol), true), 0)::bigint fit
+      from fold f join sorted b on b.sheet = f.sheet and b.k = f.k + 1 join med m on m.sheet = b.sheet)),
+  last as (select sheet, max_by(lines, k) lines from fold group by sheet),
+  means as (select sheet, unnest(range(1, len(lines) + 1)) line, unnest(list_transform(lines, lambda l: l.total / l.n)) mean from last),
+  numbered as (select sheet, line, row_number() over (partition by sheet order by mean, line) row_no from means)
+  select sheet, n, p, s, cast(row_no as int) row_no, cast(row_number() over (partition by sheet order by row_no, x, k) as int) icon_index from sorted join fold using (sheet, k) join numbered using (sheet, line)""")
 def reading_order(spark, sf_dir):
     return geometry.reading_order(boxes(spark, sf_dir), "sheet", TIES).select("sheet", "n", "p", "s", "row_no", "icon_index")
 
@@ -253,7 +263,10 @@ def erode_sheets(spark, sf_dir):
     return pixels.erode(dilate_sheets(spark, sf_dir), ["sheet"], pixels.PLUS, 40, 30)
 
 
-@query()
+@query(f"""with recursive {SHEET_GRID}, {OFFSETS}, met as materialized (select a.sheet, a.x, a.y, b.x bx, b.y b_y from pt a, off join pt b on b.sheet = a.sheet and b.x = a.x + dx and b.y = a.y + dy),
+  reach as (select sheet, x, y, x tx, y ty from pt union select r.sheet, r.x, r.y, m.bx, m.b_y from reach r join met m on m.sheet = r.sheet and m.x = r.tx and m.y = r.ty),
+  label as (select sheet, x, y, min(ty * 40 + tx) label from reach group by all)
+  select sheet, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, count(*) area from label group by sheet, label having count(*) >= 2""")
 def components(spark, sf_dir):
     """Boxes of connected pixels of every sheet's sparse grid."""
     labelled = pixels.label_components(sheet_grid(spark, sf_dir), ["sheet"])
