@@ -27,7 +27,7 @@ LINKED_VECTORS = """
 with recursive u as materialized (
   select vec_id, cast(embedding as double[]) as x from embeddings
   where len(embedding) > 0 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = len(embedding) and len(list_filter(embedding, lambda v: v <> 0)) > 0),
-l as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on len(a.x) = len(b.x) and a.vec_id <> b.vec_id where list_cosine_similarity(a.x, b.x) >= 0.95::double),
+l as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on len(a.x) = len(b.x) and a.vec_id <> b.vec_id where case when len(a.x) = len(b.x) then list_cosine_similarity(a.x, b.x) end >= 0.95::double),
 r as (select vec_id as a, vec_id as b from u union select r.a, l.b from r join l on r.b = l.a),
 c as (select a, min(b) as least from r group by a),
 n as (select a, count(*) as n from l group by a)
