@@ -136,6 +136,7 @@ class Home:
 
     def __init__(self, rows: list[tuple], j: int, threshold: float, block: int):
         self.keys = np.array([r[0] for r in rows], dtype=object)
+        self.order = np.array([r[0] for r in rows], dtype="S16")
         self.copies = np.array([r[1] for r in rows], dtype=np.int64)
         self.x = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
         self.q = np.rint(self.x * _SCALE)
@@ -145,27 +146,57 @@ class Home:
         self.far = math.sqrt(2 - 2 * threshold)
         self.links = np.zeros(len(rows), dtype=np.int64)
         self.root = np.arange(len(rows))
+        # one product of these gives squared distances in the subspace, in single precision
+        s, e, most = self.blocks[-1]
+        own = (self.q[:, s:e] / _SCALE).astype(np.float32)
+        square, one = (own**2).sum(axis=1, keepdims=True), np.ones((len(rows), 1), dtype=np.float32)
+        self.left, self.right = np.hstack([-2 * own, square, one]), np.hstack([own, one, square])
+        self.rough = np.float32(most / _SCALE**2 + (e - s + 4) * 1e-6)
 
     @staticmethod
     def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
 
-    def _pairs(self, a: slice, other: Home, b: slice, mask: np.ndarray | None):
+    def _pairs(self, a: slice, other: Home, b: slice, lesser: str | None):
         """(i, j, unsure) of a tile's pairs that this subspace is the first to bring together and that are within the whole
-        budget, or so near to it that they are unsure. Steps are whole numbers, so all tiles agree on which is first."""
+        budget, or so near to it that they are unsure. ``lesser`` keeps pairs whose row or key is the lesser one.
+        Single precision, with room for its error, leaves few pairs to look at; where it leaves many, the whole tile is looked
+        at. Steps are whole numbers, so all tiles agree on which subspace is first."""
+        rough = self.left[a] @ other.right[b].T <= self.rough
+        at = np.flatnonzero(rough)
+        if not len(at):
+            return None
+        if len(at) * 8 > rough.size:
+            i, j, d = self._in_tile(a, other, b)
+        else:
+            step = max(1, (1 << 20) // self.x.shape[1])
+            i, j = np.divmod(at, rough.shape[1])
+            parts = [self._in_list(i[lo : lo + step] + a.start, other, j[lo : lo + step] + b.start) for lo in range(0, len(at), step)]
+            i, j, d = (np.concatenate(p) for p in zip(*parts, strict=True))
+        if lesser is not None:
+            keep = i < j if lesser == "row" else self.order[i] < other.order[j]
+            i, j, d = i[keep], j[keep], d[keep]
+        return (i, j, d > self.far - _ODDS) if len(i) else None
+
+    def _in_list(self, i: np.ndarray, other: Home, j: np.ndarray):
+        for s, e, most in self.blocks[::-1]:
+            within = ((self.q[i, s:e] - other.q[j, s:e]) ** 2).sum(axis=1) <= most
+            keep = within if e == self.blocks[-1][1] else ~within
+            i, j = i[keep], j[keep]
+        d = np.sqrt(((self.x[i] - other.x[j]) ** 2).sum(axis=1))
+        keep = d <= self.far + _ODDS
+        return i[keep], j[keep], d[keep]
+
+    def _in_tile(self, a: slice, other: Home, b: slice):
         s, e, most = self.blocks[-1]
         near = self._apart(self.q[a, s:e], other.q[b, s:e]) <= most
-        if mask is not None:
-            near &= mask
-        if not near.any():
-            return None
         d = np.sqrt(np.maximum(self._apart(self.x[a], other.x[b]), 0))
         near &= d <= self.far + _ODDS
         for s, e, most in self.blocks[:-1]:
             if near.any():
                 near &= self._apart(self.q[a, s:e], other.q[b, s:e]) > most
         i, j = np.nonzero(near)
-        return (i + a.start, j + b.start, d[i, j] > self.far - _ODDS) if len(i) else None
+        return i + a.start, j + b.start, d[i, j]
 
     def _hang(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.root
@@ -184,8 +215,7 @@ class Home:
         for lo in range(0, n, _TILE):
             for at in range(lo, n, _TILE):
                 a, b = slice(lo, min(n, lo + _TILE)), slice(at, min(n, at + _TILE))
-                mask = np.arange(a.start, a.stop)[:, None] < np.arange(b.start, b.stop)[None, :] if lo == at else None
-                if (found := self._pairs(a, self, b, mask)) is None:
+                if (found := self._pairs(a, self, b, "row" if lo == at else None)) is None:
                     continue
                 i, j, unsure = found
                 yield from zip(self.keys[i[unsure]], self.keys[j[unsure]], strict=True)
@@ -201,8 +231,7 @@ class Home:
         for lo in range(0, len(self.keys), _TILE):
             for at in range(0, len(other.keys), _TILE):
                 a, b = slice(lo, min(len(self.keys), lo + _TILE)), slice(at, min(len(other.keys), at + _TILE))
-                mask = self.keys[a][:, None] < other.keys[b][None, :] if lesser else None
-                if (found := self._pairs(a, other, b, mask)) is None:
+                if (found := self._pairs(a, other, b, "key" if lesser else None)) is None:
                     continue
                 i, j, unsure = found
                 yield from zip(self.keys[i[unsure]], other.keys[j[unsure]], strict=True)
