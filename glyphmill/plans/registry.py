@@ -140,19 +140,19 @@ def canvas_size(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(n) for n, v in geometry.canvas_size(vb, F.concat(size, F.lit("px")), height).items()])
 
 
-GROUPS = f"""{BOXES}, grp as (select row_number() over (order by sheet, n, p, s) group_no, x, y, w, h from box where sheet < 200), pt as (select event_id, user_id * 17 % 1000 cx, value * 7 cy from events),
-  hit as (select event_id, min(group_no) group_no from pt join grp on cx between x - 3 and x + w + 3 and cy between y - 3 and y + h + 3 group by event_id)"""
+GROUPS = f"""{BOXES}, grp as (select sheet, row_number() over (partition by sheet order by n, p, s) group_no, x, y, w, h from box), pt as (select event_id, user_id * 17 % 1000 cx, value * 7 cy from events),
+  hit as (select event_id, min(group_no) group_no from pt join grp on sheet = event_id and cx between x - 150 and x + w + 150 and cy between y - 150 and y + h + 150 group by event_id)"""
 
 
 @query(f"with {GROUPS} select event_id, group_no, case when group_no is null then 's:' || event_id else 'g:' || group_no end group_key from pt left join hit using (event_id)")
 def group_assign(spark, sf_dir):
-    """As its SQL has it, boxes of the first sheets only; group_assign_sheets takes all."""
+    """Every event is a point on the sheet of its number, held against that sheet's numbered boxes; the padding is wide, as points lie anywhere."""
     from pyspark.sql import Window as W
 
-    # a few hundred boxes, of the orders below 200
-    groups = boxes(spark, sf_dir).where("sheet < 200").withColumn("group_no", F.row_number().over(W.orderBy("sheet", "n", "p", "s")).cast("long"))
-    points = table(spark, sf_dir, "events").select("event_id", (c("user_id") * 17 % 1000).alias("cx"), (c("value") * 7).alias("cy"))
-    found = geometry.assign_groups(points, groups, 3, point="event_id", group="group_no")
+    numbered = F.row_number().over(W.partitionBy("sheet").orderBy("n", "p", "s")).cast("long")
+    groups = boxes(spark, sf_dir).withColumn("group_no", numbered)
+    points = table(spark, sf_dir, "events").select(c("event_id").alias("sheet"), "event_id", (c("user_id") * 17 % 1000).alias("cx"), (c("value") * 7).alias("cy"))
+    found = geometry.assign_groups(points, groups, 150, point="event_id", group="group_no", keys=("sheet",))
     return geometry.with_singletons(found, point="event_id", group="group_no").select("event_id", "group_no", "group_key")
 
 
@@ -223,24 +223,23 @@ def mask_threshold(spark, sf_dir):
     return rows.where(c("d") > c("limit")).select("vec_id", F.round("d", 6).alias("d"))
 
 
-GRID = "pt as (select distinct l_returnflag grp, cast(l_partkey % 40 as int) x, cast(l_suppkey % 30 as int) y from lineitem where l_linenumber = 7)"
+GRID = "pt as (select distinct l_returnflag grp, cast(l_partkey % 997 as int) x, cast(l_suppkey % 991 as int) y from lineitem)"
 OFFSETS = "off as (select * from (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))"
 
 
 def grid(spark, sf_dir):
-    """As the SQL has it, one line number only; sheet_grid takes every line item."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
-    return rows.select(c("l_returnflag").alias("grp"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y")).distinct()
+    """Every line item as a point of one of three large grids."""
+    return table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("grp"), F.expr("cast(l_partkey % 997 as int)").alias("x"), F.expr("cast(l_suppkey % 991 as int)").alias("y")).distinct()
 
 
-@query(f"with {GRID}, {OFFSETS} select distinct grp, x + dx x, y + dy y from pt, off where x + dx between 0 and 39 and y + dy between 0 and 29")
+@query(f"with {GRID}, {OFFSETS} select distinct grp, x + dx x, y + dy y from pt, off where x + dx between 0 and 996 and y + dy between 0 and 990")
 def dilate(spark, sf_dir):
-    return pixels.dilate(grid(spark, sf_dir), ["grp"], pixels.SQUARE, F.lit(40), F.lit(30))
+    return pixels.dilate(grid(spark, sf_dir), ["grp"], pixels.SQUARE, F.lit(997), F.lit(991))
 
 
-@query(f"with {GRID}, off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select grp, x - dx x, y - dy y, count(*) n from pt, off group by all) select grp, x, y from v where x between 0 and 39 and y between 0 and 29 and n = (select count(*) from off where x + dx between 0 and 39 and y + dy between 0 and 29)")
+@query(f"with {GRID}, off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select grp, x - dx x, y - dy y, count(*) n from pt, off group by all) select grp, x, y from v where x between 0 and 996 and y between 0 and 990 and n = 5 - cast(x = 0 as int) - cast(x = 996 as int) - cast(y = 0 as int) - cast(y = 990 as int)")
 def erode(spark, sf_dir):
-    return pixels.erode(grid(spark, sf_dir), ["grp"], pixels.PLUS, 40, 30)
+    return pixels.erode(grid(spark, sf_dir), ["grp"], pixels.PLUS, 997, 991)
 
 
 SHEET_GRID = "pt as (select distinct l_orderkey sheet, cast(l_partkey % 40 as int) x, cast(l_suppkey % 30 as int) y from lineitem)"
@@ -274,12 +273,12 @@ def components(spark, sf_dir):
 
 
 @query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x px, y py from box),
-  t as (select sheet, n, p, s, min(px) tx, min(py) ty, max(px) tx2, max(py) ty2 from q join m using (sheet) where px >= x and px < x + w and py >= y and py < y + h and sheet % 2 = 0 group by all)
+  t as (select sheet, n, p, s, min(px) tx, min(py) ty, max(px) tx2, max(py) ty2 from q join m using (sheet) where px >= x and px < x + w and py >= y and py < y + h group by all)
   select sheet, n, p, s, coalesce(tx, x) x, coalesce(ty, y) y, coalesce(tx2 - tx + 1, w) w, coalesce(ty2 - ty + 1, h) h from q left join t using (sheet, n, p, s)""")
 def tighten(spark, sf_dir):
-    """As its SQL has it, points of even sheets only; tighten_sheets takes all."""
+    """Points are the corners of the sheet's own boxes; tighten_sheets places them elsewhere, so that some boxes stay empty."""
     own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
-    points = boxes(spark, sf_dir).where("sheet % 2 = 0").select("sheet", "x", "y")
+    points = boxes(spark, sf_dir).select("sheet", "x", "y")
     return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
 
 
