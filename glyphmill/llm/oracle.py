@@ -75,3 +75,99 @@ placed as (select r.*, p.epochs, p.given - p.epochs * p.held as rest, md5('{seed
 running as (select *, sum(n_tokens) over (partition by domain, lang, source order by place) as upto from placed)
 select doc_id, domain, lang, source, n_tokens, cast(epochs + case when upto <= rest then 1 else 0 end as int) as times from running
 """
+
+#: CRC-32 of a string whose code points are below U+0800, as an expression over its code points.
+_CRC_TABLE = "crc as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) t)"
+
+
+def _crc(text: str) -> str:
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda s: case when ord(s) < 128 then [ord(s)] else [192 + ord(s) // 64, 128 + ord(s) % 64] end))"
+    return f"xor(list_reduce({codes}, lambda a, b: xor(t[xor(a, b) % 256 + 1], a >> 8), 4294967295::bigint), 4294967295)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+VARIANTS = f"""
+with recursive {_CRC_TABLE},
+runs as materialized (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) run from documents),
+kinds as (select doc_id, translate(run, '{_UPPER}', '{_LOWER}') run, count(*) n from runs group by all),
+summed as (select run, n, {_crc("coalesce(doc_id::varchar, '') || ':' || run")} h from kinds, crc),
+made as (select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end word, n from summed),
+v as materialized (select word, cast(sum(n) as bigint) n from made where length(word) >= 5 group by word having sum(n) >= 3),
+holes as materialized (select word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) hole, left(word, i - 1) || substr(word, i + 1) less from (select *, unnest(range(1, length(word) + 1)) i from v)),
+gone as materialized (select distinct h.word, h.n, h.less, v.n m from holes h join v on v.word = h.less),
+near as materialized (
+  select a.word, b.word other, b.n m from holes a join holes b on a.hole = b.hole and a.word <> b.word
+  union all select word, less, m from gone union all select less, word, n from gone),
+best as (select word, count(*) n_near, min_by(other, (-m, other)) other, max(m) m from near group by word),
+told as materialized (select v.word, v.n, coalesce(n_near, 0) n_near, case when m >= 2 * n then other end form, case when m >= 2 * n then m end form_n from v left join best using (word)),
+chain as (select word, form last from told where form is not null union all select c.word, t.form from chain c join told t on t.word = c.last where t.form is not null),
+ends as (select c.word, c.last from chain c join told t on t.word = c.last where t.form is null)
+select told.word, told.n, cast(n_near as bigint) n_near, form, form_n, coalesce(ends.last, told.word) root from told left join ends using (word)
+"""
+
+
+def _tree(name: str, of: str, group: str, height: int) -> str:
+    """Levels of trees of width eight over ``of`` (group, pos, size, digest), each node with what lies left and right of it, and their tops."""
+    parts, before = [], of
+    for k in range(height):
+        by = f"over (partition by {group}, pos // 8 order by pos rows between"
+        parts.append(f"""{name}_{k} as materialized (select {group}, pos, digest, size, coalesce(string_agg(digest, '') {by} unbounded preceding and 1 preceding), '') l, coalesce(string_agg(digest, '') {by} 1 following and unbounded following), '') r from {before}),
+{name}_up_{k} as (select {group}, pos // 8 pos, cast(ceil(max(size) / 8.0) as bigint) size, sha256(string_agg(digest, '' order by pos)) digest from {name}_{k} where size > 1 group by {group}, pos // 8)""")
+        before = f"{name}_up_{k}"
+    ends = " union all ".join(f"select {group}, digest from {t} where size = 1" for t in [of, *[f"{name}_up_{k}" for k in range(height)]])
+    return ",\n".join([*parts, f"{name}_top as ({ends})"])
+
+
+def _climb(name: str, of: str, tree: str, group: str, height: int) -> str:
+    """Folds ``of`` (r, group, pos, cur, beside) up the tree, level by level; what has no siblings on a level stays as it is."""
+    parts, before = [], of
+    for k in range(height):
+        up = "t.size > 1"
+        parts.append(f"{name}_{k} as (select f.r, f.{group}, f.pos // 8 pos, case when {up} then sha256(t.l || f.cur || t.r) else f.cur end cur, case when {up} then f.beside || t.l || t.r else f.beside end beside from {before} f left join {tree}_{k} t on t.{group} = f.{group} and t.pos = f.pos)")
+        before = f"{name}_{k}"
+    return ",\n".join(parts)
+
+
+def manifest_sql(fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), leaf_levels: int = 7, group_levels: int = 3) -> str:
+    """The manifest for at most 8 ** leaf_levels documents of a language and 8 ** group_levels languages."""
+    of = lambda v: f"coalesce(octet_length(encode({v}::varchar)) || ':' || {v}::varchar, '-')"
+    leaf = " || ".join(of(f) for f in fields)
+    low = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    tampered = " || ".join(of(low if f == "text" else f) for f in fields)
+    last, first = f"climb_{leaf_levels - 1}", f"over_{group_levels - 1}"
+    return f"""
+with {_CRC_TABLE},
+d as materialized (select row_number() over () r, doc_id, coalesce('=' || lang, '') g, sha256({leaf}) leaf, case when {_crc("doc_id::varchar")} % 3 = 0 then sha256({tampered}) end tampered from documents, crc),
+n as materialized (select r, doc_id, g, leaf, tampered, leaf digest, row_number() over (partition by g order by doc_id nulls first, leaf, r) - 1 pos, count(*) over (partition by g) size from d),
+{_tree("low", "n", "g", leaf_levels)},
+s as materialized (select 1 one, g, digest, row_number() over (order by g) - 1 pos, count(*) over () size from low_top),
+{_tree("high", "s", "one", group_levels)},
+start as (select r, g, pos, coalesce(tampered, leaf) cur, '' beside from n),
+{_climb("climb", "start", "low", "g", leaf_levels)},
+then_ as (select c.r, 1 one, s.pos, c.cur, c.beside from {last} c join s on s.g = c.g),
+{_climb("over", "then_", "high", "one", group_levels)}
+select n.doc_id, n.leaf, s.digest subroot, t.digest root, sha256(o.beside) proof_sha256, o.cur folded_root, o.cur = t.digest verified
+from n join {first} o using (r) join s on s.g = n.g, high_top t
+"""
+
+
+def line_rules_sql(min_docs: int = 10, min_share: float = 0.01, min_left: float = 0.5) -> str:
+    blank, digits = r"[\x20\x09-\x0D]", "000000000"
+    chars = f"length(regexp_replace({{}}, '{blank}', '', 'g'))"
+    return f"""
+with d as materialized (select row_number() over () r, doc_id, coalesce('=' || source, '') host, coalesce(text, '') t from documents),
+w as materialized (select r, list_filter(regexp_split_to_array(t, '{blank}+'), lambda x: x <> '') words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from d),
+windows as (select r, i, array_to_string(words[i:i + 4], ' ') five from (select r, words, unnest(range(1, len(words) - 3)) i from w where len(words) >= 5)),
+again as (select r, i from (select r, i, count(*) over (partition by r, five) n from windows) where n > 1),
+repeated as (select r, sum(least(5, coalesce(step, 5))) n from (select r, lead(i) over (partition by r order by i) - i step from again) group by r),
+each as materialized (select r, host, md5(t) copy, trim(regexp_replace(translate(line, '{_UPPER}123456789', '{_LOWER}{digits}'), '{blank}+', ' ', 'g')) norm, {chars.format("line")} chars from (select r, host, t, unnest(lines) line from d join w using (r))),
+hosts as (select host, count(distinct md5(t)) docs from d group by host),
+often as (select host, norm from (select host, norm, count(distinct copy) n from each group by host, norm) join hosts using (host) where n > {min_docs} and n > docs * {min_share}::double),
+gone as (select r, sum(chars) n from each semi join often using (host, norm) group by r),
+told as (select doc_id, cast(len(words) as bigint) n_words, cast({chars.format("t")} as bigint) word_chars, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(repeated.n, 0) as bigint) n_repeat_words, cast(coalesce(gone.n, 0) as bigint) n_host_chars
+  from d join w using (r) left join repeated using (r) left join gone using (r)),
+failed as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from told)
+select *, not base_failed and word_chars - n_host_chars >= word_chars * {min_left}::double kept from failed
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, byte_bpe, embed_dedup, mixing, oracle, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from glyphmill.llm import ann, byte_bpe, embed_dedup, line_rules, manifest, mixing, oracle, pii, quality, simhash, spelling, suffix_dedup, token_counts, toxicity
 from glyphmill.llm.common import table
 
 
@@ -85,6 +85,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANN_FACTOR = 1.2
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +114,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_spelling": op11_spelling,
+    "op12_manifest": op12_manifest,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": pipeline,
 }
 
@@ -109,4 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": oracle.REPEATS,
     "op4_embedding_near_dedup": oracle.LINKED_VECTORS,
     "op8_mixing": oracle.mix_sql(WEIGHTS, BUDGET, EPOCHS, SEED),
+    "op11_spelling": oracle.VARIANTS,
+    "op12_manifest": oracle.manifest_sql(),
+    "op13_quality_rules": oracle.line_rules_sql(),
 }
