@@ -10,7 +10,7 @@ from glyphmill.llm.common import heavy, lookup, written
 c = F.col
 
 #: Fixed by the query's contract: what parts words, and what counts as a symbol.
-SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
 #: Words of a window, and the rules that a document fails by itself.
 WINDOW, MIN_WORDS, MOST_REPEATED = 5, 10, 20
@@ -29,22 +29,12 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 
 def _following(array: Column) -> Column:
     """The array without its first element."""
-    return F.slice(array, 2, F.greatest(F.size(array), F.lit(1)))
+    return F.slice(array, 2, 1 << 30)
 
 
 def normalised(line: Column) -> Column:
-    """A line as it is counted: A-Z folded, digits alike, runs of white space one blank, none at the ends."""
-    folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    return F.btrim(F.regexp_replace(folded, r"[\x20\x09-\x0D]+", " "))
-
-
-def _repeated(windows: Column) -> Column:
-    """Words in windows that are found twice or more, from the windows' hashes in order of place."""
-    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    beside = F.filter(F.zip_with(ordered, _following(ordered), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"]["h"] == p["b"]["h"])
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(beside, lambda p: F.array(p["a"]["i"], p["b"]["i"])))))
-    steps = F.zip_with(places, _following(places), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
+    """A line as it is counted: in lower case, digits alike, runs of white space one blank, none at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), SPACE, " "))
 
 
 def measured(df: DataFrame, *, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -55,24 +45,32 @@ def measured(df: DataFrame, *, id_col: str, text_col: str, host_col: str) -> Dat
     text = F.coalesce(c(text_col), F.lit(""))
     host = F.coalesce(F.concat(F.lit("="), c(host_col).cast("string")), F.lit(""))
     read = df.select(c(id_col).alias("id"), host.alias("host"), text.alias("text"))
-    without = lambda t, chars: F.char_length(F.translate(t, chars, "")).cast("long")
+    in_words = lambda words: F.char_length(F.array_join(words, "")).cast("long")
+    of = lambda t: F.array_remove(F.split(t, SPACE), "")
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    split = _held(read, words=F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), lines=F.filter(F.split("text", "\n"), has_word))
+    split = _held(read, words=of(F.col("text")), lines=F.filter(F.split("text", "\n"), has_word))
     places = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    hashed = _held(split, windows=F.transform(places, lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
-    in_order = F.sort_array("windows")
+    each = _held(split, each=F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = _held(each, windows=F.transform(places, lambda i: F.xxhash64(F.slice("each", i, WINDOW))))
     # most texts repeat no window, and hashes alone sort fast
-    any_twice = F.exists(F.zip_with(in_order, _following(in_order), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)
-    counted = _held(hashed, kinds=F.transform("lines", lambda line: F.struct(F.xxhash64(normalised(line)).alias("hash"), without(line, SPACE).alias("chars"))))
+    ordered = _held(hashed, ordered=F.sort_array("windows"))
+    twice = F.exists(F.zip_with("ordered", _following(c("ordered")), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)
+    places_of = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = _held(ordered, by_hash=F.when(twice, places_of).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    beside = F.zip_with("by_hash", _following(c("by_hash")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    found = _held(placed, found=F.array_sort(F.array_distinct(F.flatten(F.transform(beside, lambda p: F.coalesce(p, F.array().cast("array<int>")))))))
+    steps = F.zip_with("found", _following(c("found")), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    n_repeat = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
+    counted = _held(found, kinds=F.transform("lines", lambda line: F.struct(F.xxhash64(normalised(line)).alias("hash"), in_words(of(line)).alias("chars"))))
     return counted.select(
         "id",
         "host",
         F.md5(c("text").cast("binary")).alias("copy"),
         F.size("words").cast("long").alias("n_words"),
-        without(c("text"), SPACE).alias("word_chars"),
-        (F.char_length("text") - without(c("text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        in_words(c("words")).alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(any_twice, _repeated(c("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        n_repeat.alias("n_repeat_words"),
         "kinds",
     )
 

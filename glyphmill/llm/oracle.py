@@ -153,7 +153,7 @@ from n join {first} o using (r) join s on s.g = n.g, high_top t
 
 
 def line_rules_sql(min_docs: int = 10, min_share: float = 0.01, min_left: float = 0.5) -> str:
-    blank, digits = r"[\x20\x09-\x0D]", "000000000"
+    blank = r"[\x20\x09-\x0D]"
     chars = f"length(regexp_replace({{}}, '{blank}', '', 'g'))"
     return f"""
 with d as materialized (select row_number() over () r, doc_id, coalesce('=' || source, '') host, coalesce(text, '') t from documents),
@@ -161,7 +161,7 @@ w as materialized (select r, list_filter(regexp_split_to_array(t, '{blank}+'), l
 windows as (select r, i, array_to_string(words[i:i + 4], ' ') five from (select r, words, unnest(range(1, len(words) - 3)) i from w where len(words) >= 5)),
 again as (select r, i from (select r, i, count(*) over (partition by r, five) n from windows) where n > 1),
 repeated as (select r, sum(least(5, coalesce(step, 5))) n from (select r, lead(i) over (partition by r order by i) - i step from again) group by r),
-each as materialized (select r, host, md5(t) copy, trim(regexp_replace(translate(line, '{_UPPER}123456789', '{_LOWER}{digits}'), '{blank}+', ' ', 'g')) norm, {chars.format("line")} chars from (select r, host, t, unnest(lines) line from d join w using (r))),
+each as materialized (select r, host, md5(t) copy, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '{blank}+', ' ', 'g')) norm, {chars.format("line")} chars from (select r, host, t, unnest(lines) line from d join w using (r))),
 hosts as (select host, count(distinct md5(t)) docs from d group by host),
 often as (select host, norm from (select host, norm, count(distinct copy) n from each group by host, norm) join hosts using (host) where n > {min_docs} and n > docs * {min_share}::double),
 gone as (select r, sum(chars) n from each semi join often using (host, norm) group by r),

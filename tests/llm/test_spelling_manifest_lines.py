@@ -244,8 +244,7 @@ def test_manifest_of_nothing_and_of_a_wide_table(spark):
 
 def plain_rules(rows, min_docs, min_share, min_left=0.5):
     space = re.compile(r"[\x20\x09-\x0D]+")
-    lower = lambda t: "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t)
-    norm = lambda line: space.sub(" ", re.sub("[0-9]", "0", lower(line))).strip(" ")
+    norm = lambda line: space.sub(" ", re.sub("[0-9]", "0", line.lower())).strip(" ")
     held, texts = defaultdict(set), defaultdict(set)
     lines_of = lambda t: [x for x in (t or "").split("\n") if space.sub("", x)]
     for _, text, _, host, _ in rows:
