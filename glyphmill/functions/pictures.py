@@ -5,6 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
+def filled(height: int, width: int, y, x0, x1, colour: np.ndarray) -> np.ndarray:
+    """RGBA pixels of runs and their colours (a row each, of one or three numbers); opaque, and where no run lies all zero."""
+    y, x0, x1 = (np.asarray(v, dtype=np.int64) for v in (y, x0, x1))
+    n = x1 - x0
+    at = np.repeat(y * width + x0 - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    out = np.zeros((height * width, 4), np.uint8)
+    out[at, : colour.shape[1]] = np.repeat(colour, n, axis=0)
+    out[at, 3] = 255
+    return out.reshape(height, width, 4)
+
+
 def _lanczos(size: int, to: int) -> np.ndarray:
     """Weights of a three-lobed Lanczos filter, widened where the picture shrinks: one row for each new pixel."""
     ratio = size / to

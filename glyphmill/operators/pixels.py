@@ -27,12 +27,12 @@ def background_colour(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg(*[F.median(ch).cast("int").alias(f"bg_{ch}") for ch in ("r", "g", "b")])
 
 
-def otsu_threshold(pixels: DataFrame, keys: list[str], gray: str = "gray") -> DataFrame:
+def otsu_threshold(pixels: DataFrame, keys: list[str], gray: str = "gray", weight: Column | None = None) -> DataFrame:
     """The gray level that splits each key's histogram with the greatest variance between the halves; the least of equals.
 
-    256 counts a key reach the window, whatever the number of pixels.
+    A row counts ``weight`` times (once by default). 256 counts a key reach the window, whatever the number of pixels.
     """
-    bins = pixels.groupBy(*keys, c(gray).cast("int").alias("level")).agg(F.count("*").alias("n"))
+    bins = pixels.groupBy(*keys, c(gray).cast("int").alias("level")).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     by = W.partitionBy(*keys)
     upto = by.orderBy("level").rowsBetween(W.unboundedPreceding, 0)
     sums = bins.withColumns({"below": F.sum("n").over(upto), "mass": F.sum(c("n") * c("level")).over(upto), "all": F.sum("n").over(by), "total": F.sum(c("n") * c("level")).over(by)})
@@ -59,61 +59,6 @@ def kernel_size(gap: Column) -> Column:
     return F.greatest(F.lit(3), gap + F.when(gap % 2 == 0, 1).otherwise(0))
 
 
-def dilate(points: DataFrame, keys: list[str], offsets: list[tuple[int, int]], width: Column, height: Column) -> DataFrame:
-    """Sparse dilation: each point spreads over the offsets, within the image."""
-    spread = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-    moved = points.withColumn("o", spread).select(*keys, (c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"))
-    return moved.where((c("x") >= 0) & (c("y") >= 0) & (c("x") < width) & (c("y") < height)).distinct()
-
-
-def erode(points: DataFrame, keys: list[str], offsets: list[tuple[int, int]], width: int, height: int) -> DataFrame:
-    """Sparse erosion: a point stays if all its neighbours within the image are points."""
-    spread = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-    votes = points.withColumn("o", spread).select(*keys, (c("x") - c("o.dx")).alias("x"), (c("y") - c("o.dy")).alias("y")).groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
-    inside = sum((F.when((c("x") + dx).between(0, width - 1) & (c("y") + dy).between(0, height - 1), 1).otherwise(0) for dx, dy in offsets[1:]), F.when((c("x") + offsets[0][0]).between(0, width - 1) & (c("y") + offsets[0][1]).between(0, height - 1), 1).otherwise(0))
-    return votes.where(c("n") == inside).select(*keys, "x", "y").where((c("x") >= 0) & (c("y") >= 0) & (c("x") < width) & (c("y") < height))
-
-
-SQUARE = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-PLUS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
-
-
-def label_components(points: DataFrame, keys: list[str], most_rounds: int = 200) -> DataFrame:
-    """Adds label, the least (y, x) reachable over eight neighbours: minima spread, then labels jump to their label's
-    label, so rounds grow slowly. Each round's table is checkpointed."""
-    neighbours = [(dx, dy) for dx, dy in SQUARE if (dx, dy) != (0, 0)]
-    at = F.struct("y", "x")
-    labels = points.select(*keys, "x", "y").distinct().withColumn("label", at)
-    spread = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [(0, 0), *neighbours]]))
-    for _ in range(most_rounds):
-        sent = labels.withColumn("o", spread).select(*keys, (c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"), "label")
-        least = labels.withColumnRenamed("label", "old").join(sent.groupBy(*keys, "x", "y").agg(F.min("label").alias("label")), [*keys, "x", "y"])
-        jump = least.select(*[c(k).alias(f"_j{k}") for k in keys], c("x").alias("_jx"), c("y").alias("_jy"), c("label").alias("further"))
-        same = (c("label.x") == c("_jx")) & (c("label.y") == c("_jy"))
-        for k in keys:
-            same = same & c(k).eqNullSafe(c(f"_j{k}"))
-        new = least.join(jump, same).select(*keys, "x", "y", "old", F.least("label", "further").alias("label"))
-        new = new.checkpoint()
-        if new.where("old <> label").limit(1).count() == 0:
-            return new.drop("old")
-        labels = new.drop("old")
-    raise RuntimeError(f"label_components: no end after {most_rounds} rounds")
-
-
-def component_boxes(labelled: DataFrame, keys: list[str], min_area: int) -> DataFrame:
-    out = labelled.groupBy(*keys, "label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"))
-    return out.where(c("area") >= min_area)
-
-
-def tighten(boxes: DataFrame, points: DataFrame, keys: list[str], box_id: str) -> DataFrame:
-    """Each box around all mask points within it, whosever they are; unchanged if there are none."""
-    p = points.select(*keys, c("x").alias("px"), c("y").alias("py"))
-    hit = boxes.join(p, keys).where((c("px") >= c("x")) & (c("px") < c("x") + c("w")) & (c("py") >= c("y")) & (c("py") < c("y") + c("h")))
-    tight = hit.groupBy(*keys, box_id).agg(F.min("px").alias("tx"), F.min("py").alias("ty"), F.max("px").alias("tx2"), F.max("py").alias("ty2"))
-    out = boxes.join(tight, [*keys, box_id], "left")
-    return out.withColumns({"x": F.coalesce("tx", "x"), "y": F.coalesce("ty", "y"), "w": F.coalesce(c("tx2") - c("tx") + 1, "w"), "h": F.coalesce(c("ty2") - c("ty") + 1, "h")}).drop("tx", "ty", "tx2", "ty2")
-
-
 def monochrome(pixels: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
     """Whether no visible pixel's red differs from its green, or green from blue, by more than the limit."""
     gap = F.greatest(F.abs(c("r") - c("g")), F.abs(c("g") - c("b")))

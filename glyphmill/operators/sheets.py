@@ -7,26 +7,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.pictures import compose, palette
-from glyphmill.operators import geometry, raster
-from glyphmill.plans.session import ship_package
+from glyphmill.functions.pictures import compose, filled, palette
+from glyphmill.operators import detection, geometry, runs
+from glyphmill.plans.session import ship_package, written
 from glyphmill.sources import sinks
 
 c = F.col
 
 
+KEY = ["sheet_id"]
+
+
 def icon_boxes(sheets: DataFrame, *, min_area: int = 200, merge_gap: int = 13, padding: int = 8) -> DataFrame:
     """sheet_id, icon_index, stem, source_bounds, source_size and tight (the box without padding) of every icon of the image source's sheets.
+    A sheet without icons gives no rows."""
+    return _detected(sheets, min_area, merge_gap, padding)[-1]
 
-    The order is that of the spread boxes; what is cut is the tightened box, padded and clamped to the
-    sheet. A sheet without icons gives no rows.
-    """
-    found = raster.detect_boxes(sheets, min_area=min_area, merge_gap=merge_gap)
-    tight = F.struct("x", "y", "w", "h")
-    spread = found.select("sheet_id", tight.alias("tight"), "sheet_w", "sheet_h", *[c(f"spread.{n}").alias(n) for n in "xywh"])
-    ordered = geometry.reading_order(spread, "sheet_id", ["tight"]).select("sheet_id", "icon_index", "sheet_w", "sheet_h", "tight", "tight.*")
-    padded = geometry.pad_clamp(ordered, padding, c("sheet_w"), c("sheet_h"))
-    return padded.select("sheet_id", "icon_index", F.format_string("icon_%03d", "icon_index").alias("stem"), F.struct("x", "y", "w", "h").alias("source_bounds"), F.struct("w", "h").alias("source_size"), "tight")
+
+def _detected(sheets: DataFrame, min_area: int, merge_gap: int, padding: int) -> tuple[DataFrame, ...]:
+    """Colour runs, limits, mask and boxes of all sheets, each found once and written."""
+    coloured = written(detection.colour_runs(sheets), "coloured")
+    told = written(detection.limits(coloured, KEY), "limits")
+    mask = written(detection.foreground(coloured, told, KEY), "mask")
+    found = detection.icon_boxes(mask, told, KEY, min_area=min_area, merge_gap=merge_gap)
+    return coloured, told, mask, written(detection.ordered(found, told, "sheet_id", padding), "boxes")
+
+
+#: Icons that a task draws, about.
+ICONS_A_TASK = 2000
 
 
 def icons(
@@ -41,48 +49,61 @@ def icons(
 ) -> DataFrame:
     """Every icon with its pictures: adds scale, canvas_size, png, dominant_color and palette to ``icon_boxes``.
 
-    Boxes, orders and scales are DataFrame steps over all sheets. Then each sheet's pixels meet its own
-    boxes, once, and a task holds one sheet at a time. With ``keep_background`` the crop is opaque
-    and the canvas has the sheet's border colour; else what is outside the icon is clear.
+    A sheet's pixels are decoded once, to colour runs. Boxes, orders, scales and what lies outside an icon are DataFrame steps
+    over the runs of all sheets; the runs of each icon's crop then meet, and a task draws one icon at a time. With ``keep_background``
+    the crop is opaque and the canvas has the sheet's border colour; else what is outside the icon is clear.
     """
     width, height = canvas
-    boxes = icon_boxes(sheets, min_area=min_area, merge_gap=merge_gap, padding=padding)
+    coloured, told, mask, boxes = _detected(sheets, min_area, merge_gap, padding)
     # the common scale is that of the icons with their whole padding, whether the sheet's edge cuts it or not
     whole = boxes.withColumns({n: c(f"tight.{n}") + 2 * padding for n in "wh"})
     common = geometry.uniform_scale(whole, "sheet_id", width, height).withColumnRenamed("scale", "common")
     sized = common.withColumns({n: c(f"source_size.{n}") for n in "wh"})
     scaled = sized.withColumn("scale", geometry.scale_for(F.lit(mode), width, height, c("common")))
-    placed = geometry.place_on_canvas(scaled, width, height)
-    one = F.struct("icon_index", "stem", "source_bounds", "source_size", "scale", "new_w", "new_h", "off_x", "off_y")
-    by_sheet = placed.groupBy("sheet_id").agg(F.sort_array(F.collect_list(one)).alias("icons"))
-    pixels = sheets.select(c("image.origin").alias("sheet_id"), "image.height", "image.width", "image.nChannels", "image.data")
-    drawn = _drawn(pixels.join(by_sheet, "sheet_id").select("height", "width", "nChannels", "data", "sheet_id", "icons"), width, height, bitmaps == "keep_background")
+    placed = geometry.place_on_canvas(scaled, width, height).select("sheet_id", "icon_index", "stem", "source_bounds", "source_size", "scale", "new_w", "new_h", "off_x", "off_y")
+    crops = boxes.select("sheet_id", "icon_index", *[c(f"source_bounds.{n}").alias(n) for n in "xywh"])
+    opaque = bitmaps == "keep_background"
+    drawn = _drawn(_gathered(coloured, told, mask, crops, placed, opaque), boxes.count(), width, height)
     size = F.struct(F.lit(width).alias("w"), F.lit(height).alias("h")).alias("canvas_size")
     return drawn.select("sheet_id", "icon_index", "stem", "source_bounds", "source_size", "scale", size, F.lit(mode).alias("canvas_mode"), "png", F.get("palette", F.lit(0)).alias("dominant_color"), "palette")
 
 
-def _drawn(rows: DataFrame, width: int, height: int, opaque: bool) -> DataFrame:
+def _gathered(coloured: DataFrame, told: DataFrame, mask: DataFrame, crops: DataFrame, placed: DataFrame, opaque: bool) -> DataFrame:
+    """A row for each icon: its place, the runs of its crop (from the crop's corner) and of what is outside, as arrays, and the ground."""
+    own = ["sheet_id", "icon_index"]
+    lists = lambda names: F.collect_list(F.struct(*names)).alias("runs")
+    apart = lambda df, names, tag: df.select(*own, *[c(f"runs.{n}").alias(f"{tag}{n}") for n in names])
+    part = runs.within(coloured.select("sheet_id", "y", "x0", "x1", "r", "g", "b"), crops, KEY)
+    local = part.withColumns({"y": c("y") - c("by"), "x0": c("x0") - c("bx"), "x1": c("x1") - c("bx")})
+    names = ["y", "x0", "x1", "r", "g", "b"]
+    rows = placed.join(apart(local.groupBy(*own).agg(lists(names)), names, ""), own)
+    if opaque:
+        return rows.join(told.select("sheet_id", F.array("bg_r", "bg_g", "bg_b").alias("ground")), "sheet_id")
+    outside = runs.crop_background(mask, crops, KEY, "icon_index").where("outside").groupBy(*own).agg(lists(names[:3]))
+    return rows.join(apart(outside, names[:3], "out_"), own, "left").withColumn("ground", F.lit(None).cast("array<int>"))
+
+
+def _drawn(rows: DataFrame, n: int, width: int, height: int) -> DataFrame:
     ship_package(rows.sparkSession)
     box = "struct<x:int,y:int,w:int,h:int>"
     schema = f"sheet_id string, icon_index int, stem string, source_bounds {box}, source_size struct<w:int,h:int>, scale double, png binary, palette array<string>"
 
     def run(stream):
         for batch in stream:
-            for h, w, n, data, sheet, icons in batch.itertuples(index=False):
-                bgr = raster.colours(data, h, w, n)
-                mask = raster.foreground(bgr)
-                ground = (*raster.background(bgr), 255) if opaque else (0, 0, 0, 0)
-                out = []
-                for icon in icons:
-                    b = icon["source_bounds"]
-                    part = slice(b["y"], b["y"] + b["h"]), slice(b["x"], b["x"] + b["w"])
-                    crop = np.dstack([bgr[part][..., ::-1], np.full((b["h"], b["w"]), 255, np.uint8)]) if opaque else raster.transparent_crop(bgr[part], mask[part])
-                    picture = compose(crop, width, height, icon["new_w"], icon["new_h"], icon["off_x"], icon["off_y"], ground)
-                    out.append((sheet, icon["icon_index"], icon["stem"], b, icon["source_size"], icon["scale"], sinks.png_bytes(picture), palette(picture)))
-                if out:
-                    yield pd.DataFrame(out, columns=["sheet_id", "icon_index", "stem", "source_bounds", "source_size", "scale", "png", "palette"])
-
-    return rows.mapInPandas(run, schema)
+            out = []
+            for icon in batch.to_dict("records"):
+                opaque = icon["ground"] is not None
+                size = icon["source_bounds"]["h"], icon["source_bounds"]["w"]
+                crop = filled(*size, icon["y"], icon["x0"], icon["x1"], np.stack([icon["r"], icon["g"], icon["b"]], axis=1))
+                clear = None if opaque else icon.get("out_y")
+                if clear is not None:
+                    crop[filled(*size, clear, icon["out_x0"], icon["out_x1"], np.ones((len(clear), 1)))[..., 0] > 0, 3] = 0
+                ground = (*icon["ground"], 255) if opaque else (0, 0, 0, 0)
+                picture = compose(crop, width, height, icon["new_w"], icon["new_h"], icon["off_x"], icon["off_y"], ground)
+                out.append((*[icon[k] for k in ("sheet_id", "icon_index", "stem", "source_bounds", "source_size", "scale")], sinks.png_bytes(picture), palette(picture)))
+            yield pd.DataFrame(out, columns=["sheet_id", "icon_index", "stem", "source_bounds", "source_size", "scale", "png", "palette"])
+
+    return rows.repartition(max(1, n // ICONS_A_TASK), "sheet_id", "icon_index").mapInPandas(run, schema)
 
 
 def with_outputs(icons: DataFrame, path: str, kinds: list[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import catalog, geometry, naming, pixels, raster, settings, sheets
+from glyphmill.operators import catalog, detection, geometry, naming, pixels, runs, settings, sheets
+from glyphmill.plans.session import written
 
 c = F.col
 CANVAS = 512
@@ -223,6 +224,15 @@ def mask_threshold(spark, sf_dir):
     return rows.where(c("d") > c("limit")).select("vec_id", F.round("d", 6).alias("d"))
 
 
+def _sizes(points: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    return points.select(key).distinct().select(key, F.lit(width).alias("width"), F.lit(height).alias("height"))
+
+
+def _morphed(points: DataFrame, key: str, step, kernel, width: int, height: int) -> DataFrame:
+    own = runs.of_points(points, [key])
+    return runs.to_points(runs.morphed(own, _sizes(own, key, width, height), [key], step, kernel), [key])
+
+
 GRID = "pt as (select distinct l_returnflag grp, cast(l_partkey % 997 as int) x, cast(l_suppkey % 991 as int) y from lineitem)"
 OFFSETS = "off as (select * from (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))"
 
@@ -234,12 +244,12 @@ def grid(spark, sf_dir):
 
 @query(f"with {GRID}, {OFFSETS} select distinct grp, x + dx x, y + dy y from pt, off where x + dx between 0 and 996 and y + dy between 0 and 990")
 def dilate(spark, sf_dir):
-    return pixels.dilate(grid(spark, sf_dir), ["grp"], pixels.SQUARE, F.lit(997), F.lit(991))
+    return _morphed(grid(spark, sf_dir), "grp", runs.dilated, runs.square(3), 997, 991)
 
 
 @query(f"with {GRID}, off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select grp, x - dx x, y - dy y, count(*) n from pt, off group by all) select grp, x, y from v where x between 0 and 996 and y between 0 and 990 and n = 5 - cast(x = 0 as int) - cast(x = 996 as int) - cast(y = 0 as int) - cast(y = 990 as int)")
 def erode(spark, sf_dir):
-    return pixels.erode(grid(spark, sf_dir), ["grp"], pixels.PLUS, 997, 991)
+    return _morphed(grid(spark, sf_dir), "grp", runs.eroded, runs.ellipse(3), 997, 991)
 
 
 SHEET_GRID = "pt as (select distinct l_orderkey sheet, cast(l_partkey % 40 as int) x, cast(l_suppkey % 30 as int) y from lineitem)"
@@ -253,13 +263,16 @@ def sheet_grid(spark, sf_dir):
 
 @query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD} select sheet, x, y from wide")
 def dilate_sheets(spark, sf_dir):
-    return pixels.dilate(sheet_grid(spark, sf_dir), ["sheet"], pixels.SQUARE, F.lit(40), F.lit(30))
+    return _morphed(sheet_grid(spark, sf_dir), "sheet", runs.dilated, runs.square(3), 40, 30)
 
 
 @query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD}, plus as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select sheet, x - dx x, y - dy y, count(*) n from wide, plus group by all) select sheet, x, y from v where x between 0 and 39 and y between 0 and 29 and n = 5 - cast(x = 0 as int) - cast(x = 39 as int) - cast(y = 0 as int) - cast(y = 29 as int)")
 def erode_sheets(spark, sf_dir):
     """The dilated grids eroded; single points would leave nothing."""
-    return pixels.erode(dilate_sheets(spark, sf_dir), ["sheet"], pixels.PLUS, 40, 30)
+    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
+    dealt = runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], reach=2)
+    closed = runs.eroded(runs.dilated(dealt, ["sheet"], runs.square(3)), ["sheet"], runs.ellipse(3))
+    return runs.to_points(runs.core(closed), ["sheet"])
 
 
 @query(f"""with recursive {SHEET_GRID}, {OFFSETS}, met as materialized (select a.sheet, a.x, a.y, b.x bx, b.y b_y from pt a, off join pt b on b.sheet = a.sheet and b.x = a.x + dx and b.y = a.y + dy),
@@ -268,8 +281,9 @@ def erode_sheets(spark, sf_dir):
   select sheet, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, count(*) area from label group by sheet, label having count(*) >= 2""")
 def components(spark, sf_dir):
     """Boxes of connected pixels of every sheet's sparse grid."""
-    labelled = pixels.label_components(sheet_grid(spark, sf_dir), ["sheet"])
-    return pixels.component_boxes(labelled, ["sheet"], 2).select("sheet", "x", "y", "w", "h", "area")
+    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
+    joined = runs.core(runs.united(runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], ends=False), ["sheet"]))
+    return runs.component_boxes(runs.labelled(joined, ["sheet"]), ["sheet"], 2).select("sheet", "x", "y", "w", "h", "area")
 
 
 @query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x px, y py from box),
@@ -278,8 +292,8 @@ def components(spark, sf_dir):
 def tighten(spark, sf_dir):
     """Points are the corners of the sheet's own boxes; tighten_sheets places them elsewhere, so that some boxes stay empty."""
     own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
-    points = boxes(spark, sf_dir).select("sheet", "x", "y")
-    return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
+    points = runs.of_points(boxes(spark, sf_dir), ["sheet"])
+    return runs.tightened(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
 
 
 @query(f"""with {BOXES}, q as (select sheet, n, p, s, x, y, w + 40 w, h + 40 h from box), m as (select sheet, x + p % 120 px, y + s % 120 py from box),
@@ -288,8 +302,8 @@ def tighten(spark, sf_dir):
 def tighten_sheets(spark, sf_dir):
     """Points of every sheet, placed so that some miss all boxes and some boxes stay empty."""
     own = boxes(spark, sf_dir).withColumns({"w": c("w") + 40, "h": c("h") + 40, "id": F.struct("n", "p", "s")})
-    points = boxes(spark, sf_dir).select("sheet", (c("x") + c("p") % 120).alias("x"), (c("y") + c("s") % 120).alias("y"))
-    return pixels.tighten(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
+    points = runs.of_points(boxes(spark, sf_dir).select("sheet", (c("x") + c("p") % 120).alias("x"), (c("y") + c("s") % 120).alias("y")), ["sheet"])
+    return runs.tightened(own, points, ["sheet"], "id").select("sheet", "n", "p", "s", "x", "y", "w", "h")
 
 
 @query("select p_partkey, greatest(3, p_size + case when p_size % 2 = 0 then 1 else 0 end) kernel, greatest(1, least(12, case when p_size // 4 = 0 then 1 else p_size // 4 end, case when (p_size + 9) // 4 = 0 then 1 else (p_size + 9) // 4 end)) band from part")
@@ -532,14 +546,93 @@ def first_run(spark, sf_dir):
 # ---- icons, choices and texts ------------------------------------------------------------------
 
 
-@query()
+#: A sheet of three by three cells for each customer; an order is a rectangle in its cell, every third a ring; the last order of a cell hides others.
+CELL_W, CELL_H, SHEET_W, SHEET_H, RING = 20, 18, 68, 62, 3
+
+
+def order_sheets(spark, sf_dir) -> DataFrame:
+    """Colour runs of all customers' sheets: dark rectangles and rings on a light ground."""
+    key = c("o_orderkey")
+    last = table(spark, sf_dir, "orders").groupBy(c("o_custkey").alias("sheet"), (key % 9).cast("int").alias("cell")).agg(F.max("o_orderkey").alias("k"))
+    whole = lambda v: v.cast("int")
+    left, top = c("cell") % 3 * CELL_W + 4 + whole(c("k") % 3), F.floor(c("cell") / 3).cast("int") * CELL_H + 4 + whole(c("k") % 4)
+    ring = last.select("sheet", "k", left.alias("x"), top.alias("top"), whole(9 + c("k") % 5).alias("w"), whole(9 + c("k") % 4).alias("h"))
+    lines = ring.select("*", F.posexplode(F.sequence("top", c("top") + c("h") - 1)).alias("i", "y"))
+    hollow = (c("k") % 3 == 0) & (c("i") >= RING) & (c("i") < c("h") - RING)
+    part = lambda a, z: F.struct(a.alias("x0"), z.alias("x1"))
+    parts = F.when(hollow, F.array(part(c("x"), c("x") + RING), part(c("x") + c("w") - RING, c("x") + c("w")))).otherwise(F.array(part(c("x"), c("x") + c("w"))))
+    ink = lines.select("sheet", "y", F.inline(parts), whole(c("k") % 200).alias("r"))
+    ground = runs.core(runs.complement(runs.united(runs.pieces(ink.drop("r"), _sizes(ink, "sheet", SHEET_W, SHEET_H), ["sheet"]), ["sheet"]), ["sheet"]))
+    size = [F.lit(SHEET_W).alias("width"), F.lit(SHEET_H).alias("height")]
+    light = [F.lit(245).alias(ch) for ch in "rgb"]
+    return ink.select("sheet", "y", "x0", "x1", "r", F.lit(40).alias("g"), F.lit(30).alias("b"), *size).unionByName(ground.select("sheet", "y", "x0", "x1", *light, *size))
+
+
+MIN_AREA, MERGE_GAP, PADDING = 20, 7, 2
+
+
+def _three(name: str, of: str, how: str, cross: bool) -> str:
+    """A mask (v) after a step with a kernel of three by three, or with its cross: the most or the least of the pixels under it."""
+    both = "greatest" if how == "max" else "least"
+    rows = f"(select *, {how}(v) over (partition by sheet, y order by x rows between 1 preceding and 1 following) a from {of})"
+    if cross:
+        return f"{name} as materialized (select sheet, y, x, {both}(a, {how}(v) over (partition by sheet, x order by y rows between 1 preceding and 1 following)) v from {rows})"
+    return f"{name} as materialized (select sheet, y, x, {how}(a) over (partition by sheet, x order by y rows between 1 preceding and 1 following) v from {rows})"
+
+
+ELLIPSE = ", ".join(f"({dy}, {dx})" for dy, lo, hi in runs.ellipse(MERGE_GAP) for dx in range(lo, hi + 1))
+SHEETS = f"""last as (select o_custkey sheet, cast(o_orderkey % 9 as int) cell, max(o_orderkey) k from orders group by all),
+  ring as (select sheet, k, cell % 3 * {CELL_W} + 4 + k % 3 x, cell // 3 * {CELL_H} + 4 + k % 4 y, 9 + k % 5 w, 9 + k % 4 h from last),
+  ink as materialized (select sheet, y + i y, x + j x, k % 200 r from (select *, unnest(range(w)) j from (select *, unnest(range(h)) i from ring))
+    where k % 3 > 0 or i < {RING} or i >= h - {RING} or j < {RING} or j >= w - {RING}),
+  page as (select sheet, y, x from (select distinct sheet from last), range({SHEET_H}) a(y), range({SHEET_W}) b(x)),
+  px as materialized (select p.sheet, p.y, p.x, case when i.r is null then 245 else i.r end r, case when i.r is null then 245 else 40 end g, case when i.r is null then 245 else 30 end b from page p left join ink i using (sheet, y, x)),
+  lin as (select r, g, b, list_transform([r, g, b], lambda v: case when v / 255.0::double <= 0.04045::double then v / 255.0::double / 12.92::double else pow((v / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end) c from (select distinct r, g, b from px)),
+  xyz as (select r, g, b, [(c[1] * 0.412453::double + c[2] * 0.357580::double + c[3] * 0.180423::double) / 0.950456::double, c[1] * 0.212671::double + c[2] * 0.715160::double + c[3] * 0.072169::double, (c[1] * 0.019334::double + c[2] * 0.119193::double + c[3] * 0.950227::double) / 1.088754::double] v from lin),
+  f as (select r, g, b, v, list_transform(v, lambda u: case when u > 0.008856::double then cbrt(u) else u * 7.787::double + 16 / 116.0::double end) f from xyz),
+  lab as materialized (select r, g, b, (9798 * r + 19235 * g + 3735 * b + 16384) >> 15 gray, list_transform([(case when v[2] > 0.008856::double then cbrt(v[2]) * 116 - 16 else v[2] * 903.3::double end) * 255 / 100, (f[1] - f[2]) * 500 + 128, (f[2] - f[3]) * 200 + 128], lambda u: round_even(greatest(0, least(255, u)), 0)) t from f),
+  edge as (select sheet, t, unnest(range((y < 12)::int + (y >= {SHEET_H} - 12)::int + (x < 12)::int + (x >= {SHEET_W} - 12)::int)) from px join lab using (r, g, b)),
+  mean as materialized (select sheet, avg(t[1]) l, avg(t[2]) a, avg(t[3]) b from edge group by sheet),
+  lim as (select sheet, greatest(12.0::double, quantile_cont(sqrt((t[1] - l) * (t[1] - l) + (t[2] - a) * (t[2] - a) + (t[3] - b) * (t[3] - b)), 0.95::double) * 2.5 + 6) far, greatest(10.0::double, quantile_cont(abs(t[1] - l), 0.95::double) * 2.5 + 4) light from edge join mean using (sheet) group by sheet),
+  hist as (select sheet, gray, count(*) n from px join lab using (r, g, b) group by all),
+  sums as (select *, sum(n) over u below, sum(n * gray) over u mass, sum(n) over (partition by sheet) al, sum(n * gray) over (partition by sheet) total from hist window u as (partition by sheet order by gray rows unbounded preceding)),
+  cuts as (select sheet, coalesce(max_by(gray, (z, -gray)) filter (z is not null), 0) dark from (select *, case when below < al then round(below::double * (al - below) * (mass / below::double - (total - mass) / (al - below)::double) * (mass / below::double - (total - mass) / (al - below)::double), 3) end z from sums) group by sheet),
+  told as materialized (select p.sheet, y, x, (sqrt((t[1] - l) * (t[1] - l) + (t[2] - a) * (t[2] - a) + (t[3] - m.b) * (t[3] - m.b)) > far or abs(t[1] - l) > light)::int colour, (gray <= dark)::int v from px p join lab using (r, g, b) join mean m on m.sheet = p.sheet join lim on lim.sheet = p.sheet join cuts on cuts.sheet = p.sheet),
+  {_three("d1", "told", "max", False)}, {_three("d2", "d1", "min", False)},
+  either as (select sheet, y, x, greatest(colour, d2.v) v from told join d2 using (sheet, y, x)),
+  {_three("m1", "either", "min", True)}, {_three("m2", "m1", "max", True)}, {_three("m3", "m2", "max", True)}, {_three("m4", "m3", "max", True)}, {_three("m5", "m4", "min", True)}, {_three("m6", "m5", "min", True)},
+  mask as materialized (select sheet, y, x from m6 where v = 1)"""
+
+
+@query(f"""with recursive {SHEETS},
+  wide as (select distinct sheet, y + dy y, x + dx x from mask, (values {ELLIPSE}) e(dy, dx) where y + dy between 0 and {SHEET_H} - 1 and x + dx between 0 and {SHEET_W} - 1),
+  isles as (select sheet, y, x, x - row_number() over (partition by sheet, y order by x) i from wide),
+  stretch as materialized (select sheet, y, min(x) x0, max(x) + 1 x1, y * 100 + min(x) id from isles group by sheet, y, i),
+  met as materialized (select a.sheet, a.id a, b.id b from stretch a join stretch b on a.sheet = b.sheet and abs(a.y - b.y) = 1 and a.x0 <= b.x1 and b.x0 <= a.x1),
+  reach as (select sheet, id, id seen from stretch union select r.sheet, r.id, m.b from reach r join met m on m.sheet = r.sheet and m.a = r.seen),
+  label as (select sheet, id, min(seen) label from reach group by all),
+  spread as (select sheet, label, min(x0) x, min(y) y, max(x1) - min(x0) w, max(y) - min(y) + 1 h, sum(x1 - x0) area from stretch join label using (sheet, id) group by all having sum(x1 - x0) >= {MIN_AREA}),
+  tight as (select s.sheet, s.label, area, min(m.x) x, min(m.y) y, max(m.x) + 1 x2, max(m.y) + 1 y2 from spread s join mask m on m.sheet = s.sheet and m.x >= s.x and m.x < s.x + s.w and m.y >= s.y and m.y < s.y + s.h group by all),
+  box as materialized (select sheet, label, area, greatest(0, x - {PADDING}) x, greatest(0, y - {PADDING}) y, least({SHEET_W}, x2 + {PADDING}) x2, least({SHEET_H}, y2 + {PADDING}) y2 from tight),
+  back as materialized (select b.sheet, b.label, m.y, m.x, m.y = b.y or m.x = b.x or m.y = b.y2 - 1 or m.x = b.x2 - 1 frame from box b join m6 m on m.sheet = b.sheet and m.x >= b.x and m.x < b.x2 and m.y >= b.y and m.y < b.y2 where m.v = 0),
+  free as (select sheet, label, y, x from back where frame union select b.sheet, b.label, b.y, b.x from free f, (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx), back b where b.sheet = f.sheet and b.label = f.label and b.y = f.y + dy and b.x = f.x + dx),
+  outs as (select sheet, label, count(*) n from free group by all), grounds as (select sheet, label, count(*) n from back group by all)
+  select b.sheet, b.x, b.y, b.x2 - b.x w, b.y2 - b.y h, cast(area as bigint) area, coalesce(o.n, 0) outside, coalesce(g.n, 0) - coalesce(o.n, 0) holes from box b left join outs o using (sheet, label) left join grounds g using (sheet, label)""")
 def sheet_icons(spark, sf_dir):
-    """Every customer's orders drawn as rectangles of one sheet, and the icons that the sheet's pixels give."""
-    order = F.col("o_orderkey")
-    place = [(order * 37 % 80).alias("x"), (order * 53 % 50).alias("y"), (5 + order % 9).alias("w"), (5 + order % 7).alias("h"), (order % 200).alias("shade")]
-    drawn = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sheet"), F.struct("o_orderkey", *place).alias("box")).groupBy("sheet").agg(F.sort_array(F.collect_list("box")).alias("boxes"))
-    found = sheets.icons(raster.drawn_sheets(drawn, 64, 96), min_area=20, merge_gap=3, padding=2, canvas=(24, 24))
-    return found.select(F.col("sheet_id").alias("sheet"), "icon_index", "source_bounds", "source_size", F.round("scale", 9).alias("scale"), "dominant_color", "palette")
+    """Icons of every customer's sheet: box, area, and how much of its crop's background is outside and how much in holes.
+
+    Limits by each sheet's border, the mask, components, tightened boxes and their background, all over runs.
+    """
+    key = ["sheet"]
+    coloured = written(order_sheets(spark, sf_dir), "coloured")
+    told = written(detection.limits(coloured, key), "limits")
+    mask = written(detection.foreground(coloured, told, key), "mask")
+    found = detection.icon_boxes(mask, told, key, min_area=MIN_AREA, merge_gap=MERGE_GAP)
+    boxes = written(geometry.pad_clamp(found, PADDING, F.lit(SHEET_W), F.lit(SHEET_H)).select("sheet", c("label").alias("icon"), "x", "y", "w", "h", "area"), "boxes")
+    ground = runs.crop_background(mask, boxes.drop("area"), key, "icon").withColumn("n", (c("x1") - c("x0")).cast("long"))
+    counted = ground.groupBy("sheet", "icon").agg(F.sum(F.when(c("outside"), c("n")).otherwise(0)).alias("outside"), F.sum(F.when(c("outside"), 0).otherwise(c("n"))).alias("holes"))
+    out = boxes.join(counted, ["sheet", "icon"], "left")
+    return out.select("sheet", "x", "y", "w", "h", "area", F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("holes", F.lit(0)).alias("holes"))
 
 
 @query("""with e as (select vec_id, label, list_transform(embedding, lambda v: v::double * 100 * case when label = 0 then 1 else 1 + vec_id % 5 end) v from embeddings),

@@ -1,12 +1,16 @@
-"""Gets this package to the workers of a session."""
+"""Gets this package to the workers of a session, and tables to the folder that its machines share."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -25,3 +29,42 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    folder of its own; a cluster has none that every machine sees, so it must name one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the shared folder. It goes when the application ends, or with ``release``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    store, place = _folder(spark, path)
+    store.deleteOnExit(place)
+    # a file's fields may all be null, whatever the plan knew of them
+    kind = re.sub(r'("(?:nullable|containsNull|valueContainsNull)":)false', r"\1true", df.schema.json())
+    out = spark.read.schema(StructType.fromJson(json.loads(kind))).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            store, place = _folder(df.sparkSession, path)
+            store.delete(place, True)

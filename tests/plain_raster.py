@@ -1,12 +1,8 @@
-"""Numpy kernels for one sheet's pixels, and the DataFrame pass that runs them sheet by sheet."""
+"""Detection on one sheet's pixels in plain numpy: what the operators on runs are held against."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from glyphmill.plans.session import ship_package
 
 
 def ellipse(size: int) -> np.ndarray:
@@ -58,7 +54,7 @@ def lab(bgr: np.ndarray) -> np.ndarray:
 
 
 def gray(bgr: np.ndarray) -> np.ndarray:
-    return np.rint(bgr[..., :3].astype(np.float64) @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+    return ((bgr[..., :3].astype(np.int64) @ np.array([3735, 19235, 9798]) + 16384) >> 15).astype(np.uint8)
 
 
 def otsu(values: np.ndarray) -> int:
@@ -145,12 +141,6 @@ def transparent_crop(bgr: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.dstack([bgr[..., 2::-1], np.where(exterior(mask), 0, 255).astype(np.uint8)])
 
 
-def colours(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """BGR pixels of an image row; gray becomes three channels and opacity is left out."""
-    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., :3]
-
-
 def detect(bgr: np.ndarray, min_area: int, merge_gap: int) -> list[tuple[tuple, tuple, int]]:
     """(tightened box, spread box, area) of each icon: the mask is spread so that strokes near each other join; the
     area is the spread one's."""
@@ -176,43 +166,3 @@ def detect(bgr: np.ndarray, min_area: int, merge_gap: int) -> list[tuple[tuple,
 def box_of(ys: np.ndarray, xs: np.ndarray) -> tuple[int, int, int, int]:
     x, y = int(xs.min()), int(ys.min())
     return x, y, int(xs.max()) + 1 - x, int(ys.max()) + 1 - y
-
-
-def detect_boxes(sheets: DataFrame, *, min_area: int = 200, merge_gap: int = 13) -> DataFrame:
-    """sheet_id, x, y, w, h (tightened), spread (x, y, w, h), area, bg (r, g, b), sheet_w, sheet_h of every icon of the
-    image source's sheets; one sheet in memory at a time."""
-    ship_package(sheets.sparkSession)
-    rows = sheets.select(F.col("image.origin").alias("sheet_id"), "image.height", "image.width", "image.nChannels", "image.data")
-
-    def run(stream):
-        import pandas as pd
-
-        for batch in stream:
-            for sheet, h, w, n, data in batch.itertuples(index=False):
-                bgr = colours(data, h, w, n)
-                bg = list(background(bgr))
-                found = [(sheet, *tight, dict(zip("xywh", wide, strict=True)), area, bg, w, h) for tight, wide, area in detect(bgr, min_area, merge_gap)]
-                yield pd.DataFrame(found, columns=["sheet_id", "x", "y", "w", "h", "spread", "area", "bg", "sheet_w", "sheet_h"])
-
-    return rows.mapInPandas(run, "sheet_id string, x int, y int, w int, h int, spread struct<x:int,y:int,w:int,h:int>, area int, bg array<int>, sheet_w int, sheet_h int")
-
-
-def drawn_sheets(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """Sheets as the image source gives them, drawn from rows of sheet and boxes (x, y, w, h, shade): dark rectangles on a light
-    ground. For trying detection on tables that hold no pictures."""
-    ship_package(rows.sparkSession)
-
-    def run(stream):
-        import pandas as pd
-
-        for batch in stream:
-            out = []
-            for sheet, boxes in zip(batch["sheet"], batch["boxes"], strict=True):
-                page = np.full((height, width, 3), 245, np.uint8)
-                for b in boxes:
-                    page[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = (b["shade"], 40, 30)
-                out.append({"origin": sheet, "height": height, "width": width, "nChannels": 3, "data": page.tobytes()})
-            yield pd.DataFrame(out)
-
-    flat = rows.select("sheet", "boxes").mapInPandas(run, "origin string, height int, width int, nChannels int, data binary")
-    return flat.select(F.struct("origin", "height", "width", "nChannels", "data").alias("image"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from glyphmill.functions import pictures
-from glyphmill.operators import catalog, geometry, labelling, naming, pixels, raster, settings, sheets
+from glyphmill.operators import catalog, geometry, labelling, naming, settings, sheets
 from glyphmill.plans import registry
 from glyphmill.sources import readers, sinks
 from glyphmill.streaming import progress
@@ -125,22 +125,8 @@ def test_sheet_end_to_end(spark, tmp_path):
     page[100:160, 150:210] = (20, 20, 120)
     page[115:145, 165:195] = 250
     (tmp_path / "sheet.png").write_bytes(sinks.png_bytes(page))
-    found = raster.detect_boxes(readers.png_sheets(spark, str(tmp_path / "*.png")), min_area=100, merge_gap=5).orderBy("y").collect()
-    assert [(r.x, r.y, r.w, r.h) for r in found] == [(30, 20, 50, 40), (150, 100, 60, 60)] and found[0].bg == [250, 250, 250]
-    mask = raster.foreground(page[..., ::-1])
-    assert not raster.exterior(mask)[130, 180] and raster.exterior(mask)[0, 0]
-
-
-def test_kernels_equal_sparse_forms(spark):
-    rng = np.random.default_rng(3)
-    mask = rng.random((30, 40)) < 0.2
-    points = spark.createDataFrame([(1, int(x), int(y)) for y, x in np.argwhere(mask)], "k int, x int, y int")
-    wide = {(r.x, r.y) for r in pixels.dilate(points, ["k"], pixels.PLUS, F.lit(40), F.lit(30)).collect()}
-    assert wide == {(int(x), int(y)) for y, x in np.argwhere(raster.dilate(mask, raster.ellipse(3)))}
-    boxes = {(r.x, r.y, r.w, r.h, r.area) for r in pixels.component_boxes(pixels.label_components(points, ["k"]), ["k"], 1).collect()}
-    labels = raster.label(mask)
-    want = {(int(xs.min()), int(ys.min()), int(np.ptp(xs) + 1), int(np.ptp(ys) + 1), len(xs)) for n in range(1, labels.max() + 1) for ys, xs in [np.nonzero(labels == n)]}
-    assert boxes == want
+    found = sheets.icon_boxes(readers.png_sheets(spark, str(tmp_path / "*.png")), min_area=100, merge_gap=5, padding=0).orderBy("icon_index").collect()
+    assert [tuple(r.source_bounds) for r in found] == [(30, 20, 50, 40), (150, 100, 60, 60)]
 
 
 def test_svg_text(spark):
@@ -227,7 +213,7 @@ def test_components_of_every_sheet(spark, sf_dir):
             while todo:
                 x, y = todo.pop()
                 part.append((x, y))
-                near = {(x + dx, y + dy) for dx, dy in pixels.SQUARE} & left
+                near = {(x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)} & left
                 left -= near
                 todo += near
             if len(part) > 1:
