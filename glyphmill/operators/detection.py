@@ -116,6 +116,12 @@ def foreground(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int
     return runs.core(mask, lines).select(*keys, "y", "x0", "x1")
 
 
+def dark_mask(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int = runs.LINES) -> DataFrame:
+    """keys, y, x0, x1 of what is at the sheet's gray threshold or below, closed."""
+    level = coloured.join(told.select(*keys, "threshold"), keys).where(gray(c("r"), c("g"), c("b")) <= c("threshold"))
+    return runs.morphed(level, told.select(*keys, "width", "height"), keys, runs.closed, runs.square(3), lines)
+
+
 def icon_boxes(mask: DataFrame, sizes: DataFrame, keys: list[str], *, min_area: int = 200, merge_gap: int = 13) -> DataFrame:
     """keys, label, x, y, w, h (tightened), spread (x, y, w, h), area: the mask is spread so that strokes near each other join; the area is
     the spread one's."""

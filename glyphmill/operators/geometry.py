@@ -80,12 +80,6 @@ def auto_ids(df: DataFrame, key: str, order: str, id_col: str = "elem_id") -> Da
     return df.withColumn(id_col, F.when(missing, F.format_string("shape_%04d", number)).otherwise(c(id_col)))
 
 
-def keep_drawn(elements: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """Elements that are drawn: no comments (null tag), no defs, and with a box."""
-    drawn = elements.where(c("tag").isNotNull() & ~c("tag").endswith("defs"))
-    return drawn.join(boxes, [key, "elem_id"])
-
-
 def uniform_scale(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
     """Adds scale: what fits the sheet's widest and its highest icon, maybe two icons, on the canvas."""
     by = W.partitionBy(key)

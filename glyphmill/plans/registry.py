@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import catalog, detection, geometry, naming, pixels, runs, settings, sheets
+from glyphmill.operators import catalog, detection, geometry, naming, pixels, runs, settings, sheets, vector
 from glyphmill.plans.session import written
 
 c = F.col
@@ -635,6 +635,54 @@ def sheet_icons(spark, sf_dir):
     return out.select("sheet", "x", "y", "w", "h", "area", F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("holes", F.lit(0)).alias("holes"))
 
 
+ITEM = f"""{BOXES}, item as (select *, cast(row_number() over (partition by sheet order by n, p, s, e) - 1 as int) ord, p % 5 kind from box),
+  named as (select *, case when kind = 1 then printf('shape_%04d', row_number() over (partition by sheet, kind order by ord)) else 'e' || ord end elem_id from item where kind < 4),
+  drawn as (select *, case kind when 0 then '<rect transform="translate(' when 1 then '<path xmlns="http://www.w3.org/2000/svg" d="M0 0" transform="translate(' when 2 then '<g transform="translate(' else '<text transform="translate(' end opening,
+    case when kind = 1 then ') scale(2)" />' else ')" xmlns="http://www.w3.org/2000/svg" id="e' || ord || '"' || case kind when 0 then ' />' when 2 then '><circle r="' || n || '" /></g>' else '>a &amp; b</text>' end end closing from named where s % 7 > 0)"""
+
+
+def _drawings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every order as a drawing whose elements are its line items, and the items' boxes by their place in it."""
+    item = boxes(spark, sf_dir).select("sheet", F.struct("n", "p", "s", "e", "x", "y", "w", "h").alias("item"))
+    held = item.groupBy("sheet").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+    def element(i, k):
+        name = F.concat(F.lit(' id="e'), k.cast("string"), F.lit('"'))
+        kind = i["p"] % 5
+        group = F.concat(F.lit("<g"), name, F.lit('><circle r="'), i["n"].cast("string"), F.lit('"/></g> '))
+        text = F.concat(F.lit("<text"), name, F.lit(">a &amp; b</text>"))
+        return F.when(kind == 0, F.concat(F.lit("<rect"), name, F.lit("/>"))).when(kind == 1, '<path d="M0 0" transform="scale(2)"/>').when(kind == 2, group).when(kind == 3, text).otherwise("<defs><a/></defs>")
+
+    root = '<?xml version="1.0"?><svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000,900">'
+    text = F.concat(F.lit(root), F.array_join(F.transform("items", element), ""), F.lit("</svg>"))
+    view = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1000.0).alias("w"), F.lit(900.0).alias("h"))
+    return held.select(c("sheet").alias("sheet_id"), text.alias("svg"), view.alias("view")), held.select(c("sheet").alias("sheet_id"), F.posexplode("items").alias("ord", "item")).select("sheet_id", "ord", "item.*")
+
+
+@query(f"""with {ITEM}, grp as (select sheet, ord group_no, floor(((x - 60) * 2) * (1000 / 2000.0::double)) gx, floor(((y - 60) * 2) * (900 / 1800.0::double)) gy, greatest(1, ceil(400 * (1000 / 2000.0::double))) gw, greatest(1, ceil((h + 150) * 2 * (900 / 1800.0::double))) gh from item where n % 3 = 1),
+  hit as (select d.sheet, d.ord, min(group_no) group_no from drawn d join grp g on g.sheet = d.sheet and d.x + d.w / 2.0 between gx - 3 and gx + gw + 3 and d.y + d.h / 2.0 between gy - 3 and gy + gh + 3 group by all),
+  put as (select d.*, group_no, coalesce('g' || group_no, 's' || d.ord) key from drawn d left join hit using (sheet, ord)),
+  uni as (select sheet, key, any_value(group_no) group_no, min(ord) first_ord, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h from put group by sheet, key),
+  num as (select *, row_number() over (partition by sheet order by y + h / 2.0, x, group_no is null, group_no, first_ord) icon_index, w + 10 pw, h + 10 ph from uni),
+  sca as (select *, least(512.0::double / greatest(1, max(pw) over (partition by sheet)), 512.0::double / greatest(1, max(ph) over (partition by sheet))) scale from num),
+  txt as (select p.sheet, p.key, string_agg(opening || (5 - u.x) || ' ' || (5 - u.y) || closing, '' order by ord) body, string_agg(elem_id, ',' order by ord) ids from put p join uni u using (sheet, key) group by p.sheet, p.key)
+  select sheet, cast(icon_index as int) icon_index, x - 5 x, y - 5 y, pw w, ph h, ids, md5('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || pw || ' ' || ph || '">' || body || '</svg>') fragment,
+    printf('translate(%.4f %.4f) scale(%.6f)', round_even((512 - pw * scale) / 2.0, 4), round_even((512 - ph * scale) / 2.0, 4), round_even(scale, 6)) transform from sca join txt using (sheet, key)""")
+def svg_icons(spark, sf_dir):
+    """Every order's drawing taken to icons: elements from the text, boxes from lines, groups from boxes of a rendering twice as large."""
+    from glyphmill.sources import readers
+
+    drawings, items = _drawings(spark, sf_dir)
+    drawings = written(drawings, "drawings")
+    text = [c(n).cast("string") for n in ("x", "y", "w", "h")]
+    lines = vector.elements(drawings).join(items.where("s % 7 > 0"), ["sheet_id", "ord"]).select("sheet_id", F.concat_ws(",", "elem_id", *text).alias("line"))
+    own = readers.element_boxes(lines, "line").select("sheet_id", "elem_id", "x", "y", "w", "h")
+    groups = items.where("n % 3 = 1").select("sheet_id", c("ord").alias("group_no"), ((c("x") - 60) * 2).alias("x"), ((c("y") - 60) * 2).alias("y"), F.lit(400).alias("w"), ((c("h") + 150) * 2).alias("h"), F.lit(2000).alias("raster_w"), F.lit(1800).alias("raster_h"))
+    found = vector.icons(drawings, own, groups, padding=5, canvas=(CANVAS, CANVAS))
+    transform = F.regexp_extract("svg", r'<g transform="([^"]*)"', 1)
+    return found.select(c("sheet_id").alias("sheet"), "icon_index", "source_bounds.*", F.array_join("elem_ids", ",").alias("ids"), F.md5("fragment").alias("fragment"), transform.alias("transform"))
+
+
 @query("""with e as (select vec_id, label, list_transform(embedding, lambda v: v::double * 100 * case when label = 0 then 1 else 1 + vec_id % 5 end) v from embeddings),
   m as (select list(a order by i) mean from (select i, avg(x) a from (select unnest(range(1, 65)) i, unnest(v) x from e where label = 0) group by i)),
   d as (select vec_id, label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - mean[i]) * (v[i] - mean[i])))) d, abs(v[1] - mean[1]) dl from e, m),
