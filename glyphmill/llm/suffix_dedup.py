@@ -12,6 +12,8 @@ several times is in the merge twice, as it takes two to repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import batches, bits_for, filter_bits, heavy, in_filter, lookup, release, written
-from glyphmill.llm.rolling import MAX_BLOCK, gram_hashes, mix, prefix_hashes, window_minima
+from glyphmill.llm.rolling import gram_hashes, mix, prefix_hashes, span_hashes, window_minima
 from glyphmill.plans.session import ship_package
 
 GRAM_SHARE = 0.5  # of a window that its anchor covers, about
@@ -36,28 +38,44 @@ def shape(length: int) -> tuple[int, int]:
 # ---- segments of a text ------------------------------------------------------------------------
 
 
-def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, number of windows, place of the anchor) of each run of windows that share an
-    anchor; first window and anchor are byte places."""
-    parts = []
-    block = MAX_BLOCK - 1
-    for base in range(0, max(1, len(data) - length + 1), block - length):
-        piece = data[base : base + block]
+#: Bytes of a text that are worked on at once.
+BLOCK = 1 << 21
+
+
+def segments(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Block by block (anchor hash, first window, number of windows, place of the anchor, times) of each run of windows that share an
+    anchor; first window and anchor are byte places.
+
+    Where a text repeats with a short period, one segment follows another with the same bytes: these are one row, ``times`` of them on
+    end, each as many bytes after the last as it has windows. So a text of one byte over and over is a row for each block.
+    """
+    for base in range(0, max(1, len(data) - length + 1), BLOCK - length):
+        piece = data[base : base + BLOCK]
         if len(piece) < length:
-            break
-        grams = gram_hashes(prefix_hashes(piece), gram)
+            return
+        prefix = prefix_hashes(piece)
+        grams = gram_hashes(prefix, gram)
         anchor = window_minima(grams, length - gram + 1)
-        if base + block < len(data):
-            anchor = anchor[: block - length]  # the next piece starts with the next window
+        if base + BLOCK < len(data):
+            anchor = anchor[: BLOCK - length]  # the next piece starts with the next window
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.concatenate([first, [len(anchor)]]))
         at = anchor[first]
-        parts.append((grams[at], first + base, count, at + base))
-        if base + block >= len(data):
-            break
-    if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        whole = span_hashes(prefix, first, first + count - 1 + length)
+        alike = np.r_[False, (whole[1:] == whole[:-1]) & (count[1:] == count[:-1]) & (np.diff(at) == np.diff(first))]
+        head = np.flatnonzero(~alike)
+        times = np.diff(np.r_[head, len(first)])
+        for i in np.flatnonzero(times > 1):
+            # a hash has the first word, the bytes the last
+            j, step = head[i], count[head[i]]
+            stretch = piece[first[j] : first[j] + (times[i] - 1) * step + step - 1 + length]
+            if not np.array_equal(stretch[step:], stretch[:-step]):
+                alike[j + 1 : j + times[i]] = False
+        head = np.flatnonzero(~alike)
+        times = np.diff(np.r_[head, len(first)])
+        yield grams[at[head]], first[head] + base, count[head], at[head] + base, times
+        if base + BLOCK >= len(data):
+            return
 
 
 # ---- transforms and their merge ----------------------------------------------------------------
@@ -240,6 +258,8 @@ def settle(groups: list, before: list[bytes], after: list[bytes], copies: list[i
 _KEYS = ["anchor", "check", "content"]
 #: Bytes of segments that are merged at once, or those of one anchor if it has more: small tables stay in a CPU's cache.
 _AT_ONCE = 24 << 10
+#: Segments that a task hands on at once.
+_ROWS = 20_000
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -279,8 +299,8 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
     def anchors_only(stream):
         for batch in batches(stream):
-            found = [segments(_bytes(t), length, gram)[0] for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
+            found = [np.repeat(a, np.minimum(times, 2)) for t in batch.column(0) for a, _, _, _, times in segments(_bytes(t), length, gram)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], names=["anchor"])
 
     hashes = long_enough.select("text").mapInArrow(anchors_only, "anchor long")
     repeated = written(hashes.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
@@ -288,25 +308,33 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
     def passing(text):
         d = _bytes(text)
-        a, f, n, p = segments(d, length, gram)
-        ok = in_filter(marks.value, a)
-        for x, first, number, place in zip(a[ok].view(np.int64).tolist(), f[ok].tolist(), n[ok].tolist(), p[ok].tolist(), strict=True):
-            yield x, first, number, *_cut_out(d, first, number, place, length, gram)
+        for a, f, n, p, times in segments(d, length, gram):
+            ok = in_filter(marks.value, a)
+            for x, first, number, place, t in zip(a[ok].view(np.int64).tolist(), f[ok].tolist(), n[ok].tolist(), p[ok].tolist(), times[ok].tolist(), strict=True):
+                yield x, first, number, t, *_cut_out(d, first, number, place, length, gram)
 
     def places(stream):
+        def told():
+            columns = zip(*rows, strict=True) if rows else [[]] * 11
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)], names=["k1", "k2", "home", *_KEYS, "first", "number", "times", "before", "after"])
+
+        rows: list[tuple] = []
         for batch in batches(stream):
-            keys = zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True)
-            rows = [(k1, k2, home, x, check, _content(b, a), first, number, b, a) for k1, k2, home, t in keys for x, first, number, check, b, a in passing(t)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 10
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)], names=["k1", "k2", "home", *_KEYS, "first", "number", "before", "after"])
+            for k1, k2, home, t in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
+                for x, first, number, times, check, b, a in passing(t):
+                    rows.append((k1, k2, home, x, check, _content(b, a), first, number, times, b, a))
+                    if len(rows) >= _ROWS:
+                        yield told()
+                        rows = []
+        yield told()
 
     homed = long_enough.select("k1", "k2", F.pmod("k1", F.lit(shards)).cast("int").alias("home"), "text")
-    found = written(homed.mapInArrow(places, "k1 long, k2 long, home int, anchor long, check long, content long, first long, number long, before binary, after binary"), "found")
-    placed = written(found.select("k1", "k2", *_KEYS, "first", "number").distinct().join(repeated, "anchor", "left_semi"), "places")
+    found = written(homed.mapInArrow(places, "k1 long, k2 long, home int, anchor long, check long, content long, first long, number long, times long, before binary, after binary"), "found")
+    placed = written(found.select("k1", "k2", *_KEYS, "first", "number", "times").distinct().join(repeated, "anchor", "left_semi"), "places")
     together = [F.min("home").alias("lo"), F.max("home").alias("hi")]
     segment = ["anchor", "check", "before", "after"]
-    kinds = written(found.groupBy(*segment).agg(F.count("*").alias("copies"), *together), "segments")
+    kinds = written(found.groupBy(*segment).agg(F.sum("times").alias("copies"), *together), "segments")
     release(found)
     numbers = kinds.groupBy("anchor", "check").agg(F.count("*").alias("kinds"), F.sum("copies").alias("copies")).where("copies > 1")
     # so many that 65,536 anchors at most, whose keys are broadcast, are split
@@ -366,7 +394,9 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
     decided = lookup(placed, runs, _KEYS, heavy(occurrences, _KEYS))
     edge = lambda i: F.element_at("runs", i)
     spans = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct((F.col("first") + edge(2 * i + 1)).cast("int").alias("first"), (F.col("first") + edge(2 * i + 2) - 1).cast("int").alias("last")))
-    return decided.select("k1", "k2", F.explode(spans).alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    # segments on end occur twice at least, so all of their windows repeat
+    on_end = F.array(F.struct(F.col("first").cast("int").alias("first"), (F.col("first") + F.col("times") * F.col("number") - 1).cast("int").alias("last")))
+    return decided.select("k1", "k2", F.explode(F.when(F.col("times") > 1, on_end).otherwise(spans)).alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
 def _named(stream):
@@ -401,7 +431,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and short texts lose nothing; exact copies of a text of ``length`` bytes or more lose all of
     it, every one; rows with a null or repeated id are worked on like any other, one row out for each; an
     empty table gives an empty result; further columns aren't read. Texts of any length are read whole, in
-    stretches of 16 MB. Texts that lose nothing stay where they lie; copies of one text are dealt over many tasks.
+    stretches of 2 MB, and what repeats with a short period is held once a stretch. Texts that lose nothing stay where they lie; copies of one text are dealt over many tasks.
     """
     spans = written(repeated_spans(df, text_col=text_col, length=length, shards=shards, split_over=split_over), "spans")
     shared = df.sparkSession.sparkContext.broadcast(filter_bits(spans, "k1", bits_for(spans.count())))

@@ -77,10 +77,10 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, most: int = 32768, per_tas
         seen: Counter[str] = Counter()
         for batch in batches(stream):
             for text in batch.column(0).to_pylist():
-                seen.update(pre_tokens(text))
+                seen.update([p for p in pre_tokens(text) if 0 < len(p) <= _LONGEST_KEPT])
             if len(seen) > 50 * per_task:
                 seen = Counter(dict(seen.most_common(10 * per_task)))
-        top = [(p, n) for p, n in seen.most_common(per_task) if 0 < len(p) <= _LONGEST_KEPT]
+        top = seen.most_common(per_task)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
 
     texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -104,7 +104,8 @@ def count_tokens(
     broadcast with their lengths (a few MB at most). Second tier: each worker encodes what the table
     lacks and keeps up to ``cached`` lengths. Counts are exact whatever the tables hold; no pre-token
     is shuffled. A null text is empty and has 0 tokens; rows with a null or repeated id are counted
-    like any other, one row out for each row in; an empty table gives an empty result.
+    like any other, one row out for each row in; an empty table gives an empty result. A text of any length is encoded
+    whole, pre-token by pre-token; those over ``_LONGEST_KEPT`` characters are kept in no table. Further columns aren't read.
     """
     check_model(model)
     encode = _encoder(model)

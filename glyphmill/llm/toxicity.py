@@ -108,7 +108,8 @@ class Matcher:
         return found
 
     def density(self, words: list[str]) -> float:
-        """Weight of all hits, normalised by length: per hundred words, with the first hundred counted as one."""
+        """Weight of all hits, normalised by length: over the square root of the hundreds of words, and as it is up to a hundred. Four
+        times the words need twice the weight, so that a toxic passage in a long text still tells."""
         return sum(self.hits(words).values()) / max(1.0, math.sqrt(len(words) / 100))
 
     def score(self, words: list[str]) -> float:
