@@ -19,12 +19,28 @@ MODELS = [
     (6, "smolvlm-500m", "SmolVLM 500M (ultra-light)", 9, "", 0.0, "ggml-org/SmolVLM-500M-Instruct-GGUF", "Q8_0", 0.6, False),
 ]
 UNKNOWN_PRIORITY = 500
+#: What is said of each model that is known, and of others.
+RECOMMENDATIONS = {
+    "qwen3-vl": "Newest and strongest vision model for this app: excellent icon understanding with clean short labels.",
+    "qwen2.5-vl": "Lightweight, reliable balance of icon understanding, stable short labels, and local speed.",
+    "minicpm-v": "Great backup when you want a second opinion on hand-drawn marks and ambiguous symbols.",
+    "moondream": "Fastest lightweight option for quick local naming passes.",
+    "llava": "General fallback vision model when the preferred local icon models are unavailable.",
+    "smolvlm-500m": "Tiny footprint for constrained machines or a fast smoke test; lower accuracy on ambiguous marks.",
+}
+UNKNOWN_RECOMMENDATION = "Available locally, but not one of the app's primary icon-focused recommendations."
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, _SCHEMA)
 
 
+def recommendation(key: Column) -> Column:
+    """What is said of a model of the catalogue, by its key; a null key is that of an unknown one."""
+    known = F.create_map(*[F.lit(v) for pair in RECOMMENDATIONS.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, key), F.lit(UNKNOWN_RECOMMENDATION))
+
+
 def normal_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
 
@@ -37,7 +53,8 @@ def aliases(models: DataFrame) -> DataFrame:
 
 
 def match_catalogue(names: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Adds key, priority, vision: the first entry (least ord) with an alias within the name; else null, 500, false.
+    """Adds key, priority, vision, recommendation: the first entry (least ord) with an alias within the name; else null, 500, false and
+    what is said of unknown ones.
 
     The aliases are a dimension of a few rows, folded into one array, so each name is matched where it
     lies and no row is multiplied.
@@ -45,7 +62,7 @@ def match_catalogue(names: DataFrame, known: DataFrame, name: str) -> DataFrame:
     folded = known.agg(F.array_sort(F.collect_list(F.struct("ord", "key", "priority", "alias"))).alias("_known"))
     hit = F.get(F.filter("_known", lambda k: F.contains(normal_name(c(name)), k["alias"])), F.lit(0))
     out = names.crossJoin(F.broadcast(folded)).withColumn("_hit", hit)
-    return out.withColumns({"key": c("_hit.key"), "priority": F.coalesce("_hit.priority", F.lit(UNKNOWN_PRIORITY)), "vision": c("_hit").isNotNull()}).drop("_known", "_hit")
+    return out.withColumns({"key": c("_hit.key"), "priority": F.coalesce("_hit.priority", F.lit(UNKNOWN_PRIORITY)), "vision": c("_hit").isNotNull(), "recommendation": recommendation(c("_hit.key"))}).drop("_known", "_hit")
 
 
 def best_model(models: DataFrame, keys: list[str], name: str, ties: str) -> DataFrame:
@@ -98,14 +115,25 @@ def listing_names(lines: DataFrame, line: str, number: str) -> DataFrame:
     return lines.withColumn("name", name).where((c(number) > 0) & (c("name") != "") & ~c("name").endswith(":cloud"))
 
 
+def _entries(answer: Column, path: str) -> Column:
+    """The list under a path of a JSON answer, as variants; null if there is none."""
+    return F.try_variant_get(F.try_parse_json(answer), path, "array<variant>")
+
+
 def served_models(payload: DataFrame, col: str) -> DataFrame:
-    """Names of a server's JSON listing, under models or else data; entries that are no objects or have no name are dropped."""
-    entries = lambda path: F.try_variant_get(F.try_parse_json(col), path, "array<variant>")
-    some = F.when(F.size(entries("$.models")) > 0, entries("$.models"))
-    rows = F.explode(F.coalesce(some, entries("$.data"), F.array().cast("array<variant>")))
-    node = payload.select("*", rows.alias("_v"))
+    """Names of a server's JSON listing: id, or else model, of each object under data; those without are dropped, and a broken answer has none."""
+    node = payload.select("*", F.explode(F.coalesce(_entries(c(col), "$.data"), F.array().cast("array<variant>"))).alias("_v"))
     text = lambda path: F.nullif(F.trim(F.try_variant_get("_v", path, "string")), F.lit(""))
-    return node.withColumn("name", F.coalesce(text("$.id"), text("$.model"), text("$.name"))).where("name is not null").drop("_v")
+    return node.withColumn("name", F.coalesce(text("$.id"), text("$.model"))).where("name is not null").drop("_v")
+
+
+def loaded_model(answer: Column) -> Column:
+    """struct<loaded, model, capabilities> of a server's JSON listing: whether it lists any, under models or, if that is empty, under data, and what
+    the first of them is and says it can do (null if it has no such list)."""
+    some = lambda path: F.when(F.size(_entries(answer, path)) > 0, _entries(answer, path))
+    first = F.get(F.coalesce(some("$.models"), some("$.data")), F.lit(0))
+    text = lambda path: F.nullif(F.try_variant_get(first, path, "string"), F.lit(""))
+    return F.struct(first.isNotNull().alias("loaded"), F.coalesce(text("$.id"), text("$.name")).alias("model"), F.try_variant_get(first, "$.capabilities", "array<string>").alias("capabilities"))
 
 
 def listed(names: DataFrame, known: DataFrame, *, served: bool = False) -> DataFrame:
@@ -142,21 +170,31 @@ def complete_pairs(files: DataFrame, keys: list[str], file: str) -> DataFrame:
     return both.where("p and w").select(*keys)
 
 
-def preflight(provider: Column, url_local: Column, reachable: Column, model: Column, present: Column, known_vision: Column, loaded: Column, capabilities: Column) -> Column:
-    """Readiness of a provider: struct<ok, vision_capable, reason>."""
-    row = lambda ok, vision, reason: F.struct(F.lit(ok).alias("ok"), F.lit(vision).cast("boolean").alias("vision_capable"), F.lit(reason).alias("reason"))
-    able = F.array_contains(capabilities, "multimodal") | F.array_contains(capabilities, "vision")
-    ollama = F.when(~reachable, row(False, None, "not reachable")).when(F.coalesce(model, F.lit("")) == "", row(False, None, "no model selected")).when(~present, row(False, None, "model not pulled")).when(~known_vision, row(True, False, "not a known vision model")).otherwise(row(True, True, "ready"))
-    llama = F.when(~reachable, row(False, None, "not reachable")).when(~loaded, row(False, None, "no model loaded")).when(capabilities.isNull(), row(True, None, "ready")).when(able, row(True, True, "ready")).otherwise(row(False, False, "not multimodal"))
-    return F.when(~provider.isin("ollama", "llamacpp"), row(True, None, "no model needed")).when(~url_local, row(False, None, "url not local")).when(provider == "ollama", ollama).otherwise(llama)
+def preflight(provider: Column, local: Column, answer: Column, model: Column, known_vision: Column) -> Column:
+    """Readiness of a provider: struct<ok, vision_capable, reason, model>.
 
-
-def recommendation_text(selected: Column, note: Column, best: Column, best_note: Column) -> Column:
-    """What to say of the selected and of the best model (nulls where there is none)."""
-    praise = F.when(best.isNotNull(), F.concat(F.lit("Best fit: "), best, F.lit(". "), best_note))
-    other = F.when(selected.isNotNull() & ~selected.eqNullSafe(best), F.concat(F.lit("In use: "), selected, F.lit(". "), note))
-    same = F.when(selected.isNotNull() & selected.eqNullSafe(best), F.concat(F.lit("In use now: "), note))
-    return F.concat_ws(" ", praise, other, same)
+    ``answer`` is what the provider's listing gave (null or broken if it can't be reached), ``model`` the one that is chosen, ``known_vision``
+    whether the catalogue has that. A tag counts as pulled if one of its family (up to the colon) is.
+    """
+    row = lambda ok, vision, reason, name=F.lit(None): F.struct(F.lit(ok).alias("ok"), F.lit(vision).cast("boolean").alias("vision_capable"), F.lit(reason).alias("reason"), name.cast("string").alias("model"))
+    reachable = F.coalesce(F.try_parse_json(answer).isNotNull(), F.lit(False))
+    chosen = F.coalesce(model, F.lit(""))
+    tags = F.transform(F.coalesce(_entries(answer, "$.models"), F.array().cast("array<variant>")), lambda v: F.coalesce(F.try_variant_get(v, "$.name", "string"), F.lit("")))
+    pulled = F.exists(tags, lambda t: tag_family(t) == tag_family(chosen))
+    ollama = F.when(~reachable, row(False, None, "not reachable")).when(chosen == "", row(False, None, "no model selected")).when(~pulled, row(False, None, "model not pulled", chosen))
+    ollama = ollama.when(~known_vision, row(True, False, "not a known vision model", chosen)).otherwise(row(True, True, "ready", chosen))
+    first = loaded_model(answer)
+    name, skills = F.coalesce(first["model"], F.nullif(chosen, F.lit("")), F.lit("loaded model")), first["capabilities"]
+    able = F.array_contains(skills, "multimodal") | F.array_contains(skills, "vision")
+    llama = F.when(~reachable, row(False, None, "not reachable")).when(~first["loaded"], row(False, None, "no model loaded")).when(skills.isNull(), row(True, None, "ready", name))
+    llama = llama.when(able, row(True, True, "ready", name)).otherwise(row(False, False, "not multimodal", name))
+    return F.when(~provider.isin("ollama", "llamacpp"), row(True, None, "no model needed")).when(~local, row(False, None, "url not local")).when(provider == "ollama", ollama).otherwise(llama)
+
+
+def advice(selected: Column, best: Column) -> Column:
+    """struct<best, selected, same>: the best model and the one in use, with what the catalogue says of either (nulls where there is none)."""
+    said = lambda m: F.when(m.isNotNull(), F.struct(m["name"].alias("name"), recommendation(m["key"]).alias("recommendation")))
+    return F.struct(said(best).alias("best"), said(selected).alias("selected"), F.coalesce(selected["name"] == best["name"], F.lit(False)).alias("same"))
 
 
 def choices(running: Column, startable: Column) -> Column:
@@ -164,6 +202,6 @@ def choices(running: Column, startable: Column) -> Column:
     return F.array_distinct(F.concat(running, startable))
 
 
-def first_run_needed(models: DataFrame, marked: bool) -> DataFrame:
-    """One row: whether setup should be offered, that is if it wasn't yet and no vision model is there."""
-    return models.agg((~F.coalesce(F.bool_or("vision"), F.lit(False)) & ~F.lit(marked)).alias("needed"))
+def first_run_needed(models: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, needed: whether setup should be offered, that is if it isn't marked as done and no vision model is there."""
+    return models.groupBy(*keys).agg((~F.coalesce(F.bool_or("vision"), F.lit(False)) & ~F.coalesce(F.bool_or("marked"), F.lit(False))).alias("needed"))

@@ -388,11 +388,15 @@ NAMED = f"nm as (select p_partkey, ([{', '.join(repr(r) for r in RAW)}])[p_partk
 KNOWN = "known as (select * from (values " + ", ".join(f"({o}, '{k}', {p}, '{t}')" for o, k, _, p, t, *_ in catalog.MODELS) + ") v(ord, key, priority, tag)), al as (select distinct ord, key, priority, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') alias from (select ord, key, priority, unnest([key, replace(key, '-', ''), split_part(tag, ':', 1)]) a from known) where a <> '')"
 
 
-@query(f"with {NAMED}, {KNOWN} select p_partkey, (select min_by(key, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) key, coalesce((select min_by(priority, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)), 500) priority, exists (select 1 from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) vision from nm")
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+SAID = "case {} " + " ".join(f"when '{k}' then {_quoted(t)}" for k, t in catalog.RECOMMENDATIONS.items()) + f" else {_quoted(catalog.UNKNOWN_RECOMMENDATION)} end"
+
+
+@query(f"with {NAMED}, {KNOWN} select p_partkey, (select min_by(key, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) key, coalesce((select min_by(priority, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)), 500) priority, exists (select 1 from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias)) vision, {SAID.format("(select min_by(key, ord) from al where contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), alias))")} recommendation from nm")
 def catalog_match(spark, sf_dir):
     raw = F.get(F.array(*map(F.lit, RAW)), (c("p_partkey") % 7).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("name"))
-    return catalog.match_catalogue(rows, catalog.aliases(catalog.catalogue(spark)), "name").select("p_partkey", "key", "priority", "vision")
+    return catalog.match_catalogue(rows, catalog.aliases(catalog.catalogue(spark)), "name").select("p_partkey", "key", "priority", "vision", "recommendation")
 
 
 @query("select p_brand, p_name || '#' || p_partkey best from (select *, row_number() over (partition by p_brand order by p_size >= 40, p_size, lower(p_name || '#' || p_partkey)) i from part) where i = 1")
@@ -401,17 +405,21 @@ def best_model(spark, sf_dir):
     return catalog.best_model(rows, ["p_brand"], "name", "name")
 
 
-@query("select s_nationkey nation, s_suppkey id, 'downloaded' origin from supplier where s_suppkey % 3 = 0 union all select c_nationkey, c_custkey, 'cache' from (select *, row_number() over (partition by c_nationkey order by c_custkey) i from customer) where i = 1 and c_nationkey not in (select s_nationkey from supplier where s_suppkey % 3 = 0)")
+@query("""with down as (select s_nationkey * 10 + s_suppkey % 10 key, s_suppkey id from supplier), held as (select key, id from (select c_nationkey * 10 + c_custkey % 10 key, c_custkey id, row_number() over (partition by c_nationkey * 10 + c_custkey % 10 order by c_custkey) i from customer) where i = 1)
+  select key, id, 'downloaded' origin from down union all select key, id, 'cache' from held where key not in (select key from down)""")
 def startable_union(spark, sf_dir):
-    down = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(c("s_nationkey").alias("nation"), c("s_suppkey").alias("id"))
-    cached = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("nation"), c("c_custkey").alias("id"))
-    return catalog.startable(down, catalog.first_of_key(cached, ["nation"], ["id"]), "nation").select("nation", "id", "origin")
+    """Every supplier a downloaded model, every customer a cached one; some keys are on both sides."""
+    down = table(spark, sf_dir, "supplier").select((c("s_nationkey") * 10 + c("s_suppkey") % 10).alias("key"), c("s_suppkey").alias("id"))
+    cached = table(spark, sf_dir, "customer").select((c("c_nationkey") * 10 + c("c_custkey") % 10).alias("key"), c("c_custkey").alias("id"))
+    return catalog.startable(down, catalog.first_of_key(cached, ["key"], ["id"]), "key").select("key", "id", "origin")
 
 
-@query("select p_partkey from part where p_brand || ':' || p_size <> '' and p_brand in (select p_brand from part where p_size = 7 and p_partkey % 4 = 0)")
+@query("select p_partkey from part where p_brand in (select 'Brand#' || (11 + s_suppkey * 3 % 45) from supplier)")
 def tag_presence(spark, sf_dir):
+    """Tags of all parts, held against the tags of all suppliers."""
     tags = table(spark, sf_dir, "part").withColumn("tag", F.concat("p_brand", F.lit(":"), c("p_size").cast("string")))
-    return catalog.present_tags(tags, tags.where("p_size = 7 and p_partkey % 4 = 0").select("tag"), "tag").select("p_partkey")
+    have = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (11 + c("s_suppkey") * 3 % 45).cast("string"), F.lit(":7b")).alias("tag"))
+    return catalog.present_tags(tags, have, "tag").select("p_partkey")
 
 
 CATALOGUE = "m as (select * from (values " + ", ".join(f"('{k}', '{d}', '{t}', {og}::double, {lg}::double, {str(inst).lower()})" for _, k, d, _, t, og, _, _, lg, inst in catalog.MODELS) + ") v(key, display_name, tag, og, lg, inst))"
@@ -449,12 +457,31 @@ def progress_fraction(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", settings.progress_fraction(c("value") / 10.0, c("user_id") % 10).alias("fraction"))
 
 
-@query("select n_nationkey, case when n_nationkey % 3 = 0 then true when n_nationkey % 2 = 0 then false else n_nationkey % 5 > 0 end ok, case when n_nationkey % 3 = 0 then 'no model needed' when n_nationkey % 2 = 0 then 'url not local' when n_nationkey % 5 = 0 then 'not reachable' else 'ready' end reason from nation")
+#: What servers answer, and what is chosen: every branch of a readiness check.
+ANSWERS = (None, "{broken", '{"models":[]}', '{"models":[{"name":"qwen2.5vl:3b"},{"name":"mystery:1b"}]}', '{"models":[{"name":"llava:7b"},7]}', '{"data":[{"id":"z"}]}',
+  '{"models":[{"id":"Qwen2.5-VL","capabilities":["completion","multimodal"]}],"data":[{"id":"y"}]}', '{"models":[{"name":"seer","capabilities":["vision"]}]}', '{"models":[{"id":"text","capabilities":["completion"]}]}', '{"models":[5]}', '{"models":[{"id":"","name":"old","capabilities":"vision"}]}')
+CHOSEN = ("qwen2.5vl:7b", "llava:7b", "mystery:1b", "", "moondream")
+PROVIDERS = ("ollama", "llamacpp", "geometry", "directory")
+_pick = lambda values, n: "([" + ", ".join("null" if v is None else f"'{v}'" for v in values) + f"])[{n} % {len(values)} + 1]"
+
+
+@query(f"""with {KNOWN}, a as (select c_custkey, {_pick(PROVIDERS, "c_nationkey")} provider, c_custkey % 17 > 0 local, {_pick(ANSWERS, "c_custkey")} answer, {_pick(CHOSEN, "c_custkey // 11")} model from customer),
+  b as (select *, answer is not null and json_valid(answer) up, exists (select 1 from al where contains(regexp_replace(lower(model), '[^a-z0-9]', '', 'g'), alias)) known, case when answer is not null and json_valid(answer) then answer end j from a),
+  d as (select *, json_extract(j, '$.models[*]') m, json_extract(j, '$.data[*]') t from b),
+  e as (select *, coalesce(len(list_filter(m, lambda x: split_part(coalesce(json_extract_string(x, '$.name'), ''), ':', 1) = split_part(model, ':', 1))), 0) > 0 pulled, case when len(m) > 0 then m[1] when len(t) > 0 then t[1] end f from d),
+  g as (select *, coalesce(nullif(json_extract_string(f, '$.id'), ''), nullif(json_extract_string(f, '$.name'), ''), nullif(model, ''), 'loaded model') named, case when json_type(f, '$.capabilities') = 'ARRAY' then json_extract_string(f, '$.capabilities[*]') end skills from e),
+  r as (select c_custkey, model, named, case when provider not in ('ollama', 'llamacpp') then 'no model needed' when not local then 'url not local' when not up then 'not reachable'
+    when provider = 'ollama' then case when model = '' then 'no model selected' when not pulled then 'model not pulled' when not known then 'not a known vision model' else 'ready ollama' end
+    when f is null then 'no model loaded' when skills is null then 'ready blind' when list_contains(skills, 'multimodal') or list_contains(skills, 'vision') then 'ready llama' else 'not multimodal' end reason from g)
+  select c_custkey, reason in ('no model needed', 'not a known vision model') or starts_with(reason, 'ready') ok, case when reason in ('ready ollama', 'ready llama') then true when reason in ('not a known vision model', 'not multimodal') then false end vision_capable,
+    case when starts_with(reason, 'ready') then 'ready' else reason end reason, case when reason in ('model not pulled', 'not a known vision model', 'ready ollama') then model when reason in ('ready blind', 'ready llama', 'not multimodal') then named end model from r""")
 def preflight(spark, sf_dir):
-    k = c("n_nationkey")
-    provider = F.when(k % 3 == 0, "geometry").otherwise("ollama")
-    row = catalog.preflight(provider, k % 2 != 0, k % 5 > 0, F.lit("llava:7b"), F.lit(True), F.lit(True), F.lit(True), F.array(F.lit("vision")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", row["ok"].alias("ok"), row["reason"].alias("reason"))
+    """Every customer's provider, answer and choice: all branches of the readiness check."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(PROVIDERS, c("c_nationkey")).alias("provider"), pick(ANSWERS, c("c_custkey")).alias("answer"), pick(CHOSEN, F.floor(c("c_custkey") / 11)).alias("model_name"))
+    known = catalog.match_catalogue(rows, catalog.aliases(catalog.catalogue(spark)), "model_name")
+    row = catalog.preflight(c("provider"), c("c_custkey") % 17 > 0, c("answer"), c("model_name"), c("vision"))
+    return known.select("c_custkey", row.alias("r")).select("c_custkey", "r.*")
 
 
 @query(f"with {PLACED}, nm as (select *, row_number() over (partition by sheet order by y + h / 2.0, x, n, p, s, e) i from pl) select sheet, cast(i as int) icon_index, printf('icon_%03d', i) label, printf('group-%03d', i) group_id, [x, y, w, h] source_bounds, [512, 512] canvas_size, 'classical_cv' pipeline, map {{'png': 'png/' || printf('icon_%03d', i) || '.png'}}['png'] png from nm")
@@ -483,9 +510,10 @@ def cache_listing(spark, sf_dir):
     return catalog.cache_refs(table(spark, sf_dir, "part").withColumn("line", line), "line").select("p_partkey", "ref")
 
 
-@query("""with j as (select c_custkey, '{"data":[{"id":"' || c_name || '"},{"id":""},3,{"model":"m' || c_nationkey || '"}]}' j from customer), e as (select c_custkey, unnest(json_extract(j, '$.data[*]')) e from j) select c_custkey, coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) name from e where coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) is not null""")
+@query("""with j as (select c_custkey, '{"models":[{"name":"other"}],"data":[{"id":"' || c_name || '"},{"id":""},3,{"model":"m' || c_nationkey || '"},{"name":"no"}]}' j from customer), e as (select c_custkey, unnest(json_extract(j, '$.data[*]')) e from j) select c_custkey, coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) name from e where coalesce(nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.model'), '')) is not null""")
 def served_models(spark, sf_dir):
-    payload = F.concat(F.lit('{"data":[{"id":"'), "c_name", F.lit('"},{"id":""},3,{"model":"m'), c("c_nationkey").cast("string"), F.lit('"}]}'))
+    """Only what is under data counts, though there are models too."""
+    payload = F.concat(F.lit('{"models":[{"name":"other"}],"data":[{"id":"'), "c_name", F.lit('"},{"id":""},3,{"model":"m'), c("c_nationkey").cast("string"), F.lit('"},{"name":"no"}]}'))
     return catalog.served_models(table(spark, sf_dir, "customer").withColumn("j", payload), "j").select("c_custkey", "name")
 
 
@@ -536,11 +564,21 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(naming.data_uri(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), path)).alias("uri_md5"))
 
 
-@query("select marked, not bool_or(n_nationkey % 5 = 9) and not marked needed from nation, (values (true), (false)) m(marked) group by marked")
+@query("select c_nationkey, not bool_or(c_custkey % 40 = 3) and not bool_or(c_custkey % 60 = 7) needed from customer group by c_nationkey")
 def first_run(spark, sf_dir):
-    models = table(spark, sf_dir, "nation").select((c("n_nationkey") % 5 == 9).alias("vision"))
-    gate = lambda marked: catalog.first_run_needed(models, marked).withColumn("marked", F.lit(marked))
-    return gate(True).unionByName(gate(False))
+    """A nation is an installation, its customers are models; some see, and some installations are marked."""
+    models = table(spark, sf_dir, "customer").select("c_nationkey", (c("c_custkey") % 40 == 3).alias("vision"), (c("c_custkey") % 60 == 7).alias("marked"))
+    return catalog.first_run_needed(models, ["c_nationkey"])
+
+
+@query(f"""with {CATALOGUE}, cd as (select c_custkey, key, 'ollama' backend, inst and c_custkey % 2 = 0 sel from m, customer where c_custkey % 2 = 0 and tag <> '' union all select c_custkey, key, 'llamacpp', inst and c_custkey % 2 > 0 from m, customer where c_custkey % 3 > 0)
+  select c_custkey, key, backend from cd where not (c_custkey + length(key)) % 4 = 0 and (c_custkey % 5 = 0 or sel)""")
+def install_selection(spark, sf_dir):
+    """What each customer would install: all that isn't there, or the default only."""
+    states = table(spark, sf_dir, "customer").select("c_custkey", (c("c_custkey") % 2 == 0).alias("o"), (c("c_custkey") % 3 > 0).alias("l"))
+    rows = catalog.candidates(states.crossJoin(F.broadcast(catalog.catalogue(spark))), c("o"), c("l")).withColumn("installed", (c("c_custkey") + F.length("key")) % 4 == 0)
+    every = c("c_custkey") % 5 == 0
+    return catalog.install_selection(rows.where(every), True).unionByName(catalog.install_selection(rows.where(~every), False)).select("c_custkey", "key", "backend")
 
 
 # ---- icons, choices and texts ------------------------------------------------------------------
@@ -697,11 +735,11 @@ def colour_limits(spark, sf_dir):
     return rows.select("vec_id", F.round("d", 4).alias("d"), far.alias("far"), F.round("limit", 4).alias("lim"), F.round("light_limit", 4).alias("light"))
 
 
-@query("""select c_custkey, case c_custkey % 4 when 0 then 'Ollama naming: ' || coalesce(nullif(m, ''), 'no model') when 1 then 'llama.cpp naming: ' || coalesce(nullif(m, ''), 'the loaded model') when 2 then 'Directory catalogue: ' || coalesce(nullif(m, ''), 'no adapter') else 'Geometry only' end summary from (select c_custkey, case when c_nationkey % 3 = 0 then '' else c_name end m from customer)""")
+@query("""select c_custkey, provider, case when provider <> 'geometry' then nullif(m, '') end model, provider <> 'geometry' and m <> '' chosen from (select c_custkey, (['ollama', 'llamacpp', 'directory', 'geometry'])[c_custkey % 4 + 1] provider, case when c_nationkey % 3 = 0 then '' else c_name end m from customer)""")
 def provider_summaries(spark, sf_dir):
-    provider = F.when(c("c_custkey") % 4 == 0, "ollama").when(c("c_custkey") % 4 == 1, "llamacpp").when(c("c_custkey") % 4 == 2, "directory").otherwise("geometry")
+    provider = F.when(c("c_custkey") % 4 == 0, "ollama").when(c("c_custkey") % 4 == 1, "llamacpp").when(c("c_custkey") % 4 == 2, "directory").otherwise("none")
     model = F.when(c("c_nationkey") % 3 == 0, "").otherwise(c("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", settings.provider_summary(provider, model).alias("summary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", settings.provider_summary(provider, model).alias("s")).select("c_custkey", "s.*")
 
 
 @query("""with j as (select c_custkey, case c_custkey % 3 when 0 then '{broken' when 1 then '{"models":[{"name":"' || c_name || '"},{"name":""},7]}' else '{"models":[{"name":"n' || c_nationkey || '"},{"name":"n' || c_nationkey || '"}]}' end j from customer),
@@ -715,15 +753,22 @@ def tag_listing(spark, sf_dir):
     return catalog.installed_tags(table(spark, sf_dir, "customer").withColumn("j", payload), "j")
 
 
-@query("""select c_custkey, concat_ws(' ', case when b is not null then 'Best fit: ' || b || '. ' || c_mktsegment end, case when s is not null and s is distinct from b then 'In use: ' || s || '. ' || c_name end, case when s is not null and s is not distinct from b then 'In use now: ' || c_name end) said,
-  case when c_custkey % 2 = 0 then 'a|b|' || c_mktsegment else c_mktsegment || '|b|a' end choices from (select *, case when c_custkey % 3 = 0 then null else 'm' || c_nationkey % 2 end b, case when c_custkey % 5 = 0 then null else 'm' || c_custkey % 2 end s from customer)""")
+KEYS = tuple(catalog.RECOMMENDATIONS) + ("none",)
+
+
+@query(f"""with k as (select *, case when c_custkey % 3 = 0 then null else {_pick(KEYS, "c_nationkey")} end b, case when c_custkey % 5 = 0 then null else {_pick(KEYS, "c_custkey")} end s from customer)
+  select c_custkey, b best, case when b is not null then {SAID.format("b")} end best_note, s selected, case when s is not null then {SAID.format("s")} end selected_note, coalesce(s = b, false) same,
+  case when c_custkey % 2 = 0 then 'a|b|' || c_mktsegment else c_mktsegment || '|b|a' end choices from k""")
 def model_choices(spark, sf_dir):
-    best = F.when(c("c_custkey") % 3 != 0, F.concat(F.lit("m"), (c("c_nationkey") % 2).cast("string")))
-    selected = F.when(c("c_custkey") % 5 != 0, F.concat(F.lit("m"), (c("c_custkey") % 2).cast("string")))
+    """The best model and the one in use, what is said of either, and the names to choose from."""
+    pick = lambda n: F.get(F.array(*map(F.lit, KEYS)), (n % len(KEYS)).cast("int"))
+    model = lambda test, key: F.when(test, F.struct(key.alias("name"), key.alias("key")))
+    told = catalog.advice(model(c("c_custkey") % 5 != 0, pick(c("c_custkey"))), model(c("c_custkey") % 3 != 0, pick(c("c_nationkey"))))
     running = F.when(c("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array("c_mktsegment"))
     startable = F.when(c("c_custkey") % 2 == 0, F.array(F.lit("b"), c("c_mktsegment"))).otherwise(F.array(F.lit("b"), c("c_mktsegment"), F.lit("a")))
-    said = catalog.recommendation_text(selected, c("c_name"), best, c("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", said.alias("said"), F.array_join(catalog.choices(running, startable), "|").alias("choices"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", told.alias("t"), F.array_join(catalog.choices(running, startable), "|").alias("choices"))
+    note = lambda n: [c(f"t.{n}.name").alias(n), c(f"t.{n}.recommendation").alias(f"{n}_note")]
+    return rows.select("c_custkey", *note("best"), *note("selected"), "t.same", "choices")
 
 
 @query("select p_partkey, p_size || ' x ' || (p_size + 3) source, '512 x 512' canvas, case when p_size % 2 = 0 then 'png, tiff' else 'svg' end formats, cast(greatest(1, round(p_size * 20 * least(1.0, 420.0 / (p_size * 20), 420.0 / (p_size * 10)))) as int) w, cast(greatest(1, round(p_size * 10 * least(1.0, 420.0 / (p_size * 20), 420.0 / (p_size * 10)))) as int) h from part")

@@ -284,11 +284,44 @@ def test_listings(spark):
     names = catalog.listing_names(lines, "l", "n")
     known = catalog.aliases(catalog.catalogue(spark))
     assert [(r.name, r.vision) for r in catalog.listed(names, known).collect()] == [("llava:7b", True), ("name:1", False)]
-    served = spark.createDataFrame([('{"models":[{"name":"q"}],"data":[{"id":"z"}]}',), ('{"models":[],"data":[{"id":" z "}]}',)], "j string")
-    assert sorted(r.name for r in catalog.served_models(served, "j").collect()) == ["q", "z"]
+    served = spark.createDataFrame([('{"models":[{"name":"q"}],"data":[{"id":"z"},{"name":"n"}]}',), ('{"models":[],"data":[{"id":" z "}]}',), ("{broken",), (None,)], "j string")
+    assert sorted(r.name for r in catalog.served_models(served, "j").collect()) == ["z", "z"]
+    said = catalog.match_catalogue(spark.createDataFrame([("Qwen2.5-VL-3B.gguf",), ("random-model.gguf",)], "name string"), known, "name")
+    assert {r.name: (r.priority, r.vision, r.recommendation) for r in said.collect()} == {"Qwen2.5-VL-3B.gguf": (2, True, catalog.RECOMMENDATIONS["qwen2.5-vl"]), "random-model.gguf": (500, False, catalog.UNKNOWN_RECOMMENDATION)}
     paths = spark.createDataFrame([("file:/m/a.b.gguf",), ("file:/m/dir.x/",), ("file:/m/.hidden",)], "p string")
     assert [r.name for r in readers.directory_listing(paths, "p").collect()] == ["a.b", "dir.x"]
     chosen = settings.with_installed(settings.Settings(), "llamacpp", "t", "LLaVA")
     assert chosen.provider == "llamacpp" and settings.naming_enabled(chosen)
     prompts = spark.createDataFrame([("moondream:latest",), ("llava",), ("MiniCPM-V",), (None,)], "m string").select(naming.prompt_for(F.col("m"))).collect()
     assert len({r[0] for r in prompts}) == 4 and all("JSON" in r[0] for r in prompts)
+
+
+READY = [
+    ("ollama", True, None, "qwen2.5vl:3b", (False, None, "not reachable")),
+    ("ollama", True, '{"models":[{"name":"llama3:8b"}]}', "qwen2.5vl:3b", (False, None, "model not pulled")),
+    ("ollama", True, '{"models":[{"name":"qwen2.5vl:3b"}]}', "qwen2.5vl:latest", (True, True, "ready")),
+    ("ollama", True, '{"models":[{"name":"own:1b"}]}', "own:1b", (True, False, "not a known vision model")),
+    ("ollama", True, '{"models":[]}', "", (False, None, "no model selected")),
+    ("ollama", False, '{"models":[]}', "x", (False, None, "url not local")),
+    ("llamacpp", True, '{"models":[{"id":"Qwen2.5-VL","capabilities":["completion","multimodal"]}]}', "", (True, True, "ready")),
+    ("llamacpp", True, '{"models":[{"id":"llama-text","capabilities":["completion"]}]}', "", (False, False, "not multimodal")),
+    ("llamacpp", True, '{"models":[],"data":[{"id":"old"}]}', "", (True, None, "ready")),
+    ("llamacpp", True, "{}", "", (False, None, "no model loaded")),
+    ("geometry", False, None, None, (True, None, "no model needed")),
+]
+
+
+def test_readiness(spark):
+    rows = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(READY)], "i int, provider string, local boolean, answer string, model string")
+    known = catalog.match_catalogue(rows, catalog.aliases(catalog.catalogue(spark)), "model")
+    got = known.select("i", catalog.preflight(F.col("provider"), F.col("local"), F.col("answer"), F.col("model"), F.col("vision")).alias("r")).collect()
+    assert {r.i: tuple(r.r)[:3] for r in got} == {i: r[4] for i, r in enumerate(READY)}
+
+
+def test_every_branch_of_the_queries_is_met(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    assert len({(r.ok, r.vision_capable, r.reason) for r in registry.QUERIES["preflight"](spark, sf_dir).select("ok", "vision_capable", "reason").distinct().collect()}) == 10
+    assert {r.needed for r in registry.QUERIES["first_run"](spark, sf_dir).collect()} == {True, False}
+    assert {r.origin for r in registry.QUERIES["startable_union"](spark, sf_dir).select("origin").distinct().collect()} == {"downloaded", "cache"}
+    some = registry.QUERIES["tag_presence"](spark, sf_dir).count()
+    assert 0 < some < spark.read.parquet(f"{sf_dir}/part.parquet").count()
