@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import catalog, detection, geometry, naming, pixels, runs, settings, sheets, vector
+from glyphmill.operators import catalog, detection, geometry, naming, outlines, pixels, runs, settings, sheets, vector
 from glyphmill.plans.session import written
 
 c = F.col
@@ -673,6 +673,44 @@ def sheet_icons(spark, sf_dir):
     return out.select("sheet", "x", "y", "w", "h", "area", F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("holes", F.lit(0)).alias("holes"))
 
 
+STAR = ((0.5, 0.0), (0.8, 1.0), (0.0, 0.4), (1.0, 0.4), (0.2, 1.0))
+_next_point = [*STAR[1:], STAR[0]]
+
+
+@query(f"""with {BOXES}, sides as (select sheet, n, p, s, e, x + w * v.ax ax, y + h * v.ay ay, x + w * v.bx bx, y + h * v.by_ b_y from box, (values {", ".join(f"({a}::double, {b}::double, {q}::double, {r}::double)" for (a, b), (q, r) in zip(STAR, _next_point, strict=True))}) v(ax, ay, bx, by_)),
+  met as (select *, unnest(range(cast(ceil(least(ay, b_y) - 0.5) as bigint), least(900, cast(ceil(greatest(ay, b_y) - 0.5) as bigint)))) l from sides),
+  hit as (select sheet, n, p, s, e, l, ax + (l + 0.5::double - ay) * (bx - ax) / (b_y - ay) at_x, case when b_y > ay then 1 else -1 end d from met),
+  run as (select *, sum(d) over u turns, lead(at_x) over (partition by sheet, n, p, s, e, l order by at_x, d) next_x from hit window u as (partition by sheet, n, p, s, e, l order by at_x, d rows unbounded preceding)),
+  cut as (select *, cast(ceil(least(1000, at_x) - 0.5) as bigint) x0, cast(ceil(least(1000, next_x) - 0.5) as bigint) x1 from run where turns <> 0 and next_x is not null)
+  select sheet, n, p, s, e, cast(sum(x1 - x0) as bigint) pixels, count(*) runs, cast(min(x0) as int) x, cast(min(l) as int) y from cut where x0 < x1 group by all""")
+def fill_shapes(spark, sf_dir):
+    """Every line item as a star, filled: its pixels, runs and corner."""
+    key = ["sheet", "n", "p", "s", "e"]
+    point = lambda a, b: F.struct((c("x") + c("w") * F.lit(a)).alias("x"), (c("y") + c("h") * F.lit(b)).alias("y"))
+    shapes = boxes(spark, sf_dir).withColumn("rings", F.array(F.array(*[point(*v) for v in STAR])))
+    inner = outlines.filled(shapes, key, F.lit(1000), F.lit(900))
+    return inner.groupBy(*key).agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"), F.count("*").alias("runs"), F.min("x0").alias("x"), F.min("y").alias("y"))
+
+
+@query(f"""with recursive {SHEET_GRID}, off as (select * from (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dy)),
+  met as materialized (select a.sheet, a.x, a.y, b.x bx, b.y b_y from pt a, off join pt b on b.sheet = a.sheet and b.x = a.x + dx and b.y = a.y + dy),
+  reach as (select sheet, x, y, x tx, y ty from pt union select r.sheet, r.x, r.y, m.bx, m.b_y from reach r join met m on m.sheet = r.sheet and m.x = r.tx and m.y = r.ty),
+  parts as (select sheet, count(distinct label) n from (select sheet, x, y, min(ty * 40 + tx) label from reach group by all) group by sheet),
+  spots as (select sheet, x + q % 2 vx, y + q // 2 vy, 3 - q nook from pt, range(4) r(q)),
+  kinds as (select sheet, vx, vy, count(*) n, sum(nook) t from spots group by all),
+  sums as (select sheet, count(*) filter (n = 1) q1, count(*) filter (n = 3) q3, count(*) filter (n = 2 and t = 3) qd from kinds group by sheet)
+  select sheet, cast(2 * p.n - (q1 - q3 + 2 * qd) // 4 as int) n_rings, q1 + q3 + 2 * qd corners, k.n pixels from sums join parts p using (sheet) join (select sheet, count(*) n from pt group by sheet) k using (sheet)""")
+def trace_masks(spark, sf_dir):
+    """Every sheet's sparse grid traced to paths, and what filling the paths gives."""
+    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
+    mask = runs.core(runs.united(runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], ends=False), ["sheet"]))
+    corners = written(outlines.rings(mask, ["sheet"]), "corners")
+    told = outlines.with_rings(outlines.paths(corners, ["sheet"]))
+    back = outlines.filled(told, ["sheet"], F.lit(40), F.lit(30)).groupBy("sheet").agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"))
+    counted = corners.groupBy("sheet").agg(F.count("*").alias("corners"))
+    return told.select("sheet", "n_rings").join(counted, "sheet").join(back, "sheet")
+
+
 ITEM = f"""{BOXES}, item as (select *, cast(row_number() over (partition by sheet order by n, p, s, e) - 1 as int) ord, p % 5 kind from box),
   named as (select *, case when kind = 1 then printf('shape_%04d', row_number() over (partition by sheet, kind order by ord)) else 'e' || ord end elem_id from item where kind < 4),
   drawn as (select *, case kind when 0 then '<rect transform="translate(' when 1 then '<path xmlns="http://www.w3.org/2000/svg" d="M0 0" transform="translate(' when 2 then '<g transform="translate(' else '<text transform="translate(' end opening,
