@@ -51,6 +51,7 @@ def _folder(spark: SparkSession, path: str):
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder. It goes when the application ends, or with ``release``."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     store, place = _folder(spark, path)
