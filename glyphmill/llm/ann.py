@@ -203,6 +203,15 @@ def _routes(queries: DataFrame, shards: pd.DataFrame, pivots: dict[int, np.ndarr
     return queries.mapInArrow(run, "shard int, salt int, query string, vector array<double>, floor double")
 
 
+#: Bytes of vectors in a shard or a block of queries at most, however many rows these may have.
+MOST_BYTES = 32 << 20
+
+
+def _rows(dim: int, most: int) -> int:
+    """Rows of ``dim`` doubles that a shard or block has at most."""
+    return max(64, min(most, MOST_BYTES // (8 * max(1, dim))))
+
+
 def _answers(trees: DataFrame, asks: DataFrame, k: int, factor: float, id_type: str, query_rows: int) -> DataFrame:
     """(query, shard, salt, score, ids) for what the shards' trees find. A shard asked by more than ``query_rows`` meets them in blocks,
     each with its copy of the tree; only the counts of such shards are broadcast, 65,536 of them at most."""
@@ -240,7 +249,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
 
     Equal vectors are one entry of the trees, with the k + 1 least of their ids: more can't be among k
     answers. Entries are dealt over shards by the nearest of up to ``most_pivots`` pivots in direction and by their norm's
-    power of four; a shard of more than ``shard_rows`` entries is dealt on by a hash. Each shard's tree is built once
+    power of four; a shard of more than ``shard_rows`` entries, or of more than ``MOST_BYTES``, is dealt on by a hash. Each shard's tree is built once
     and written. A query first asks the shard that promises most; what it gets is the floor that
     the triangle inequality, relaxed by ``factor``, holds against all other shards, and only those that
     can come up to it are asked. With a factor of one the answers are exact.
@@ -257,9 +266,10 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.col("id").asc_nulls_last()))).where(F.col("n") <= k + 1)
     entries = written(first.groupBy("key").agg(F.first("vector").alias("vector"), F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda r: r["id"]).alias("ids")), "entries")
     asked = written(queries.where(usable(vector_col)).select(F.col(id_col).alias("query_id"), vector_key(vector_col).alias("query"), as_double), "queries")
-    n = entries.count()
+    n, widest = entries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    asked_rows = _rows(max(widest, asked.agg(F.max(F.size("vector"))).first()[0] or 1), query_rows)
     pivots: dict[int, list] = {}
-    for row in entries.select("vector").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(max(1, min(most_pivots, -(-n // shard_rows)))).collect():
+    for row in entries.select("vector").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(max(1, min(most_pivots, -(-n // _rows(widest, shard_rows))))).collect():
         pivots.setdefault(len(row.vector), []).append(row.vector)
     pivots = {dim: directions(np.array(x))[0] for dim, x in pivots.items()}
     placed = written(_placed(entries, pivots).withColumn("dim", F.size("vector")), "placed")
@@ -267,7 +277,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     # a row for each pivot, length and power of four: bounded by the pivots and the range of doubles
     found = placed.groupBy("dim", "pivot", "band").agg(F.count("*").alias("n"), F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.min("norm").alias("least"), F.max("norm").alias("most"))
     shards = found.toPandas().sort_values(["dim", "pivot", "band"]).reset_index(drop=True)
-    shards["shard"], shards["salts"] = np.arange(len(shards)), -(-shards["n"] // shard_rows)
+    shards["shard"], shards["salts"] = np.arange(len(shards)), [-(-n // _rows(dim, shard_rows)) for dim, n in zip(shards["dim"], shards["n"], strict=True)]
     shards.loc[shards["pivot"] < 0, "hi"] = 2.0
     numbers = F.broadcast(spark.createDataFrame(shards[["dim", "pivot", "band", "shard", "salts"]].astype(int), "dim int, pivot int, band int, shard int, salts int"))
     dealt = placed.join(numbers, ["dim", "pivot", "band"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
@@ -284,11 +294,11 @@ def nearest(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     release(placed)
     per_query = asked.groupBy("query").agg(F.first("vector").alias("vector"), F.count("*").alias("n"))
     distinct = written(per_query.withColumn("hash", F.xxhash64("query")), "asked")
-    at_first = written(_answers(trees, _routes(distinct, shards, pivots, k, factor, True), k, factor, id_type, query_rows), "first")
+    at_first = written(_answers(trees, _routes(distinct, shards, pivots, k, factor, True), k, factor, id_type, asked_rows), "first")
     floors = at_first.groupBy("query").agg(F.max("shard").alias("was"), F.max("salt").alias("was_salt"), F.min("score").alias("worst"), F.count("*").alias("got"))
     floors = floors.withColumn("floor", F.when(F.col("got") > k, F.col("worst")).otherwise(F.lit(float("-inf"))))
     again = distinct.join(floors.select("query", "was", "was_salt", "floor"), "query")
-    at_last = _answers(trees, _routes(again, shards, pivots, k, factor, False), k, factor, id_type, query_rows)
+    at_last = _answers(trees, _routes(again, shards, pivots, k, factor, False), k, factor, id_type, asked_rows)
     with_ids = at_first.unionByName(at_last).select("query", "score", F.explode("ids").alias("id"))
     by_query = W.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     top = with_ids.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("n", "id", "score")).alias("found"))

@@ -111,3 +111,18 @@ def test_nearest_neighbours(spark, rows, factor):
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert embed_dedup.near_duplicates(none).count() == 0 and ann.nearest(none, none).count() == 0
+
+
+def test_wide_vectors_are_dealt_by_bytes(spark):
+    assert ann._rows(64, 16384) == 16384 and ann._rows(64, 65536) == 65536 and ann._rows(4096, 65536) == 1024 and ann._rows(1 << 30, 65536) == 64
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((1500, 4096)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    wide = vectors.astype(np.float64)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 1500, 100):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        assert [i for _, i in sorted(found[q])] == np.argsort(-scores, kind="stable")[:5].tolist()
