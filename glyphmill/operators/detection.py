@@ -83,13 +83,13 @@ def limits(coloured: DataFrame, keys: list[str]) -> DataFrame:
     mean = lambda v: (F.sum(c(v) * c("edge")) / F.sum("edge")).alias(f"mean_{v[0]}")
     means = written(edge.groupBy(*keys).agg(F.max("width").alias("width"), F.max("height").alias("height"), *[mean(v) for v in ("l8", "a8", "b8")]), "means")
     near = written(edge.select(*keys, "l8", "a8", "b8", "edge").join(means, keys).select(*keys, "edge", distance().alias("d"), F.abs(c("l8") - c("mean_l")).alias("dl")), "near")
-    far = quantiles(near, keys, c("d"), 0.95, c("edge")).select(*keys, F.greatest(F.lit(12.0), c("quantile") * 2.5 + 6).alias("limit"))
-    light = quantiles(near, keys, c("dl"), 0.95, c("edge")).select(*keys, F.greatest(F.lit(10.0), c("quantile") * 2.5 + 4).alias("light_limit"))
+    stacked = lambda df, names: df.select(*keys, "edge", F.inline(F.array(*[F.struct(F.lit(n).alias("what"), c(n).cast("double").alias("v")) for n in names])))
+    one = lambda name: F.max(F.when(c("what") == name, c("quantile")))
+    far = quantiles(stacked(near, ["d", "dl"]), [*keys, "what"], c("v"), 0.95, c("edge")).groupBy(*keys)
+    far = far.agg(F.greatest(F.lit(12.0), one("d") * 2.5 + 6).alias("limit"), F.greatest(F.lit(10.0), one("dl") * 2.5 + 4).alias("light_limit"))
+    ground = quantiles(stacked(counts, ["r", "g", "b"]), [*keys, "what"], c("v"), 0.5, c("edge")).groupBy(*keys).agg(*[one(ch).cast("int").alias(f"bg_{ch}") for ch in ("r", "g", "b")])
     dark = pixels.otsu_threshold(counts.withColumn("gray", gray(c("r"), c("g"), c("b"))), keys, weight=c("n"))
-    out = means.join(far, keys).join(light, keys).join(dark, keys, "left")
-    for ch in ("r", "g", "b"):
-        ground = quantiles(counts, keys, c(ch), 0.5, c("edge")).select(*keys, c("quantile").cast("int").alias(f"bg_{ch}"))
-        out = out.join(ground, keys)
+    out = means.join(far, keys).join(ground, keys).join(dark, keys, "left")
     # a sheet of one gray level isn't split: all of it is at the threshold or none is, as the level 0 says
     return out.withColumn("threshold", F.coalesce("threshold", F.lit(0)))
 

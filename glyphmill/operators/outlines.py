@@ -127,10 +127,13 @@ def filled(shapes: DataFrame, keys: list[str], width: Column, height: Column, *,
     sides = ring.where(F.size("_r") > 1).select(*keys, "_w", "_h", F.explode(F.arrays_zip(c("_r").alias("a"), after.alias("b"))).alias("_side"))
     top, bottom = F.least("_side.a.y", "_side.b.y"), F.greatest("_side.a.y", "_side.b.y")
     first, last = F.greatest(F.lit(0), F.ceil(top - 0.5)), F.least(c("_h").cast("long"), F.ceil(bottom - 0.5)) - 1
-    lines = sides.where(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
+    # sides are dealt over stretches of lines, so that what is shuffled is sides and not their crossings
+    bands = sides.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    bands = bands.withColumn("_band", F.explode(F.sequence(F.floor(c("_first") / runs.LINES), F.floor(c("_last") / runs.LINES)))).repartition(*keys, "_band")
+    lines = bands.withColumn("y", F.explode(F.sequence(F.greatest("_first", c("_band") * runs.LINES), F.least("_last", (c("_band") + 1) * runs.LINES - 1))))
     at = c("_side.a.x") + (c("y") + 0.5 - c("_side.a.y")) * (c("_side.b.x") - c("_side.a.x")) / (c("_side.b.y") - c("_side.a.y"))
-    met = lines.select(*keys, "_w", c("y").cast("int").alias("y"), at.alias("_x"), F.when(c("_side.b.y") > c("_side.a.y"), 1).otherwise(-1).alias("_d"))
-    by = W.partitionBy(*keys, "y").orderBy("_x", "_d")
+    met = lines.select(*keys, "_band", "_w", c("y").cast("int").alias("y"), at.alias("_x"), F.when(c("_side.b.y") > c("_side.a.y"), 1).otherwise(-1).alias("_d"))
+    by = W.partitionBy(*keys, "_band", "y").orderBy("_x", "_d")
     upto = by.rowsBetween(W.unboundedPreceding, 0)
     inside = F.row_number().over(by) % 2 == 1 if even_odd else F.sum("_d").over(upto) != 0
     told = met.withColumns({"_in": inside, "_next": F.lead("_x").over(by)}).where("_in and _next is not null")

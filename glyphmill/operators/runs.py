@@ -66,18 +66,24 @@ STILL: Kernel = [(0, 0, 0)]
 # ---- pieces ------------------------------------------------------------------------------------
 
 
-def pieces(runs: DataFrame, sizes: DataFrame, keys: list[str], *, reach: int = 0, lines: int = LINES, layers: Sequence[int] = (), ends: bool = True) -> DataFrame:
+def pieces(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str], *, reach: int = 0, lines: int = LINES, layers: Sequence[int] = (), ends: bool = True) -> DataFrame:
     """Deals runs (keys, y, x0, x1; layer, if ``layers`` are named) over pieces: adds band, width, top and bottom (lines that the piece has).
 
-    ``sizes`` has keys, width and height, a row for each picture. ``reach`` is the number of lines that later steps look up or down
-    altogether; ``core`` drops them again. Rows of a piece are hash-partitioned by keys and band. Without ``ends`` there are no empty
-    runs, so that lines without runs cost nothing; that is enough for what only dilates.
+    ``sizes`` has keys, width and height, a row for each picture; or it is one width and height of all. ``reach`` is the number of lines that
+    later steps look up or down altogether; ``core`` drops them again. Rows of a piece are hash-partitioned by keys and band. Without ``ends``
+    there are no empty runs, so that lines without runs cost nothing; that is enough for what only dilates.
     """
+    if isinstance(sizes, tuple):
+        if ends:
+            sizes = runs.select(*keys).distinct().select(*keys, *[F.lit(n).alias(name) for n, name in zip(sizes, ("width", "height"), strict=True)])
+        else:
+            runs = runs.withColumns({"width": F.lit(sizes[0]), "height": F.lit(sizes[1])})
     upper, lower = F.greatest(F.lit(0), c("band") * lines - reach).cast("int"), F.least(c("height"), (c("band") + 1) * lines + reach).cast("int")
     at = runs.withColumn("band", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), c("y") - reach) / lines), F.floor((c("y") + reach) / lines))))
     own = at.select(*keys, "band", *[c(n).cast("int").alias(n) for n in ("y", "x0", "x1")], *(["layer"] if layers else []))
     if not ends:
-        sized = own.join(sizes.select(*keys, "width", "height"), keys).where((c("band") * lines < c("height")) & (c("y") < c("height")))
+        sized = at.select(*keys, "band", "width", "height", "y", "x0", "x1") if isinstance(sizes, tuple) else own.join(sizes.select(*keys, "width", "height"), keys)
+        sized = sized.where((c("band") * lines < c("height")) & (c("y") < c("height")))
         return sized.withColumns({"top": upper, "bottom": lower}).drop("height").repartition(*keys, "band")
     bands = sizes.where("width > 0 and height > 0").select(*keys, c("width").cast("int").alias("width"), "height", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("height") - 1) / lines))).alias("band"))
     every = bands.withColumns({"top": upper, "bottom": lower})
@@ -152,7 +158,7 @@ def closed(runs: DataFrame, keys: list[str], kernel: Kernel, times: int = 1, whe
     return runs
 
 
-def morphed(runs: DataFrame, sizes: DataFrame, keys: list[str], step, kernel: Kernel, lines: int = LINES) -> DataFrame:
+def morphed(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str], step, kernel: Kernel, lines: int = LINES) -> DataFrame:
     """``step`` (dilated, eroded, opened, closed) over whole pictures: keys, y, x0, x1."""
     high = max(abs(dy) for dy, _, _ in kernel) * (1 if step in (dilated, eroded) else 2)
     dealt = pieces(runs.select(*keys, "y", "x0", "x1"), sizes, keys, reach=high, lines=lines, ends=step is not dilated)
@@ -317,8 +323,8 @@ def crop_background(mask: DataFrame, boxes: DataFrame, keys: list[str], box_id:
 
 
 def of_points(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points (keys, x, y) as runs of one pixel each; repeated ones become one."""
-    return points.select(*keys, "y", c("x").alias("x0"), (c("x") + 1).alias("x1")).distinct()
+    """Points (keys, x, y) as runs of one pixel each, which ``united`` makes one where they touch or repeat."""
+    return points.select(*keys, c("y").cast("int").alias("y"), c("x").cast("int").alias("x0"), (c("x") + 1).cast("int").alias("x1"))
 
 
 def to_points(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -224,13 +224,8 @@ def mask_threshold(spark, sf_dir):
     return rows.where(c("d") > c("limit")).select("vec_id", F.round("d", 6).alias("d"))
 
 
-def _sizes(points: DataFrame, key: str, width: int, height: int) -> DataFrame:
-    return points.select(key).distinct().select(key, F.lit(width).alias("width"), F.lit(height).alias("height"))
-
-
 def _morphed(points: DataFrame, key: str, step, kernel, width: int, height: int) -> DataFrame:
-    own = runs.of_points(points, [key])
-    return runs.to_points(runs.morphed(own, _sizes(own, key, width, height), [key], step, kernel), [key])
+    return runs.to_points(runs.morphed(runs.of_points(points, [key]), (width, height), [key], step, kernel), [key])
 
 
 GRID = "pt as (select distinct l_returnflag grp, cast(l_partkey % 997 as int) x, cast(l_suppkey % 991 as int) y from lineitem)"
@@ -238,7 +233,7 @@ OFFSETS = "off as (select * from (values (-1), (0), (1)) a(dx), (values (-1), (0
 
 
 def grid(spark, sf_dir):
-    """Every line item as a point of one of three large grids."""
+    """Every line item as a point of one of three large grids; some repeat."""
     return table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("grp"), F.expr("cast(l_partkey % 997 as int)").alias("x"), F.expr("cast(l_suppkey % 991 as int)").alias("y")).distinct()
 
 
@@ -270,7 +265,7 @@ def dilate_sheets(spark, sf_dir):
 def erode_sheets(spark, sf_dir):
     """The dilated grids eroded; single points would leave nothing."""
     own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
-    dealt = runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], reach=2)
+    dealt = runs.pieces(own, (40, 30), ["sheet"], reach=2)
     closed = runs.eroded(runs.dilated(dealt, ["sheet"], runs.square(3)), ["sheet"], runs.ellipse(3))
     return runs.to_points(runs.core(closed), ["sheet"])
 
@@ -282,7 +277,7 @@ def erode_sheets(spark, sf_dir):
 def components(spark, sf_dir):
     """Boxes of connected pixels of every sheet's sparse grid."""
     own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
-    joined = runs.core(runs.united(runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], ends=False), ["sheet"]))
+    joined = runs.core(runs.united(runs.pieces(own, (40, 30), ["sheet"], ends=False), ["sheet"]))
     return runs.component_boxes(runs.labelled(joined, ["sheet"]), ["sheet"], 2).select("sheet", "x", "y", "w", "h", "area")
 
 
@@ -600,7 +595,7 @@ def order_sheets(spark, sf_dir) -> DataFrame:
     part = lambda a, z: F.struct(a.alias("x0"), z.alias("x1"))
     parts = F.when(hollow, F.array(part(c("x"), c("x") + RING), part(c("x") + c("w") - RING, c("x") + c("w")))).otherwise(F.array(part(c("x"), c("x") + c("w"))))
     ink = lines.select("sheet", "y", F.inline(parts), whole(c("k") % 200).alias("r"))
-    ground = runs.core(runs.complement(runs.united(runs.pieces(ink.drop("r"), _sizes(ink, "sheet", SHEET_W, SHEET_H), ["sheet"]), ["sheet"]), ["sheet"]))
+    ground = runs.core(runs.complement(runs.united(runs.pieces(ink.drop("r"), (SHEET_W, SHEET_H), ["sheet"]), ["sheet"]), ["sheet"]))
     size = [F.lit(SHEET_W).alias("width"), F.lit(SHEET_H).alias("height")]
     light = [F.lit(245).alias(ch) for ch in "rgb"]
     return ink.select("sheet", "y", "x0", "x1", "r", F.lit(40).alias("g"), F.lit(30).alias("b"), *size).unionByName(ground.select("sheet", "y", "x0", "x1", *light, *size))
@@ -703,7 +698,7 @@ def fill_shapes(spark, sf_dir):
 def trace_masks(spark, sf_dir):
     """Every sheet's sparse grid traced to paths, and what filling the paths gives."""
     own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
-    mask = runs.core(runs.united(runs.pieces(own, _sizes(own, "sheet", 40, 30), ["sheet"], ends=False), ["sheet"]))
+    mask = runs.core(runs.united(runs.pieces(own, (40, 30), ["sheet"], ends=False), ["sheet"]))
     corners = written(outlines.rings(mask, ["sheet"]), "corners")
     told = outlines.with_rings(outlines.paths(corners, ["sheet"]))
     back = outlines.filled(told, ["sheet"], F.lit(40), F.lit(30)).groupBy("sheet").agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"))
