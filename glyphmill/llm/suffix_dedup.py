@@ -253,10 +253,25 @@ def settle(groups: list, before: list[bytes], after: list[bytes], copies: list[i
     return [found[shard][i] for shard, i in at]
 
 
+def pieces(before: bytes, after: bytes, depth: int, width: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(key, first window, bytes before the anchor, bytes after it) of the pieces of a segment, of ``width`` windows at most: those
+    with the anchor ``width`` * j to ``width`` * j + ``width`` - 1 symbols from their start make piece j.
+
+    Equal windows are in pieces of one key, which is a hash of the symbols that all windows of a full piece have. Which
+    windows are equal is still open: a window meets its like in pieces with other bytes next to it. Strings of one key differ in
+    ``width`` - 1 bytes at each end at most, so with a width of two there are 65,536 of them at most, whatever the table holds.
+    """
+    least = depth - 1 - len(after)
+    for low in range(least // width * width, len(before) + 1, width):
+        far, near = min(low + width - 1, len(before)), max(low, least)
+        both = before[len(before) - low :] if low > 0 else b""
+        yield _content(both, after[: max(0, depth - width - low)]), len(before) - far, before[len(before) - far :], after[: depth - 1 - near]
+
+
 # ---- the job -----------------------------------------------------------------------------------
 
 _KEYS = ["anchor", "check", "content"]
-#: Bytes of segments that are merged at once, or those of one anchor if it has more: small tables stay in a CPU's cache.
+#: Bytes of segments that are merged at once, or those of one anchor (of one key of its pieces) if it has more: small tables stay in a CPU's cache.
 _AT_ONCE = 24 << 10
 #: Segments that a task hands on at once.
 _ROWS = 20_000
@@ -288,8 +303,9 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
 
     Content is known by its key, so that exact copies are worked out once. What is shuffled is hashes
     of anchors, then the places of those that repeat and, as often as tasks have them, their segments. An
-    anchor with more than ``split_over`` different segments would be too much for one task: there each
-    window is a string of its own, and the windows are dealt by their bytes over many merges.
+    anchor with more than ``split_over`` different segments would be too much for one task: its segments are
+    cut into ``pieces`` of a stride's windows, dealt over many merges by what the windows of a piece have in
+    common; where as many pieces have the same in common, those are cut into pieces of two windows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -341,23 +357,33 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
     over = max(split_over, -(-kinds.count() // 65_536))
     split = F.broadcast(written(numbers.where(F.col("kinds") > over).select("anchor", "check", F.lit(True).alias("split")), "split"))
     marked = kinds.join(split, ["anchor", "check"], "left")
-    whole = marked.where("split is null").select(*segment, "copies", "lo", "hi", F.lit(0).alias("part")).join(numbers.select("anchor", "check"), ["anchor", "check"])
+    whole = marked.where("split is null").select(*segment, "copies", "lo", "hi", F.lit(0).cast("long").alias("part")).join(numbers.select("anchor", "check"), ["anchor", "check"])
     hot = marked.where("split")
 
-    def windows(stream):
-        for batch in stream:
-            rows = []
-            for x, check, b, a, n, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                content = _content(b, a)
-                for i in range(len(b) + len(a) + 2 - depth):
-                    rows.append((x, check, content, i, b[i:], a[: depth - 1 - len(b) + i], n, lo, hi))
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=["anchor", "check", "content", "at", "before", "after", "copies", "lo", "hi"])
-
-    single = hot.select(*segment, "copies", "lo", "hi").mapInArrow(windows, "anchor long, check long, content long, at int, before binary, after binary, copies long, lo int, hi int")
-    dealt = single.groupBy(*segment).agg(F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("part", F.pmod(F.xxhash64("before", "after"), F.lit(1 << 16)).cast("int"))
-    strings = whole.unionByName(dealt.select(whole.columns)).repartition("anchor", "check", "part").sortWithinPartitions("anchor", "check", "part")
+    def cut_up(width):
+        def run(stream):
+            for batch in stream:
+                rows = []
+                for x, check, b, a, n, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    content = _content(b, a)
+                    rows += [(x, check, content, at, first, last, n, lo, hi, key) for key, at, first, last in pieces(b, a, depth, width)]
+                columns = zip(*rows, strict=True) if rows else [[]] * 10
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=["anchor", "check", "content", "at", "before", "after", "copies", "lo", "hi", "part"])
+
+        return run
+
+    cuts, strings = [], whole
+    for width in sorted({max(2, stride), 2}, reverse=True):
+        parts = hot.select(*segment, "copies", "lo", "hi").mapInArrow(cut_up(width), "anchor long, check long, content long, at int, before binary, after binary, copies long, lo int, hi int, part long")
+        dealt = written(parts.groupBy(*segment, "part").agg(F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "pieces")
+        cuts.append(parts)
+        if width > 2:
+            many = dealt.groupBy("anchor", "check", "part").count().where(F.col("count") > max(split_over, -(-dealt.count() // 65_536)))
+            marked = dealt.join(F.broadcast(written(many.select("anchor", "check", "part", F.lit(True).alias("split")), "split")), ["anchor", "check", "part"], "left")
+            dealt, hot = marked.where("split is null"), marked.where("split")
+        strings = strings.unionByName(dealt.select(whole.columns))
+    strings = strings.repartition("anchor", "check", "part").sortWithinPartitions("anchor", "check", "part")
 
     def settled(stream):
         held: list[tuple] = []
@@ -386,10 +412,14 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
             yield out()
 
     merged = written(strings.mapInArrow(settled, "anchor long, check long, content long, runs array<int>"), "merged")
-    # a window of a split anchor is named by its own content: back to the segments that hold it
-    named = single.select("anchor", "check", F.col("content").alias("owner"), "at", "before", "after").mapInArrow(_named, "anchor long, check long, owner long, at int, content long")
-    hot_runs = named.join(merged, _KEYS).groupBy("anchor", "check", F.col("owner").alias("content")).agg(F.flatten(F.transform(F.collect_list("at"), lambda i: F.array(i, i + 1))).alias("runs"))
-    runs = merged.join(split, ["anchor", "check"], "left").where("split is null").select(*_KEYS, "runs").unionByName(hot_runs)
+    # pieces are named by their own content: back to the pieces or segments that they were cut from
+    runs = merged
+    moved = F.transform("runs", lambda edge: edge + F.col("at"))
+    for parts in reversed(cuts):
+        named = parts.select("anchor", "check", F.col("content").alias("owner"), "at", "before", "after").mapInArrow(_named, "anchor long, check long, owner long, at int, content long")
+        cut_runs = named.join(runs, _KEYS).groupBy("anchor", "check", F.col("owner").alias("content")).agg(F.flatten(F.collect_set(moved)).alias("runs"))
+        runs = merged.unionByName(cut_runs)
+    runs = merged.join(split, ["anchor", "check"], "left").where("split is null").select(*_KEYS, "runs").unionByName(cut_runs)
     occurrences = placed.groupBy(*_KEYS).agg(F.count("*").alias("n"))
     decided = lookup(placed, runs, _KEYS, heavy(occurrences, _KEYS))
     edge = lambda i: F.element_at("runs", i)

@@ -195,7 +195,7 @@ def repeats_reference(texts, length):
     return out
 
 
-@pytest.mark.parametrize("split_over", [1024, 1])
+@pytest.mark.parametrize("split_over", [1024, 4, 1])
 def test_repeated_bytes_equal_brute_force(spark, texts, split_over):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 8)))
@@ -220,11 +220,42 @@ def test_repeated_bytes_of_the_contract(spark, texts):
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(many))] == want
 
 
-def test_repeats_come_from_the_merge(spark, monkeypatch):
-    frame = docs_frame(spark, ["z" * 90, "abc" * 50, "abc" * 50, "unique text that is long enough to hold a window of forty"])
-    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(frame, length=40).collect()) == 390
-    monkeypatch.setattr(suffix_dedup, "settle", lambda groups, before, after, copies, homes, depth, *_: [np.zeros(len(b) + len(a) + 2 - depth, dtype=bool) for b, a in zip(before, after, strict=True)])
-    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(frame, length=40).collect()) == 0
+@pytest.mark.parametrize("split_over", [1024, 4, 1])
+def test_repeats_come_from_the_merge(spark, monkeypatch, split_over):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = [noise(40 + i) for i in range(12)]
+    apart = [noise(50) + part + noise(50) for part in shared for _ in range(3)]  # windows repeat, whole segments don't
+    many = ["z" * 90, "abc" * 50, "abc" * 50, "unique text that is long enough to hold a window of forty", *apart]
+    frame = docs_frame(spark, many)
+    gone = lambda: [r.n_removed for r in suffix_dedup.remove_repeats(frame, length=40, split_over=split_over).orderBy("doc_id").collect()]
+    want = [w[1] for w in repeats_reference(many, 40)]
+    assert gone() == want and all(want[4:])
+    windows = lambda b, a, depth: len(b) + len(a) + 2 - depth
+    monkeypatch.setattr(suffix_dedup, "settle", lambda groups, before, after, copies, homes, depth, *_: [np.zeros(windows(b, a, depth), dtype=bool) for b, a in zip(before, after, strict=True)])
+    assert not any(gone())
+    monkeypatch.setattr(suffix_dedup, "settle", lambda groups, before, after, copies, homes, depth, *_: [np.full(windows(b, a, depth), n > 1) for b, a, n in zip(before, after, copies, strict=True)])
+    assert sum(gone()[4:]) < sum(want[4:]) - 40
+
+
+def test_pieces_of_a_segment_meet_their_like():
+    rng = random.Random(12)
+    for depth, width in ((1, 2), (2, 2), (5, 2), (8, 2), (5, 4), (8, 4), (9, 3), (8, 8), (3, 4)):
+        keys = {}
+        for _ in range(400):
+            before, after = (bytes(rng.choices(b"ab", k=rng.randrange(depth))) for _ in range(2))
+            if len(before) + len(after) + 1 < depth:
+                continue
+            seen = []
+            for key, first, b, a in suffix_dedup.pieces(before, after, depth, width):
+                number = len(b) + len(a) + 2 - depth
+                assert 1 <= number <= width
+                for i in range(number):
+                    window = (b[i:], a[: depth - 1 - len(b) + i])
+                    assert window == (before[first + i :], after[: depth - 1 - len(before) + first + i])
+                    assert keys.setdefault(window, key) == key
+                    seen.append(first + i)
+            assert sorted(seen) == list(range(len(before) + len(after) + 2 - depth))
 
 
 def test_merged_transforms_equal_sorted_suffixes():
