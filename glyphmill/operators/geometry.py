@@ -34,34 +34,62 @@ def area_filter(df: DataFrame, min_area: int) -> DataFrame:
     return df.where(c("area") >= min_area)
 
 
+#: Pixels of a row of boxes that one task numbers at least.
+STRETCH = 256
+
+
+def row_tolerance(df: DataFrame, key: str) -> DataFrame:
+    """key, tolerance: three quarters of the upper median height of a sheet's boxes, 20 at least; by counts of heights."""
+    by = W.partitionBy(key)
+    counts = df.where("h is not null").groupBy(key, "h").agg(F.count("*").alias("n"))
+    reached = counts.select(key, "h", F.sum("n").over(by.orderBy("h")).alias("upto"), F.sum("n").over(by).alias("whole"))
+    median = reached.where(c("upto") > F.floor(c("whole") / 2)).groupBy(key).agg(F.min("h").alias("h"))
+    return median.select(key, F.greatest(F.lit(20), F.floor(c("h") * 0.75)).cast("double").alias("tolerance"))
+
+
 def reading_order(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     """Adds row_no and icon_index (from 1): rows of boxes by height, boxes of a row by x.
 
-    Boxes come by centre; each joins the first row whose mean centre is within the sheet's tolerance,
-    three quarters of the upper median height and 20 at least, or opens a row. A sheet's boxes fold
-    within one array, so the shuffle is by sheet only.
+    Boxes come by centre; each joins the first row whose mean centre is within the sheet's tolerance (``row_tolerance``), or opens
+    a row. Boxes of one centre join the same row, so the fold goes over a sheet's centres with their counts, of which
+    there are two for each pixel of its height at most; it is cut where two neighbours are further apart than the tolerance, as no
+    row reaches over that. What a task holds of a sheet is so bounded by the picture's size. The boxes are
+    dealt by centre and stretch, and numbered within stretches of a row. Means are exact for boxes of whole pixels.
+    Boxes without a place, and sheets without a key, have rows and a sheet of their own.
     """
-    box = F.struct((c("y") + c("h") / 2.0).alias("cy"), c("y").alias("y"), c("x").alias("x"), *[c(t).alias(f"t{i}") for i, t in enumerate(ties)], F.struct(*[c(n) for n in df.columns]).alias("row"))
-    sheets = df.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("boxes"), F.array_sort(F.collect_list("h")).alias("heights"))
-    median = F.element_at("heights", (F.floor(F.size("heights") / 2) + 1).cast("int"))
-    sheets = sheets.withColumn("tolerance", F.greatest(F.lit(20), F.floor(median * 0.75)).cast("double"))
-    empty = F.expr("cast(array() as array<struct<total:double,n:int,at:array<int>>>)")
-    numbered = F.transform("boxes", lambda b, i: F.struct(b["cy"].alias("cy"), i.alias("i")))
+    boxes = df.withColumns({"_cy": c("y") + c("h") / 2.0, "_at": F.floor(c("x") / STRETCH)})
+    counts = boxes.groupBy(key, "_cy", "_at").agg(F.count("*").alias("n"))
+    by = W.partitionBy(key)
+    limits = row_tolerance(df, key).withColumnRenamed(key, "_key")
+    lines = counts.groupBy(key, "_cy").agg(F.sum("n").alias("n")).join(limits, c(key).eqNullSafe(c("_key")), "left").drop("_key")
+    lines = lines.withColumn("cut", F.coalesce((c("_cy") - F.lag("_cy").over(by.orderBy("_cy")) > c("tolerance")).cast("int"), F.lit(0)))
+    lines = lines.withColumn("island", F.sum("cut").over(by.orderBy("_cy")))
+    line = F.struct(c("_cy").alias("cy"), "n")
+    islands = lines.groupBy(key, "island").agg(F.first("tolerance").alias("tolerance"), F.array_sort(F.collect_list(line)).alias("lines"))
+    empty = F.expr("cast(array() as array<struct<total:double,n:bigint,at:array<double>>>)")
 
     def place(rows: Column, b: Column) -> Column:
-        fits = F.transform(rows, lambda r: F.abs(b["cy"] - r["total"] / r["n"]) <= c("tolerance"))
-        first = F.array_position(fits, True)
-        opened = F.struct(b["cy"].alias("total"), F.lit(1).alias("n"), F.array(b["i"]).alias("at"))
-        joined = F.transform(rows, lambda r, i: F.when(i + 1 == first, F.struct((r["total"] + b["cy"]).alias("total"), (r["n"] + 1).alias("n"), F.concat(r["at"], F.array(b["i"])).alias("at"))).otherwise(r))
-        return F.when(first > 0, joined).otherwise(F.concat(rows, F.array(opened)))
-
-    folded = sheets.withColumn("rows", F.aggregate(numbered, empty, place))
-    ordered = F.array_sort(F.transform("rows", lambda r, i: F.struct((r["total"] / r["n"]).alias("mean"), i.alias("i"), r["at"].alias("at"))))
-    rows = folded.select("boxes", F.posexplode(ordered).alias("row_no", "line"))
-    members = F.array_sort(F.transform("line.at", lambda i: F.struct(F.get("boxes", i)["x"].alias("x"), i.alias("i"))))
-    flat = rows.select("boxes", "row_no", F.posexplode(members).alias("at", "m")).select(F.get("boxes", c("m.i"))["row"].alias("row"), (c("row_no") + 1).alias("row_no"), "at")
-    out = flat.select("row.*", "row_no", "at")
-    return out.withColumn("icon_index", F.row_number().over(W.partitionBy(key).orderBy("row_no", "at"))).drop("at")
+        near = F.transform(rows, lambda r: F.abs(b["cy"] - r["total"] / r["n"]) <= c("tolerance"))
+        first = F.array_position(near, True)
+        widened = lambda r: F.struct((r["total"] + b["cy"] * b["n"]).alias("total"), (r["n"] + b["n"]).alias("n"), F.concat(r["at"], F.array(b["cy"])).alias("at"))
+        opened = F.struct((b["cy"] * b["n"]).alias("total"), b["n"].alias("n"), F.array(b["cy"]).alias("at"))
+        return F.when(first > 0, F.transform(rows, lambda r, i: F.when(i + 1 == first, widened(r)).otherwise(r))).otherwise(F.concat(rows, F.array(opened)))
+
+    rows = islands.select(key, "island", F.posexplode(F.aggregate("lines", empty, place)).alias("opened", "line"))
+    mean = (c("line.total") / c("line.n")).asc_nulls_last()
+    rows = rows.withColumn("row_no", F.row_number().over(by.orderBy(mean, "island", "opened")))
+    rows = rows.select(key, "row_no", F.explode("line.at").alias("_cy"))
+    same = lambda left, right: left[key].eqNullSafe(right["_key"]) & left["_cy"].eqNullSafe(right["_line"])
+    rows = rows.withColumnsRenamed({key: "_key", "_cy": "_line"})
+    stretches = counts.join(rows, same(counts, rows)).drop("_key", "_line")
+    # boxes of earlier rows and of earlier stretches of the row
+    sizes = stretches.groupBy(key, "row_no", "_at").agg(F.sum("n").alias("n"), F.collect_list("_cy").alias("centres"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("n").over(by.orderBy("row_no", "_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    centres = F.when(F.size("centres") < c("lines"), F.array(F.lit(None).cast("double"))).otherwise(c("centres"))
+    dealt = sizes.withColumn("before", before).select(c(key).alias("_key"), "row_no", c("_at").alias("_stretch"), "before", F.explode(centres).alias("_line"))
+    placed = boxes.join(dealt, same(boxes, dealt) & boxes["_at"].eqNullSafe(dealt["_stretch"])).drop("_key", "_line", "_stretch")
+    within = W.partitionBy(key, "row_no", "_at").orderBy("x", "_cy", "y", *ties, F.struct(*[c(n) for n in df.columns]))
+    return placed.withColumn("icon_index", (c("before") + F.row_number().over(within)).cast("int")).select(*df.columns, "row_no", "icon_index")
 
 
 def vector_order(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
