@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import catalog, detection, geometry, naming, outlines, pixels, runs, settings, sheets, vector
-from glyphmill.plans.session import written
+from glyphmill.plans.session import streamed, written
 
 c = F.col
 CANVAS = 512
@@ -552,6 +552,26 @@ def pull_feed(spark, sf_dir):
     return readers.pull_events(table(spark, sf_dir, "events").select(line.alias("line")), "line")
 
 
+@query("""with recursive e as (select event_type backend, cast(user_id % 10 as varchar) model, ts, epoch_ms(ts) ms, case event_id % 20 when 0 then 'resolve' when 1 then 'done' when 2 then 'error' else 'download' end phase, user_id completed, event_id from events),
+  o as (select *, row_number() over (partition by backend, model order by ts, phase, completed, cast(event_id as varchar)) n from e),
+  s as (select backend, model, n, event_id, phase, completed, true shows, ms shown, case when phase = 'resolve' then ms end r, case when phase = 'done' then ms end d, case when phase = 'error' then ms end x from o where n = 1
+    union all select backend, model, n, event_id, phase, completed, shows, case when shows then ms else shown end, case when phase = 'resolve' then ms else r end, case when phase = 'done' then ms else d end, case when phase = 'error' then ms else x end
+    from (select o.*, s.shown, s.r, s.d, s.x, case o.phase when 'resolve' then coalesce(o.ms > s.r, true) when 'done' then coalesce(o.ms > s.d, true) when 'error' then coalesce(o.ms > s.x, true) else o.ms - s.shown > 3600000 end shows
+      from s join o on o.backend = s.backend and o.model = s.model and o.n = s.n + 1))
+  select backend, model, event_id, phase, greatest(0.0, least(1.0, completed / 50.0))::double fraction from s where shows""")
+def progress_lines(spark, sf_dir):
+    """Events as feeds, a line an hour at most; the stream's rows are a table in the shared folder."""
+    from glyphmill.streaming import progress
+
+    path = f"{sf_dir}/event[s].parquet"  # a stream takes a file by pattern only
+    k = c("event_id") % 20
+    phase = F.when(k == 0, "resolve").when(k == 1, "done").when(k == 2, "error").otherwise("download")
+    feed = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    rows = feed.select(c("event_type").alias("backend"), (c("user_id") % 10).cast("string").alias("model"), c("ts").cast("timestamp").alias("at"), phase.alias("phase"), c("user_id").alias("completed"), F.lit(50).alias("total"), c("event_id").cast("string").alias("message"))
+    lines = progress.shown_lines(rows, every_ms=3_600_000, idle_ms=365 * 86_400_000)
+    return streamed(lines, progress.write_lines, "lines").select("backend", "model", c("message").cast("long").alias("event_id"), "phase", "fraction")
+
+
 @query("select doc_id, md5('data:' || case doc_id % 3 when 0 then 'image/png' when 1 then 'image/jpeg' else 'image/webp' end || ';base64,' || base64(encode(coalesce(text, '')))) uri_md5 from documents")
 def data_uri(spark, sf_dir):
     k = c("doc_id") % 3

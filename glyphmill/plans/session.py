@@ -63,6 +63,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def streamed(rows: DataFrame, write, what: str) -> DataFrame:
+    """What is there now of a stream, by ``write(rows, path, checkpoint)``, as a table in the shared folder like those of ``written``."""
+    spark = rows.sparkSession
+    top = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    store, place = _folder(spark, top)
+    store.deleteOnExit(place)
+    write(rows, f"{top}/rows", f"{top}/marks").awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{top}/rows")
+    out._written_to = top
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that no plan reads any more."""
     for df in tables:

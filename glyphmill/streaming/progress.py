@@ -18,6 +18,7 @@ AT_ONCE = ("resolve", "done", "error")
 #: The phase of the line that tells of a feed that fell silent.
 STALLED = "stalled"
 LINE = "backend string, model string, at timestamp, phase string, completed long, total long, message string"
+_OUT = f"{LINE}, ms long"
 
 
 def progress(spark: SparkSession, folder: str, *, files_a_batch: int = 1000) -> DataFrame:
@@ -46,9 +47,8 @@ class Throttle(StatefulProcessor):
         never = -(1 << 62)
         shown, resolve, done, error, seen, phase, completed, total = self.state.get() if self.state.exists() else (never, never, never, never, never, None, 0, 0)
         last = dict(zip(AT_ONCE, (resolve, done, error), strict=True))
-        times = (batch["at"].astype("datetime64[us]").astype("int64") // 1000).tolist()
         keep = []
-        for at, name, have, of in zip(times, batch["phase"], batch["completed"], batch["total"], strict=True):
+        for at, name, have, of in zip(batch["ms"].tolist(), batch["phase"], batch["completed"], batch["total"], strict=True):
             show = at > last[name] if name in last else at - shown > self.every_ms
             if show:
                 shown = max(shown, at)
@@ -61,15 +61,15 @@ class Throttle(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(seen, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        yield batch[keep][[f.split(" ")[0] for f in LINE.split(", ")]]
+        yield batch[keep][[f.split(" ")[0] for f in _OUT.split(", ")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, _, _, _, seen, phase, completed, total = self.state.get()
         self.state.clear()
         if phase in ("done", "error"):
             return
-        at = pd.to_datetime([seen + self.idle_ms], unit="ms").astype("datetime64[us]")
-        yield pd.DataFrame({"backend": [key[0]], "model": [key[1]], "at": at, "phase": [STALLED], "completed": [completed], "total": [total], "message": [phase]})
+        none = pd.Series([None], dtype="datetime64[us]")
+        yield pd.DataFrame({"backend": [key[0]], "model": [key[1]], "at": none, "phase": [STALLED], "completed": [completed], "total": [total], "message": [phase], "ms": [seen + self.idle_ms]})
 
     def close(self) -> None:
         pass
@@ -87,9 +87,9 @@ def shown_lines(rows: DataFrame, *, every_ms: int = 1000, idle_ms: int = 600_000
     """
     ship_package(rows.sparkSession)
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
-    whole = rows.where("at is not null").select("backend", "model", "at", F.coalesce("phase", F.lit("")).alias("phase"), zero("completed"), zero("total"), "message")
-    lines = whole.withWatermark("at", late).groupBy("backend", "model").transformWithStateInPandas(Throttle(every_ms, idle_ms), LINE, "Append", "EventTime")
-    return lines.withColumn("fraction", progress_fraction(F.col("completed"), F.col("total")))
+    whole = rows.where("at is not null").select("backend", "model", "at", F.coalesce("phase", F.lit("")).alias("phase"), zero("completed"), zero("total"), "message", F.unix_millis("at").alias("ms"))
+    lines = whole.withWatermark("at", late).groupBy("backend", "model").transformWithStateInPandas(Throttle(every_ms, idle_ms), _OUT, "Append", "EventTime")
+    return lines.withColumn("at", F.coalesce("at", F.timestamp_millis("ms"))).drop("ms").withColumn("fraction", progress_fraction(F.col("completed"), F.col("total")))
 
 
 #: Where state lives: timers need a store that keeps them in order.

@@ -62,6 +62,23 @@ def test_reading_order_equals_its_twin(spark):
         assert got[s] == order_twin([(x, y, w, h, n) for k, x, y, w, h, n in rows if k == s])
 
 
+def test_reading_order_of_a_crowded_sheet(spark):
+    """One sheet has nearly all boxes, many at one height; boxes without a sheet are one of their own; no task collects boxes."""
+    rng = random.Random(2)
+    rows = [(1, rng.randrange(3000), rng.choice((100, rng.randrange(4000))), rng.randrange(1, 60), rng.randrange(1, 60), i) for i in range(3000)]
+    rows += [(s, rng.randrange(900), rng.randrange(300), 9, 9, i) for s in (None, 2) for i in range(20)]
+    rows += [rows[-1]] * 3
+    df = spark.createDataFrame(rows, "sheet int, x int, y int, w int, h int, n int")
+    ordered = geometry.reading_order(df, "sheet", ["n"])
+    got = ordered.collect()
+    assert len(got) == len(rows) and ordered.schema["icon_index"].dataType.simpleString() == "int"
+    for s in (1, 2, None):
+        mine = sorted((r.icon_index, r.row_no, r.n) for r in got if r.sheet == s)
+        assert [n for _, _, n in mine] == order_twin([(x, y, w, h, n) for k, x, y, w, h, n in rows if k == s])
+        assert [i for i, _, _ in mine] == list(range(1, len(mine) + 1)) and sorted({r for _, r, _ in mine}) == list(range(1, mine[-1][1] + 1))
+    assert geometry.reading_order(df.limit(0), "sheet", ["n"]).count() == 0
+
+
 ANSWERS = [
     ('prose {"label":"Light Bulb","tags":["Idea"],"confidence":1.7}', "light-bulb", ["idea"], 1.0),
     ("magnifier glass\nextra", "magnifier-glass", [], None),
