@@ -32,47 +32,49 @@ def write_progress(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-class Throttle(StatefulProcessor):
-    """Of a feed's rows those worth a line: state is when the last line was, and the last line of each phase that is shown at once."""
-
-    def __init__(self, every_ms: int, idle_ms: int):
-        self.every_ms, self.idle_ms = every_ms, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("lines", "shown long, resolve long, done long, error long, seen long, phase string, completed long, total long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "phase", "completed", "total", "message"], kind="stable", na_position="first")
-        never = -(1 << 62)
-        shown, resolve, done, error, seen, phase, completed, total = self.state.get() if self.state.exists() else (never, never, never, never, never, None, 0, 0)
-        last = dict(zip(AT_ONCE, (resolve, done, error), strict=True))
-        keep = []
-        for at, name, have, of in zip(batch["ms"].tolist(), batch["phase"], batch["completed"], batch["total"], strict=True):
-            show = at > last[name] if name in last else at - shown > self.every_ms
-            if show:
-                shown = max(shown, at)
-                if name in last:
-                    last[name] = at
-            if at >= seen:
-                seen, phase, completed, total = at, name, int(have), int(of)
-            keep.append(show)
-        self.state.update((shown, *last.values(), seen, phase, completed, total))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(seen, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        yield batch[keep][[f.split(" ")[0] for f in _OUT.split(", ")]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, _, _, _, seen, phase, completed, total = self.state.get()
-        self.state.clear()
-        if phase in ("done", "error"):
-            return
-        none = pd.Series([None], dtype="datetime64[us]")
-        yield pd.DataFrame({"backend": [key[0]], "model": [key[1]], "at": none, "phase": [STALLED], "completed": [completed], "total": [total], "message": [phase], "ms": [seen + self.idle_ms]})
-
-    def close(self) -> None:
-        pass
+def throttle(every_ms: int, idle_ms: int) -> StatefulProcessor:
+    """The processor of ``shown_lines``. Its class is made here so that it travels whole: where a query with state is planned, shipped packages aren't at hand."""
+
+    class Throttle(StatefulProcessor):
+        """Of a feed's rows those worth a line: state is when the last line was, and the last line of each phase that is shown at once."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("lines", "shown long, resolve long, done long, error long, seen long, phase string, completed long, total long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values(["at", "phase", "completed", "total", "message"], kind="stable", na_position="first")
+            never = -(1 << 62)
+            shown, resolve, done, error, seen, phase, completed, total = self.state.get() if self.state.exists() else (never, never, never, never, never, None, 0, 0)
+            last = dict(zip(AT_ONCE, (resolve, done, error), strict=True))
+            keep = []
+            for at, name, have, of in zip(batch["ms"].tolist(), batch["phase"], batch["completed"], batch["total"], strict=True):
+                show = at > last[name] if name in last else at - shown > every_ms
+                if show:
+                    shown = max(shown, at)
+                    if name in last:
+                        last[name] = at
+                if at >= seen:
+                    seen, phase, completed, total = at, name, int(have), int(of)
+                keep.append(show)
+            self.state.update((shown, *last.values(), seen, phase, completed, total))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(seen, timerValues.getCurrentWatermarkInMs()) + idle_ms)
+            yield batch[keep][[f.split(" ")[0] for f in _OUT.split(", ")]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            _, _, _, _, seen, phase, completed, total = self.state.get()
+            self.state.clear()
+            if phase in ("done", "error"):
+                return
+            none = pd.Series([None], dtype="datetime64[us]")
+            yield pd.DataFrame({"backend": [key[0]], "model": [key[1]], "at": none, "phase": [STALLED], "completed": [completed], "total": [total], "message": [phase], "ms": [seen + idle_ms]})
+
+        def close(self) -> None:
+            pass
+
+    return Throttle()
 
 
 def shown_lines(rows: DataFrame, *, every_ms: int = 1000, idle_ms: int = 600_000, late: str = "1 minute") -> DataFrame:
@@ -88,7 +90,7 @@ def shown_lines(rows: DataFrame, *, every_ms: int = 1000, idle_ms: int = 600_000
     ship_package(rows.sparkSession)
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
     whole = rows.where("at is not null").select("backend", "model", "at", F.coalesce("phase", F.lit("")).alias("phase"), zero("completed"), zero("total"), "message", F.unix_millis("at").alias("ms"))
-    lines = whole.withWatermark("at", late).groupBy("backend", "model").transformWithStateInPandas(Throttle(every_ms, idle_ms), _OUT, "Append", "EventTime")
+    lines = whole.withWatermark("at", late).groupBy("backend", "model").transformWithStateInPandas(throttle(every_ms, idle_ms), _OUT, "Append", "EventTime")
     return lines.withColumn("at", F.coalesce("at", F.timestamp_millis("ms"))).drop("ms").withColumn("fraction", progress_fraction(F.col("completed"), F.col("total")))
 
 
