@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,30 +117,74 @@ def rings_of(elements: DataFrame, tag: str = "tag", xml: str = "xml") -> DataFra
 # ---- filling -----------------------------------------------------------------------------------
 
 
-def filled(shapes: DataFrame, keys: list[str], width: Column, height: Column, *, even_odd: bool = False) -> DataFrame:
+def filled(shapes: DataFrame, keys: list[str], width: Column, height: Column, *, even_odd: bool = False, deal: bool = True) -> DataFrame:
     """keys, y, x0, x1: the pixels whose centres lie within each shape (keys and rings), cut to the canvas; keys name a shape.
 
-    Sides become rows, a side a crossing for each line whose middle it passes, and a line's crossings in order bound its runs: where the
-    sum of directions isn't zero, or every second stretch with ``even_odd``. Rings close by themselves; a line's crossings are all that a
-    task has together. Shapes without rings give nothing.
+    A shape's rows come together, and its sides are cut to stretches of lines. A side gives a crossing for each line whose middle it passes, and a line's
+    crossings in order bound its runs: where the sum of directions isn't zero, or every second stretch with ``even_odd``. Crossings are
+    made and used up stretch by stretch, so that they are neither shuffled nor sorted by Spark. Stretches are dealt out; without ``deal`` they
+    stay where their shape is, which is cheaper where all shapes are small. Rings close by themselves. Shapes without rings give nothing.
     """
-    ring = shapes.select(*keys, width.cast("int").alias("_w"), height.cast("int").alias("_h"), F.explode("rings").alias("_r"))
-    after = F.concat(F.slice("_r", 2, 1 << 30), F.slice("_r", 1, 1))
-    sides = ring.where(F.size("_r") > 1).select(*keys, "_w", "_h", F.explode(F.arrays_zip(c("_r").alias("a"), after.alias("b"))).alias("_side"))
-    top, bottom = F.least("_side.a.y", "_side.b.y"), F.greatest("_side.a.y", "_side.b.y")
-    first, last = F.greatest(F.lit(0), F.ceil(top - 0.5)), F.least(c("_h").cast("long"), F.ceil(bottom - 0.5)) - 1
-    # sides are dealt over stretches of lines, so that what is shuffled is sides and not their crossings
-    bands = sides.withColumns({"_first": first, "_last": last}).where("_first <= _last")
-    bands = bands.withColumn("_band", F.explode(F.sequence(F.floor(c("_first") / runs.LINES), F.floor(c("_last") / runs.LINES)))).repartition(*keys, "_band")
-    lines = bands.withColumn("y", F.explode(F.sequence(F.greatest("_first", c("_band") * runs.LINES), F.least("_last", (c("_band") + 1) * runs.LINES - 1))))
-    at = c("_side.a.x") + (c("y") + 0.5 - c("_side.a.y")) * (c("_side.b.x") - c("_side.a.x")) / (c("_side.b.y") - c("_side.a.y"))
-    met = lines.select(*keys, "_band", "_w", c("y").cast("int").alias("y"), at.alias("_x"), F.when(c("_side.b.y") > c("_side.a.y"), 1).otherwise(-1).alias("_d"))
-    by = W.partitionBy(*keys, "_band", "y").orderBy("_x", "_d")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    inside = F.row_number().over(by) % 2 == 1 if even_odd else F.sum("_d").over(upto) != 0
-    told = met.withColumns({"_in": inside, "_next": F.lead("_x").over(by)}).where("_in and _next is not null")
-    cell = lambda v: F.ceil(F.greatest(F.lit(0.0), F.least(c("_w").cast("double"), v)) - 0.5).cast("int")
-    return told.select(*keys, "y", cell(c("_x")).alias("x0"), cell(c("_next")).alias("x1")).where("x0 < x1")
+    ship_package(shapes.sparkSession)
+    lines = runs.LINES
+    own = W.partitionBy(*keys).orderBy(F.lit(0))
+    every = F.flatten(F.collect_list("rings").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    whole = shapes.select(*keys, width.cast("int").alias("_w"), height.cast("long").alias("_h"), "rings").withColumns({"_all": every, "_i": F.row_number().over(own)}).where("_i = 1")
+
+    def side(a: Column, b: Column) -> Column:
+        first, last = F.greatest(F.lit(0), F.ceil(F.least(a["y"], b["y"]) - 0.5)), F.least(c("_h"), F.ceil(F.greatest(a["y"], b["y"]) - 0.5)) - 1
+        return F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), first.alias("first"), last.alias("last"))
+
+    closed = F.transform(F.filter("_all", lambda r: F.size(r) > 1), lambda r: F.zip_with(r, F.concat(F.slice(r, 2, 1 << 30), F.slice(r, 1, 1)), side))
+    sides = whole.select(*keys, "_w", F.filter(F.flatten(closed), lambda s: s["first"] <= s["last"]).alias("_sides"))
+    least, most = F.array_min(c("_sides.first")), F.array_max(c("_sides.last"))
+    bands = sides.withColumn("_band", F.explode(F.sequence(F.floor(least / lines), F.floor(most / lines))))
+    meets = lambda s: (s["first"] < (c("_band") + 1) * lines) & (s["last"] >= c("_band") * lines)
+    bands = bands.select(*keys, "_w", "_band", F.filter("_sides", meets).alias("_sides"))
+    if deal:
+        bands = bands.repartition(*keys, "_band")
+    schema = bands.select(*keys, *[F.lit(0).alias(n) for n in ("y", "x0", "x1")]).schema
+
+    def run(stream):
+        for batch in stream:
+            for part in _few_crossings(batch, lines):
+                yield _runs_of_sides(part, lines, even_odd)
+
+    return bands.mapInArrow(run, schema)
+
+
+def _few_crossings(batch: pa.RecordBatch, lines: int, most: int = 2_000_000):
+    """The rows of a batch in slices that have about ``most`` crossings at most; one row stays whole."""
+    upto = np.cumsum(np.diff(batch.column(batch.num_columns - 1).offsets.to_numpy())) * lines // most
+    cuts = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _runs_of_sides(batch: pa.RecordBatch, lines: int, even_odd: bool) -> pa.RecordBatch:
+    """Runs of the stretches of shapes: keys, width, band and sides in, keys, y, x0, x1 out."""
+    *keys, width, band, held = batch.columns
+    row = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+    ax, ay, bx, by, first, last = (v.to_numpy(zero_copy_only=False) for v in held.flatten().flatten())
+    top = band.to_numpy()[row] * lines
+    low, high = np.maximum(first, top), np.minimum(last, top + lines - 1)
+    many = high - low + 1
+    of = np.repeat(np.arange(len(many)), many)
+    y = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    x = ax[of] + (y + 0.5 - ay[of]) * (bx[of] - ax[of]) / (by[of] - ay[of])
+    turn = np.where(by > ay, 1, -1)[of]
+    line = row[of] * lines + y - top[of]
+    order = np.lexsort((turn, x, line))
+    row, y, x, turn, line = row[of][order], y[order], x[order], turn[order], line[order]
+    new = np.r_[True, line[1:] != line[:-1]][: len(line)]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(line)), 0))
+    turns = np.cumsum(turn)
+    inside = (np.arange(len(line)) - start) % 2 == 0 if even_odd else turns - (turns - turn)[start] != 0
+    at = np.ceil(np.clip(x, 0, width.to_numpy()[row]) - 0.5).astype(np.int32)
+    pair = np.flatnonzero(inside[:-1] & ~new[1:] & (at[:-1] < at[1:]))
+    keep = pa.array(row[pair])
+    return pa.RecordBatch.from_arrays([*[k.take(keep) for k in keys], pa.array(y[pair].astype(np.int32)), pa.array(at[pair]), pa.array(at[pair + 1])], names=[*batch.schema.names[: len(keys)], "y", "x0", "x1"])
 
 
 # ---- tracing -----------------------------------------------------------------------------------

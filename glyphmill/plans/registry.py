@@ -702,8 +702,9 @@ def fill_shapes(spark, sf_dir):
     """Every line item as a star, filled: its pixels, runs and corner."""
     key = ["sheet", "n", "p", "s", "e"]
     point = lambda a, b: F.struct((c("x") + c("w") * F.lit(a)).alias("x"), (c("y") + c("h") * F.lit(b)).alias("y"))
-    shapes = boxes(spark, sf_dir).withColumn("rings", F.array(F.array(*[point(*v) for v in STAR])))
-    inner = outlines.filled(shapes, key, F.lit(1000), F.lit(900))
+    # dealt before they have rings, as a box is less than its outline
+    shapes = boxes(spark, sf_dir).repartition(*key[:4]).withColumn("rings", F.array(F.array(*[point(*v) for v in STAR])))
+    inner = outlines.filled(shapes, key, F.lit(1000), F.lit(900), deal=False)
     return inner.groupBy(*key).agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"), F.count("*").alias("runs"), F.min("x0").alias("x"), F.min("y").alias("y"))
 
 

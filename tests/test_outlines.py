@@ -132,3 +132,15 @@ def test_drawings_become_masks(spark):
     boxes = runs.component_boxes(runs.labelled(mask, ["sheet_id"]), ["sheet_id"], 1).collect()
     assert {(r.sheet_id, r.x, r.y, r.w, r.h, r.area) for r in boxes} == {("a", 1, 1, 7, 3, 15), ("a", 6, 4, 4, 4, 12)}
     assert runs_of(np.ones((1, 2), bool)) == [(0, 0, 2)]
+
+
+def test_filling_shuffles_no_crossings(spark):
+    """A tall shape of few sides goes through no sort or shuffle line by line; rows of one key, null too, are one shape, however they are dealt."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rows = spark.createDataFrame([("a", [box(0.0, 0.0, 9.0, 300.0)]), ("a", [box(2.0, 100.0, 3.0, 9.0)[::-1]]), (None, [box(1.0, 60.0, 2.0, 9.0)]), (None, None), ("b", [])], f"k string, rings {outlines.POINTS.simpleString()}")
+    for deal in (True, False):
+        df = outlines.filled(rows, ["k"], F.lit(20), F.lit(250), deal=deal)
+        got = df.groupBy("k").agg(F.sum(F.col("x1") - F.col("x0")), F.count("*"), F.min("y"), F.max("y")).collect()
+        assert sorted(map(tuple, got), key=str) == [("a", 9 * 250 - 27, 259, 0, 249), (None, 18, 9, 60, 68)]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 + deal
