@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions import strips
+from glyphmill.functions.strips import Strips
 from glyphmill.operators.links import least_reachable
 from glyphmill.plans.session import ship_package, written
 
@@ -158,11 +160,62 @@ def closed(runs: DataFrame, keys: list[str], kernel: Kernel, times: int = 1, whe
     return runs
 
 
+def worked(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str], work, *, reach: int = 0, lines: int = LINES, empty: bool = False) -> DataFrame:
+    """keys, y, x0, x1: what ``work`` (``Strips`` to ``Strips``) makes of the runs (keys, y, x0, x1; layer, if there is one) of every picture.
+
+    Runs are dealt over pieces as in ``pieces``, and any number of steps takes one shuffle and one pass. A piece's size comes with one row of its own, not
+    with a row for each line; where one size holds for all, it comes with none, and pieces without runs give nothing unless ``empty`` is set.
+    """
+    ship_package(runs.sparkSession)
+    fixed = sizes if isinstance(sizes, tuple) and not empty else None
+    if isinstance(sizes, tuple):
+        sizes = runs.select(*keys).distinct().select(*keys, *[F.lit(n).alias(name) for n, name in zip(sizes, ("width", "height"), strict=True)])
+    at = runs.where("y >= 0 and x0 < x1").withColumn("band", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), c("y") - reach) / lines), F.floor((c("y") + reach) / lines))))
+    layer = [c("layer").cast("int").alias("layer")] if "layer" in runs.columns else []
+    dealt = at.select(*keys, c("band").cast("int").alias("band"), *[c(n).cast("int").alias(n) for n in ("y", "x0", "x1")], *layer)
+    if fixed:
+        dealt = dealt.where((c("band") * lines < fixed[1]) & (c("y") < fixed[1]))
+    else:
+        own = sizes.where("width > 0 and height > 0").select(*keys, c("width").cast("int").alias("width"), c("height").cast("int").alias("height"))
+        dealt = dealt.unionByName(own.withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((c("height") - 1) / lines).cast("int")))), allowMissingColumns=True)
+    dealt = dealt.repartition(*keys, "band").sortWithinPartitions(*keys, "band")
+    n_keys = len(keys)
+
+    def run(stream):
+        for table in _whole_pieces(stream, [*range(n_keys + 1)]):
+            yield _worked_pieces(table, n_keys, fixed, work, reach, lines)
+
+    return dealt.mapInArrow(run, dealt.select(*keys, *[F.lit(0).alias(n) for n in ("y", "x0", "x1")]).schema)
+
+
+def _worked_pieces(table, n_keys: int, fixed: tuple[int, int] | None, work, reach: int, lines: int) -> pa.RecordBatch:
+    """The own lines of the pieces of a table (keys, band and the rest, a piece's rows together) after ``work``."""
+    first = _openings(table, [*range(n_keys + 1)])
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, table.num_rows]))
+    number = lambda n: table.column(n).combine_chunks().fill_null(-1).to_numpy().astype(np.int64)
+    band, y, x0, x1 = (number(n) for n in ("band", "y", "x0", "x1"))
+    band = band[first]
+    width, height = (np.full(len(first), n) for n in fixed) if fixed else (np.maximum(np.maximum.reduceat(number(n), first), 0) for n in ("width", "height"))
+    top = np.maximum(0, band * lines - reach)
+    many = np.maximum(np.minimum(height, (band + 1) * lines + reach) - top, 0)
+    base = np.cumsum(many) - many
+    ok = (y >= top[of]) & (y < (top + many)[of])
+    layer = number("layer")[ok] if "layer" in table.column_names else None
+    piece = np.repeat(np.arange(len(first)), many)
+    out = work(Strips((base[of] + y - top[of])[ok], x0[ok], x1[ok], piece, width[piece], layer))
+    of = piece[out.line]
+    y = out.line - base[of] + top[of]
+    own = y // lines == band[of]
+    rows = pa.array(first[of[own]])
+    made = [pa.array(v[own].astype(np.int32)) for v in (y, out.x0, out.x1)]
+    return pa.RecordBatch.from_arrays([*[table.column(i).combine_chunks().take(rows) for i in range(n_keys)], *made], names=[*table.column_names[:n_keys], "y", "x0", "x1"])
+
+
 def morphed(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str], step, kernel: Kernel, lines: int = LINES) -> DataFrame:
     """``step`` (dilated, eroded, opened, closed) over whole pictures: keys, y, x0, x1."""
     high = max(abs(dy) for dy, _, _ in kernel) * (1 if step in (dilated, eroded) else 2)
-    dealt = pieces(runs.select(*keys, "y", "x0", "x1"), sizes, keys, reach=high, lines=lines, ends=step is not dilated)
-    return core(step(united(dealt, [*keys]), keys, kernel), lines).select(*keys, "y", "x0", "x1")
+    twin = getattr(strips, step.__name__)
+    return worked(runs.select(*keys, "y", "x0", "x1"), sizes, keys, lambda s: twin(strips.united(s), kernel), reach=high, lines=lines)
 
 
 # ---- components --------------------------------------------------------------------------------
@@ -312,8 +365,8 @@ def crop_background(mask: DataFrame, boxes: DataFrame, keys: list[str], box_id:
     part = within(mask.select(*keys, "y", "x0", "x1"), boxes.select(*own, "x", "y", "w", "h"), keys)
     local = part.select(*own, (c("y") - c("by")).alias("y"), (c("x0") - c("bx")).alias("x0"), (c("x1") - c("bx")).alias("x1"))
     sizes = boxes.select(*own, c("w").cast("int").alias("width"), c("h").cast("int").alias("height"))
-    ground = core(complement(united(pieces(local, sizes, own, lines=lines), own), own), lines)
-    labels = labelled(ground.select(*own, "y", "x0", "x1"), own, diagonal=False, lines=lines)
+    ground = worked(local, sizes, own, lambda s: strips.complement(strips.united(s)), lines=lines)
+    labels = labelled(ground, own, diagonal=False, lines=lines)
     framed = labels.join(sizes, own).withColumn("_at", (c("y") == 0) | (c("x0") == 0) | (c("y") == c("height") - 1) | (c("x1") == c("width")))
     reach = framed.groupBy(*own, "label").agg(F.bool_or("_at").alias("outside"))
     return labels.join(reach, [*own, "label"]).select(*own, "y", "x0", "x1", "outside", "label")

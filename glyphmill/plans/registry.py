@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import strips
 from glyphmill.operators import catalog, detection, geometry, naming, outlines, pixels, runs, settings, sheets, vector
 from glyphmill.plans.session import streamed, written
 
@@ -251,23 +252,22 @@ SHEET_GRID = "pt as (select distinct l_orderkey sheet, cast(l_partkey % 40 as in
 SPREAD = "wide as (select distinct sheet, x + dx x, y + dy y from pt, off where x + dx between 0 and 39 and y + dy between 0 and 29)"
 
 
-def sheet_grid(spark, sf_dir):
-    """Every line item as a point of its sheet's sparse grid."""
-    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sheet"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y")).distinct()
+def sheet_points(spark, sf_dir):
+    """Every line item as a point of its sheet's sparse grid; some repeat, which runs make one."""
+    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sheet"), F.expr("cast(l_partkey % 40 as int)").alias("x"), F.expr("cast(l_suppkey % 30 as int)").alias("y"))
 
 
 @query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD} select sheet, x, y from wide")
 def dilate_sheets(spark, sf_dir):
-    return _morphed(sheet_grid(spark, sf_dir), "sheet", runs.dilated, runs.square(3), 40, 30)
+    return _morphed(sheet_points(spark, sf_dir), "sheet", runs.dilated, runs.square(3), 40, 30)
 
 
 @query(f"with {SHEET_GRID}, {OFFSETS}, {SPREAD}, plus as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) a(dx, dy)), v as (select sheet, x - dx x, y - dy y, count(*) n from wide, plus group by all) select sheet, x, y from v where x between 0 and 39 and y between 0 and 29 and n = 5 - cast(x = 0 as int) - cast(x = 39 as int) - cast(y = 0 as int) - cast(y = 29 as int)")
 def erode_sheets(spark, sf_dir):
     """The dilated grids eroded; single points would leave nothing."""
-    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
-    dealt = runs.pieces(own, (40, 30), ["sheet"], reach=2)
-    closed = runs.eroded(runs.dilated(dealt, ["sheet"], runs.square(3)), ["sheet"], runs.ellipse(3))
-    return runs.to_points(runs.core(closed), ["sheet"])
+    own = runs.of_points(sheet_points(spark, sf_dir), ["sheet"])
+    closed = runs.worked(own, (40, 30), ["sheet"], lambda s: strips.eroded(strips.dilated(strips.united(s), runs.square(3)), runs.ellipse(3)), reach=2)
+    return runs.to_points(closed, ["sheet"])
 
 
 @query(f"""with recursive {SHEET_GRID}, {OFFSETS}, met as materialized (select a.sheet, a.x, a.y, b.x bx, b.y b_y from pt a, off join pt b on b.sheet = a.sheet and b.x = a.x + dx and b.y = a.y + dy),
@@ -276,7 +276,7 @@ def erode_sheets(spark, sf_dir):
   select sheet, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, count(*) area from label group by sheet, label having count(*) >= 2""")
 def components(spark, sf_dir):
     """Boxes of connected pixels of every sheet's sparse grid."""
-    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
+    own = runs.of_points(sheet_points(spark, sf_dir), ["sheet"])
     joined = runs.core(runs.united(runs.pieces(own, (40, 30), ["sheet"], ends=False), ["sheet"]))
     return runs.component_boxes(runs.labelled(joined, ["sheet"]), ["sheet"], 2).select("sheet", "x", "y", "w", "h", "area")
 
@@ -615,7 +615,7 @@ def order_sheets(spark, sf_dir) -> DataFrame:
     part = lambda a, z: F.struct(a.alias("x0"), z.alias("x1"))
     parts = F.when(hollow, F.array(part(c("x"), c("x") + RING), part(c("x") + c("w") - RING, c("x") + c("w")))).otherwise(F.array(part(c("x"), c("x") + c("w"))))
     ink = lines.select("sheet", "y", F.inline(parts), whole(c("k") % 200).alias("r"))
-    ground = runs.core(runs.complement(runs.united(runs.pieces(ink.drop("r"), (SHEET_W, SHEET_H), ["sheet"]), ["sheet"]), ["sheet"]))
+    ground = runs.worked(ink.drop("r"), (SHEET_W, SHEET_H), ["sheet"], lambda s: strips.complement(strips.united(s)), empty=True)
     size = [F.lit(SHEET_W).alias("width"), F.lit(SHEET_H).alias("height")]
     light = [F.lit(245).alias(ch) for ch in "rgb"]
     return ink.select("sheet", "y", "x0", "x1", "r", F.lit(40).alias("g"), F.lit(30).alias("b"), *size).unionByName(ground.select("sheet", "y", "x0", "x1", *light, *size))
@@ -718,7 +718,7 @@ def fill_shapes(spark, sf_dir):
   select sheet, cast(2 * p.n - (q1 - q3 + 2 * qd) // 4 as int) n_rings, q1 + q3 + 2 * qd corners, k.n pixels from sums join parts p using (sheet) join (select sheet, count(*) n from pt group by sheet) k using (sheet)""")
 def trace_masks(spark, sf_dir):
     """Every sheet's sparse grid traced to paths, and what filling the paths gives."""
-    own = runs.of_points(sheet_grid(spark, sf_dir), ["sheet"])
+    own = runs.of_points(sheet_points(spark, sf_dir), ["sheet"])
     mask = runs.core(runs.united(runs.pieces(own, (40, 30), ["sheet"], ends=False), ["sheet"]))
     corners = written(outlines.rings(mask, ["sheet"]), "corners")
     told = outlines.with_rings(outlines.paths(corners, ["sheet"]))

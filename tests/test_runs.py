@@ -210,3 +210,28 @@ def test_border_weights_are_the_border_sample(spark):
     sampled = {tuple(r) for r in pixels.border_sample(single.withColumn("x", F.col("x0"))).groupBy("b").count().collect()}
     values, n = np.unique(plain.border(page)[..., 0], return_counts=True)
     assert counted == sampled == {(int(v), int(m)) for v, m in zip(values, n, strict=True)}
+
+
+def test_steps_are_one_pass(spark, sf_dir):
+    """Many steps take one shuffle, no line is sorted by itself, and what is dealt has no rows for lines without runs."""
+    from glyphmill.plans import registry
+
+    given, sizes = frame(spark, some_masks(2))
+    plans = {"closed": runs.morphed(given, sizes, ["k"], runs.closed, runs.square(3)), "dilate_sheets": registry.dilate_sheets(spark, sf_dir), "erode_sheets": registry.erode_sheets(spark, sf_dir)}
+    for name, df in plans.items():
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert (text.count("Window"), text.count("Exchange hashpartitioning"), text.count("MapInArrow")) == (0, 1, 1), name
+    tall = spark.createDataFrame([("a", 0, 3, 5), ("a", 900, 0, 2), (None, 7, 1, 2), ("b", 1, 1, 2)], "k string, y int, x0 int, x1 int")
+    wide = spark.createDataFrame([("a", 9, 1000), (None, 4, 8), ("none", 3, 2)], "k string, width int, height int")
+    assert by_key(runs.morphed(tall, wide, ["k"], runs.dilated, runs.square(3)), "y", "x0", "x1") == {"a": {(0, 2, 6), (1, 2, 6), (899, 0, 3), (900, 0, 3), (901, 0, 3)}, None: {(6, 0, 3), (7, 0, 3)}}
+    ground = runs.worked(tall, wide, ["k"], lambda s: runs.strips.complement(runs.strips.united(s)))
+    assert ground.groupBy("k").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).where("k is null").first()["n"] == 31
+    assert {r.k: r.n for r in ground.groupBy("k").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).collect()} == {"a": 8996, None: 31, "none": 6}
+
+
+def test_a_mask_is_one_pass(spark):
+    """Dark closing, opening and closing of two layers are one step of the plan, so that a driver's plans stay small."""
+    colours = spark.createDataFrame([("a", y, 0, 20, 10 * y, 10, 10, 20, 12) for y in range(12)], "k string, y int, x0 int, x1 int, r int, g int, b int, width int, height int")
+    told = detection.limits(colours, ["k"])
+    text = detection.foreground(colours, told.localCheckpoint(), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window") == 0 and text.count("MapInArrow") == 1
