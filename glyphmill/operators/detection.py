@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions import strips
+from glyphmill.functions.strips import Strips
 from glyphmill.operators import geometry, pixels, runs
 from glyphmill.operators.quantiles import quantiles
 from glyphmill.plans.session import ship_package, written
@@ -108,12 +110,13 @@ def foreground(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int
     dark = gray(c("r"), c("g"), c("b")) <= c("threshold")
     layers = F.filter(F.array(F.when(far, 0), F.when(dark, 1)), lambda n: n.isNotNull())
     marked = lit.select(*keys, "y", "x0", "x1", F.explode(layers).alias("layer"))
-    dealt = runs.pieces(marked, told.select(*keys, "width", "height"), keys, reach=8, lines=lines, layers=(0, 1))
-    by_layer = [*keys, "layer"]
-    dark_closed = runs.closed(runs.united(dealt, by_layer), by_layer, runs.square(3), where=c("layer") == 1)
-    plus = runs.ellipse(3)
-    mask = runs.closed(runs.opened(runs.united(dark_closed.drop("layer"), keys), keys, plus), keys, plus, 2)
-    return runs.core(mask, lines).select(*keys, "y", "x0", "x1")
+    square, plus = runs.square(3), runs.ellipse(3)
+
+    def mask(s: Strips) -> Strips:
+        dark_closed = strips.closed(strips.united(s.where(s.layer == 1)), square)
+        return strips.closed(strips.opened(strips.together(s.where(s.layer == 0), dark_closed), plus), plus, 2)
+
+    return runs.worked(marked, told.select(*keys, "width", "height"), keys, mask, reach=8, lines=lines)
 
 
 def dark_mask(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int = runs.LINES) -> DataFrame:
