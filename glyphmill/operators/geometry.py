@@ -161,14 +161,23 @@ def assign_groups(points: DataFrame, groups: DataFrame, padding: int, *, point:
     With ``keys`` (the sheet) only boxes of the point's own sheet count, and points and groups are told
     apart within a sheet; a point of a null sheet has no group. Boxes and points meet in cells of a grid:
     a box is listed in every cell that it touches, a point in its own, so the containment join is an
-    equi-join with a residual, whatever the sizes of the two.
+    equi-join with a residual, whatever the sizes of the two. Boxes of sheets without points are left out before they are listed, and a grid's cells
+    are the least, from ``cell`` on by doubling, that are twice as large as the box: a box is in four cells at most, and points are listed
+    in each of the grids that there are boxes for.
     """
-    at = lambda v: F.floor(v / cell).cast("long")
-    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
     boxes = groups.select(*keys, group, (c("x") - padding).alias("x1"), (c("y") - padding).alias("y1"), (c("x") + c("w") + padding).alias("x2"), (c("y") + c("h") + padding).alias("y2"))
+    boxes = boxes.where("x1 <= x2 and y1 <= y2")
+    if keys:
+        boxes = boxes.join(points.select(*keys), [*keys], "left_semi")
+    side = F.greatest(c("x2") - c("x1"), c("y2") - c("y1"), F.lit(1))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(side * 2 / F.lit(float(cell))))).cast("int")
+    at = lambda v: F.floor(v / (F.pow(F.lit(2.0), c("level")) * cell)).cast("long")
+    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    boxes = boxes.withColumn("level", level)
+    levels = groups.agg(F.collect_set(F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(c("w") + 2 * padding, c("h") + 2 * padding, F.lit(1)) * 2 / F.lit(float(cell))))).cast("int")).alias("levels"))
     boxes = boxes.withColumn("gx", span(c("x1"), c("x2"))).withColumn("gy", span(c("y1"), c("y2")))
-    placed = points.withColumns({"gx": at(c("cx")), "gy": at(c("cy"))})
-    hit = placed.join(boxes, [*keys, "gx", "gy"]).where((c("cx") >= c("x1")) & (c("cx") <= c("x2")) & (c("cy") >= c("y1")) & (c("cy") <= c("y2")))
+    placed = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels").withColumns({"gx": at(c("cx")), "gy": at(c("cy"))})
+    hit = placed.join(boxes, [*keys, "level", "gx", "gy"]).where((c("cx") >= c("x1")) & (c("cx") <= c("x2")) & (c("cy") >= c("y1")) & (c("cy") <= c("y2")))
     first = hit.groupBy(*keys, point).agg(F.min(group).alias(group))
     return points.join(first, [*keys, point], "left")
 

@@ -211,6 +211,16 @@ def test_groups_stay_within_their_sheet(spark):
     assert got == want and len({k for k, g in want.items() if g is not None}) > 50
 
 
+def test_wide_boxes_are_listed_in_few_cells(spark):
+    """Boxes of sheets without points aren't listed at all, and a box of any size is in four cells at most."""
+    points = spark.createDataFrame([(1, 1, 90_000, 5), (1, 2, 3, 3), (2, 3, 0, 0)], "sheet long, id int, cx long, cy long")
+    boxes = spark.createDataFrame([(1, 7, -100_000, -100_000, 200_000, 200_000), (1, 9, 0, 0, 10, 10), (3, 1, 0, 0, 400, 400)], "sheet long, g int, x int, y int, w int, h int")
+    found = geometry.assign_groups(points, boxes, 1, point="id", group="g", keys=("sheet",))
+    assert {(r.sheet, r.id): r.g for r in found.collect()} == {(1, 1): 7, (1, 2): 7, (2, 3): None}
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text and "level" in text
+
+
 def test_groups_of_all_sheets(spark, sf_dir):
     got = registry.QUERIES["group_assign_sheets"](spark, sf_dir)
     every = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
