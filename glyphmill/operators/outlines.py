@@ -222,10 +222,94 @@ def sides(mask: DataFrame, keys: list[str]) -> DataFrame:
     return level[0].unionByName(level[1]).unionByName(upright)
 
 
-def rings(mask: DataFrame, keys: list[str], most_rounds: int = 60) -> DataFrame:
+def rings(mask: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ring, place, x, y: the corners of a mask's border, ring by ring; a ring is named by its least corner, place 0.
 
-    Sides link to the one that starts where they end, the right turn first where two pixels touch at a corner only. In each round
+    Sides link to the one that starts where they end, the right turn first where two pixels touch at a corner only. Pixels that touch nowhere have no
+    side or corner in common, so components that lie within a piece of the mask are traced where they are; only those that reach
+    its first or last line go through rounds (``_far_rings``).
+    """
+    ship_package(mask.sparkSession)
+    n_keys, lines = len(keys), runs.LINES
+    rows = mask.select(*keys, F.floor(c("y") / lines).cast("int").alias("band"), *[c(n).cast("int").alias(n) for n in ("y", "x0", "x1")])
+    dealt = rows.repartition(*keys, "band").sortWithinPartitions(*keys, "band", "y", "x0")
+    names = ("far", "place", "y", "x", "z", "ring_y", "ring_x", "ring_dir")
+    schema = dealt.select(*keys, F.lit(True).alias("far"), *[F.lit(0).alias(n) for n in names[1:]]).schema
+
+    def run(stream):
+        for table in runs.whole_pieces(stream, [*range(n_keys + 1)]):
+            yield _traced_pieces(table, n_keys, lines, names)
+
+    told = written(dealt.mapInArrow(run, schema), "traced")
+    near = told.where("not far").select(*keys, F.struct(c("ring_y").alias("y"), c("ring_x").alias("x"), c("ring_dir").alias("dir")).alias("ring"), c("place").cast("long").alias("place"), "x", "y")
+    far = told.where("far").select(*keys, "y", c("x").alias("x0"), c("z").alias("x1"))
+    return near if far.isEmpty() else near.unionByName(_far_rings(far, keys))
+
+
+def _traced_pieces(table, n_keys: int, lines: int, names: tuple[str, ...]) -> pa.RecordBatch:
+    """Corners of the components within their piece, and runs of the others (far), of whole pieces in order (keys, band, y, x0, x1)."""
+    number = lambda n: table.column(n).to_numpy().astype(np.int64)
+    band, y, x0, x1 = (number(n) for n in ("band", "y", "x0", "x1"))
+    first = runs.openings(table, [*range(n_keys + 1)])
+    piece = np.repeat(np.arange(len(first)), np.diff(np.r_[first, table.num_rows]))
+    component = runs.local_roots(table, n_keys, 1)
+    reaches = ((y == band * lines) & (y > 0)) | (y == band * lines + lines - 1)
+    open_ = np.zeros(table.num_rows, bool)
+    np.logical_or.at(open_, component, reaches)
+    far = open_[component]
+    high, wide = lines + 2, int(x1.max(initial=0)) + 2
+    own = piece * high + y - band * lines + 1
+    line, a, z = own[~far], x0[~far], x1[~far]
+    (ry, rx, rz), (ly, lx, lz) = _bare(line, a, z, wide, 1), _bare(line, a, z, wide, -1)
+    up = np.r_[np.zeros(len(a), np.int64), np.ones(len(z), np.int64)]
+    key = ((np.r_[line, line] // high * 2 + up) * wide + np.r_[a, z]) * high + np.r_[line, line] % high
+    key = np.sort(key)
+    opens = np.flatnonzero(np.r_[True, np.diff(key) != 1][: len(key)])
+    shuts = np.r_[opens[1:] - 1, len(key) - 1] if len(key) else opens
+    at, top, bottom = key[opens] // high, key[opens] % high, key[shuts] % high + 1
+    down, base = at // wide % 2 == 1, at // wide // 2 * high
+    x = np.r_[rx, lz, at % wide]
+    v = np.r_[ry, ly + 1, base + np.where(down, top, bottom)]
+    x2 = np.r_[rz, lx, at % wide]
+    v2 = np.r_[ry, ly + 1, base + np.where(down, bottom, top)]
+    turn = np.r_[np.full(len(rx), RIGHT), np.full(len(lx), LEFT), np.where(down, DOWN, UP)]
+    start = (v * wide + x) * 4 + turn
+    order = np.argsort(start)
+    start, x, v, end, turn = start[order], x[order], v[order], (v2 * wide + x2)[order] * 4, turn[order]
+    n = len(start)
+    right = np.searchsorted(start, end + (turn + 1) % 4)
+    there = start[np.minimum(right, n - 1)] == end + (turn + 1) % 4 if n else np.zeros(0, bool)
+    ahead = np.where(there, right, np.searchsorted(start, end + (turn + 3) % 4))
+    # as in the rounds of _far_rings
+    here = np.arange(n)
+    least, away, step = np.minimum(here, ahead), np.where(here <= ahead, 0, 1), 1
+    while True:
+        lower = least[ahead] < least
+        if not lower.any():
+            break
+        least, away, ahead, step = np.where(lower, least[ahead], least), np.where(lower, away[ahead] + step, away), ahead[ahead], step * 2
+    place = np.where(away == 0, 0, np.bincount(least, minlength=n)[least] - away) if n else least
+    to_y = lambda v: v % high - 1 + band[first[v // high]] * lines
+    rows = pa.array(np.r_[first[v // high], np.flatnonzero(far)])
+    none = np.zeros(far.sum(), np.int64)
+    made = {"place": (place, none), "y": (to_y(v), y[far]), "x": (x, x0[far]), "z": (np.zeros(n, np.int64), x1[far]), "ring_y": (to_y(v[least]), none), "ring_x": (x[least], none), "ring_dir": (turn[least], none)}
+    arrays = [pa.array(np.r_[np.zeros(n, bool), np.ones(far.sum(), bool)]), *[pa.array(np.concatenate(made[m]).astype(np.int32)) for m in names[1:]]]
+    return pa.RecordBatch.from_arrays([*[table.column(i).combine_chunks().take(rows) for i in range(n_keys)], *arrays], names=[*table.column_names[:n_keys], *names])
+
+
+def _bare(line: np.ndarray, x0: np.ndarray, x1: np.ndarray, wide: int, shift: int) -> tuple[np.ndarray, ...]:
+    """line, x0, x1 of what runs don't share with those of the line before (1) or after (-1)."""
+    marks, at = np.unique(np.r_[line * wide + x0, line * wide + x1, (line + shift) * wide + x0, (line + shift) * wide + x1], return_inverse=True)
+    n = len(line)
+    own, other = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)
+    np.add.at(own, at[: 2 * n], np.repeat([1, -1], n))
+    np.add.at(other, at[2 * n :], np.repeat([1, -1], n))
+    bare = np.flatnonzero((np.cumsum(own) > 0) & (np.cumsum(other) == 0))
+    return marks[bare] // wide, marks[bare] % wide, marks[bare + 1] % wide
+
+
+def _far_rings(mask: DataFrame, keys: list[str], most_rounds: int = 60) -> DataFrame:
+    """``rings`` of components of any size. In each round
     a side learns of the least side within twice as many steps, and how far it is, so rounds grow with the logarithm of the longest ring.
     """
     edge = written(sides(mask, keys).withColumn("id", F.struct("y", "x", "dir")), "sides")

@@ -182,7 +182,7 @@ def worked(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str],
     n_keys = len(keys)
 
     def run(stream):
-        for table in _whole_pieces(stream, [*range(n_keys + 1)]):
+        for table in whole_pieces(stream, [*range(n_keys + 1)]):
             yield _worked_pieces(table, n_keys, fixed, work, reach, lines)
 
     return dealt.mapInArrow(run, dealt.select(*keys, *[F.lit(0).alias(n) for n in ("y", "x0", "x1")]).schema)
@@ -190,7 +190,7 @@ def worked(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str],
 
 def _worked_pieces(table, n_keys: int, fixed: tuple[int, int] | None, work, reach: int, lines: int) -> pa.RecordBatch:
     """The own lines of the pieces of a table (keys, band and the rest, a piece's rows together) after ``work``."""
-    first = _openings(table, [*range(n_keys + 1)])
+    first = openings(table, [*range(n_keys + 1)])
     of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, table.num_rows]))
     number = lambda n: table.column(n).combine_chunks().fill_null(-1).to_numpy().astype(np.int64)
     band, y, x0, x1 = (number(n) for n in ("band", "y", "x0", "x1"))
@@ -238,7 +238,7 @@ def labelled(runs: DataFrame, keys: list[str], *, diagonal: bool = True, lines:
     n_keys, reach = len(keys), int(diagonal)
 
     def run(stream):
-        for table in _whole_pieces(stream, [*range(n_keys), schema.names.index("band")]):
+        for table in whole_pieces(stream, [*range(n_keys), schema.names.index("band")]):
             ly, lx = _local_labels(table, n_keys, reach)
             yield table.append_column("ly", pa.array(ly, pa.int32())).append_column("lx", pa.array(lx, pa.int32())).to_batches()[0]
 
@@ -254,13 +254,13 @@ def labelled(runs: DataFrame, keys: list[str], *, diagonal: bool = True, lines:
     return told.select(*keys, "y", "x0", "x1", F.coalesce("root", "node")["label"].alias("label"))
 
 
-def _whole_pieces(stream, tile_columns: list[int]):
+def whole_pieces(stream, tile_columns: list[int]):
     """Tables that end where a piece ends; a piece is held whole, and it is bounded by its lines."""
     held: list = []
     for batch in stream:
         held.append(batch)
         table = pa.Table.from_batches(held).combine_chunks()
-        cut = _openings(table, tile_columns)[-1] if table.num_rows else 0
+        cut = openings(table, tile_columns)[-1] if table.num_rows else 0
         if cut:
             yield table.slice(0, cut).combine_chunks()
         rest = table.slice(cut).combine_chunks()
@@ -269,7 +269,7 @@ def _whole_pieces(stream, tile_columns: list[int]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _openings(table, columns: list[int]) -> np.ndarray:
+def openings(table, columns: list[int]) -> np.ndarray:
     """Where rows differ from the row before in any of the columns; 0 first."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
@@ -286,10 +286,16 @@ def _openings(table, columns: list[int]) -> np.ndarray:
 
 def _local_labels(table, n_keys: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """For each run, y and x0 of the first run of its component within its piece; rows are sorted by piece, y, x0."""
-    y, x0, x1 = (table.column(n_keys + i).to_numpy().astype(np.int64) for i in range(3))
+    root = local_roots(table, n_keys, reach)
+    return table.column("y").to_numpy()[root], table.column("x0").to_numpy()[root]
+
+
+def local_roots(table, n_keys: int, reach: int) -> np.ndarray:
+    """For each run, the row of the first run of its component within its piece."""
+    y, x0, x1 = (table.column(n).to_numpy().astype(np.int64) for n in ("y", "x0", "x1"))
     n = len(y)
     piece = np.zeros(n, np.int64)
-    piece[_openings(table, [*range(n_keys), table.column_names.index("band")])] = 1
+    piece[openings(table, [*range(n_keys), table.column_names.index("band")])] = 1
     piece = np.cumsum(piece)
     fresh = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (y[1:] != y[:-1])])
     line = np.zeros(n, np.int64)
@@ -318,7 +324,7 @@ def _local_labels(table, n_keys: int, reach: int) -> tuple[np.ndarray, np.ndarra
         np.minimum.at(root, np.maximum(ra, rb), low)
         while (root != root[root]).any():
             root = root[root]
-    return y[root], x0[root]
+    return root
 
 
 def component_boxes(labels: DataFrame, keys: list[str], min_area: int) -> DataFrame:

@@ -719,10 +719,10 @@ def fill_shapes(spark, sf_dir):
 def trace_masks(spark, sf_dir):
     """Every sheet's sparse grid traced to paths, and what filling the paths gives."""
     own = runs.of_points(sheet_points(spark, sf_dir), ["sheet"])
-    mask = runs.core(runs.united(runs.pieces(own, (40, 30), ["sheet"], ends=False), ["sheet"]))
+    mask = runs.worked(own, (40, 30), ["sheet"], strips.united)
     corners = written(outlines.rings(mask, ["sheet"]), "corners")
     told = outlines.with_rings(outlines.paths(corners, ["sheet"]))
-    back = outlines.filled(told, ["sheet"], F.lit(40), F.lit(30)).groupBy("sheet").agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"))
+    back = outlines.filled(told, ["sheet"], F.lit(40), F.lit(30), deal=False).groupBy("sheet").agg(F.sum((c("x1") - c("x0")).cast("long")).alias("pixels"))
     counted = corners.groupBy("sheet").agg(F.count("*").alias("corners"))
     return told.select("sheet", "n_rings").join(counted, "sheet").join(back, "sheet")
 

@@ -144,3 +144,17 @@ def test_filling_shuffles_no_crossings(spark):
         assert sorted(map(tuple, got), key=str) == [("a", 9 * 250 - 27, 259, 0, 249), (None, 18, 9, 60, 68)]
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 + deal
+
+
+def test_components_within_a_piece_go_through_no_rounds(spark, monkeypatch):
+    """Masks lower than a piece are traced where they are; what reaches over a piece's end gives the same corners by rounds."""
+    rng = np.random.default_rng(4)
+    masks = {f"m{i}": rng.random((63, 50)) < p for i, p in enumerate([0.02, 0.4, 0.6, 0.9])} | {"spiral": spiral(41), "cross": np.eye(9, dtype=bool)}
+    given, _ = frame(spark, masks)
+    own = ["k", "ring", "place", "x", "y"]
+    far = {tuple(r) for r in outlines._far_rings(given, ["k"]).select(*own).collect()}
+    tall, _ = frame(spark, {"t": np.pad(masks["m1"], ((31, 200), (0, 0)))})
+    tall_far = {tuple(r) for r in outlines._far_rings(tall, ["k"]).select(*own).collect()}
+    assert {tuple(r) for r in outlines.rings(tall, ["k"]).select(*own).collect()} == tall_far
+    monkeypatch.setattr(outlines, "_far_rings", None)
+    assert {tuple(r) for r in outlines.rings(given, ["k"]).select(*own).collect()} == far
