@@ -16,13 +16,15 @@ from glyphmill.llm.common import batches, per_text, release, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
+#: Tokens whose hash a worker keeps; a worker lives through all stages of a pipeline, and hashing a token again costs little.
+MOST_KNOWN = 50_000
 BUCKETS, SMOOTHING = 1 << 15, 4.0
 
 
 def features(text: str, buckets: int) -> np.ndarray:
     """Bucket of each word or run of signs, and of each two in a row; lower case, repeats included."""
     known, tokens = _known, _TOKEN.findall(text.lower())
-    if len(known) > 300_000:
+    if len(known) > MOST_KNOWN:
         known.clear()
     for t in set(tokens):
         if t not in known:

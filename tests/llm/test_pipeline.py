@@ -93,3 +93,13 @@ def test_empty_tables_pass_every_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_keeps_few_tokens():
+    from glyphmill.llm import quality
+
+    own = quality.features("again and again", 1 << 15)
+    for i in range(300):
+        quality.features(" ".join(f"t{i}x{j}" for j in range(1000)), 1 << 15)
+    assert len(quality._known) <= 51_001
+    assert (quality.features("again and again", 1 << 15) == own).all()
