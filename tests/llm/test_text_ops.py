@@ -238,6 +238,24 @@ def test_repeats_come_from_the_merge(spark, monkeypatch, split_over):
     assert sum(gone()[4:]) < sum(want[4:]) - 40
 
 
+def test_a_task_of_repeats_holds_one_worker(spark, texts):
+    """No pass through Python feeds another within a stage, in the tables on the way and in what comes out: a task would hold two workers' memory at once."""
+    plans, write = [], suffix_dedup.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_dedup, "written", lambda df, what: plans.append(df) or write(df, what))
+        plans.append(suffix_dedup.remove_repeats(docs_frame(spark, texts), split_over=2))
+    for df in plans:
+        within: list[tuple[int, bool]] = []  # depth of the nodes above in a stage, and whether they are passes
+        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            node = line[at:]
+            within = [w for w in within if w[0] < at]
+            if node.startswith(("Join", "Aggregate", "Repartition", "Sort")):
+                within = [(d, False) for d, _ in within]
+            assert not (node.startswith("MapInArrow") and any(p for _, p in within)), df._jdf.queryExecution().optimizedPlan().toString()
+            within.append((at, node.startswith("MapInArrow")))
+
+
 def test_pieces_of_a_segment_meet_their_like():
     rng = random.Random(12)
     for depth, width in ((1, 2), (2, 2), (5, 2), (8, 2), (5, 4), (8, 4), (9, 3), (8, 8), (3, 4)):
