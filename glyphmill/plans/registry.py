@@ -733,10 +733,10 @@ ITEM = f"""{BOXES}, item as (select *, cast(row_number() over (partition by shee
     case when kind = 1 then ') scale(2)" />' else ')" xmlns="http://www.w3.org/2000/svg" id="e' || ord || '"' || case kind when 0 then ' />' when 2 then '><circle r="' || n || '" /></g>' else '>a &amp; b</text>' end end closing from named where s % 7 > 0)"""
 
 
-def _drawings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Every order as a drawing whose elements are its line items, and the items' boxes by their place in it."""
+def _drawings(spark, sf_dir) -> DataFrame:
+    """Every order as a drawing whose elements are its line items, and the items by their place in it."""
     item = boxes(spark, sf_dir).select("sheet", F.struct("n", "p", "s", "e", "x", "y", "w", "h").alias("item"))
-    held = item.groupBy("sheet").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    held = item.groupBy("sheet").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
     def element(i, k):
         name = F.concat(F.lit(' id="e'), k.cast("string"), F.lit('"'))
@@ -748,7 +748,7 @@ def _drawings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     root = '<?xml version="1.0"?><svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000,900">'
     text = F.concat(F.lit(root), F.array_join(F.transform("items", element), ""), F.lit("</svg>"))
     view = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1000.0).alias("w"), F.lit(900.0).alias("h"))
-    return held.select(c("sheet").alias("sheet_id"), text.alias("svg"), view.alias("view")), held.select(c("sheet").alias("sheet_id"), F.posexplode("items").alias("ord", "item")).select("sheet_id", "ord", "item.*")
+    return held.select(c("sheet").alias("sheet_id"), text.alias("svg"), view.alias("view"), "items")
 
 
 @query(f"""with {ITEM}, grp as (select sheet, ord group_no, floor(((x - 60) * 2) * (1000 / 2000.0::double)) gx, floor(((y - 60) * 2) * (900 / 1800.0::double)) gy, greatest(1, ceil(400 * (1000 / 2000.0::double))) gw, greatest(1, ceil((h + 150) * 2 * (900 / 1800.0::double))) gh from item where n % 3 = 1),
@@ -764,10 +764,11 @@ def svg_icons(spark, sf_dir):
     """Every order's drawing taken to icons: elements from the text, boxes from lines, groups from boxes of a rendering twice as large."""
     from glyphmill.sources import readers
 
-    drawings, items = _drawings(spark, sf_dir)
-    drawings = written(drawings, "drawings")
-    text = [c(n).cast("string") for n in ("x", "y", "w", "h")]
-    lines = vector.elements(drawings).join(items.where("s % 7 > 0"), ["sheet_id", "ord"]).select("sheet_id", F.concat_ws(",", "elem_id", *text).alias("line"))
+    drawings = written(vector.parsed(_drawings(spark, sf_dir)), "drawings")
+    items = drawings.select("sheet_id", F.posexplode("items").alias("ord", "item")).select("sheet_id", "ord", "item.*")
+    told = F.inline(F.transform("children", lambda e: F.struct(e["elem_id"].alias("elem_id"), F.get("items", e["ord"]).alias("item"))))
+    boxed = drawings.select("sheet_id", told).where("item.s % 7 > 0")
+    lines = boxed.select("sheet_id", F.concat_ws(",", "elem_id", *[c(f"item.{n}").cast("string") for n in "xywh"]).alias("line"))
     own = readers.element_boxes(lines, "line").select("sheet_id", "elem_id", "x", "y", "w", "h")
     groups = items.where("n % 3 = 1").select("sheet_id", c("ord").alias("group_no"), ((c("x") - 60) * 2).alias("x"), ((c("y") - 60) * 2).alias("y"), F.lit(400).alias("w"), ((c("h") + 150) * 2).alias("h"), F.lit(2000).alias("raster_w"), F.lit(1800).alias("raster_h"))
     found = vector.icons(drawings, own, groups, padding=5, canvas=(CANVAS, CANVAS))

@@ -129,3 +129,33 @@ def test_svg_icons_reads_every_order(spark, sf_dir):
     got = registry.QUERIES["svg_icons"](spark, sf_dir).select("sheet").distinct().count()
     drawn = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 7 > 0 and l_partkey % 5 < 4").select("l_orderkey").distinct().count()
     assert got == drawn
+
+
+def test_texts_are_those_of_element_tree():
+    """Shortcuts or not, an element's text is what ElementTree writes."""
+    ElementTree.register_namespace("", vector.SVG)
+    parts = ['<rect/>', '<text a="&lt;&quot;&#10;&#9;>\'é">x &amp; &lt;y> <tspan> z</tspan> tail &amp; </text>', "<g><!-- c --><a/></g>", '<use xlink:href="#x"/>', '<g xml:space="preserve"> </g>', '<b xmlns="urn:o"><c/></b>', "<g><?pi x?></g>", '<g><rect r="1"/>\n<g><circle/></g></g>']
+    for part in parts:
+        (child,) = ElementTree.XML(HEAD + part + "</svg>", ElementTree.XMLParser(target=ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)))
+        assert vector._text(child) == ElementTree.tostring(child, encoding="unicode")
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_first_boxes_equal_brute_force(at_once):
+    rng = np.random.default_rng(at_once)
+    sheet, own = rng.integers(0, 4, 300), rng.integers(0, 5, 120)
+    x, y = rng.integers(-2000, 2000, (2, 300)) / 2.0
+    x1, y1 = rng.integers(-1000, 1000, (2, 120))
+    x2, y2 = x1 + rng.integers(-2, 1500, 120), y1 + rng.integers(-2, 300, 120)
+    number = rng.permutation(120)
+    got = vector.first_boxes(sheet, x, y, own, x1, y1, x2, y2, number, at_once=at_once)
+    held = (sheet[:, None] == own) & (x[:, None] >= x1) & (x[:, None] <= x2) & (y[:, None] >= y1) & (y[:, None] <= y2)
+    assert got.tolist() == [min(number[row].tolist(), default=-1) for row in held]
+    assert vector.first_boxes(sheet[:0], x[:0], y[:0], own, x1, y1, x2, y2, number).tolist() == []
+    assert set(vector.first_boxes(sheet, x, y, own[:0], x1[:0], y1[:0], x2[:0], y2[:0], number[:0]).tolist()) == {-1}
+
+
+def test_svg_icons_reads_texts_once(spark, sf_dir):
+    """Texts are taken apart once, in the table that is written, and only meet the icons at last; elements, boxes and groups meet in three joins without them."""
+    plan = registry.QUERIES["svg_icons"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4 and "_read(" not in plan and "_children(" not in plan
