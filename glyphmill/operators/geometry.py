@@ -61,33 +61,32 @@ def reading_order(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     counts = boxes.groupBy(key, "_cy", "_at").agg(F.count("*").alias("n"))
     by = W.partitionBy(key)
     limits = row_tolerance(df, key).withColumnRenamed(key, "_key")
-    lines = counts.groupBy(key, "_cy").agg(F.sum("n").alias("n")).join(limits, c(key).eqNullSafe(c("_key")), "left").drop("_key")
-    lines = lines.withColumn("cut", F.coalesce((c("_cy") - F.lag("_cy").over(by.orderBy("_cy")) > c("tolerance")).cast("int"), F.lit(0)))
-    lines = lines.withColumn("island", F.sum("cut").over(by.orderBy("_cy")))
-    line = F.struct(c("_cy").alias("cy"), "n")
-    islands = lines.groupBy(key, "island").agg(F.first("tolerance").alias("tolerance"), F.array_sort(F.collect_list(line)).alias("lines"))
-    empty = F.expr("cast(array() as array<struct<total:double,n:bigint,at:array<double>>>)")
+    parts = counts.join(limits, c(key).eqNullSafe(c("_key")), "left").drop("_key")
+    parts = parts.withColumn("cut", F.coalesce((c("_cy") - F.lag("_cy").over(by.orderBy("_cy")) > c("tolerance")).cast("int"), F.lit(0)))
+    parts = parts.withColumn("island", F.sum("cut").over(by.orderBy("_cy")))
+    islands = parts.groupBy(key, "island").agg(F.first("tolerance").alias("tolerance"), F.sort_array(F.collect_list(F.struct("_cy", "_at", "n"))).alias("parts"))
+    opened = lambda b: F.struct((b["_cy"] * b["n"]).alias("total"), b["n"].alias("n"), F.array(b).alias("parts"))
+    first_row = F.array(opened(F.get("parts", F.lit(0))))
+    empty = F.array().cast(islands.select(first_row).schema[0].dataType)
 
     def place(rows: Column, b: Column) -> Column:
-        near = F.transform(rows, lambda r: F.abs(b["cy"] - r["total"] / r["n"]) <= c("tolerance"))
+        # a centre's further parts find the row that its first one is in, also where it is null
+        mean = lambda r: r["total"] / r["n"]
+        near = F.transform(rows, lambda r: F.coalesce(F.abs(b["_cy"] - mean(r)) <= c("tolerance"), F.lit(False)) | b["_cy"].eqNullSafe(mean(r)))
         first = F.array_position(near, True)
-        widened = lambda r: F.struct((r["total"] + b["cy"] * b["n"]).alias("total"), (r["n"] + b["n"]).alias("n"), F.concat(r["at"], F.array(b["cy"])).alias("at"))
-        opened = F.struct((b["cy"] * b["n"]).alias("total"), b["n"].alias("n"), F.array(b["cy"]).alias("at"))
-        return F.when(first > 0, F.transform(rows, lambda r, i: F.when(i + 1 == first, widened(r)).otherwise(r))).otherwise(F.concat(rows, F.array(opened)))
-
-    rows = islands.select(key, "island", F.posexplode(F.aggregate("lines", empty, place)).alias("opened", "line"))
-    mean = (c("line.total") / c("line.n")).asc_nulls_last()
-    rows = rows.withColumn("row_no", F.row_number().over(by.orderBy(mean, "island", "opened")))
-    rows = rows.select(key, "row_no", F.explode("line.at").alias("_cy"))
-    same = lambda left, right: left[key].eqNullSafe(right["_key"]) & left["_cy"].eqNullSafe(right["_line"])
-    rows = rows.withColumnsRenamed({key: "_key", "_cy": "_line"})
-    stretches = counts.join(rows, same(counts, rows)).drop("_key", "_line")
-    # boxes of earlier rows and of earlier stretches of the row
-    sizes = stretches.groupBy(key, "row_no", "_at").agg(F.sum("n").alias("n"), F.collect_list("_cy").alias("centres"), F.count("*").alias("lines"))
-    before = F.coalesce(F.sum("n").over(by.orderBy("row_no", "_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    centres = F.when(F.size("centres") < c("lines"), F.array(F.lit(None).cast("double"))).otherwise(c("centres"))
-    dealt = sizes.withColumn("before", before).select(c(key).alias("_key"), "row_no", c("_at").alias("_stretch"), "before", F.explode(centres).alias("_line"))
-    placed = boxes.join(dealt, same(boxes, dealt) & boxes["_at"].eqNullSafe(dealt["_stretch"])).drop("_key", "_line", "_stretch")
+        widened = lambda r: F.struct((r["total"] + b["_cy"] * b["n"]).alias("total"), (r["n"] + b["n"]).alias("n"), F.concat(r["parts"], F.array(b)).alias("parts"))
+        return F.when(first > 0, F.transform(rows, lambda r, i: F.when(i + 1 == first, widened(r)).otherwise(r))).otherwise(F.concat(rows, F.array(opened(b))))
+
+    # most islands of a usual sheet are one part, which is a row as it is
+    folded = F.when(F.size("parts") == 1, first_row).otherwise(F.aggregate("parts", empty, place))
+    rows = islands.select(key, "island", F.posexplode(folded).alias("opened", "row"))
+    rows = rows.withColumn("row_no", F.row_number().over(by.orderBy((c("row.total") / c("row.n")).asc_nulls_last(), "island", "opened")))
+    stretches = rows.select(key, "row_no", F.inline("row.parts"))
+    # boxes of earlier rows and of earlier stretches of the row; rows stay dealt by sheet until they meet the boxes
+    upto, own = F.sum("n").over(by.orderBy("row_no", "_at")), F.sum("n").over(W.partitionBy(key, "row_no", "_at"))
+    dealt = stretches.select(c(key).alias("_key"), "row_no", c("_at").alias("_stretch"), c("_cy").alias("_line"), (upto - own).alias("before"))
+    same = boxes[key].eqNullSafe(dealt["_key"]) & boxes["_cy"].eqNullSafe(dealt["_line"]) & boxes["_at"].eqNullSafe(dealt["_stretch"])
+    placed = boxes.join(dealt, same).drop("_key", "_line", "_stretch")
     within = W.partitionBy(key, "row_no", "_at").orderBy("x", "_cy", "y", *ties, F.struct(*[c(n) for n in df.columns]))
     return placed.withColumn("icon_index", (c("before") + F.row_number().over(within)).cast("int")).select(*df.columns, "row_no", "icon_index")
 

@@ -79,6 +79,16 @@ def test_reading_order_of_a_crowded_sheet(spark):
     assert geometry.reading_order(df.limit(0), "sheet", ["n"]).count() == 0
 
 
+def test_reading_order_without_places(spark):
+    """Boxes without a height are one row, whatever stretch they are in; boxes and what they are told meet once, the sheets' limits once."""
+    rows = [(s, 100 + 300 * i, None if i % 2 else 50, 10, 10, i) for s in (1, None) for i in range(8)] + [(2, None, 5, 9, 9, 0), (2, None, None, 9, 9, 1), (2, 700, None, 9, None, 2)]
+    ordered = geometry.reading_order(spark.createDataFrame(rows, "sheet int, x int, y int, w int, h int, n int"), "sheet", ["n"])
+    got = sorted((str(r.sheet), r.icon_index, r.row_no, r.n) for r in ordered.collect())
+    own = [*[(k + 1, 1, n) for k, n in enumerate((0, 2, 4, 6))], *[(k + 5, 2, n) for k, n in enumerate((1, 3, 5, 7))]]
+    assert got == sorted([*[(s, *x) for s in ("1", "None") for x in own], ("2", 1, 1, 0), ("2", 2, 2, 1), ("2", 3, 2, 2)])
+    assert ordered._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 ANSWERS = [
     ('prose {"label":"Light Bulb","tags":["Idea"],"confidence":1.7}', "light-bulb", ["idea"], 1.0),
     ("magnifier glass\nextra", "magnifier-glass", [], None),
