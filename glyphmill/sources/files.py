@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -19,6 +20,8 @@ from glyphmill.sources.sinks import folder, png_pixels, tiff_bytes
 c = F.col
 #: Files that the driver moves at once.
 MOVES = 16
+#: Seconds without a trace of a failed job's tasks after which they count as ended (Spark lets a killed task's Python run on for two), and seconds to wait at most.
+QUIET, PATIENCE = 3.0, 60.0
 
 
 @dataclass
@@ -91,14 +94,26 @@ class FileWriter(DataSourceArrowWriter):
             store.delete_file(place)
             store.move(source, place)
 
-    def _drop(self, store, top: str) -> None:
+    def _drop(self, store, top: str) -> bool:
+        """Whether there was anything to drop."""
         from pyarrow import fs
 
-        if store.get_file_info(f"{top}/{self.job}").type == fs.FileType.Directory:
+        there = store.get_file_info(f"{top}/{self.job}").type == fs.FileType.Directory
+        if there:
             store.delete_dir(f"{top}/{self.job}")
+        return there
 
     def abort(self, messages: list[Attempt | None]) -> None:
-        self._drop(*_store(self.path))
+        """Tasks that run as the job fails are killed, but may write on for a while: what they put back goes, too."""
+        store, top = _store(self.path)
+        began = last = time.monotonic()
+        while (now := time.monotonic()) < min(last + QUIET, began + PATIENCE):
+            try:
+                if self._drop(store, top):
+                    last = now
+            except OSError:  # written to while it was deleted
+                last = now
+            time.sleep(0.1)
 
 
 class Files(DataSource):

@@ -111,3 +111,30 @@ def test_attempts_that_are_not_committed_leave_nothing(tmp_path):
     other = files.FileWriter(str(tmp_path / "out"), False)
     other.abort([other.write(iter([batch(("s/c", b"3"))])), None])
     assert listing(str(tmp_path / "out")) == ["s/a", "s/b"]
+
+
+def test_a_task_that_writes_on_after_the_abort_leaves_nothing(tmp_path):
+    import threading
+    import time
+
+    import pyarrow as pa
+
+    def slow():
+        time.sleep(0.6)  # its first file comes after the job's folder went
+        for i in range(8):
+            yield pa.RecordBatch.from_pylist([{"file": f"s/{i}", "data": b"1"}], pa.schema([("file", pa.string()), ("data", pa.binary())]))
+            time.sleep(0.2)
+
+    def killed():
+        try:
+            writer.write(slow())
+        except OSError:
+            pass  # its folder went as it wrote
+
+    writer = files.FileWriter(str(tmp_path / "out"), False)
+    task = threading.Thread(target=killed)
+    task.start()
+    time.sleep(0.3)
+    writer.abort([None])
+    task.join()
+    assert listing(str(tmp_path / "out")) == [] and os.listdir(tmp_path / "out") == []
