@@ -115,7 +115,8 @@ def _shortened(words: DataFrame) -> DataFrame:
     """
     less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.concat(*_cut(i))))
     cut = words.select(F.explode(less).alias("less"), _rank().alias("longer"))
-    met = cut.join(words.select(c("word").alias("less"), _rank().alias("shorter")), "less")
+    # merged: either side grows with the vocabulary, and Spark sizes the cuts as if there were one a word
+    met = cut.join(words.select(c("word").alias("less"), _rank().alias("shorter")).hint("merge"), "less")
     grown = met.groupBy("less").agg(F.count("*").alias("near"), F.min("longer").alias("best")).select(c("less").alias("word"), "near", "best")
     return grown.unionByName(met.select("longer.word", F.lit(1).cast("long").alias("near"), c("shorter").alias("best")))
 
@@ -127,7 +128,7 @@ def _roots(forms: DataFrame, most_rounds: int = 40) -> DataFrame:
     for _ in range(most_rounds):
         busy = heavy(now.groupBy("root").agg(F.count("*").alias("n")), ["root"])
         on = now.select(c("word").alias("root"), c("root").alias("further"))
-        moved = lookup(now, on, ["root"], busy, "left")
+        moved = lookup(now, on, ["root"], busy, "left", merge=True)
         new = written(moved.select("word", F.coalesce("further", "root").alias("root"), c("further").isNotNull().alias("moved")), "roots")
         release(now)
         now = new
@@ -141,17 +142,18 @@ def variants(words: DataFrame, *, times: int = 2) -> DataFrame:
 
     Words are near if they differ by one inserted, deleted or replaced code point. The form is the most frequent near word
     (of equals the first in code-point order) if it is at least ``times`` (2 at least) as frequent; the root is the last form that
-    following them gives. An empty vocabulary gives an empty result; words of any length are taken whole.
+    following them gives. An empty vocabulary gives an empty result; words of any length are taken whole. No table of words is
+    broadcast: its files are much smaller than its rows.
     """
     if times < 2:
         raise ValueError("times must be 2 at least, else forms may go round in circles")
     words = words.where(c("word").isNotNull())
     near = _replaced(words).unionByName(_shortened(words)).groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
-    joined = words.join(near, "word", "left")
+    joined = words.join(near.hint("merge"), "word", "left")
     good = -c("best.minus_n") >= c("n") * times
     told = written(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, c("best.word")).alias("form"), F.when(good, -c("best.minus_n")).alias("form_n")), "forms")
     roots = _roots(told.where("form is not null"))
-    return told.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return told.join(roots.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def group_variants(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 5, min_count: int = 3) -> DataFrame:

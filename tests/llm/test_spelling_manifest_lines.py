@@ -122,6 +122,23 @@ def test_chains_of_forms_end_at_the_root(spark):
     assert got["aaaaaa"].n_near == 1 and got["aaaaa"].n_near == 2
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_no_table_of_words_is_broadcast(spark, monkeypatch, hot):
+    """However small Spark takes them to be; each table that is written counts, and the result. Only marks of hot keys are."""
+    plans = []
+    cut = spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, what: (plans.append(df), cut(df, what))[1])
+    if not hot:
+        monkeypatch.setattr(spelling, "heavy", lambda *_: None)
+    words = [("aaaaa", 100), ("aaaab", 50), ("aaabb", 25), ("aabbb", 12), ("aaaaaa", 3)]
+    out = spelling.variants(spark.createDataFrame(words, "word string, n long"))
+    assert {r.root for r in out.collect()} == {"aaaaa"}
+    assert len(plans) > 3
+    for df in (*plans, out):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+        assert len(joins) in (0, 2 * hot) and not any("_piece" in line for line in joins)
+
+
 def test_ties_go_to_the_first_word(spark):
     words = [("abcde", 1), ("abcdf", 9), ("abcdé", 9), ("abcdz", 9), ("xbcde", 9)]
     got = {r.word: r for r in spelling.variants(spark.createDataFrame(words, "word string, n long")).collect()}
