@@ -13,7 +13,7 @@ from glyphmill.functions import strips
 from glyphmill.functions.strips import Strips
 from glyphmill.operators import geometry, pixels, runs
 from glyphmill.operators.quantiles import quantiles
-from glyphmill.plans.session import ship_package, written
+from glyphmill.plans.session import ship_package, sized, written
 
 c = F.col
 
@@ -84,14 +84,14 @@ def limits(coloured: DataFrame, keys: list[str]) -> DataFrame:
     edge = counts.where("edge > 0").withColumns(lab(c("r"), c("g"), c("b")))
     mean = lambda v: (F.sum(c(v) * c("edge")) / F.sum("edge")).alias(f"mean_{v[0]}")
     means = written(edge.groupBy(*keys).agg(F.max("width").alias("width"), F.max("height").alias("height"), *[mean(v) for v in ("l8", "a8", "b8")]), "means")
-    near = written(edge.select(*keys, "l8", "a8", "b8", "edge").join(means, keys).select(*keys, "edge", distance().alias("d"), F.abs(c("l8") - c("mean_l")).alias("dl")), "near")
+    near = written(edge.select(*keys, "l8", "a8", "b8", "edge").join(sized(means), keys).select(*keys, "edge", distance().alias("d"), F.abs(c("l8") - c("mean_l")).alias("dl")), "near")
     stacked = lambda df, names: df.select(*keys, "edge", F.inline(F.array(*[F.struct(F.lit(n).alias("what"), c(n).cast("double").alias("v")) for n in names])))
     one = lambda name: F.max(F.when(c("what") == name, c("quantile")))
     far = quantiles(stacked(near, ["d", "dl"]), [*keys, "what"], c("v"), 0.95, c("edge")).groupBy(*keys)
     far = far.agg(F.greatest(F.lit(12.0), one("d") * 2.5 + 6).alias("limit"), F.greatest(F.lit(10.0), one("dl") * 2.5 + 4).alias("light_limit"))
     ground = quantiles(stacked(counts, ["r", "g", "b"]), [*keys, "what"], c("v"), 0.5, c("edge")).groupBy(*keys).agg(*[one(ch).cast("int").alias(f"bg_{ch}") for ch in ("r", "g", "b")])
     dark = pixels.otsu_threshold(counts.withColumn("gray", gray(c("r"), c("g"), c("b"))), keys, weight=c("n"))
-    out = means.join(far, keys).join(ground, keys).join(dark, keys, "left")
+    out = sized(means).join(far, keys).join(ground.hint("merge"), keys).join(dark.hint("merge"), keys, "left")
     # a sheet of one gray level isn't split: all of it is at the threshold or none is, as the level 0 says
     return out.withColumn("threshold", F.coalesce("threshold", F.lit(0)))
 
@@ -105,7 +105,7 @@ def foreground(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int
 
     Eight lines up and down is as far as these steps reach, so they run on pieces after one shuffle.
     """
-    lit = coloured.withColumns(lab(c("r"), c("g"), c("b"))).join(told.select(*keys, "mean_l", "mean_a", "mean_b", "limit", "light_limit", "threshold"), keys)
+    lit = coloured.withColumns(lab(c("r"), c("g"), c("b"))).join(sized(told.select(*keys, "mean_l", "mean_a", "mean_b", "limit", "light_limit", "threshold")), keys)
     far = (distance() > c("limit")) | (F.abs(c("l8") - c("mean_l")) > c("light_limit"))
     dark = gray(c("r"), c("g"), c("b")) <= c("threshold")
     layers = F.filter(F.array(F.when(far, 0), F.when(dark, 1)), lambda n: n.isNotNull())
@@ -121,7 +121,7 @@ def foreground(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int
 
 def dark_mask(coloured: DataFrame, told: DataFrame, keys: list[str], lines: int = runs.LINES) -> DataFrame:
     """keys, y, x0, x1 of what is at the sheet's gray threshold or below, closed."""
-    level = coloured.join(told.select(*keys, "threshold"), keys).where(gray(c("r"), c("g"), c("b")) <= c("threshold"))
+    level = coloured.join(sized(told.select(*keys, "threshold")), keys).where(gray(c("r"), c("g"), c("b")) <= c("threshold"))
     return runs.morphed(level, told.select(*keys, "width", "height"), keys, runs.closed, runs.square(3), lines)
 
 
@@ -131,7 +131,7 @@ def icon_boxes(mask: DataFrame, sizes: DataFrame, keys: list[str], *, min_area:
     kernel = runs.ellipse(max(3, merge_gap + (merge_gap % 2 == 0)))
     spread = runs.morphed(mask, sizes, keys, runs.dilated, kernel)
     found = runs.component_boxes(runs.labelled(spread, keys), keys, min_area)
-    wide = found.withColumn("spread", F.struct("x", "y", "w", "h"))
+    wide = written(found.withColumn("spread", F.struct("x", "y", "w", "h")), "found")
     return runs.tightened(wide, mask, keys, "label")
 
 
@@ -139,7 +139,7 @@ def ordered(found: DataFrame, told: DataFrame, key: str, padding: int) -> DataFr
     """key, icon_index, stem, source_bounds, source_size, tight: reading order is that of the spread boxes; what is cut is the tightened box, padded and
     clamped to the sheet."""
     tight = F.struct("x", "y", "w", "h")
-    placed = found.join(told.select(key, c("width").alias("sheet_w"), c("height").alias("sheet_h")), key)
+    placed = found.join(sized(told.select(key, c("width").alias("sheet_w"), c("height").alias("sheet_h"))), key)
     wide = placed.select(key, tight.alias("tight"), "sheet_w", "sheet_h", *[c(f"spread.{n}").alias(n) for n in "xywh"])
     rows = geometry.reading_order(wide, key, ["tight"]).select(key, "icon_index", "sheet_w", "sheet_h", "tight", "tight.*")
     padded = geometry.pad_clamp(rows, padding, c("sheet_w"), c("sheet_h"))

@@ -35,4 +35,5 @@ def least_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("least")), "a")
+    # merged, as edges of like nodes are small files of many rows
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("least")).hint("merge"), "a")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.plans.session import release, written
+from glyphmill.plans.session import release, sized, written
 
 c = F.col
 
@@ -46,7 +46,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: Column, q: float, weight:
 
 def _inside(cells: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Values in the ranges of their key (null keys are keys)."""
-    named = ranges.withColumnsRenamed({k: f"_{k}" for k in keys})
+    named = sized(ranges.withColumnsRenamed({k: f"_{k}" for k in keys}))
     same = (c("value") >= c("low")) & (c("value") <= c("high"))
     for k in keys:
         same = same & c(k).eqNullSafe(c(f"_{k}"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import strips
 from glyphmill.functions.strips import Strips
 from glyphmill.operators.links import least_reachable
-from glyphmill.plans.session import ship_package, written
+from glyphmill.plans.session import ship_package, sized, written
 
 c = F.col
 
@@ -84,7 +84,7 @@ def pieces(runs: DataFrame, sizes: DataFrame | tuple[int, int], keys: list[str],
     at = runs.withColumn("band", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), c("y") - reach) / lines), F.floor((c("y") + reach) / lines))))
     own = at.select(*keys, "band", *[c(n).cast("int").alias(n) for n in ("y", "x0", "x1")], *(["layer"] if layers else []))
     if not ends:
-        sized = at.select(*keys, "band", "width", "height", "y", "x0", "x1") if isinstance(sizes, tuple) else own.join(sizes.select(*keys, "width", "height"), keys)
+        sized = at.select(*keys, "band", "width", "height", "y", "x0", "x1") if isinstance(sizes, tuple) else own.join(sized(sizes.select(*keys, "width", "height")), keys)
         sized = sized.where((c("band") * lines < c("height")) & (c("y") < c("height")))
         return sized.withColumns({"top": upper, "bottom": lower}).drop("height").repartition(*keys, "band")
     bands = sizes.where("width > 0 and height > 0").select(*keys, c("width").cast("int").alias("width"), "height", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("height") - 1) / lines))).alias("band"))
@@ -249,7 +249,7 @@ def labelled(runs: DataFrame, keys: list[str], *, diagonal: bool = True, lines:
     seams = own.where(shared).select(*keys, "y", "x0", node.alias("a"))
     ghosts = local.where(F.floor(c("y") / lines) != c("band")).select(*keys, "y", "x0", node.alias("b"))
     same = [seams[n].eqNullSafe(ghosts[n]) for n in [*keys, "y", "x0"]]
-    roots = least_reachable(seams.join(ghosts, same).select("a", "b"))
+    roots = least_reachable(seams.join(ghosts.hint("merge"), same).select("a", "b"))
     told = own.select(*keys, "y", "x0", "x1", node.alias("node")).join(roots, "node", "left")
     return told.select(*keys, "y", "x0", "x1", F.coalesce("root", "node")["label"].alias("label"))
 
@@ -347,7 +347,7 @@ def within(runs: DataFrame, boxes: DataFrame, keys: list[str], *, lines: int = L
     spread = boxes.where("w > 0 and h > 0").withColumn("_cy", span(c("y"), c("y") + c("h") - 1, lines)).withColumn("_cx", span(c("x"), c("x") + c("w") - 1, cell))
     spread = spread.withColumnsRenamed({"x": "_bx", "y": "_by", "w": "_bw", "h": "_bh"})
     laid = runs.withColumn("_cy", at(c("y"), lines)).withColumn("_cx", span(c("x0"), c("x1") - 1, cell))
-    met = laid.join(spread, [*keys, "_cy", "_cx"])
+    met = laid.join(sized(spread), [*keys, "_cy", "_cx"])
     x0, x1 = F.greatest("x0", "_bx"), F.least(c("x1"), c("_bx") + c("_bw"))
     met = met.where((c("y") >= c("_by")) & (c("y") < c("_by") + c("_bh")) & (x0 < x1) & (at(x0, cell) == c("_cx")))
     return met.withColumns({"x0": x0, "x1": x1}).drop("_cy", "_cx").withColumnsRenamed({"_bx": "bx", "_by": "by", "_bw": "bw", "_bh": "bh"})
@@ -373,9 +373,9 @@ def crop_background(mask: DataFrame, boxes: DataFrame, keys: list[str], box_id:
     sizes = boxes.select(*own, c("w").cast("int").alias("width"), c("h").cast("int").alias("height"))
     ground = worked(local, sizes, own, lambda s: strips.complement(strips.united(s)), lines=lines)
     labels = labelled(ground, own, diagonal=False, lines=lines)
-    framed = labels.join(sizes, own).withColumn("_at", (c("y") == 0) | (c("x0") == 0) | (c("y") == c("height") - 1) | (c("x1") == c("width")))
-    reach = framed.groupBy(*own, "label").agg(F.bool_or("_at").alias("outside"))
-    return labels.join(reach, [*own, "label"]).select(*own, "y", "x0", "x1", "outside", "label")
+    framed = labels.join(sized(sizes), own).withColumn("_at", (c("y") == 0) | (c("x0") == 0) | (c("y") == c("height") - 1) | (c("x1") == c("width")))
+    reach = written(framed.groupBy(*own, "label").agg(F.bool_or("_at").alias("outside")), "reach")
+    return labels.join(sized(reach), [*own, "label"]).select(*own, "y", "x0", "x1", "outside", "label")
 
 
 # ---- points ------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.pictures import compose, filled, palette
 from glyphmill.operators import detection, geometry, runs
-from glyphmill.plans.session import ship_package, written
+from glyphmill.plans.session import ship_package, sized, written
 from glyphmill.sources import sinks
 
 c = F.col
@@ -78,7 +78,7 @@ def _gathered(coloured: DataFrame, told: DataFrame, mask: DataFrame, crops: Data
     names = ["y", "x0", "x1", "r", "g", "b"]
     rows = placed.join(apart(local.groupBy(*own).agg(lists(names)), names, ""), own)
     if opaque:
-        return rows.join(told.select("sheet_id", F.array("bg_r", "bg_g", "bg_b").alias("ground")), "sheet_id")
+        return rows.join(sized(told.select("sheet_id", F.array("bg_r", "bg_g", "bg_b").alias("ground"))), "sheet_id")
     outside = runs.crop_background(mask, crops, KEY, "icon_index").where("outside").groupBy(*own).agg(lists(names[:3]))
     return rows.join(apart(outside, names[:3], "out_"), own, "left").withColumn("ground", F.lit(None).cast("array<int>"))
 

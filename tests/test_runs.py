@@ -1,5 +1,8 @@
 """Runs against plain numpy: morphology, components, background, quantiles, detection of whole sheets."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import plain_raster as plain
 import pytest
@@ -235,3 +238,37 @@ def test_a_mask_is_one_pass(spark):
     told = detection.limits(colours, ["k"])
     text = detection.foreground(colours, told.localCheckpoint(), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert text.count("Window") == 0 and text.count("MapInArrow") == 1
+
+
+def test_tables_are_broadcast_by_their_rows(spark, sf_dir, monkeypatch):
+    """And not by their files' size: where nothing is few, what is broadcast comes out of a shuffle, whose size Spark knows. Rows are the same."""
+    from glyphmill.operators import links
+    from glyphmill.operators import quantiles as module
+    from glyphmill.plans import registry, session
+
+    wanted = Counter(registry.sheet_icons(spark, sf_dir).collect())
+    plans = []
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString().split("\n")
+    for place in (registry, detection, runs, links, module):
+        monkeypatch.setattr(place, "written", lambda df, what, cut=session.written: (plans.append(text(df)), cut(df, what))[1])
+    monkeypatch.setattr(session, "FEW_ROWS", 0, raising=False)
+    out = registry.sheet_icons(spark, sf_dir)
+    plans.append(text(out))
+    depth = lambda line: re.search(r"[A-Za-z*]|$", line).start()
+    for lines in plans:
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+                assert any("Exchange hashpartitioning" in x for x in lines[i + 1 : end]), lines[i : i + 4]
+    assert sum("SortMergeJoin" in line for lines in plans for line in lines) > 8
+    assert Counter(out.collect()) == wanted and wanted
+
+
+def test_few_rows_are_broadcast(spark, monkeypatch):
+    from glyphmill.plans import session
+
+    many = spark.range(9)
+    for few, how in ((9, "BroadcastHashJoin"), (8, "SortMergeJoin")):
+        monkeypatch.setattr(session, "FEW_ROWS", few)
+        joined = spark.range(3).join(session.sized(many), "id")
+        assert how in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 3
